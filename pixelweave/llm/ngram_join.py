@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pixelweave.llm.common import U64, Words, components, in_chunks, mix, rolling, stage, to_bytes, width
 
 HUB_ROUNDS = 2
+#: Groups of fragments by which the overlaps of candidates are counted.
+PARTS = 4
 _FLUSH = 2_000_000
 _SALT = 0x5851F42D4C957F2D
 
@@ -121,11 +123,11 @@ def _meet(table: pa.Table) -> pa.Table:
 _MET = "sid long, frag int, n_shared int, grams array<int>, freqs array<int>, doc_id long, size int"
 
 
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, size_a, b, size_b) those that link: partial overlaps by fragment, summed by pair."""
-    left = segments.select(F.col("sid").alias("a"), "frag", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("sid").alias("b"), "frag", F.col("grams").alias("grams_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("n"))
+def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, size_a, b, size_b) those that link: overlaps by groups of fragments, summed by pair."""
+    left = parts.select(F.col("sid").alias("a"), "part", F.col("grams").alias("grams_a"))
+    right = parts.select(F.col("sid").alias("b"), "part", F.col("grams").alias("grams_b"))
+    partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("n"))
     total = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     return total.where(F.col("n") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("n")) * percent).select("a", "b")
 
@@ -149,21 +151,20 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
     members = met.where("size is not null").select("doc_id", "sid", "size")
     segments = met.where("frag is not null").select("sid", "frag", "n_shared", "grams", "freqs")
     sets = members.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"))
-    enough = (
-        segments.groupBy("sid").agg(F.sum("n_shared").alias("shared")).join(sets, "sid")
-        .where(F.col("shared") * 100 >= F.col("size") * percent)
+    numbered = F.transform(F.arrays_zip("freqs", "grams"), lambda g: F.struct(g["freqs"].alias("freq"), (F.shiftleft(F.col("frag").cast("long"), 32) + g["grams"]).alias("gram")))
+    alive = stage(
+        segments.groupBy("sid").agg(F.sum("n_shared").alias("shared"), F.sort_array(F.flatten(F.collect_list(numbered))).alias("ordered"))
+        .join(sets, "sid").where(F.col("shared") * 100 >= F.col("size") * percent)
+        .select("sid", "size", "shared", F.col("ordered")["gram"].alias("grams")),
+        "alive",
     )
-    alive = stage(enough.join(segments, "sid").select("sid", "size", "shared", "frag", "grams", "freqs"), "alive")
     # A set's rarest n-grams: so many that two sets without one of them in common can't link; those that nobody shares come first.
     take = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("shared"))
-    ordered = F.sort_array(F.flatten(F.collect_list(F.transform(F.arrays_zip("freqs", "grams"), lambda g: F.struct(g["freqs"].alias("freq"), (F.shiftleft(F.col("frag").cast("long"), 32) + g["grams"]).alias("gram"))))))
-    postings = (
-        alive.groupBy("sid", "size", "shared").agg(ordered.alias("ordered"))
-        .select("sid", "size", F.explode(F.slice("ordered", F.lit(1), take.cast("int"))["gram"]).alias("gram"))
-    )
+    postings = alive.select("sid", "size", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("gram"))
     common = postings.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     postings = stage(postings.join(common, "gram"), "postings")
-    alive = alive.select("sid", "frag", "grams")
+    part = lambda k: F.filter("grams", lambda g: F.shiftright(g, 32) % PARTS == k)
+    parts = stage(alive.select("sid", F.posexplode(F.array(*[part(k) for k in range(PARTS)])).alias("part", "grams")), "parts")
     fits = (F.col("size_b") * 100 >= F.col("size_a") * percent) & (F.col("size_a") * 100 >= F.col("size_b") * percent)
 
     # What links have joined needs no more pairs; an n-gram is done when all that hold it are in one component.
@@ -188,7 +189,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
             pairs = pairs.join(met_pairs, ["a", "b"], "left_anti")
         pairs = stage(pairs, f"pairs-{k}")
         if pairs.take(1):
-            links = stage(_links(pairs, alive, percent), f"links-{k}")
+            links = stage(_links(pairs, parts, percent), f"links-{k}")
             met_pairs = pairs.select("a", "b") if met_pairs is None else met_pairs.union(pairs.select("a", "b"))
             if links.take(1):
                 edges = links.union(joined.select(F.col("sid").alias("a"), F.col("component").alias("b")))
