@@ -6,7 +6,8 @@ of rising frequency. Sets with too few shared n-grams can have no partner. For t
 of their rarest ones (prefix filter), their overlaps are counted for each fragment by itself and summed for each pair.
 
 Equal sets are one set throughout, so copies never make pairs. Candidates of a shared n-gram first meet one of them, the
-hub; only those that links have not yet joined meet again, so a large group of near copies costs a row for each copy.
+hub; then only those that links have not yet joined, and whose sketches leave room for a link, meet each other. So a
+large group of near copies costs a row for each copy, and sets that are merely related are told apart inside the join.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import U64, Words, components, in_chunks, mix, rolling, stage, to_bytes, width
 
-HUB_ROUNDS = 2
 #: Groups of fragments by which the overlaps of candidates are counted.
 PARTS = 4
+#: 64-bit words of a set's sketch.
+SKETCH = 16
 _FLUSH = 2_000_000
 _SALT = 0x5851F42D4C957F2D
 
@@ -123,6 +125,17 @@ def _meet(table: pa.Table) -> pa.Table:
 _MET = "sid long, frag int, n_shared int, grams array<int>, freqs array<int>, doc_id long, size int"
 
 
+def _sketched(batches):
+    """Adds to each row a parity sketch of its n-grams: each n-gram turns over one bit of 64 * SKETCH."""
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index("grams"))
+        flat, bits = lists.flatten().to_numpy(zero_copy_only=False), 64 * SKETCH
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        odd = np.bincount(row * bits + (mix(flat.astype(U64)) % U64(bits)).astype(np.int64), minlength=len(lists) * bits) & 1
+        words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        yield batch.append_column("sketch", pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * SKETCH, words))
+
+
 def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, size_a, b, size_b) those that link: overlaps by groups of fragments, summed by pair."""
     left = parts.select(F.col("sid").alias("a"), "part", F.col("grams").alias("grams_a"))
@@ -152,50 +165,58 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
     segments = met.where("frag is not null").select("sid", "frag", "n_shared", "grams", "freqs")
     sets = members.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"))
     numbered = F.transform(F.arrays_zip("freqs", "grams"), lambda g: F.struct(g["freqs"].alias("freq"), (F.shiftleft(F.col("frag").cast("long"), 32) + g["grams"]).alias("gram")))
+    # How common a set's n-grams are on average: what near copies were made from comes before them.
+    central = F.aggregate("ordered", F.lit(0.0), lambda a, g: a + F.log(g["freq"].cast("double")))
     alive = stage(
         segments.groupBy("sid").agg(F.sum("n_shared").alias("shared"), F.sort_array(F.flatten(F.collect_list(numbered))).alias("ordered"))
         .join(sets, "sid").where(F.col("shared") * 100 >= F.col("size") * percent)
-        .select("sid", "size", "shared", F.col("ordered")["gram"].alias("grams")),
+        .select("sid", "size", "shared", F.col("ordered")["gram"].alias("grams"), (central / F.col("size")).alias("central"))
+        .mapInArrow(_sketched, "sid long, size int, shared long, grams array<long>, central double, sketch array<long>"),
         "alive",
     )
     # A set's rarest n-grams: so many that two sets without one of them in common can't link; those that nobody shares come first.
     take = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("shared"))
-    postings = alive.select("sid", "size", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("gram"))
+    postings = alive.select("sid", "size", "shared", "central", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("gram"))
     common = postings.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     postings = stage(postings.join(common, "gram"), "postings")
     part = lambda k: F.filter("grams", lambda g: F.shiftright(g, 32) % PARTS == k)
     parts = stage(alive.select("sid", F.posexplode(F.array(*[part(k) for k in range(PARTS)])).alias("part", "grams")), "parts")
-    fits = (F.col("size_b") * 100 >= F.col("size_a") * percent) & (F.col("size_a") * 100 >= F.col("size_b") * percent)
-
-    # What links have joined needs no more pairs; an n-gram is done when all that hold it are in one component.
-    met_pairs, joined = None, spark.createDataFrame([], "sid long, component long")
-    for k in range(HUB_ROUNDS + 1):
-        named = postings.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        hub = F.min(F.struct(F.xxhash64("sid", F.lit(k)), "sid", "size", "component")).alias("hub")
-        mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low <> high")
-        named = named.join(mixed.select("gram", "hub"), "gram")
-        one = named.select("gram", F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("component_a"), "hub")
-        if k < HUB_ROUNDS:
-            pairs = one.select("*", F.col("hub.sid").alias("b"), F.col("hub.size").alias("size_b"), F.col("hub.component").alias("component_b"))
-        else:
-            other = named.select("gram", F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("component_b"))
-            pairs = one.join(other, "gram").where("a < b")
-        swap = F.col("a") > F.col("b")
-        pairs = pairs.where("component_a <> component_b").where(fits).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-            F.when(swap, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"), F.when(swap, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"),
-        ).distinct()
-        if met_pairs is not None:
-            pairs = pairs.join(met_pairs, ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"pairs-{k}")
-        if pairs.take(1):
-            links = stage(_links(pairs, parts, percent), f"links-{k}")
-            met_pairs = pairs.select("a", "b") if met_pairs is None else met_pairs.union(pairs.select("a", "b"))
-            if links.take(1):
-                edges = links.union(joined.select(F.col("sid").alias("a"), F.col("component").alias("b")))
-                joined = stage(components(edges, "ngram"), "joined").withColumnRenamed("node", "sid")
-        elif k == HUB_ROUNDS or not mixed.take(1):
-            break
+    met, joined = [], spark.createDataFrame([], "sid long, component long")
+
+    def compare(pairs: DataFrame, name: str) -> None:
+        """Counts the overlaps of ``pairs`` (a, size_a, b, size_b; a < b) that weren't counted before, and joins what links."""
+        nonlocal joined
+        pairs = pairs.distinct()
+        for before in met:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
+        pairs = stage(pairs, f"pairs-{name}")
+        met.append(pairs.select("a", "b"))
+        links = _links(pairs, parts, percent).union(joined.select("sid", "component"))
+        joined = stage(components(links, "ngram"), "joined").withColumnRenamed("node", "sid")
+
+    # First the sets that hold an n-gram meet its hub, the most central of them.
+    hubs = postings.groupBy("gram").agg(F.max(F.struct("central", "sid", "size")).alias("hub"))
+    swap = F.col("sid") > F.col("hub.sid")
+    ordered_pair = [
+        F.least("sid", "hub.sid").alias("a"), F.when(swap, F.col("hub.size")).otherwise(F.col("size")).alias("size_a"),
+        F.greatest("sid", "hub.sid").alias("b"), F.when(swap, F.col("size")).otherwise(F.col("hub.size")).alias("size_b"),
+    ]
+    alike = F.least("size", "hub.size") * 100 >= F.greatest("size", "hub.size") * percent
+    compare(postings.join(hubs, "gram").where(F.col("sid") != F.col("hub.sid")).where(alike).select(*ordered_pair), "hub")
+
+    # Then those that are not in one component meet each other, where their sketches leave room for a link: differing
+    # sketch bits, and n-grams that no other set has, are differences between the sets.
+    named = postings.join(joined, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    sketches = alive.select("sid", "shared", "sketch")
+    named = stage(named.join(mixed.select("gram"), "gram").select("gram", "sid", "size", "component").join(sketches, "sid"), "open")
+    side = lambda x: named.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "component", "shared", "sketch")])
+    both = F.col("size_a") + F.col("size_b")
+    differ = both - F.col("shared_a") - F.col("shared_b")
+    for k in range(SKETCH):
+        differ += F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k]))
+    room = (F.col("sid_a") < F.col("sid_b")) & (F.col("component_a") != F.col("component_b")) & (differ * (100 + percent) <= both * (100 - percent))
+    compare(side("a").join(side("b"), "gram").where(room).select(F.col("sid_a").alias("a"), "size_a", F.col("sid_b").alias("b"), "size_b"), "rest")
 
     named = members.join(joined, "sid", "left").withColumn("component", F.when(F.col("size") > 0, F.coalesce("component", "sid")))
     least = named.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
