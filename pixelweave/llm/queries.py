@@ -8,6 +8,7 @@ from pixelweave.llm import mixing
 from pixelweave.llm.mixing import mix_sources
 from pixelweave.llm.ngram_join import ngram_components
 from pixelweave.llm.packing import pack
+from pixelweave.llm.substring import substring_dedup
 from pixelweave.llm.token_store import store_and_read
 from pixelweave.llm.tokens import vocabulary
 
@@ -32,5 +33,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_token_store, op5_source_mixing, op6_ngram_join)}
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op4_token_store, op5_source_mixing, op6_ngram_join, op7_substring_dedup,
+)}
 ORACLES = {"op5_source_mixing": mixing.ORACLE}
