@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixelweave.llm import mixing
 from pixelweave.llm.mixing import mix_sources
+from pixelweave.llm.near_vectors import near_vectors
 from pixelweave.llm.ngram_join import ngram_components
 from pixelweave.llm.packing import pack
+from pixelweave.llm.secret_scan import scan_secrets
+from pixelweave.llm.spotsigs import fingerprints
 from pixelweave.llm.substring import substring_dedup
 from pixelweave.llm.token_store import store_and_read
 from pixelweave.llm.tokens import vocabulary
@@ -21,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), 2048)
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -37,7 +44,16 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op4_token_store, op5_source_mixing, op6_ngram_join, op7_substring_dedup,
+    op1_best_fit_packing, op2_near_vectors, op4_token_store, op5_source_mixing, op6_ngram_join, op7_substring_dedup,
+    op9_spot_signatures, op10_secret_scan,
 )}
 ORACLES = {"op5_source_mixing": mixing.ORACLE}
