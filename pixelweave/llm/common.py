@@ -85,12 +85,12 @@ _LOWER[65:91] += 32
 class Words:
     """The words of some texts: ``hashes`` in order, ``ends`` (running count by text), byte places in ``data``."""
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, spaces: np.ndarray = _SPACE):
         self.data = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(self.data, np.uint8)
         if lower:
             raw = _LOWER[raw]
-        inside = ~_SPACE[raw]
+        inside = ~spaces[raw]
         edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         if inside[0]:
             edges = np.concatenate(([0], edges))

@@ -14,6 +14,7 @@ from pixelweave.llm.spotsigs import fingerprints
 from pixelweave.llm.substring import substring_dedup
 from pixelweave.llm.token_store import store_and_read
 from pixelweave.llm.tokens import vocabulary
+from pixelweave.llm.toxicity import toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
@@ -53,7 +58,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_near_vectors, op4_token_store, op5_source_mixing, op6_ngram_join, op7_substring_dedup,
+    op1_best_fit_packing, op2_near_vectors, op3_toxicity, op4_token_store, op5_source_mixing, op6_ngram_join, op7_substring_dedup,
     op9_spot_signatures, op10_secret_scan,
 )}
 ORACLES = {"op5_source_mixing": mixing.ORACLE}
