@@ -238,17 +238,19 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic regression of labels on logits by Newton steps, the slope drawn to 1; one label only: as it is."""
     if len(x) == 0 or y.min() == y.max():
         return 1.0, 0.0
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+    mean, spread = float(x.mean()), float(x.std()) + 1e-6
+    z, a, b = (x - mean) / spread, 1.0, 0.0
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
         w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * x).sum() + 2 * (a - 1), (p - y).sum()])
-        m = np.array([[(w * x * x).sum() + 2, (w * x).sum()], [(w * x).sum(), w.sum()]])
-        da, db = np.linalg.solve(m, g)
+        g = np.array([((p - y) * z).sum() + (a - 1), (p - y).sum() + 0.1 * b])
+        m = np.array([[(w * z * z).sum() + 1, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
+        da, db = np.clip(np.linalg.solve(m, g), -1, 1)
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-8:
             break
-    return float(max(a, 1e-3)), float(b)
+    a = max(a, 1e-3) / spread
+    return float(a), float(b - a * mean)
 
 
 def max_logit(model: dict, read: Read, odds=None, limit: int | None = None) -> np.ndarray:
