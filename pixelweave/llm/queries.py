@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.llm import mixing
+from pixelweave.llm import line_dedup, mixing
+from pixelweave.llm.line_dedup import line_report
 from pixelweave.llm.mixing import mix_sources
 from pixelweave.llm.near_vectors import near_vectors
 from pixelweave.llm.ngram_join import ngram_components
@@ -49,6 +50,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(documents(spark, sf_dir))
+
+
 def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
@@ -59,6 +64,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_near_vectors, op3_toxicity, op4_token_store, op5_source_mixing, op6_ngram_join, op7_substring_dedup,
-    op9_spot_signatures, op10_secret_scan,
+    op8_line_dedup, op9_spot_signatures, op10_secret_scan,
 )}
-ORACLES = {"op5_source_mixing": mixing.ORACLE}
+ORACLES = {"op5_source_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}

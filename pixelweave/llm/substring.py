@@ -108,14 +108,36 @@ def _unpack(pdf: pd.DataFrame, hash_type: str):
     return hashes, np.repeat(join("dids", np.int64), counts), np.repeat(join("marks", np.int64), counts), places
 
 
-def _by_document(did: np.ndarray, mark: np.ndarray, places: np.ndarray) -> pd.DataFrame:
+def _to_owners(did: np.ndarray, mark: np.ndarray, places: np.ndarray, owners: int) -> pd.DataFrame:
+    """Places on their way back to their documents: a row for each of ``owners`` groups of documents."""
     order = np.lexsort((places, mark, did))
     did, mark, places = did[order], mark[order], places[order].astype("<u4")
     edges = np.flatnonzero(np.concatenate(([True], (did[1:] != did[:-1]) | (mark[1:] != mark[:-1]), [True]))) if len(did) else np.zeros(1, int)
+    did, mark, counts = did[edges[:-1]], mark[edges[:-1]], np.diff(edges)
+    group = (mix(did.view(U64) ^ mix(mark.view(U64))) % U64(owners)).astype(np.int64)
+    rows = []
+    for g in np.unique(group):
+        at = np.flatnonzero(group == g)
+        own = np.concatenate([places[edges[i] : edges[i + 1]] for i in at])
+        rows.append((int(g), did[at].tobytes(), mark[at].tobytes(), counts[at].astype("<u4").tobytes(), own.tobytes()))
+    return pd.DataFrame(rows, columns=["owner", "dids", "marks", "counts", "places"])
+
+
+_OWNED = "owner int, dids binary, marks binary, counts binary, places binary"
+
+
+def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A group of documents: a row for each with all of its places."""
+    join = lambda c, t: np.concatenate([np.frombuffer(b, t) for b in pdf[c]])
+    counts = join("counts", "<u4")
+    did, mark, places = np.repeat(join("dids", np.int64), counts), np.repeat(join("marks", np.int64), counts), join("places", "<u4")
+    order = np.lexsort((mark, did))
+    did, mark, places = did[order], mark[order], places[order]
+    edges = np.flatnonzero(np.concatenate(([True], (did[1:] != did[:-1]) | (mark[1:] != mark[:-1]), [True])))
     return pd.DataFrame({"did": did[edges[:-1]], "mark": mark[edges[:-1]], "places": [places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+def _shared(pdf: pd.DataFrame, owners: int) -> pd.DataFrame:
     """The places whose words occur more than once in this range of hashes."""
     hashes, did, mark, places = _unpack(pdf, "<u4")
     order = np.argsort(hashes)
@@ -123,10 +145,10 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     same = np.zeros(len(hashes) + 1, bool)
     same[1:-1] = hashes[1:] == hashes[:-1]
     at = order[same[1:] | same[:-1]]
-    return _by_document(did[at], mark[at], places[at])
+    return _to_owners(did[at], mark[at], places[at], owners)
 
 
-def _later(pdf: pd.DataFrame) -> pd.DataFrame:
+def _later(pdf: pd.DataFrame, owners: int) -> pd.DataFrame:
     """The places of windows of which an equal one starts earlier."""
     hashes, did, mark, places = _unpack(pdf, "<u8")
     order = np.lexsort((places, mark, did, hashes))
@@ -135,7 +157,7 @@ def _later(pdf: pd.DataFrame) -> pd.DataFrame:
     first[1:] = hashes[1:] != hashes[:-1]
     head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
     later = (did != did[head]) | (mark != mark[head]) | (places != places[head])
-    return _by_document(did[later], mark[later], places[later])
+    return _to_owners(did[later], mark[later], places[later], owners)
 
 
 def substring_dedup(docs: DataFrame, window: int = 20, keep_text: bool = False) -> DataFrame:
@@ -150,7 +172,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_text: bool = False)
     if window - 2 * _edge(ROUNDS) < 2:
         raise ValueError("window too short for the number of rounds")
     middle = window // 2
-    fragments = max(1, width(docs.sparkSession) // 3)
+    owners = width(docs.sparkSession)
+    fragments = max(1, owners // 3)
     keyed = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64("text").alias("mark"), "text"
     )
@@ -169,8 +192,12 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_text: bool = False)
                     yield pd.DataFrame(packer.rows(), columns=packer.names)
         yield pd.DataFrame(packer.rows(), columns=packer.names)
 
-    shared = keyed.select("did", "mark", "text").mapInPandas(anchors, PACKED).repartition(fragments, "frag").groupBy("frag").applyInPandas(_shared, "did long, mark long, places binary")
-    shared = stage(shared, "shared-anchors").groupBy("did", "mark").agg(F.collect_list("places").alias("places"))
+    def meet(packed: DataFrame, rule, name: str) -> DataFrame:
+        """(did, mark, places): what ``rule`` finds in each range of hashes, gathered for each document."""
+        found = packed.repartition(fragments, "frag").groupBy("frag").applyInPandas(lambda pdf: rule(pdf, owners), _OWNED)
+        return stage(found.groupBy("owner").applyInPandas(_gather, "did long, mark long, places binary"), name)
+
+    shared = meet(keyed.select("did", "mark", "text").mapInPandas(anchors, PACKED), _shared, "shared-anchors")
 
     def candidates(batches):
         packer, press = _Packer(fragments, "<u8"), zstandard.ZstdCompressor(level=3)
@@ -182,7 +209,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_text: bool = False)
                 known = np.zeros(len(words.hashes) + 1, bool)
                 for i in range(len(words.counts)):
                     if spots[first + i] is not None:
-                        known[words.begins[i] + np.concatenate([np.frombuffer(b, "<u4") for b in spots[first + i]])] = True
+                        known[words.begins[i] + np.frombuffer(spots[first + i], "<u4")] = True
                 whole = rolling(words.hashes, window)
                 p = np.flatnonzero(known[:-1][starts]) if len(starts) else np.zeros(0, int)
                 # The windows whose middle word lies in a shared symbol.
@@ -214,7 +241,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_text: bool = False)
                 removed, kept = 0, None
                 if packed is not None or keep_text:
                     raw = undo.decompress(packed) if packed is not None else to_bytes([text])[0]
-                    at = np.concatenate([np.frombuffer(b, "<u4") for b in places]) if places is not None and len(places) else np.zeros(0, int)
+                    at = np.frombuffer(places or b"", "<u4").astype(np.int64)
                     cover = np.zeros(n + 1, np.int32)
                     np.add.at(cover, at, 1)
                     np.add.at(cover, at + window, -1)
@@ -232,14 +259,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, keep_text: bool = False)
         "candidates",
     )
     windows = met.where("frag is not null").select("frag", "dids", "marks", "counts", "hashes", "places")
-    later = stage(windows.repartition(fragments, "frag").groupBy("frag").applyInPandas(_later, "did long, mark long, places binary"), "later")
-    later = later.groupBy("did", "mark").agg(F.collect_list("places").alias("places"))
+    later = meet(windows, _later, "later")
     rows = met.where("n_words is not null").select("doc_id", "did", "mark", "n_words", "sha", "packed")
     touched = rows.where("packed is not null").join(later, ["did", "mark"], "left").withColumn("text", F.lit(None).cast("string"))
     clean = rows.where("packed is null")
     if keep_text:
         once = keyed.select("did", "mark", "text").dropDuplicates(["did", "mark"])
-        touched = touched.unionByName(clean.join(once, ["did", "mark"]).withColumn("places", F.lit(None).cast("array<binary>")))
+        touched = touched.unionByName(clean.join(once, ["did", "mark"]).withColumn("places", F.lit(None).cast("binary")))
     columns = ["doc_id", "n_words", "sha", "packed", "places", "text"]
     done = touched.select(*columns).mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     if keep_text:

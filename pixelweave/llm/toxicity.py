@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -309,3 +310,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text")
     return rows.mapInPandas(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not predicted to be toxic."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    place = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(model.value, to_bytes(batch.column(place).to_pylist())) < 0.5, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
