@@ -31,13 +31,15 @@ TINY = 8
 def with_signatures(df: DataFrame, text: str, name: str, chain: int = CHAIN) -> DataFrame:
     """Adds ``name``: the distinct hashed chains of column ``text``, ascending; a null text has none.
 
-    Words are lower-cased runs of letters and digits. Each step is a column of its own, so that none is
-    worked out twice.
+    Words are lower-cased runs of letters and digits. Each step is a generated column, which the
+    optimizer doesn't write into the functions over arrays that read it, to be worked out again for each element.
     """
     words, places, content = F.col(f"{name}_words"), F.col(f"{name}_places"), F.col(f"{name}_content")
-    df = df.withColumn(f"{name}_words", F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
-    df = df.withColumn(f"{name}_places", F.filter(F.transform(words, lambda w, i: F.when(w.isin(*ANCHORS), i)), lambda p: p.isNotNull()))
-    df = df.withColumn(f"{name}_content", F.filter(words, lambda w: ~w.isin(*ANCHORS)))
+    split = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    df = df.select("*", F.inline(F.array(F.struct(split.alias(f"{name}_words")))))
+    spots = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*ANCHORS), i)), lambda p: p.isNotNull())
+    others = F.filter(words, lambda w: ~w.isin(*ANCHORS))
+    df = df.select("*", F.inline(F.array(F.struct(spots.alias(f"{name}_places"), others.alias(f"{name}_content")))))
     # The k-th anchor at word p has p - k content words before it; its chain is the content words that follow.
     by_spot = F.transform(places, lambda p, k: F.hash(F.element_at(words, p + 1), F.slice(content, p - k + 1, F.lit(chain))))
     by_hash = F.filter(F.transform(words, lambda w, i: F.when(F.hash(w) % ONE_IN == 0, F.hash(F.slice(words, i + 1, F.lit(chain))))), lambda h: h.isNotNull())
