@@ -57,7 +57,7 @@ def px_stats(spark, d):
     return px(spark, d).agg(F.count("*").alias("n"), F.avg("g").alias("mean"), F.min("g").alias("low"), F.max("g").alias("high"), F.stddev_pop("g").alias("contrast")).select("n", *r6("mean"), "low", "high", *r6("contrast"))
 
 
-@query(PX + "select round(avg(floor(.299 * g + .587 * ((g * 3 + x) % 256) + .114 * ((g * 5 + y) % 256) + .5)), 6) as gray from px")
+@query(PX + "select round(avg(floor(.299::double * g + .587::double * ((g * 3 + x) % 256) + .114::double * ((g * 5 + y) % 256) + .5::double)), 6) as gray from px")
 def px_gray(spark, d):
     gray = F.floor(F.col("red") * 0.299 + F.col("green") * 0.587 + F.col("blue") * 0.114 + 0.5)
     return colored(px(spark, d)).agg(F.avg(gray).alias("gray")).select(*r6("gray"))
@@ -237,9 +237,9 @@ cb as (select level as to_level, sum(coalesce(n, 0)) over (order by level) / sum
 """
 
 
-@query(CDFS + "select level, round(s::double, 6) as share from ca")
+@query(CDFS + "select level, round(s::double, 9) as share from ca")
 def histogram_cdf(spark, d):
-    return seams.cdf(px(spark, d), "g").select("level", *r6("share"))
+    return seams.cdf(px(spark, d), "g").select("level", F.round("share", 9).alias("share"))
 
 
 @query(CDFS + "select level, to_level as mapped from (select level, to_level, row_number() over (partition by level order by round(abs(s - t)::double, 9), to_level) as rn from ca, cb) where rn = 1")
