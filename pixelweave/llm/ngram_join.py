@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import U64, Words, components, in_chunks, mix, rolling, stage, to_bytes, width
+from pixelweave.llm.tokens import forget
 
 #: Groups of fragments by which the overlaps of candidates are counted.
 PARTS = 4
@@ -66,6 +67,7 @@ def _cut(fragments: int, n: int):
         return pd.DataFrame(rows, columns=["frag", "sids", "counts", "grams", "doc_ids", "known", "doc_sids", "sizes"])
 
     def cut(batches):
+        forget()
         held, size = [], 0
         for pdf in batches:
             docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"].array]

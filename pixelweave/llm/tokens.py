@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -13,7 +15,7 @@ _BYTE_LEVEL = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]")
 #: Pieces for a vocabulary that drops white space.
 _WORDS = re.compile(f"[^{_W}]+")
 #: Pieces in the younger of the cache's two halves; when it is full it becomes the older one, which is then forgotten.
-CACHE = 700_000
+CACHE = 400_000
 #: Marks that no pattern joins to a letter or digit before them.
 MARKS = ".,;:!?"
 
@@ -42,7 +44,10 @@ class Encoder(dict):
             if len(stem) < len(piece) and stem[-1:].isalnum():
                 out = self[stem] + self[piece[len(stem) :]]
             else:
-                out = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+                ids = array("H" if self.dtype.itemsize == 2 else "I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                out = ids.tobytes()
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
@@ -64,6 +69,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Frees this worker's encoders; other operators call it, as Spark keeps workers from stage to stage."""
+    _encoders.clear()
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import U64, Words, in_chunks, mix, to_bytes
+from pixelweave.llm.tokens import forget
 
 LENGTH, STRIDE = 48, 32
 HIDDEN, EMBED = 8, 8
@@ -318,6 +319,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = docs.columns.index("text")
 
     def keep(batches):
+        forget()
         for batch in batches:
             yield batch.filter(pa.array(score_texts(model.value, to_bytes(batch.column(place).to_pylist())) < 0.5, pa.bool_()))
 
