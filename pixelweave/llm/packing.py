@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelweave.llm.common import stage, width
-from pixelweave.llm.tokens import encoder
+from pixelweave.llm.tokens import CACHE, encoder
 
 
 class OpenBins:
@@ -99,7 +99,7 @@ PIECES = T.StructType(
 )
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int = 0, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Each document's ids, then ``end_id``, cut into pieces of at most ``capacity``; only the first piece may be shorter.
 
     A null text is empty: one piece that holds ``end_id`` only. With ``keep_ids`` the ids are returned too.
@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
     schema = T.StructType([*PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])])
 
     def cut(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, cache)
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 out: list[tuple] = []
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pieces of all documents with their ``sequence_id`` and ``offset``.
 
     Only ``doc_id`` and ``text`` of ``docs`` are read; other columns may have any name. Null texts are empty documents;
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
     spark = docs.sparkSession
     salts = 4 * width(spark)
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    pieces = stage(token_pieces(docs, vocabulary, capacity, end_id, keep_ids).withColumn("salt", salt), "pieces")
+    pieces = stage(token_pieces(docs, vocabulary, capacity, end_id, keep_ids, cache).withColumn("salt", salt), "pieces")
     groups = stage(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")
     before = groups.select(
         "length", "salt",

@@ -27,7 +27,7 @@ class Encoder(dict):
     a word and the marks that end it. Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -36,6 +36,7 @@ class Encoder(dict):
         byte_level = self.tokenizer.pre_tokenizer.__class__.__name__ == "ByteLevel"
         self.pieces = (_BYTE_LEVEL if byte_level else _WORDS).findall
         self.older: dict[str, bytes] = {}
+        self.cache = cache
 
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
@@ -48,7 +49,7 @@ class Encoder(dict):
                 if sys.byteorder == "big":
                     ids.byteswap()
                 out = ids.tobytes()
-        if len(self) >= CACHE:
+        if len(self) >= self.cache:
             self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
@@ -62,10 +63,11 @@ class Encoder(dict):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """This worker's encoder for a vocabulary file; kept between tasks."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache = cache
     return _encoders[path]
 
 
