@@ -48,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("byte_bpe_50k.json"), 2048)
+    return pack(docs, vocabulary("byte_bpe_50k.json"), 2048, cache=100_000)  # workers live on through all stages
 
 
 STAGES = [
