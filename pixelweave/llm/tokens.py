@@ -18,6 +18,11 @@ _WORDS = re.compile(f"[^{_W}]+")
 CACHE = 400_000
 #: Marks that no pattern joins to a letter or digit before them.
 MARKS = ".,;:!?"
+#: The bytes that stand for themselves in byte-level vocabularies; the others are U+0100 and on, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+#: Words of characters below this one are lower-cased and composed alike everywhere.
+_PLAIN = "\u0250"
 
 
 class Encoder(dict):
@@ -35,6 +40,8 @@ class Encoder(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         byte_level = self.tokenizer.pre_tokenizer.__class__.__name__ == "ByteLevel"
         self.pieces = (_BYTE_LEVEL if byte_level else _WORDS).findall
+        self.merge = self.tokenizer.model.tokenize
+        self.lowers = not byte_level
         self.older: dict[str, bytes] = {}
         self.cache = cache
 
@@ -45,7 +52,7 @@ class Encoder(dict):
             if len(stem) < len(piece) and stem[-1:].isalnum():
                 out = self[stem] + self[piece[len(stem) :]]
             else:
-                ids = array("H" if self.dtype.itemsize == 2 else "I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
+                ids = array("H" if self.dtype.itemsize == 2 else "I", self.fresh(piece))
                 if sys.byteorder == "big":
                     ids.byteswap()
                 out = ids.tobytes()
@@ -56,6 +63,14 @@ class Encoder(dict):
             self[piece] = out
         return out
 
+    def fresh(self, piece: str) -> list[int]:
+        """A piece's ids by the library: a word of Latin letters is one pre-token, so it goes straight to the merges."""
+        plain = piece.lower() if self.lowers else piece
+        word = plain.removeprefix(" ")
+        if word.isalpha() and (word.isascii() or max(word) < _PLAIN):
+            return [t.id for t in self.merge(plain.encode().decode("latin-1").translate(_BYTES))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join([self[p] for p in self.pieces(text or "")]), self.dtype)
 
