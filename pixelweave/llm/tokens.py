@@ -49,7 +49,7 @@ class Encoder(dict):
         out = self.older.get(piece)
         if out is None:
             stem = piece.rstrip(MARKS)
-            if len(stem) < len(piece) and stem[-1:].isalnum():
+            if len(stem) < len(piece) and stem[-1:].lower()[-1:].isalnum():  # some letters lower-case to a letter and a mark
                 out = self[stem] + self[piece[len(stem) :]]
             else:
                 ids = array("H" if self.dtype.itemsize == 2 else "I", self.fresh(piece))
