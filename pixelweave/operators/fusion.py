@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweave.operators.tiling import in_tiles
@@ -35,3 +35,9 @@ def fuse(px: DataFrame, tiles: DataFrame, weight: Column) -> DataFrame:
     """(y, x, value) of ``px`` cut into ``tiles`` and fused again."""
     each = in_tiles(px, tiles).withColumn("weight", weight)
     return each.groupBy("y", "x").agg((F.sum(F.col("weight") * F.col("g")) / F.greatest(F.sum("weight"), F.lit(1e-6))).alias("value"))
+
+
+def running_sums(px: DataFrame) -> DataFrame:
+    """``px`` with sums along its row and its column up to each place: a line of the image is a window's group."""
+    across, down = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
+    return px.withColumn("across", F.sum("g").over(across)).withColumn("down", F.sum("g").over(down))

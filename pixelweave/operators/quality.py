@@ -27,12 +27,12 @@ def sliding_ssim(px: DataFrame, other: DataFrame, window: int = 16, stride: int
     return scores.select((F.col("ky") * stride).alias("wy"), (F.col("kx") * stride).alias("wx"), "score")
 
 
-def stencil(px: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int) -> DataFrame:
-    """(y, x, value): a small kernel of (dy, dx, weight), mirrored at the border without repeating it. Sends values to their users."""
+def stencil(px: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int, at: DataFrame | None = None) -> DataFrame:
+    """(y, x, value): a small kernel of (dy, dx, weight), mirrored at the border without repeating it; for the places ``at``, or all."""
     mirror = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * (n - 1) - c).otherwise(c)
     taps = F.array(*[F.struct(mirror(F.col("y") + dy, height).alias("y2"), mirror(F.col("x") + dx, width).alias("x2"), F.lit(float(k)).alias("k")) for dy, dx, k in kernel])
     source = px.select(F.col("y").alias("y2"), F.col("x").alias("x2"), "g")
-    return px.select("y", "x", F.inline(taps)).join(source, ["y2", "x2"]).groupBy("y", "x").agg(F.sum(F.col("k") * F.col("g")).alias("value"))
+    return (px if at is None else at).select("y", "x", F.inline(taps)).join(source, ["y2", "x2"]).groupBy("y", "x").agg(F.sum(F.col("k") * F.col("g")).alias("value"))
 
 
 #: The Laplacian of four neighbours, and a 3x3 binomial kernel.
@@ -58,3 +58,33 @@ def level(value: Column, cuts: tuple[float, float, float], rising: bool) -> Colu
         test = value >= cut if rising else value <= cut
         out = F.when(test, name) if out is None else out.when(test, name)
     return out.otherwise("poor")
+
+
+def texture(px: DataFrame, height: int, width: int, size: int = 5) -> DataFrame:
+    """One row: the mean of the variance in the ``size`` x ``size`` box around each pixel."""
+    r = range(-(size // 2), size // 2 + 1)
+    box = [(dy, dx, 1 / size**2) for dy in r for dx in r]
+    squares = stencil(px.select("y", "x", (F.col("g") * F.col("g")).alias("g")), box, height, width).withColumnRenamed("value", "square")
+    return stencil(px, box, height, width).join(squares, ["y", "x"]).agg(F.avg(F.col("square") - F.col("value") * F.col("value")).alias("texture"))
+
+
+def pyramid_down(px: DataFrame, height: int, width: int) -> DataFrame:
+    """(y, x, value): the next level of a Gaussian pyramid, of half the size rounded up."""
+    taps = (1, 4, 6, 4, 1)  # fixed values
+    kernel = [(dy - 2, dx - 2, taps[dy] * taps[dx] / 256) for dy in range(5) for dx in range(5)]
+    return stencil(px, kernel, height, width, px.where("y % 2 = 0 and x % 2 = 0")).select((F.col("y") / 2).cast("int").alias("y"), (F.col("x") / 2).cast("int").alias("x"), "value")
+
+
+def in_rois(px: DataFrame, rois: DataFrame, cell: int = 64) -> DataFrame:
+    """(roi_id, g) of pixels in ``rois`` (roi_id, x0, y0, w, h), which are dealt to grid cells: the join is on the cell."""
+    span = lambda p, s: F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(s) - 1) / cell))
+    cells = rois.where("w > 0 and h > 0").select("*", F.explode(span("y0", "h")).alias("cy")).select("*", F.explode(span("x0", "w")).alias("cx"))
+    placed = px.select("y", "x", "g", F.floor(F.col("y") / cell).alias("cy"), F.floor(F.col("x") / cell).alias("cx"))
+    return placed.join(cells, ["cy", "cx"]).where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h").select("roi_id", "g")
+
+
+def overall(metrics: DataFrame) -> DataFrame:
+    """(image_id, overall) from long rows (image_id, metric, value): the mean of the scaled metrics that are there."""
+    value = F.col("value")
+    score = F.when(F.col("metric") == "psnr", F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))).when(F.col("metric") == "ms_ssim", value * 100)
+    return metrics.groupBy("image_id").agg(F.avg(score.when(F.col("metric") == "lpips", F.greatest(F.lit(0.0), (1 - value) * 100))).alias("overall"))

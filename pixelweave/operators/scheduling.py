@@ -79,3 +79,26 @@ def heartbeat_gaps(events: DataFrame, seconds: int = 30) -> DataFrame:
     """Heartbeats (agent, event_id, at) with whether the next of the agent came too late (the last one: unknown)."""
     following = F.lead("at").over(Window.partitionBy("agent").orderBy("at", "event_id"))
     return events.withColumn("offline_after", (following - F.col("at")) > seconds)
+
+
+def validate(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """(task_id, reason): why a task's result is refused, null where it is taken; ``tasks``: task_id, target_w, target_h."""
+    off = lambda got, want: F.abs(F.col(got) - F.col(want)) / F.col(want) > 0.05
+    missing = F.col("output_path").isNull() | F.col("width").isNull() | F.col("height").isNull() | F.col("color_mode").isNull()
+    reason = F.when(missing, "missing").when(off("width", "target_w"), "width").when(off("height", "target_h"), "height")
+    return tasks.join(results, "task_id").select("task_id", reason.alias("reason"))
+
+
+def restored(tasks: DataFrame) -> DataFrame:
+    """Tasks of a saved state as they start again: what was being processed is retried without its agent."""
+    lost = F.col("status") == "PROCESSING"
+    return tasks.select(
+        "task_id", F.when(lost, "RETRYING").otherwise(F.col("status")).alias("status"), (F.col("retries") + lost.cast("int")).alias("retries"),
+        F.when(~lost, F.col("agent_id")).alias("agent_id"), F.col("status").isin("PROCESSING", "PENDING", "RETRYING").alias("queued"),
+    )
+
+
+def orphaned(tasks: DataFrame, agents: DataFrame) -> DataFrame:
+    """Tasks assigned to agents that are offline or not registered."""
+    alive = agents.where("status <> 'OFFLINE'").select("agent_id")
+    return tasks.where("agent_id is not null").join(alive, "agent_id", "left_anti")

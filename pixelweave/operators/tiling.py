@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,34 @@ def entropy(px: DataFrame, tile: str) -> DataFrame:
     share = F.col("n") / F.col("total")
     total = px.groupBy(tile).agg(F.count("*").alias("total"))
     return counts.join(total, tile).groupBy(tile).agg((-F.sum(share * F.log2(share + 1e-10))).alias("entropy"))
+
+
+def proximity(tiles: DataFrame, block: int) -> DataFrame:
+    """(image_id, tile1, tile2) of an image's tiles whose places differ by at most ``block`` both ways: each tile meets the nine cells around its own."""
+    near = lambda c: F.sequence(F.floor(F.col(c) / block) - 1, F.floor(F.col(c) / block) + 1)
+    a = tiles.select("image_id", F.col("tile_id").alias("tile1"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(near("x")).alias("cx"), "y")
+    a = a.select("image_id", "tile1", "x1", "y1", "cx", F.explode(near("y")).alias("cy"))
+    b = tiles.select("image_id", F.col("tile_id").alias("tile2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.floor(F.col("x") / block).alias("cx"), F.floor(F.col("y") / block).alias("cy"))
+    close = f"tile1 <> tile2 and abs(x1 - x2) <= {block} and abs(y1 - y2) <= {block}"
+    return a.join(b, ["image_id", "cx", "cy"]).where(close).select("image_id", "tile1", "tile2")
+
+
+def pad(px: DataFrame, bottom: int, right: int, height: int, width: int, mode: str = "mirror") -> DataFrame:
+    """(y, x, g) with rows below and columns to the right: mirror (the border once), reflect (twice), replicate or constant 0.
+
+    A pixel is sent to the places that show it, so nothing is joined; added parts must be smaller than the image.
+    """
+    if mode == "constant":
+        zeros = px.sparkSession.range((height + bottom) * (width + right)).select(F.floor(F.col("id") / (width + right)).cast("int").alias("y"), (F.col("id") % (width + right)).cast("int").alias("x"))
+        return px.select("y", "x", "g").union(zeros.where((F.col("y") >= height) | (F.col("x") >= width)).withColumn("g", F.lit(0)))
+
+    def places(c: str, n: int, more: int) -> Column:
+        p = F.col(c)
+        if mode == "replicate":
+            shown = F.when(p == n - 1, F.sequence(F.lit(n - 1), F.lit(n - 1 + more)))
+        else:
+            far = (2 * (n - 1) if mode == "mirror" else 2 * n - 1) - p
+            shown = F.when((far >= n) & (far < n + more), F.array(p, far))
+        return F.explode(F.coalesce(shown, F.array(p)))
+
+    return px.select(places("y", height, bottom).alias("y"), "x", "g").select("y", places("x", width, right).alias("x"), "g")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.functions import planner
-from pixelweave.operators import fusion, quality, scheduling, seams, tiling
+from pixelweave.operators import color, fusion, quality, scheduling, seams, tiling
 from pixelweave.sources.mosaic import colored, degraded, mosaic
 from pixelweave.streaming import heartbeats
 
@@ -400,3 +400,127 @@ def resume_anti(spark, d):
 @query()
 def agent_sessions(spark, d):
     return heartbeats.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+
+
+RGB = PX + """, c as (select y, x, g as red, (g * 3 + x) % 256 as green, (g * 5 + y) % 256 as blue from px)
+"""
+LAB = """, n as (select *, case when red / 255.0::double <= 0.04045 then red / 255.0::double / 12.92 else power((red / 255.0::double + 0.055) / 1.055, 2.4) end as lr,
+  case when green / 255.0::double <= 0.04045 then green / 255.0::double / 12.92 else power((green / 255.0::double + 0.055) / 1.055, 2.4) end as lg,
+  case when blue / 255.0::double <= 0.04045 then blue / 255.0::double / 12.92 else power((blue / 255.0::double + 0.055) / 1.055, 2.4) end as lb from c),
+xyz as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 as xx, 0.212671 * lr + 0.715160 * lg + 0.072169 * lb as yy, (0.019334 * lr + 0.119193 * lg + 0.950227 * lb) / 1.088754 as zz from n),
+fs as (select *, case when xx > 0.008856 then power(xx, 1 / 3.0::double) else 7.787 * xx + 16 / 116.0::double end as fx, case when yy > 0.008856 then power(yy, 1 / 3.0::double) else 7.787 * yy + 16 / 116.0::double end as fy,
+  case when zz > 0.008856 then power(zz, 1 / 3.0::double) else 7.787 * zz + 16 / 116.0::double end as fz from xyz),
+lab as (select floor((case when yy > 0.008856 then 116 * fy - 16 else 903.3 * yy end) * 2.55 + 0.5) as l, floor(500 * (fx - fy) + 128.5) as a, floor(200 * (fy - fz) + 128.5) as b from fs)
+"""
+
+
+@query(RGB + LAB + "select round(sqrt(var_pop(a) + var_pop(b)), 6) as colorfulness, round(var_pop(l), 6) as color_variance, round(greatest(0, 100 - sqrt(power(avg(l) - 70, 2) + power(avg(a) - 15, 2) + power(avg(b) - 20, 2))), 6) as skin_tone from lab")
+def lab_stats(spark, d):
+    return color.lab_stats(colored(px(spark, d))).select(*r6("colorfulness", "color_variance", "skin_tone"))
+
+
+@query(RGB.replace("c as (", "means as (") + ", c as (select floor(avg(red)) as red, floor(avg(green)) as green, floor(avg(blue)) as blue from means union all select 128, 180, 220)" + LAB + "select round(sqrt(power(max(l) - min(l), 2) + power(max(a) - min(a), 2) + power(max(b) - min(b), 2)), 6) as delta_e from lab")
+def delta_e(spark, d):
+    return color.delta_e(colored(px(spark, d)), (128, 180, 220)).select(*r6("delta_e"))
+
+
+@query(RGB + """, s as (select red, blue, 0.299 * red + 0.587 * green + 0.114 * blue as luma from c)
+select round(greatest(0, least(100, 100 - abs(avg(((red - luma) * 0.713 + 128 between 133 and 173 and (blue - luma) * 0.564 + 128 between 77 and 127)::int) - 0.3) * 100)), 6) as naturalness from s""")
+def face_naturalness(spark, d):
+    return color.face_naturalness(colored(px(spark, d))).select(*r6("naturalness"))
+
+
+@query(stencil_sql([(dy, dx, 0.04) for dy in range(-2, 3) for dx in range(-2, 3)]).replace("sum(k * s.g) as value", "sum(k * s.g) as value, sum(k * s.g * s.g) as square") + "select round(avg(square - value * value), 6) as texture from st")
+def texture_score(spark, d):
+    p = px(spark, d)
+    return quality.texture(p, *extent(p)).select(*r6("texture"))
+
+
+@query(stencil_sql([(dy - 2, dx - 2, (1, 4, 6, 4, 1)[dy] * (1, 4, 6, 4, 1)[dx] / 256) for dy in range(5) for dx in range(5)]) + "select y // 2 as y, x // 2 as x, round(value, 6) as value from st where y % 2 = 0 and x % 2 = 0")
+def pyramid_down(spark, d):
+    p = px(spark, d)
+    return quality.pyramid_down(p, *extent(p)).select("y", "x", *r6("value"))
+
+
+@query(PX + "select y, x, sum(g) over (partition by y order by x)::bigint as across, sum(g) over (partition by x order by y)::bigint as down from px")
+def gradient_cumsum(spark, d):
+    return fusion.running_sums(px(spark, d)).select("y", "x", "across", "down")
+
+
+ROIS = "rois as (select p_partkey as roi_id, (p_partkey * 7 % 180)::int as x0, (p_partkey * 5 % 140)::int as y0, (p_size % 20 + 4)::int as w, (p_size % 15 + 4)::int as h from part)\n"
+
+
+def rois(spark, d):
+    return table(spark, d, "part").selectExpr("p_partkey as roi_id", "cast(p_partkey * 7 % 180 as int) as x0", "cast(p_partkey * 5 % 140 as int) as y0", "cast(p_size % 20 + 4 as int) as w", "cast(p_size % 15 + 4 as int) as h")
+
+
+@query(PX + ", " + ROIS + "select roi_id, count(*)::bigint as n, round(avg(g), 6) as mean, round(stddev_pop(g), 6) as contrast from px join rois on x >= x0 and x < x0 + w and y >= y0 and y < y0 + h group by roi_id")
+def roi_metrics(spark, d):
+    out = quality.in_rois(px(spark, d), rois(spark, d)).groupBy("roi_id").agg(F.count("*").alias("n"), F.avg("g").alias("mean"), F.stddev_pop("g").alias("contrast"))
+    return out.select("roi_id", "n", *r6("mean", "contrast"))
+
+
+@query("""with m as (select l_orderkey as image_id, case l_linenumber % 4 when 0 then 'psnr' when 1 then 'ms_ssim' when 2 then 'lpips' else 'niqe' end as metric, case when l_linenumber % 4 = 0 then l_quantity * 3 else l_discount end as value from lineitem)
+select image_id, round(avg(case metric when 'psnr' then greatest(0, least(100, value)) when 'ms_ssim' then value * 100 when 'lpips' then greatest(0, (1 - value) * 100) end), 6) as overall from m group by image_id""")
+def overall_score(spark, d):
+    k = F.col("l_linenumber") % 4
+    m = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.when(k == 0, "psnr").when(k == 1, "ms_ssim").when(k == 2, "lpips").otherwise("niqe").alias("metric"), F.when(k == 0, F.col("l_quantity") * 3).otherwise(F.col("l_discount")).alias("value"))
+    return quality.overall(m).select("image_id", *r6("overall"))
+
+
+@query(GRID + ", t as (select image_id, tile_row * 100 + tile_col as tile_id, x, y from grid) select a.image_id, a.tile_id as tile1, b.tile_id as tile2 from t a join t b on a.image_id = b.image_id and a.tile_id <> b.tile_id and abs(a.x - b.x) <= 1024 and abs(a.y - b.y) <= 1024")
+def proximity_neighbors(spark, d):
+    return tiling.proximity(grid(spark, d).withColumn("tile_id", F.col("tile_row") * 100 + F.col("tile_col")), 1024)
+
+
+PADDED = PX + """, spots as (select y::int as y, x::int as x, hh, ww from (select unnest(range(hh + 16)) as y, hh, ww from dims), (select unnest(range(ww + 24)) as x from dims)),
+s as (select y, x, case when y < hh then y else YFAR end as y2, case when x < ww then x else XFAR end as x2 from spots)
+select s.y, s.x, coalesce(px.g, 0) as g from s left join px on px.y = y2 and px.x = x2"""
+
+
+def padded(mode):
+    def run(spark, d):
+        p = px(spark, d)
+        return tiling.pad(p, 16, 24, *extent(p), mode)
+
+    run.__name__ = f"pad_{mode}"
+    return run
+
+
+for _mode, _far in (("mirror", "2 * (N - 1) - P"), ("reflect", "2 * N - 1 - P"), ("replicate", "N - 1"), ("constant", "-1")):
+    query(PADDED.replace("YFAR", _far.replace("N", "hh").replace("P", "y")).replace("XFAR", _far.replace("N", "ww").replace("P", "x")))(padded(_mode))
+
+
+@query("""with r as (select o_orderkey as task_id, 100 as want, (90 + o_custkey % 20)::double as w, (93 + o_orderkey % 14)::double as h, case when o_orderstatus <> 'P' then o_orderpriority end as path from orders)
+select task_id, case when path is null then 'missing' when abs(w - want) / want > 0.05 then 'width' when abs(h - want) / want > 0.05 then 'height' end as reason from r""")
+def validate_results(spark, d):
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders")
+    got = rows.select(k.alias("task_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("output_path"), (F.col("o_custkey") % 20 + 90).alias("width"), (k % 14 + 93).alias("height"), F.lit("RGB").alias("color_mode"))
+    return scheduling.validate(rows.select(k.alias("task_id"), F.lit(100).alias("target_w"), F.lit(100).alias("target_h")), got)
+
+
+STATE = """with s as (select o_orderkey as task_id, case o_orderkey % 4 when 0 then 'PROCESSING' when 1 then 'PENDING' when 2 then 'SUCCESS' else 'FAILED' end as status, (o_orderkey % 3)::int as retries,
+  case when o_orderkey % 5 > 0 then o_custkey % 40 end as agent_id from orders)
+"""
+
+
+def state(spark, d):
+    k = F.col("o_orderkey")
+    status = F.when(k % 4 == 0, "PROCESSING").when(k % 4 == 1, "PENDING").when(k % 4 == 2, "SUCCESS").otherwise("FAILED")
+    return table(spark, d, "orders").select(k.alias("task_id"), status.alias("status"), (k % 3).cast("int").alias("retries"), F.when(k % 5 > 0, F.col("o_custkey") % 40).alias("agent_id"))
+
+
+@query(STATE + "select task_id, case status when 'PROCESSING' then 'RETRYING' else status end as status, (retries + (status = 'PROCESSING')::int)::int as retries, case when status <> 'PROCESSING' then agent_id end as agent_id, status in ('PROCESSING', 'PENDING') as queued from s")
+def restore_transform(spark, d):
+    return scheduling.restored(state(spark, d))
+
+
+@query(STATE + "select task_id, agent_id from s where agent_id is not null and agent_id not in (select s_suppkey from supplier where s_suppkey % 5 <> 0)")
+def orphaned_tasks(spark, d):
+    return scheduling.orphaned(state(spark, d), agents(spark, d)).select("task_id", "agent_id")
+
+
+@query(TASKS + "select status, count(*)::bigint as n, count(*) filter (where ready)::bigint as n_ready from weighed group by status")
+def agent_status_counts(spark, d):
+    return agents(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.count_if(scheduling.available()).alias("n_ready"))
