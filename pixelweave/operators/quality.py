@@ -27,12 +27,17 @@ def sliding_ssim(px: DataFrame, other: DataFrame, window: int = 16, stride: int
     return scores.select((F.col("ky") * stride).alias("wy"), (F.col("kx") * stride).alias("wx"), "score")
 
 
-def stencil(px: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int, at: DataFrame | None = None) -> DataFrame:
-    """(y, x, value): a small kernel of (dy, dx, weight), mirrored at the border without repeating it; for the places ``at``, or all."""
+def taps(px: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int, at: DataFrame | None = None) -> DataFrame:
+    """(y, x, k, g): for each place of ``at``, or all, the values under a small kernel of (dy, dx, weight), mirrored at the border without repeating it."""
     mirror = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * (n - 1) - c).otherwise(c)
-    taps = F.array(*[F.struct(mirror(F.col("y") + dy, height).alias("y2"), mirror(F.col("x") + dx, width).alias("x2"), F.lit(float(k)).alias("k")) for dy, dx, k in kernel])
+    under = F.array(*[F.struct(mirror(F.col("y") + dy, height).alias("y2"), mirror(F.col("x") + dx, width).alias("x2"), F.lit(float(k)).alias("k")) for dy, dx, k in kernel])
     source = px.select(F.col("y").alias("y2"), F.col("x").alias("x2"), "g")
-    return (px if at is None else at).select("y", "x", F.inline(taps)).join(source, ["y2", "x2"]).groupBy("y", "x").agg(F.sum(F.col("k") * F.col("g")).alias("value"))
+    return (px if at is None else at).select("y", "x", F.inline(under)).join(source, ["y2", "x2"]).select("y", "x", "k", "g")
+
+
+def stencil(px: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int, at: DataFrame | None = None) -> DataFrame:
+    """(y, x, value): sums of weighted values under the kernel."""
+    return taps(px, kernel, height, width, at).groupBy("y", "x").agg(F.sum(F.col("k") * F.col("g")).alias("value"))
 
 
 #: The Laplacian of four neighbours, and a 3x3 binomial kernel.
@@ -64,8 +69,8 @@ def texture(px: DataFrame, height: int, width: int, size: int = 5) -> DataFrame:
     """One row: the mean of the variance in the ``size`` x ``size`` box around each pixel."""
     r = range(-(size // 2), size // 2 + 1)
     box = [(dy, dx, 1 / size**2) for dy in r for dx in r]
-    squares = stencil(px.select("y", "x", (F.col("g") * F.col("g")).alias("g")), box, height, width).withColumnRenamed("value", "square")
-    return stencil(px, box, height, width).join(squares, ["y", "x"]).agg(F.avg(F.col("square") - F.col("value") * F.col("value")).alias("texture"))
+    moments = taps(px, box, height, width).groupBy("y", "x").agg(F.sum(F.expr("k * g")).alias("value"), F.sum(F.expr("k * g * g")).alias("square"))
+    return moments.agg(F.avg(F.col("square") - F.col("value") * F.col("value")).alias("texture"))
 
 
 def pyramid_down(px: DataFrame, height: int, width: int) -> DataFrame:
@@ -76,11 +81,11 @@ def pyramid_down(px: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def in_rois(px: DataFrame, rois: DataFrame, cell: int = 64) -> DataFrame:
-    """(roi_id, g) of pixels in ``rois`` (roi_id, x0, y0, w, h), which are dealt to grid cells: the join is on the cell."""
+    """(roi_id, y, x, g) of pixels in ``rois`` (roi_id, x0, y0, w, h), which are dealt to grid cells: the join is on the cell."""
     span = lambda p, s: F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(s) - 1) / cell))
     cells = rois.where("w > 0 and h > 0").select("*", F.explode(span("y0", "h")).alias("cy")).select("*", F.explode(span("x0", "w")).alias("cx"))
     placed = px.select("y", "x", "g", F.floor(F.col("y") / cell).alias("cy"), F.floor(F.col("x") / cell).alias("cx"))
-    return placed.join(cells, ["cy", "cx"]).where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h").select("roi_id", "g")
+    return placed.join(cells, ["cy", "cx"]).where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h").select("roi_id", "y", "x", "g")
 
 
 def overall(metrics: DataFrame) -> DataFrame:
@@ -88,3 +93,16 @@ def overall(metrics: DataFrame) -> DataFrame:
     value = F.col("value")
     score = F.when(F.col("metric") == "psnr", F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))).when(F.col("metric") == "ms_ssim", value * 100)
     return metrics.groupBy("image_id").agg(F.avg(score.when(F.col("metric") == "lpips", F.greatest(F.lit(0.0), (1 - value) * 100))).alias("overall"))
+
+
+def covered_share(px: DataFrame, zones: DataFrame, tile: str) -> DataFrame:
+    """(tile, ratio, touched): the share of each tile's pixels that any of ``zones`` (roi_id, x0, y0, w, h) covers."""
+    covered = in_rois(px, zones).select("y", "x").distinct().withColumn("covered", F.lit(1))
+    share = F.avg(F.coalesce("covered", F.lit(0)))
+    return px.join(covered, ["y", "x"], "left").groupBy(tile).agg(share.alias("ratio"), (share > 0).alias("touched"))
+
+
+def best_tile(tiles: DataFrame, region: DataFrame) -> DataFrame:
+    """One row (tile, score): the tile (tile, p, g) most like ``region`` (p, h), the first of several; a region is no larger than a tile."""
+    scores = tiles.join(F.broadcast(region), "p").groupBy("tile").agg(F.round(ssim("g", "h"), 9).alias("score"))
+    return scores.agg(F.max(F.struct("score", -F.col("tile"))).alias("best")).select((-F.col("best.col2")).alias("tile"), "best.score")

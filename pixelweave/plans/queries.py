@@ -524,3 +524,37 @@ def orphaned_tasks(spark, d):
 @query(TASKS + "select status, count(*)::bigint as n, count(*) filter (where ready)::bigint as n_ready from weighed group by status")
 def agent_status_counts(spark, d):
     return agents(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.count_if(scheduling.available()).alias("n_ready"))
+
+
+@query(PX + ", " + ROIS + """, covered as (select distinct y, x, 1 as hit from px join rois on x >= x0 and x < x0 + w and y >= y0 and y < y0 + h where roi_id % 10 = 0)
+select vec_id, round(avg(coalesce(hit, 0)), 6) as ratio, coalesce(max(hit), 0) > 0 as touched from px left join covered using (y, x) group by vec_id""")
+def forbidden_ratio(spark, d):
+    return quality.covered_share(px(spark, d), rois(spark, d).where("roi_id % 10 = 0"), "vec_id").select("vec_id", *r6("ratio"), "touched")
+
+
+@query(PX + """, t as (select vec_id, y % 8 * 8 + x % 8 as p, g from px), r as (select p, g + p % 3 as h from t where vec_id = 7)
+select vec_id as tile, round(score, 6) as score from (select vec_id, round(""" + SSIM + """, 9) as score from t join r using (p) group by vec_id) order by round(score, 9) desc, vec_id limit 1""")
+def best_tile(spark, d):
+    t = px(spark, d).select(F.col("vec_id").alias("tile"), (F.col("y") % 8 * 8 + F.col("x") % 8).alias("p"), "g")
+    region = t.where("tile = 7").select("p", (F.col("g") + F.col("p") % 3).alias("h"))
+    return quality.best_tile(t, region).select("tile", *r6("score"))
+
+
+@query("""select p_partkey, concat_ws(', ', case when p_size % 4 > 0 then p_type end, case p_size % 3 when 0 then 'a face, even skin, soft light###waxy skin' when 1 then 'goods on a table, clean edges, studio light###stray text' else 'a scene, natural tones, fine detail###halos' end) as prompt from part""")
+def prompt_build(spark, d):
+    category = F.when(F.col("p_size") % 3 == 0, "portrait").when(F.col("p_size") % 3 == 1, "product").otherwise("other")
+    templates = {"portrait": ("a face", "even skin", "soft light", "waxy skin"), "product": ("goods on a table", "clean edges", "studio light", "stray text"), "general": ("a scene", "natural tones", "fine detail", "halos")}
+    custom = F.when(F.col("p_size") % 4 > 0, F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", planner.prompt(category, custom, templates, "general").alias("prompt"))
+
+
+@query("select o_orderkey, to_json({task_id: o_orderkey, status: o_orderstatus, level: case when o_totalprice >= 200000 then 'excellent' when o_totalprice >= 100000 then 'good' when o_totalprice >= 50000 then 'fair' else 'poor' end})::varchar as report from orders")
+def report_json(spark, d):
+    level = quality.level(F.col("o_totalprice"), (200000, 100000, 50000), True)
+    return table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("task_id"), F.col("o_orderstatus").alias("status"), level.alias("level"))).alias("report"))
+
+
+@query("select o_orderkey, o_orderstatus, round(o_totalprice, 2) as cost from orders where o_orderdate >= timestamp '1995-01-01' and o_orderdate < timestamp '1997-01-01' and o_orderstatus in ('F', 'O') and contains(lower(o_orderpriority), 'urgent')")
+def history_search(spark, d):
+    when = (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
+    return table(spark, d, "orders").where(when & F.col("o_orderstatus").isin("F", "O") & F.contains(F.lower("o_orderpriority"), F.lit("urgent"))).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("cost"))
