@@ -3,9 +3,13 @@
 Lines that hold words are a document's sequence of line IDs (hashes). Distributed prefix doubling ranks the suffixes of
 all sequences: a round gives each suffix its rank by twice as many lines, from its rank and that of the suffix half-way
 on. Suffixes of one rank are an interval of the suffix array whose common prefix is at least as long as the round's
-reach. Suffixes alone in their interval leave: no other run starts as they do. Runs count from ``min_words`` words on, so
-rounds go on until that many words are reached for sure, not until the whole suffixes are told apart; overlapping
-repeated runs add up to the maximal ones. Of equal runs all but the first are deleted.
+reach. Suffixes alone in their interval leave: no other run starts as they do. Runs count from ``min_words`` words on. Of
+equal runs all but the first are deleted.
+
+Runs of up to ``min_words`` lines delete what the maximal runs delete, so rounds go no further. Take a line x of a run
+s..e with enough words that also starts earlier, and the last start j <= x in it from which enough words are left up to e. The
+run j..e also starts earlier. If j = x, x is the first line of any run from j. Otherwise j+1..e holds fewer than
+``min_words`` words, and so at most ``min_words`` - 1 lines: j..e has at most ``min_words`` lines and holds x.
 """
 
 from __future__ import annotations
@@ -55,8 +59,11 @@ def line_sequences(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.select("did", "mark", "i", "at.no", (F.size("lines") - F.col("i")).alias("left"), "at.line", reach.alias("reach"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(did, mark, gone): the numbers of the lines to delete, for documents that have any; ``docs``: did, mark, text."""
+def repeated_lines(docs: DataFrame, min_words: int, whole: bool = True) -> DataFrame:
+    """(did, mark, gone): the numbers of the lines to delete, for documents that have any; ``docs``: did, mark, text.
+
+    Without ``whole``, only the shortest run of ``min_words`` words from each line is looked up, as in ``ORACLE``.
+    """
     lines = stage(line_sequences(docs, min_words), "lines")
     first = _rank(lines.select("line").withColumn("zero", F.lit(0).cast("long")), "zero", "line", F.lit(-(1 << 63)), F.lit(_LAST)).select("line", "rank")
     level = stage(lines.join(first, "line").select(*PLACE, "left", "reach", "rank"), "suffixes-0")
@@ -73,8 +80,10 @@ def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
         level = stage(pairs.join(ranks.withColumnRenamed("base", "rank"), ["rank", "next"]).select(*PLACE, "left", "reach", F.col("new").alias("rank")), f"suffixes-{2 * span}")
         levels.append(level)
         span *= 2
-    # A run of ``reach`` lines is named by the ranks of its parts, the largest first; equal runs have equal parts.
-    runs = levels[0].where("reach <= left").select(*PLACE, "reach", F.lit(0).alias("done"), F.array().cast("array<long>").alias("name"))
+    # A run is named by the ranks of its parts, the largest first; equal runs have equal parts. From here on, reach is its number of lines.
+    longest = F.least("left", F.lit(min_words)) if whole else F.col("reach")
+    runs = levels[0].where("reach <= left").select(*PLACE, F.explode(F.sequence("reach", longest.cast("int"))).alias("reach"))
+    runs = runs.select(*PLACE, "reach", F.lit(0).alias("done"), F.array().cast("array<long>").alias("name"))
     for k in range(len(levels) - 1, -1, -1):
         part = levels[k].select("did", "mark", F.col("i").alias("at"), "rank")
         takes = F.col("reach") - F.col("done") >= 1 << k
@@ -88,17 +97,18 @@ def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return covered.join(lines.select(*PLACE, "no"), PLACE).groupBy("did", "mark").agg(F.collect_set("no").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """All columns of ``docs`` with ``text`` less the deleted lines, and line_count and lines_removed.
 
     A line goes if a run of consecutive lines around it, with at least ``min_words`` words, also starts earlier: in a document with a
     smaller doc_id (nulls last; rows that share one, in order of a hash of their text) or earlier in the same one. Runs
     are judged on the input. Lines without words are no part of runs and stay. Rows equal in doc_id and text count as one
     and get the same result. Null texts stay null, with no lines; an empty text is one line. An empty table gives no rows.
-    Lines are told apart by 64-bit hashes. Columns of ``docs`` may have any names but those two.
+    Lines are told apart by 64-bit hashes. Columns of ``docs`` may have any names but those two. Without ``whole``, lines
+    at the end of a repeated run that hold fewer than ``min_words`` words together stay, as ``ORACLE`` has it.
     """
     did, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64("text")
-    gone = repeated_lines(docs.select(did.alias("did"), mark.alias("mark"), "text"), min_words).select(
+    gone = repeated_lines(docs.select(did.alias("did"), mark.alias("mark"), "text"), min_words, whole).select(
         F.col("did").alias("__did"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")
     )
     joined = docs.join(gone, (did == F.col("__did")) & (mark == F.col("__mark")), "left")
@@ -110,9 +120,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the kept text; a null text is empty)."""
-    out = line_dedup(docs.select("doc_id", "text"), min_words)
+    out = line_dedup(docs.select("doc_id", "text"), min_words, whole)
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("line_count")).cast("long").alias("n_lines"),
                       F.greatest("lines_removed", F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -51,7 +51,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(documents(spark, sf_dir))
+    return line_report(documents(spark, sf_dir), whole=False)  # the rule of line_dedup.ORACLE, which leaves the ends of repeated runs
 
 
 def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,28 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_dedup_takes_maximal_runs(spark):
+    rng = random.Random(11)
+    head, tail = "alpha beta gamma delta epsilon", "All rights reserved."
+    texts = {0: f"{head}\n{tail}\nmore of one", 1: f"{head}\n{tail}\nand of another", 2: f"{head}\n{tail}"}
+    lines = [head, tail, "a", "b c", "d e f", "g h i j", "", "k l m n o p"]
+    texts |= {k: "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 12))) for k in range(3, 40)}
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[1] == "and of another" and got[2] == ""
+    earlier = []
+    for k in sorted(texts):
+        split = texts[k].split("\n")
+        worded = [n for n, x in enumerate(split) if WORD.search(x)]
+        gone = set()
+        for i in range(len(worded)):
+            here = [split[n] for n in worded[i:]]
+            same = max((next((m for m, (x, y) in enumerate(zip(here, there, strict=False)) if x != y), min(len(here), len(there))) for there in earlier), default=0)
+            if sum(len(WORD.findall(x)) for x in here[:same]) >= 5:
+                gone |= set(worded[i : i + same])
+            earlier.append(here)
+        assert got[k] == "\n".join(x for n, x in enumerate(split) if n not in gone)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(120, 8))
