@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Further names of credentials, and values that follow a scheme's or a user's name.
-NAMED = re.compile(r"""(?<![A-Za-z0-9])(pwd|pass|passphrase|passcode|pin|auth|authorization|credential|credentials|access_?key|private_?key|client_?secret|bearer)["']?\x20*[:=]\x20*["']?([^\s"',;]{6,128})""", re.IGNORECASE | re.ASCII)
-BEARER = re.compile(r"(bearer|basic)\x20+([A-Za-z0-9+/_.=-]{6,512})", re.IGNORECASE | re.ASCII)
-URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]{6,128})@", re.IGNORECASE | re.ASCII)
+#: Further names of credentials, and values that follow a scheme's or a user's name, of any length.
+#: URL's scheme is read from the start of its run of characters only, so that long runs take linear time.
+NAMED = re.compile(r"""(?<![A-Za-z0-9])(pwd|pass|passphrase|passcode|pin|auth|authorization|credential|credentials|access_?key|private_?key|client_?secret|bearer)["']?\x20*[:=]\x20*["']?([^\s"',;]{6,})""", re.IGNORECASE | re.ASCII)
+BEARER = re.compile(r"(bearer|basic)\x20+([A-Za-z0-9+/_.=-]{6,})", re.IGNORECASE | re.ASCII)
+URL = re.compile(r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]*+://[^\s:/@]+:([^\s:/@]{6,})@", re.IGNORECASE | re.ASCII)
 #: A text without any of these, in lower case, has no match of ASSIGN, NAMED, BEARER or URL.
 HINTS = ("passw", "secret", "token", "api", "pwd", "pass", "pin", "auth", "credential", "key", "bearer", "basic ", "://")
 #: Common words and names in passwords, most common first.

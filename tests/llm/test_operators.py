@@ -246,6 +246,16 @@ def test_secrets(spark, odd, empty):
     assert scan_secrets(odd).count() == odd.count() and scan_secrets(empty).count() == 0
 
 
+def test_secrets_take_long_values_whole(spark):
+    rng = random.Random(13)
+    jwt, key, password = ("".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789_-") for _ in range(n)) for n in (900, 300, 200))
+    texts = [f"Authorization: Bearer {jwt} end", f"private_key: {key} end", f"see https://user:{password}@host/x"]
+    for text, value in zip(texts, (jwt, key, password), strict=True):
+        (row,) = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        at = text.index(value)
+        assert f"value:{at}:{at + len(value)}" in row.spans.split(",")
+
+
 def test_toxicity_learns():
     rng = random.Random(8)
     words = [f"w{k}" for k in range(500)]
