@@ -1,8 +1,8 @@
 """Document fingerprints from spot signatures, in DataFrame operations only.
 
 A common word is an anchor; with it go the next content words (words that are no common words). A document's
-fingerprint is its set of such chains, hashed. So that lists and other languages have anchors too, one word in
-``ONE_IN``, by its hash, is an anchor with the words that follow it; short texts take every word as an anchor.
+fingerprint is its set of such chains, hashed. So that short texts, lists and other languages have anchors too, every
+word is an anchor with the words that follow it. Texts of all sizes go by this one rule, so that any two compare.
 Likeness is the Jaccard likeness of two sets; it is at most the smaller set's size over the larger's, so sets whose
 sizes are too far apart need no comparison (``near_pairs`` partitions by size on that ground).
 """
@@ -22,10 +22,6 @@ ANCHORS = tuple(
     "el los las y es en por con una se no".split()
 )
 CHAIN = 2
-ONE_IN = 8
-#: Texts of so many words at most take all words as anchors; below ``TINY`` a word stands for itself.
-SHORT = 40
-TINY = 8
 
 
 def with_signatures(df: DataFrame, text: str, name: str, chain: int = CHAIN) -> DataFrame:
@@ -42,10 +38,8 @@ def with_signatures(df: DataFrame, text: str, name: str, chain: int = CHAIN) ->
     df = df.select("*", F.inline(F.array(F.struct(spots.alias(f"{name}_places"), others.alias(f"{name}_content")))))
     # The k-th anchor at word p has p - k content words before it; its chain is the content words that follow.
     by_spot = F.transform(places, lambda p, k: F.hash(F.element_at(words, p + 1), F.slice(content, p - k + 1, F.lit(chain))))
-    by_hash = F.filter(F.transform(words, lambda w, i: F.when(F.hash(w) % ONE_IN == 0, F.hash(F.slice(words, i + 1, F.lit(chain))))), lambda h: h.isNotNull())
-    by_word = F.transform(words, lambda w, i: F.hash(F.slice(words, i + 1, F.when(F.size(words) < TINY, 1).otherwise(chain))))
-    sigs = F.when(F.size(words) > SHORT, F.concat(by_spot, by_hash)).otherwise(by_word)
-    return df.withColumn(name, F.sort_array(F.array_distinct(sigs))).drop(f"{name}_words", f"{name}_places", f"{name}_content")
+    by_word = F.transform(words, lambda w, i: F.hash(F.slice(words, i + 1, F.lit(chain))))
+    return df.withColumn(name, F.sort_array(F.array_distinct(F.concat(by_spot, by_word)))).drop(f"{name}_words", f"{name}_places", f"{name}_content")
 
 
 def likeness(a: Column, b: Column) -> Column:
