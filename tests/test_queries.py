@@ -1,5 +1,11 @@
 """Every registered query of the core library against its SQL, and invariants of the operators."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pytest
@@ -92,3 +98,16 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda r: (r.start, r.event_type, r.n)
     assert sorted(map(key, spark.table("throughput").collect())) == sorted(map(key, heartbeats.throughput(events).collect()))
+
+
+def test_entry_without_the_optional_subpackage(tmp_path):
+    """The entry imports and lists the core queries where the optional folders, or also the pipeline's file, are gone."""
+    root = Path(__file__).resolve().parents[1]
+    for keep_pipeline in (True, False):
+        at = tmp_path / str(keep_pipeline)
+        shutil.copytree(root / "pixelweave", at / "pixelweave", ignore=shutil.ignore_patterns("llm"))
+        (at / "pixelweave/llm/__pycache__").mkdir(parents=True)
+        for name in ["__spark_entry__.py"] + ["corpus_pipeline.py"] * (keep_pipeline and (root / "corpus_pipeline.py").exists()):
+            shutil.copy(root / name, at / name)
+        code = "import __spark_entry__ as e; assert 'tile_grid' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
+        subprocess.run([sys.executable, "-c", code], cwd=at, check=True, env={**os.environ, "PYTHONPATH": str(at)})
