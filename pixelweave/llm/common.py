@@ -17,11 +17,13 @@ _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
     global _own_folder
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own_folder
@@ -36,7 +38,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out.staged_at = at
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that hold more than one in so many of all rows are hot, so fewer than this many keys are.
+HOT = 4096
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose column ``n`` says how many of the ``total`` rows have its keys.
+
+    Hot keys, fewer than ``HOT``, go to every task; rows of the others are shuffled to their keys. So rows of a common key
+    stay where they are, and what is sent to all tasks has a bound.
+    """
+    hot = table.where(F.col("n") > max(total // HOT, 64)).withColumn("is_hot", F.lit(True))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.where("is_hot is null").select(*rows.columns).join(table.where(F.col("n") <= max(total // HOT, 64)), keys)
+    return marked.where("is_hot").drop("is_hot").unionByName(cold)
 
 
 def width(spark: SparkSession) -> int:
@@ -142,13 +170,14 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-edges")
-    before = None
+    before, written = None, [now]
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = low.where("u <> m").select("u", F.col("m").alias("v"))
         star = stage(large.union(kept).distinct(), f"{name}-large")
+        unstage(*written)
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         small = star.join(low, "u")
         now = stage(
@@ -156,6 +185,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v"))).distinct(),
             f"{name}-small",
         )
+        unstage(star)
+        written = [now]
         # Done when every node has one parent and no parent has a parent.
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == before:

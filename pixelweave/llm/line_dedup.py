@@ -1,15 +1,15 @@
 """Removal of repeated runs of lines, in DataFrame operations only.
 
-Lines that hold words are a document's sequence of line IDs (hashes). Distributed prefix doubling ranks the suffixes of
-all sequences: a round gives each suffix its rank by twice as many lines, from its rank and that of the suffix half-way
-on. Suffixes of one rank are an interval of the suffix array whose common prefix is at least as long as the round's
-reach. Suffixes alone in their interval leave: no other run starts as they do. Runs count from ``min_words`` words on. Of
-equal runs all but the first are deleted.
-
-Runs of up to ``min_words`` lines delete what the maximal runs delete, so rounds go no further. Take a line x of a run
-s..e with enough words that also starts earlier, and the last start j <= x in it from which enough words are left up to e. The
-run j..e also starts earlier. If j = x, x is the first line of any run from j. Otherwise j+1..e holds fewer than
-``min_words`` words, and so at most ``min_words`` - 1 lines: j..e has at most ``min_words`` lines and holds x.
+Lines that hold words are a document's sequence of line IDs (hashes). Distributed prefix doubling sorts the suffixes of
+all sequences: a round ranks them by twice as many lines, from a suffix's rank and that of the suffix half-way on. Suffixes
+of one rank are an interval of the suffix array whose longest common prefix has at least the round's lines. Suffixes
+alone in their interval, or too near their document's end for the round's lines, leave; rounds go on until none is left.
+
+Each interval's first suffix, by place, keeps its lines, and the later ones lose the prefix they share. A run of m lines
+that also starts earlier lies in intervals of 2^k <= m < 2^(k+1) lines twice, from its first line and up to its last,
+so the union of what intervals delete is that of the maximal repeated runs. Only for runs so short that their words decide
+whether they count (fewer than ``min_words`` lines may hold too few) does the exact number of lines matter: the lengths
+up to ``min_words`` between the powers of two get intervals of their own, named by the ranks of their two overlapping halves.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import WORD, stage
+from pixelweave.llm.common import WORD, attach, stage, unstage
 
 MIN_WORDS = 5
 _LAST = (1 << 63) - 1
@@ -26,7 +26,7 @@ PLACE = ["did", "mark", "i"]
 
 
 def _rank(suffixes: DataFrame, base: str, by: str, low: Column, high: Column) -> DataFrame:
-    """(base, by, rank): ranks of the pairs (base, by) that more than one suffix has; rank orders by base, then by.
+    """(base, by, n, rank): ranks of the pairs (base, by) that more than one suffix has; rank orders by base, then by.
 
     ``base`` is a rank already, so a pair's is that plus the number of suffixes of the same base with a smaller ``by``.
     Running sums go over ranges of ``by`` first and inside a range after, so a base that many share is no single task's.
@@ -37,7 +37,7 @@ def _rank(suffixes: DataFrame, base: str, by: str, low: Column, high: Column) ->
     ranges = pairs.groupBy(base, "range").agg(F.sum("n").alias("total"))
     before = ranges.withColumn("before", F.sum("total").over(Window.partitionBy(base).orderBy("range")) - F.col("total")).drop("total")
     inside = F.sum("n").over(Window.partitionBy(base, "range").orderBy(by)) - F.col("n")
-    return pairs.withColumn("inside", inside).join(before, [base, "range"]).select(base, by, (F.col(base) + F.col("before") + F.col("inside")).alias("rank"))
+    return pairs.withColumn("inside", inside).join(before, [base, "range"]).select(base, by, "n", (F.col(base) + F.col("before") + F.col("inside")).alias("rank"))
 
 
 def line_sequences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -59,74 +59,94 @@ def line_sequences(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.select("did", "mark", "i", "at.no", (F.size("lines") - F.col("i")).alias("left"), "at.line", reach.alias("reach"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int, whole: bool = True) -> DataFrame:
-    """(did, mark, gone): the numbers of the lines to delete, for documents that have any; ``docs``: did, mark, text.
+def _later(runs: DataFrame, keys: list[str], length: int, total: int) -> DataFrame:
+    """(did, mark, i, lines): the suffixes in ``runs`` that are not the first, by place, of their interval ``keys``."""
+    firsts = runs.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return attach(runs.select(*PLACE, *keys), firsts, keys, total).where(F.struct(*PLACE) > F.col("first")).select(*PLACE, F.lit(length).alias("lines"))
 
-    Without ``whole``, only the shortest run of ``min_words`` words from each line is looked up, as in ``ORACLE``.
-    """
+
+def repeated_runs(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """The table of lines, and (did, mark, i, lines): for each line at which repeated runs start that also start earlier, the most
+    lines of an interval's prefix. ``docs``: did, mark, text."""
     lines = stage(line_sequences(docs, min_words), "lines")
-    first = _rank(lines.select("line").withColumn("zero", F.lit(0).cast("long")), "zero", "line", F.lit(-(1 << 63)), F.lit(_LAST)).select("line", "rank")
-    level = stage(lines.join(first, "line").select(*PLACE, "left", "reach", "rank"), "suffixes-0")
-    levels, span = [level], 1
-    while span * 2 <= min_words:
-        ahead = level.select("did", "mark", (F.col("i") - span).alias("i"), F.col("rank").alias("next"))
-        # A suffix that ends here comes before those that go on; one whose next half is alone in its interval is alone itself.
-        pairs = level.join(ahead, PLACE, "left").withColumn("next", F.when(F.col("left") <= span, F.lit(-1).cast("long")).otherwise(F.col("next"))).where("next is not null")
-        pairs = stage(pairs, f"pairs-{span}")
-        most = pairs.agg(F.max("next").alias("m")).first().m
-        if most is None:
+    total = lines.count()
+    first = _rank(lines.select("line").withColumn("zero", F.lit(0).cast("long")), "zero", "line", F.lit(-(1 << 63)), F.lit(_LAST))
+    level = stage(attach(lines, first, ["line"], total).select(*PLACE, "left", "reach", "rank"), "suffixes-1")
+    found, span, written = [], 1, []
+    while True:
+        size = level.count()
+        # Equal runs have equal words, so whether a run has enough of them (``reach``) holds for its whole interval.
+        if size:
+            found.append(stage(_later(level.where(F.col("reach") <= span), ["rank"], span, size), f"later-{span}"))
+        for length in range(span + 1, min(2 * span, min_words + 1) if size else 0):
+            half = level.select("did", "mark", (F.col("i") - (length - span)).alias("i"), F.col("rank").alias("next"))
+            both = level.where((F.col("left") >= length) & (F.col("reach") <= length)).join(half, PLACE)
+            found.append(stage(_later(both, ["rank", "next"], length, size), f"later-{length}"))
+        written.append(level)
+        if not size:
             break
-        ranks = _rank(pairs.select("rank", "next").withColumnRenamed("rank", "base"), "base", "next", F.lit(-1), F.lit(most)).withColumnRenamed("rank", "new")
-        level = stage(pairs.join(ranks.withColumnRenamed("base", "rank"), ["rank", "next"]).select(*PLACE, "left", "reach", F.col("new").alias("rank")), f"suffixes-{2 * span}")
-        levels.append(level)
+        # Only suffixes with lines enough for the next round, whose second half is in an interval too, go on.
+        ahead = level.select("did", "mark", (F.col("i") - span).alias("i"), F.col("rank").alias("next"))
+        pairs = stage(level.where(F.col("left") >= 2 * span).join(ahead, PLACE), f"pairs-{2 * span}")
+        most = pairs.agg(F.max("next").alias("m"), F.count("*").alias("n")).first()
+        ranks = _rank(pairs.select(F.col("rank").alias("base"), "next"), "base", "next", F.lit(0), F.lit(most.m or 0)).withColumnRenamed("rank", "new")
+        ranked = attach(pairs, ranks.withColumnRenamed("base", "rank"), ["rank", "next"], most.n)
+        level = stage(ranked.select(*PLACE, "left", F.least("reach", F.lit(min_words)).alias("reach"), F.col("new").alias("rank")), f"suffixes-{2 * span}")
+        written.append(pairs)
         span *= 2
-    # A run is named by the ranks of its parts, the largest first; equal runs have equal parts. From here on, reach is its number of lines.
-    longest = F.least("left", F.lit(min_words)) if whole else F.col("reach")
-    runs = levels[0].where("reach <= left").select(*PLACE, F.explode(F.sequence("reach", longest.cast("int"))).alias("reach"))
-    runs = runs.select(*PLACE, "reach", F.lit(0).alias("done"), F.array().cast("array<long>").alias("name"))
-    for k in range(len(levels) - 1, -1, -1):
-        part = levels[k].select("did", "mark", F.col("i").alias("at"), "rank")
-        takes = F.col("reach") - F.col("done") >= 1 << k
-        # Runs that need a part which no other suffix starts with leave by the inner join.
-        with_part = runs.where(takes).withColumn("at", F.col("i") + F.col("done")).join(part, ["did", "mark", "at"])
-        runs = with_part.select(*PLACE, "reach", (F.col("done") + (1 << k)).alias("done"), F.concat("name", F.array("rank")).alias("name")).union(runs.where(~takes))
-    runs = stage(runs.where("done = reach").select(*PLACE, "reach", "name"), "runs")
-    firsts = runs.groupBy("reach", "name").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(firsts, ["reach", "name"]).where(F.struct(*PLACE) > F.col("first"))
-    covered = later.select("did", "mark", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("reach") - 1)).alias("i")).distinct()
+    runs = found[0] if found else lines.limit(0).select(*PLACE, F.lit(0).alias("lines"))
+    for more in found[1:]:
+        runs = runs.union(more)
+    unstage(*written)
+    return lines, runs.groupBy(*PLACE).agg(F.max("lines").alias("lines"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(did, mark, gone): the numbers of the lines to delete, for documents that have any; ``docs``: did, mark, text."""
+    lines, runs = repeated_runs(docs, min_words)
+    # Overlapping and adjoining runs of a document become one: the maximal stretches of repeated lines.
+    order = Window.partitionBy("did", "mark").orderBy("i")
+    before = F.max(F.col("i") + F.col("lines")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("new", F.when(before >= F.col("i"), 0).otherwise(1)).withColumn("stretch", F.sum("new").over(order))
+    stretches = runs.groupBy("did", "mark", "stretch").agg(F.min("i").alias("a"), F.max(F.col("i") + F.col("lines")).alias("b"))
+    covered = stretches.select("did", "mark", F.explode(F.sequence("a", F.col("b") - 1)).alias("i"))
     return covered.join(lines.select(*PLACE, "no"), PLACE).groupBy("did", "mark").agg(F.collect_set("no").alias("gone"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs`` with ``text`` less the deleted lines, and line_count and lines_removed.
 
     A line goes if a run of consecutive lines around it, with at least ``min_words`` words, also starts earlier: in a document with a
     smaller doc_id (nulls last; rows that share one, in order of a hash of their text) or earlier in the same one. Runs
     are judged on the input. Lines without words are no part of runs and stay. Rows equal in doc_id and text count as one
     and get the same result. Null texts stay null, with no lines; an empty text is one line. An empty table gives no rows.
-    Lines are told apart by 64-bit hashes. Columns of ``docs`` may have any names but those two. Without ``whole``, lines
-    at the end of a repeated run that hold fewer than ``min_words`` words together stay, as ``ORACLE`` has it.
+    Lines are told apart by 64-bit hashes. Columns of ``docs`` may have any names but those two; where more than one is called
+    ``text`` or ``doc_id`` in other cases of letters, Spark's own rules for such names hold.
     """
     did, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64("text")
-    gone = repeated_lines(docs.select(did.alias("did"), mark.alias("mark"), "text"), min_words, whole).select(
-        F.col("did").alias("__did"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone")
-    )
-    joined = docs.join(gone, (did == F.col("__did")) & (mark == F.col("__mark")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("__gone", k)), "\n")
-    columns = [F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    gone = repeated_lines(docs.select(did.alias("did"), mark.alias("mark"), "text"), min_words)
+    # All columns travel in one struct, so that none can clash with the names used here.
+    held = docs.select(did.alias("did"), mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
+    joined = held.join(gone, ["did", "mark"], "left")
+    # A generated column is split once; the functions over arrays below read it for each line.
+    joined = joined.select("held", "gone", F.inline(F.array(F.struct(F.split("held.text", "\n", -1).alias("lines")))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(stay, lambda k: F.element_at("lines", k + 1)), "\n")
+    columns = [F.when(F.col("gone").isNull(), F.col("held.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"held.`{c}`") for c in docs.columns]
     return joined.select(
-        *columns, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("line_count"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed")
+        *columns, F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("line_count"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("lines_removed")
     )
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
+def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (of the kept text; a null text is empty)."""
-    out = line_dedup(docs.select("doc_id", "text"), min_words, whole)
+    out = line_dedup(docs.select("doc_id", "text"), min_words)
     return out.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.col("line_count")).cast("long").alias("n_lines"),
                       F.greatest("lines_removed", F.lit(0)).alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: Every line of a repeated run of 5 words and more lies in one of at most 5 lines: from the last start at or before the line with
+#: 5 words up to the run's end, or, if that start is the line's own, in the first few lines. So lengths 1 to 5 decide all.
 ORACLE = """
 with split as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
 numbered as (
@@ -139,12 +159,11 @@ ahead as (
   select doc_id, i, [line, lead(line, 1) over w, lead(line, 2) over w, lead(line, 3) over w, lead(line, 4) over w] as next_lines,
     [words, lead(words, 1) over w, lead(words, 2) over w, lead(words, 3) over w, lead(words, 4) over w] as next_words
   from sequence window w as (partition by doc_id order by i)),
-reaching as (
-  select doc_id, i, next_lines, list_min(list_filter(range(1, 6), lambda k: next_words[k] is not null and list_sum(next_words[1:k]) >= 5)) as reach from ahead),
+lengths as (select doc_id, i, next_lines, next_words, unnest(range(1, 6)) as m from ahead),
 runs as (
-  select doc_id, i, reach, array_to_string(next_lines[1:reach], chr(10)) as run from reaching where reach is not null),
-placed as (select *, first_value((doc_id, i)) over (partition by run order by doc_id, i) as first_place from runs),
-covered as (select distinct doc_id, unnest(range(i, i + reach)) as i from placed where (doc_id, i) <> first_place),
+  select doc_id, i, m, array_to_string(next_lines[1:m], chr(10)) as run from lengths where next_words[m] is not null and list_sum(next_words[1:m]) >= 5),
+placed as (select *, first_value((doc_id, i)) over (partition by m, run order by doc_id, i) as first_place from runs),
+covered as (select distinct doc_id, unnest(range(i, i + m)) as i from placed where (doc_id, i) <> first_place),
 gone as (select doc_id, no from covered join sequence using (doc_id, i)),
 kept as (
   select doc_id, string_agg(line, chr(10) order by no) as kept from numbered anti join gone using (doc_id, no) group by doc_id)
