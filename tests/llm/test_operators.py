@@ -223,6 +223,27 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_many_lengths_and_dense_groups(spark):
+    rng = np.random.default_rng(16)
+    rows, want = [], {}
+    for d in range(2, 42):  # each length has two equal vectors and one near them
+        v = rng.normal(size=d)
+        for k, x in enumerate((v, v, v + 0.01 * rng.normal(size=d), -v)):
+            rows.append((10 * d + k, x.tolist()))
+            want[10 * d + k] = (2, 10 * d) if k < 3 else (0, 10 * d + 3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+    base = rng.normal(size=16)
+    dense = [(k, (base + 0.02 * rng.normal(size=16)).tolist()) for k in range(1500)] + [(k, rng.normal(size=16).tolist()) for k in range(1500, 1800)]
+    u = np.array([x for _, x in dense])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    want = _components(zip(*np.nonzero(near), strict=True), range(1800))
+    for pivots, tile in ((1, 300), (4, 200)):
+        got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(dense, "vec_id long, embedding array<double>"), pivots=pivots, tile=tile).collect()}
+        assert all(got[k].n_links == near[k].sum() - 1 and got[k].component_id == want[k] for k in range(1800))
+
+
 def test_fingerprints(spark, odd, empty):
     docs = [(r.doc_id, r.text or "") for r in odd.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
     got = {r.doc_id: r for r in fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
