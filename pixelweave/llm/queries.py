@@ -59,7 +59,7 @@ def op9_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(documents(spark, sf_dir))
+    return scan_secrets(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 QUERIES = {f.__name__: f for f in (
