@@ -12,19 +12,24 @@ large group of near copies costs a row for each copy, and sets that are merely r
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import U64, Words, components, in_chunks, mix, rolling, stage, to_bytes, width
+from pixelweave.llm.common import U64, Words, attach, components, in_chunks, mix, rolling, stage, to_bytes, unstage, width
 from pixelweave.llm.tokens import forget
 
 #: Groups of fragments by which the overlaps of candidates are counted.
 PARTS = 4
 #: 64-bit words of a set's sketch.
 SKETCH = 16
+#: Characters of text for a fragment, and rows of an n-gram that meet in one part of the last join.
+FRAGMENT = 1 << 22
+CROWD = 4096
 _FLUSH = 2_000_000
 _SALT = 0x5851F42D4C957F2D
 
@@ -43,16 +48,26 @@ def shingle_sets(texts: list[bytes], n: int):
                 yield np.zeros(0, U64)
 
 
+def fragments_for(docs: DataFrame) -> int:
+    """Fragments, a power of two: from 256, one for each ``FRAGMENT`` characters, so that one's memory doesn't grow with the data."""
+    chars = docs.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    return 1 << max(8, (chars // FRAGMENT).bit_length())
+
+
 def _cut(fragments: int, n: int):
-    """Packs segments of many documents into one row for each fragment."""
+    """Packs segments of many documents into one row for each fragment.
+
+    A fragment is a range of hashes, so its number holds their upper bits, 8 at least; the lower 56 are written.
+    """
+    shift, flush = U64(65 - fragments.bit_length()), min(max(_FLUSH, 32 * fragments), 4 * _FLUSH)
 
     def pack(held: list) -> pd.DataFrame:
-        docs, sets = zip(*held, strict=True)
+        docs, marks, sets = zip(*held, strict=True)
         sizes = np.array([len(s) for s in sets])
         sids = np.array([int(mix(np.array([mix(s).sum(dtype=U64) + U64(len(s))], U64))[0]) for s in sets], U64)
         grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-        frag = ((grams >> U64(32)) * U64(fragments) >> U64(32)).astype(np.int32)
-        home = ((sids >> U64(32)) * U64(fragments) >> U64(32)).astype(np.int32)
+        frag, home = (grams >> shift).astype(np.int32), (sids >> shift).astype(np.int32)
+        marks = np.array(marks, np.int64)
         order, doc_order = np.argsort(frag, kind="stable"), np.argsort(home, kind="stable")
         edges, doc_edges = np.searchsorted(frag[order], np.arange(fragments + 1)), np.searchsorted(home[doc_order], np.arange(fragments + 1))
         known = np.array([d is not None for d in docs])
@@ -62,19 +77,19 @@ def _cut(fragments: int, n: int):
             at, own = order[edges[f] : edges[f + 1]], doc_order[doc_edges[f] : doc_edges[f + 1]]
             if len(at) or len(own):
                 who, counts = np.unique(owner[at], return_counts=True)  # owners rise within a fragment
-                rows.append((f, sids[who].tobytes(), counts.astype("<u4").tobytes(), grams[at].astype("<u4").tobytes(),
-                             ids[own].tobytes(), known[own].tobytes(), sids[own].tobytes(), sizes[own].astype("<i4").tobytes()))
-        return pd.DataFrame(rows, columns=["frag", "sids", "counts", "grams", "doc_ids", "known", "doc_sids", "sizes"])
+                rows.append((f, sids[who].tobytes(), counts.astype("<u4").tobytes(), grams[at].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes(),
+                             ids[own].tobytes(), known[own].tobytes(), marks[own].tobytes(), sids[own].tobytes(), sizes[own].astype("<i4").tobytes()))
+        return pd.DataFrame(rows, columns=["frag", "sids", "counts", "grams", "doc_ids", "known", "marks", "doc_sids", "sizes"])
 
     def cut(batches):
         forget()
         held, size = [], 0
         for pdf in batches:
             docs = [None if pd.isna(d) else int(d) for d in pdf["doc_id"].array]
-            for doc, grams in zip(docs, shingle_sets(to_bytes(pdf["text"].array), n), strict=True):
-                held.append((doc, grams))
+            for doc, own, grams in zip(docs, pdf["mark"].tolist(), shingle_sets(to_bytes(pdf["text"].array), n), strict=True):
+                held.append((doc, own, grams))
                 size += len(grams) + 8
-                if size > _FLUSH:
+                if size > flush:
                     yield pack(held)
                     held, size = [], 0
         if held:
@@ -87,7 +102,10 @@ def _meet(table: pa.Table) -> pa.Table:
     """A fragment: its shared n-grams numbered by rising frequency, each set's segment of them, and the documents homed here."""
     join = lambda c, t: np.concatenate([np.frombuffer(b, t) for b in table[c].to_pylist()])
     sid = np.repeat(join("sids", np.uint64), join("counts", "<u4"))
-    gram = join("grams", "<u4")
+    low = join("grams", np.uint8).reshape(-1, 7)
+    gram = np.zeros((len(low), 8), np.uint8)  # the fragment, common to all, stands for the upper bits
+    gram[:, :7] = low
+    gram = gram.view("<u8")[:, 0]
     order = np.argsort(gram)
     gram, sid = gram[order], sid[order]
     same = np.zeros(len(gram) + 1, bool)
@@ -120,11 +138,12 @@ def _meet(table: pa.Table) -> pa.Table:
         "grams": pa.ListArray.from_arrays(lists, nums),
         "freqs": pa.ListArray.from_arrays(lists, freqs),
         "doc_id": column(nothing, join("doc_ids", np.int64), pa.int64(), np.concatenate((np.ones(segments, bool), ~join("known", bool)))),
+        "mark": column(nothing, join("marks", np.int64), pa.int64(), ~absent),
         "size": column(nothing, join("sizes", "<i4").astype(np.int64), pa.int32(), ~absent),
     })
 
 
-_MET = "sid long, frag int, n_shared int, grams array<int>, freqs array<int>, doc_id long, size int"
+_MET = "sid long, frag int, n_shared int, grams array<int>, freqs array<int>, doc_id long, mark long, size int"
 
 
 def _sketched(batches):
@@ -147,23 +166,24 @@ def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("n") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("n")) * percent).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int | None = None) -> DataFrame:
+def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments: int | None = None, mark: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id that links reach, itself included.
 
     Words are runs of anything but ASCII white space, A-Z in lower case; a set holds the distinct ``n``-word shingles, or the
     whole sequence where there are fewer words. Two documents link when 100 * intersection >= percent * union. Null or
     wordless texts have no shingles and no links: component_id is the doc_id. A null doc_id counts as none: its component_id
     is the smallest other one, or null. Rows that share a doc_id are rows of their own. Other columns are not read; an
-    empty table gives no rows. Shingles are told apart by 32 bits and their fragment, sets by 64 bits.
+    empty table gives no rows. Shingles and sets are told apart by 64-bit hashes. ``fragments``: a power of two, 256 at least.
+    With ``mark`` each row has its text's xxhash64 too, as ``mark``, and its set's component, as ``set_id``.
     """
     spark = docs.sparkSession
-    fragments = fragments or width(spark)
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
+    fragments = fragments or fragments_for(docs)
+    packed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInPandas(
         _cut(fragments, n),
-        "frag int, sids binary, counts binary, grams binary, doc_ids binary, known binary, doc_sids binary, sizes binary",
+        "frag int, sids binary, counts binary, grams binary, doc_ids binary, known binary, marks binary, doc_sids binary, sizes binary",
     )
-    met = stage(packed.repartition(fragments, "frag").groupBy("frag").applyInArrow(_meet, _MET), "fragments")
-    members = met.where("size is not null").select("doc_id", "sid", "size")
+    met = stage(packed.repartition(width(spark), "frag").groupBy("frag").applyInArrow(_meet, _MET), "fragments")
+    members = stage(met.where("size is not null").select("doc_id", "mark", "sid", "size"), "members")
     segments = met.where("frag is not null").select("sid", "frag", "n_shared", "grams", "freqs")
     sets = members.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"))
     numbered = F.transform(F.arrays_zip("freqs", "grams"), lambda g: F.struct(g["freqs"].alias("freq"), (F.shiftleft(F.col("frag").cast("long"), 32) + g["grams"]).alias("gram")))
@@ -176,6 +196,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
         .mapInArrow(_sketched, "sid long, size int, shared long, grams array<long>, central double, sketch array<long>"),
         "alive",
     )
+    unstage(met)
     # A set's rarest n-grams: so many that two sets without one of them in common can't link; those that nobody shares come first.
     take = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.col("shared"))
     postings = alive.select("sid", "size", "shared", "central", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("gram"))
@@ -212,16 +233,33 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
     mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     sketches = alive.select("sid", "shared", "sketch")
     named = stage(named.join(mixed.select("gram"), "gram").select("gram", "sid", "size", "component").join(sketches, "sid"), "open")
-    side = lambda x: named.select("gram", *[F.col(c).alias(f"{c}_{x}") for c in ("sid", "size", "component", "shared", "sketch")])
+    # Sets whose sizes are too far apart can't link: sizes fall into levels of which a pair's are the same or neighbours.
+    named = named.withColumn("level", F.floor(F.log(F.col("size").cast("double")) / (math.log(100 / percent) * 1.0001)).cast("int"))
+    total, often = named.count(), named.groupBy("gram", "level").agg(F.count("*").alias("n"))
+    # The rows of an n-gram and level are dealt to parts of at most about CROWD rows, and what may match them goes to each part.
+    crowd = F.floor(F.col("n") / CROWD).cast("int")
+    right = attach(named, often, ["gram", "level"], total).withColumn("salt", F.pmod(F.xxhash64("sid"), crowd + 1).cast("int")).drop("n")
+    left = attach(named.withColumn("own", F.col("level")).withColumn("level", F.explode(F.array("level", F.col("level") + 1))), often, ["gram", "level"], 2 * total)
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), crowd))).drop("n")
+    keys, rest = ("gram", "level", "salt"), ("sid", "size", "component", "shared", "sketch")
+    left = left.select(*keys, "own", *[F.col(c).alias(f"{c}_a") for c in rest])
+    right = right.select(*keys, *[F.col(c).alias(f"{c}_b") for c in rest])
     both = F.col("size_a") + F.col("size_b")
     differ = both - F.col("shared_a") - F.col("shared_b")
     for k in range(SKETCH):
         differ += F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k]))
-    room = (F.col("sid_a") < F.col("sid_b")) & (F.col("component_a") != F.col("component_b")) & (differ * (100 + percent) <= both * (100 - percent))
-    compare(side("a").join(side("b"), "gram").where(room).select(F.col("sid_a").alias("a"), "size_a", F.col("sid_b").alias("b"), "size_b"), "rest")
+    once = (F.col("own") < F.col("level")) | (F.col("sid_a") < F.col("sid_b"))
+    room = once & (F.col("component_a") != F.col("component_b")) & (differ * (100 + percent) <= both * (100 - percent))
+    swap = F.col("sid_a") > F.col("sid_b")
+    found = left.join(right, list(keys)).where(room).select(
+        F.least("sid_a", "sid_b").alias("a"), F.when(swap, F.col("size_b")).otherwise(F.col("size_a")).alias("size_a"),
+        F.greatest("sid_a", "sid_b").alias("b"), F.when(swap, F.col("size_a")).otherwise(F.col("size_b")).alias("size_b"),
+    )
+    compare(found, "rest")
 
     named = members.join(joined, "sid", "left").withColumn("component", F.when(F.col("size") > 0, F.coalesce("component", "sid")))
     least = named.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        *(["mark", F.col("component").alias("set_id")] if mark else []),
     )
