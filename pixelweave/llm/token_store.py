@@ -26,6 +26,8 @@ from pixelweave.llm.tokens import encoder
 
 MAGIC = b"PWEF0001"
 SAMPLE = 256
+#: A task starts a new file when it holds so many bytes of ids; only a longer document makes a longer file.
+FILE_BYTES = 32 << 20
 
 
 class EliasFano:
@@ -144,40 +146,48 @@ def _put(folder: str, name: str, data: bytes) -> None:
     os.replace(own, f"{path}/{name}")
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, files: int | None = None) -> DataFrame:
-    """Writes token files ``part-<k>.pwef`` to ``folder``, doc_ids ascending over files and in each (nulls first).
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes token files ``part-<part>-<k>.pwef`` to ``folder``, doc_ids ascending over files and in each (nulls first).
 
-    A null text is empty: ``end_id`` only. Rows that share a doc_id follow each other, ordered by text. Returns the
-    manifest (part, n_docs, n_ids), a row for each file. A file's ids are gathered by one task, so ``files`` should keep a
-    file within some tens of MB; by default there are twice as many as shuffle partitions.
+    A null text is empty: ``end_id`` only. Rows that share a doc_id follow each other, ordered by a hash of their text, then by
+    it, and may be in several files. A task writes a file as soon as it holds ``file_bytes`` of ids, so neither memory nor the
+    size of files grows with the data. Returns the manifest (part, k, n_docs, n_ids), a row for each file.
     """
     spark = docs.sparkSession
+    order = [F.col("doc_id").asc_nulls_first(), "mark"]
     ordered = (
-        docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(files or 2 * width(spark), F.col("doc_id").asc_nulls_first())
+        docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text")
+        .repartitionByRange(2 * width(spark), *order)
         .withColumn("part", F.spark_partition_id())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .sortWithinPartitions(*order, "text")
     )
 
     def write(batches):
-        enc, part, doc_ids, lengths, ids = encoder(vocabulary), None, [], [], []
+        enc, part, k, doc_ids, ids, size = encoder(vocabulary), None, 0, [], [], 0
         end = np.array([end_id], enc.dtype).tobytes()
+
+        def put() -> pd.DataFrame:
+            lengths = np.array([len(x) // enc.dtype.itemsize for x in ids])
+            _put(folder, f"part-{part:06d}-{k:06d}.pwef", encode_file(doc_ids, lengths, b"".join(ids), enc.dtype.itemsize))
+            return pd.DataFrame({"part": [part], "k": [k], "n_docs": [len(doc_ids)], "n_ids": [int(lengths.sum())]})
+
         for pdf in batches:
             part = int(pdf["part"].iloc[0]) if len(pdf) else part
-            doc_ids += [None if pd.isna(d) else int(d) for d in pdf["doc_id"].array]
-            for text in pdf["text"].array:
-                own = b"".join([enc[p] for p in enc.pieces(text)]) + end if isinstance(text, str) else end
-                ids.append(own)
-                lengths.append(len(own) // enc.dtype.itemsize)
+            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
+                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(b"".join([enc[p] for p in enc.pieces(text)]) + end if isinstance(text, str) else end)
+                size += len(ids[-1]) + 16
+                if size >= file_bytes:
+                    yield put()
+                    k, doc_ids, ids, size = k + 1, [], [], 0
         if doc_ids:
-            _put(folder, f"part-{part:06d}.pwef", encode_file(doc_ids, np.array(lengths), b"".join(ids), enc.dtype.itemsize))
-            yield pd.DataFrame({"part": [part], "n_docs": [len(doc_ids)], "n_ids": [sum(lengths)]})
+            yield put()
 
-    return stage(ordered.mapInPandas(write, "part int, n_docs long, n_ids long"), "token-manifest")
+    return stage(ordered.mapInPandas(write, "part int, k int, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
-    """(part, place, doc_id, begin, n_tokens, ids_crc32[, ids]) of every document in the files of ``folder``."""
+    """(part, k, place, doc_id, begin, n_tokens, ids_crc32[, ids]) of every document in the files of ``folder``."""
 
     def read(batches):
         for pdf in batches:
@@ -191,28 +201,32 @@ def read_token_files(spark: SparkSession, folder: str, keep_ids: bool = False) -
                     begin += len(ids)
                 names = ["place", "doc_id", "begin", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])]
                 frame = pd.DataFrame(rows, columns=names)
-                frame.insert(0, "part", int(path.rpartition("part-")[2].partition(".")[0]))
+                part, k = path.rpartition("part-")[2].partition(".")[0].split("-")
+                frame.insert(0, "part", int(part))
+                frame.insert(1, "k", int(k))
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-    schema = "part int, place long, doc_id long, begin long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = "part int, k int, place long, doc_id long, begin long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pwef").load(folder).select("path", "content")
     return files.mapInPandas(read, schema)
 
 
-def store_and_read(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def store_and_read(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes all documents' ids and reads them back: doc_id, start (over all files), n_tokens, ids_crc32.
 
     An empty table writes no file and gives no rows. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-files")
-    manifest = write_token_files(docs, folder, vocabulary, end_id)
+    manifest = write_token_files(docs, folder, vocabulary, end_id, file_bytes)
     if not manifest.take(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    # One row for each file, so this unpartitioned running sum stays small.
-    running = F.sum("n_ids").over(Window.orderBy("part"))
-    before = manifest.select("part", (running - F.col("n_ids")).alias("before"))
-    return read_token_files(spark, folder).join(F.broadcast(before), "part").select(
+    # Running sums over the parts (a row for each task) and inside a part.
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    parts = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("base"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("k")) - F.col("n_ids")
+    before = manifest.join(parts, "part").select("part", "k", (F.col("base") + inside).alias("before"))
+    return read_token_files(spark, folder).join(F.broadcast(before), ["part", "k"]).select(  # a row for each file
         "doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32"
     )
