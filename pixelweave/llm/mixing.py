@@ -49,26 +49,29 @@ def mix_sources(
     """doc_id, size, source, source_size, target and taken (words, repeats counted) of every row, and the columns ``keep``.
 
     A null text has size 0; a null source is a source of its own, last in order; rows with a null or repeated doc_id are
-    rows of their own, in order of doc_id and size where keys tie. An empty table gives no rows. The same rows give the
+    rows of their own, in order of doc_id, size and a hash of the text where keys tie. An empty table gives no rows. The same rows give the
     same mix whatever their order.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select("doc_id", "source", size.alias("size"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    tie = F.xxhash64("text")
+    sized = docs.select("doc_id", "source", size.alias("size"), tie.alias("tie"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    # Names for sources that joins and windows can both partition by, so that rows are shuffled once.
+    sized = sized.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("named", F.col("source").isNotNull())
     key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
     sized = sized.withColumn("key", key).withColumn("range", F.shiftright("key", 48 - RANGES.bit_length() + 1))
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     before = ranges.withColumn("before", F.sum("range_size").over(Window.partitionBy("source").orderBy("range")) - F.col("range_size"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
-    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_range = Window.partitionBy("name", "named", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     summed = sized.withColumn("inside", F.sum("size").over(in_range) - F.col("size"))
     plan = before.alias("b").join(targets.alias("t"), F.expr("b.source <=> t.source")).selectExpr(
-        "b.source as plan_source", "b.range as plan_range", "before", "source_size", "target"
+        "coalesce(b.source, '') as name", "b.source is not null as named", "b.range as range", "before", "source_size", "target"
     )
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before") - F.col("inside")))
-    return summed.join(plan, F.expr("source <=> plan_source and range = plan_range")).select(
+    return summed.join(plan, ["name", "named", "range"]).select(
         "doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + extra).cast("long").alias("taken"),
         *[F.col(f"kept_{c}").alias(c) for c in keep if c not in ("doc_id", "source", "size")],
     )
