@@ -1,13 +1,14 @@
 """Toxicity of whole texts by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word's input joins a word embedding, the mean embedding of its character 4-grams, and how much more often the word and
-its most telling 4-gram stand in toxic training texts. Both directions of the network read windows of ``LENGTH`` words,
-every ``STRIDE`` words, over the whole text; attention pools a window's states to one logit, and a text's score is its
-highest window's, calibrated on the training texts.
-
-Training takes a bounded sample of labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROWS``, the first by hash) to the driver.
-Texts are labelled as wholes, so a toxic text's most suspect windows are taken to be toxic, by word statistics of the
-other half of the sample.
+A word's input joins a word embedding and the mean embedding of its character 4-grams, both learned with the network. Both
+directions of the network read windows of ``LENGTH`` words, every ``STRIDE`` words, over the whole text; attention pools a
+window's states to one logit, and a text's score is its highest window's, calibrated on sampled texts that training left out.
+
+Training takes a bounded sample of labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROWS``, the first by hash). Tasks read the whole
+sampled texts; only counts of word buckets, the windows to train on (at most ``PICKED`` a text) and the logits to calibrate
+by come to the driver. Texts are labelled as wholes, so a toxic text's most suspect window is taken to be toxic, by how much
+more often its words stand in toxic texts of the other half of the sample. These statistics choose windows to train on; the
+network doesn't see them.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import U64, Words, in_chunks, mix, to_bytes
+from pixelweave.llm.common import U64, Words, in_chunks, mix, stage, to_bytes, width
 from pixelweave.llm.tokens import forget
 
 LENGTH, STRIDE = 48, 32
-HIDDEN, EMBED = 8, 8
+HIDDEN, EMBED = 10, 12
 BUCKETS = 1 << 16
 TOXIC_ROWS, CLEAN_ROWS = 800, 1600
-#: Training reads windows of the first so many words of a sampled text; scoring has no such bound.
-TRAIN_WORDS = 20_000
-EPOCHS, BATCH, LEAST_STEPS = 5, 128, 150
+#: Windows that a text gives to training.
+PICKED = 4
+EPOCHS, BATCH, LEAST_STEPS = 6, 64, 300
 
 _SPACES = np.ones(256, bool)
 _SPACES[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -58,46 +59,57 @@ class Read:
         self.gram_starts = np.cumsum(lens) - lens
         self.gram_counts = lens
 
-    def windows(self, limit: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places (-1 beyond the text's end), and each window's text. A text without words has no window."""
-        counts = np.minimum(self.counts, limit) if limit else self.counts
-        n = np.where(counts > 0, np.maximum(1, -(-(counts - LENGTH) // STRIDE) + 1), 0)
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each window's words, its text, and which of its places are before the text's end. A text without words has no window."""
+        n = np.where(self.counts > 0, np.maximum(1, -(-(self.counts - LENGTH) // STRIDE) + 1), 0)
         owner = np.repeat(np.arange(len(n)), n)
         start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
         place = start[:, None] + np.arange(LENGTH)
-        real = place < counts[owner][:, None]
+        real = place < self.counts[owner][:, None]
         at = np.where(real, place + self.begins[owner][:, None], 0)
-        return np.where(real, self.word[at] if len(self.word) else 0, -1), owner, real
+        return np.where(real, self.word[at] if len(self.word) else 0, 0), owner, real
 
+    def part(self, words: np.ndarray) -> Read:
+        """The same of some of the distinct words."""
+        out = object.__new__(Read)
+        out.bucket, out.gram_counts = self.bucket[words], self.gram_counts[words]
+        out.gram_starts = np.cumsum(out.gram_counts) - out.gram_counts
+        out.grams = self.grams[np.repeat(self.gram_starts[words] - out.gram_starts, out.gram_counts) + np.arange(out.gram_counts.sum())]
+        return out
 
-def gram_mean(read: Read, table: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(table[read.grams], read.gram_starts, axis=0) / read.gram_counts[:, None] if len(read.bucket) else np.zeros((0, table.shape[1]), table.dtype)
 
-
-def inputs(read: Read, model: dict, odds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """A row for each distinct word."""
+def inputs(read: Read, model: dict) -> np.ndarray:
+    """A row for each distinct word: its embedding, and the mean of those of its 4-grams."""
     if not len(read.bucket):
-        return np.zeros((0, 2 * EMBED + 2), np.float32)
-    top = np.maximum.reduceat(odds[1][read.grams], read.gram_starts)
-    return np.concatenate([model["words"][read.bucket], gram_mean(read, model["grams"]), odds[0][read.bucket][:, None], top[:, None]], axis=1).astype(np.float32)
+        return np.zeros((0, 2 * EMBED), np.float32)
+    grams = np.add.reduceat(model["grams"][read.grams], read.gram_starts, axis=0) / read.gram_counts[:, None]
+    return np.concatenate([model["words"][read.bucket], grams], axis=1).astype(np.float32)
 
 
-def log_odds(texts: list[Read], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For words and 4-grams, the log of the ratio of their shares of toxic and clean texts, drawn to 0 where rare."""
-    out = []
-    for grams in (False, True):
-        seen = np.zeros((2, BUCKETS))
-        for read, y in zip(texts, labels, strict=True):
-            seen[int(y), np.unique(read.grams if grams else read.bucket)] += 1
-        total = np.maximum(np.bincount(labels.astype(int), minlength=2), 1)[:, None]
-        share = (seen + 0.5) / (total + 1)
-        weight = seen.sum(0) / (seen.sum(0) + 2)
-        out.append((np.log(share[1] / share[0]) * weight / 2).astype(np.float32))
-    return out[0], out[1]
+def log_odds(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """For word buckets the log of the ratio of their shares of toxic and clean texts, drawn to 0 where rare; ``seen``: (2, BUCKETS)."""
+    share = (seen + 0.5) / (np.maximum(texts, 1)[:, None] + 1)
+    return (np.log(share[1] / share[0]) * seen.sum(0) / (seen.sum(0) + 2)).astype(np.float32)
+
+
+def picked_windows(text: bytes, toxic: bool, odds: np.ndarray, seed: int) -> list[bytes]:
+    """The windows of a whole text to train on: a toxic one's most suspect; a clean one's two most suspect and two by chance."""
+    words = Words([text], lower=True, spaces=_SPACES)
+    n = len(words.hashes)
+    if not n:
+        return []
+    suspect = np.maximum(odds[(words.hashes % U64(BUCKETS)).astype(np.int64)], 0)
+    starts = np.arange(max(1, -(-(n - LENGTH) // STRIDE) + 1)) * STRIDE
+    spread = starts[:, None] + np.arange(LENGTH)
+    values = np.where(spread < n, suspect[np.minimum(spread, n - 1)], 0)
+    by = np.argsort(-np.sort(values, axis=1)[:, -3:].sum(1), kind="stable")
+    chance = np.random.default_rng(seed & (1 << 63) - 1).integers(0, len(by), PICKED - 2)
+    chosen = by[:1] if toxic else np.unique(np.concatenate([by[:2], chance]))
+    return [b" ".join(words.data[a:b] for a, b in zip(words.starts[s : s + LENGTH].tolist(), words.stops[s : s + LENGTH].tolist(), strict=True)) for s in starts[chosen].tolist()]
 
 
 def new_model(seed: int = 7) -> dict:
-    g, h, d = np.random.default_rng(seed), HIDDEN, 2 * EMBED + 2
+    g, h, d = np.random.default_rng(seed), HIDDEN, 2 * EMBED
     model = {"words": g.normal(0, 0.05, (BUCKETS, EMBED)), "grams": g.normal(0, 0.05, (BUCKETS, EMBED))}
     for k in ("f", "b"):
         model |= {f"w{k}": g.normal(0, d**-0.5, (d, 3 * h)), f"u{k}": g.normal(0, h**-0.5, (h, 3 * h)), f"c{k}": np.zeros(3 * h)}
@@ -173,66 +185,39 @@ def backward(model: dict, x: np.ndarray, places: np.ndarray, real: np.ndarray, k
     return grads
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> dict:
-    """A model, with ``odds`` and the calibration (``slope``, ``shift``), of labelled texts."""
-    rng, model = np.random.default_rng(seed), new_model(seed)
-    reads = [Read([t]) for t in texts]
-    half = rng.permutation(len(texts)) % 2
-    across = [log_odds([r for r, g in zip(reads, half, strict=True) if g != k], labels[half != k]) for k in (0, 1)]
-    model["odds"] = log_odds(reads, labels)
-    picked = []
-    for i, read in enumerate(reads):
-        places, _, real = read.windows(TRAIN_WORDS)
-        if not len(places):
-            continue
-        suspect = np.where(real, np.maximum(across[half[i]][0][read.bucket], 0)[places] if len(read.bucket) else 0, 0)
-        by = np.argsort(-np.sort(suspect, axis=1)[:, -3:].sum(1), kind="stable")
-        chosen = by[:1] if labels[i] else np.unique(np.concatenate([by[:2], rng.integers(0, len(by), 2)]))
-        picked += [(i, w, places[w], real[w]) for w in chosen]
-    positive = sum(bool(labels[p[0]]) for p in picked)
-    moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in model.items() if isinstance(v, np.ndarray) and k not in ("words", "grams")}
+def train(windows: list[bytes], labels: np.ndarray, seed: int = 7) -> dict:
+    """A model of labelled windows, not yet calibrated."""
+    rng, model, labels = np.random.default_rng(seed), new_model(seed), np.asarray(labels, np.float32)
+    read = Read(windows)
+    places, owner, real = read.windows()
+    labels = labels[owner]
+    dense = [k for k in model if k not in ("words", "grams")]
+    moments = {k: [np.zeros_like(model[k]), np.zeros_like(model[k])] for k in dense}
     scale = {k: np.full(BUCKETS, 1e-3, np.float32) for k in ("words", "grams")}
-    balance, step = (len(picked) - positive) / max(positive, 1), 0
-    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(picked), 1))) if picked else 0):
-        order = rng.permutation(len(picked))
+    positive = float(labels.sum())
+    balance, step = min((len(labels) - positive) / max(positive, 1), 4.0), 0
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(labels), 1))) if len(labels) else 0):
+        order = rng.permutation(len(labels))
         for s in range(0, len(order), BATCH):
-            batch = [picked[j] for j in order[s : s + BATCH]]
-            docs = sorted({p[0] for p in batch})
-            shift, xs, size = {}, [], 0
-            for i in docs:
-                shift[i] = size
-                xs.append(inputs(reads[i], model, across[half[i]]))
-                size += len(xs[-1])
-            x = np.concatenate(xs)
-            real = np.array([p[3] for p in batch])
-            places = np.where(real, np.array([p[2] + shift[p[0]] for p in batch]), 0)
-            y = np.array([labels[p[0]] for p in batch], np.float32)
-            logits, kept = forward(model, x, places, real, keep=True)
-            weight = np.where(y > 0, min(balance, 4.0), 1.0)
-            d = ((_sigmoid(logits) - y) * weight / len(batch)).astype(np.float32)
-            grads = backward(model, x, places, real, kept, d)
+            batch = order[s : s + BATCH]
+            used, at = np.unique(places[batch], return_inverse=True)
+            part = read.part(used)
+            at, live, y = at.reshape(len(batch), LENGTH), real[batch], labels[batch]
+            x = inputs(part, model)
+            logits, kept = forward(model, x, at, live, keep=True)
+            d = ((_sigmoid(logits) - y) * np.where(y > 0, balance, 1.0) / len(batch)).astype(np.float32)
+            grads = backward(model, x, at, live, kept, d)
             step += 1
             for k, m in moments.items():
                 g = np.clip(grads[k], -1, 1)
                 m[0] = 0.9 * m[0] + 0.1 * g
                 m[1] = 0.99 * m[1] + 0.01 * g * g
                 model[k] -= 0.02 * m[0] / (1 - 0.9**step) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)
-            for i in docs:
-                g = grads["x"][shift[i] : shift[i] + len(reads[i].bucket)]
-                used = np.flatnonzero(np.abs(g).sum(1))
-                at, gw = reads[i].bucket[used], g[used, :EMBED]
-                np.add.at(scale["words"], at, (gw * gw).sum(1))
-                model["words"][at] -= 0.05 * gw / np.sqrt(scale["words"][at])[:, None]
-                gc = g[used, EMBED : 2 * EMBED] / reads[i].gram_counts[used][:, None]
-                grams = np.concatenate([reads[i].grams[reads[i].gram_starts[j] : reads[i].gram_starts[j] + reads[i].gram_counts[j]] for j in used]) if len(used) else np.zeros(0, int)
-                rows = np.repeat(gc, reads[i].gram_counts[used], axis=0)
-                np.add.at(scale["grams"], grams, (rows * rows).sum(1))
-                model["grams"][grams] -= 0.05 * rows / np.sqrt(scale["grams"][grams])[:, None]
-    tops = np.array([max_logit(model, r, across[half[i]], TRAIN_WORDS)[0] for i, r in enumerate(reads)])
-    known = np.isfinite(tops)
-    model["slope"], model["shift"] = _calibrate(tops[known], labels[known].astype(float))
-    rate = labels.mean() if len(labels) else 0.0
-    model["empty"] = float(min(max(rate, 1e-3), 0.49))
+            own, rows = grads["x"][:, :EMBED], np.repeat(grads["x"][:, EMBED:] / part.gram_counts[:, None], part.gram_counts, axis=0)
+            for k, buckets, g in (("words", part.bucket, own), ("grams", part.grams, rows)):
+                np.add.at(scale[k], buckets, (g * g).sum(1))
+                np.subtract.at(model[k], buckets, 0.05 * g / np.sqrt(scale[k][buckets])[:, None])
+    model["slope"], model["shift"], model["empty"] = 1.0, 0.0, 0.0
     return model
 
 
@@ -255,14 +240,14 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b - a * mean)
 
 
-def max_logit(model: dict, read: Read, odds=None, limit: int | None = None) -> np.ndarray:
+def max_logit(model: dict, read: Read) -> np.ndarray:
     """Each text's highest window logit; -inf for texts without words."""
     top = np.full(len(read.counts), -np.inf)
-    places, owner, real = read.windows(limit)
-    x = inputs(read, model, odds or model["odds"])
+    places, owner, real = read.windows()
+    x = inputs(read, model)
     for s in range(0, len(places), 4096):
         part = slice(s, s + 4096)
-        logits, _ = forward(model, x, np.maximum(places[part], 0), real[part])
+        logits, _ = forward(model, x, places[part], real[part])
         np.maximum.at(top, owner[part], logits)
     return top
 
@@ -281,17 +266,53 @@ def held_out() -> F.Column:
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict:
-    """A model of the bounded sample of labelled rows; without labelled rows of both kinds it scores all the same."""
+def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
+    """A model of the bounded sample of labelled rows; without labelled rows of both kinds it scores all the same.
+
+    Of rows that share a doc_id the one with the least text is read. A fifth of the sample calibrates, the rest trains.
+    """
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     few = None
     for toxic, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
         own = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         few = own if few is None else few.union(own)
-    # A few thousand rows: bounded by the two parameters. Long texts are cut for training only.
-    bounded = F.when(F.length("text") > 8 * TRAIN_WORDS, F.substring("text", 1, 8 * TRAIN_WORDS)).otherwise(F.col("text"))
-    sample = docs.select("doc_id", bounded.alias("text")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train(to_bytes([r.text for r in sample]), np.array([r.toxic for r in sample], int))
+    # A few thousand rows: bounded by the two parameters.
+    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    part = lambda salt, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(n)).cast("int")
+    sample = stage(sample.select("toxic", part(1, 2).alias("half"), (part(2, 5) == 0).alias("apart"), F.xxhash64("doc_id").alias("seed"), "text").repartition(width(docs.sparkSession), "seed"), "toxicity-sample")
+
+    def buckets(batches):
+        for pdf in batches:
+            found = [np.unique((Words([t], lower=True, spaces=_SPACES).hashes % U64(BUCKETS)).astype(np.int32)) for t in to_bytes(pdf["text"].array)]
+            group = np.repeat((2 * pdf["half"] + pdf["toxic"]).to_numpy(np.int32), [len(f) for f in found])
+            yield pd.DataFrame({"bucket": np.concatenate(found), "group": group})
+
+    trained = sample.where("not apart")
+    counted = trained.mapInPandas(buckets, "bucket int, group int").groupBy("bucket").agg(*[F.sum((F.col("group") == g).cast("int")).alias(f"n{g}") for g in range(4)])
+    seen, texts = np.zeros((4, BUCKETS)), np.zeros(4)
+    for r in counted.where("n0 + n1 + n2 + n3 > 1").collect():  # a row for each bucket at most
+        seen[:, r.bucket] = r.n0, r.n1, r.n2, r.n3
+    for r in trained.groupBy((2 * F.col("half") + F.col("toxic")).alias("g")).agg(F.count("*").alias("n")).collect():
+        texts[r.g] = r.n
+    odds = [log_odds(seen[2:], texts[2:]), log_odds(seen[:2], texts[:2])]  # for a half, by the other one
+
+    def pick(batches):
+        for pdf in batches:
+            rows = [(t, w) for text, t, h, s in zip(to_bytes(pdf["text"].array), pdf["toxic"], pdf["half"], pdf["seed"], strict=True) for w in picked_windows(text, bool(t), odds[h], s)]
+            yield pd.DataFrame(rows, columns=["toxic", "words"])
+
+    picked = sorted((r.words, r.toxic) for r in trained.mapInPandas(pick, "toxic int, words binary").collect())
+    model = train([bytes(w) for w, _ in picked], np.array([t for _, t in picked], int), seed)
+
+    def tops(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"toxic": pdf["toxic"], "top": np.concatenate([max_logit(model, Read([t])) for t in to_bytes(pdf["text"].array)])})
+
+    apart = [(r.top, r.toxic) for r in sample.where("apart").mapInPandas(tops, "toxic int, top double").collect() if np.isfinite(r.top)]
+    model["slope"], model["shift"] = _calibrate(np.array([t for t, _ in sorted(apart)]), np.array([float(y) for _, y in sorted(apart)]))
+    rate = (texts[1] + texts[3]) / max(texts.sum(), 1)
+    model["empty"] = float(min(max(rate, 1e-3), 0.49))
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

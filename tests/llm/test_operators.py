@@ -22,7 +22,7 @@ from pixelweave.llm.spotsigs import fingerprints, near_pairs
 from pixelweave.llm.substring import substring_dedup
 from pixelweave.llm.token_store import EliasFano, store_and_read
 from pixelweave.llm.tokens import Encoder, vocabulary
-from pixelweave.llm.toxicity import toxicity, train, score_texts
+from pixelweave.llm.toxicity import HIDDEN, LENGTH, Read, backward, forward, inputs, new_model, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gram string, key int, rank int, range int, frag int, did int"
@@ -334,19 +334,51 @@ def test_secrets_take_long_values_whole(spark):
         assert f"value:{at}:{at + len(value)}" in row.spans.split(",")
 
 
-def test_toxicity_learns():
+def test_toxicity_learns(spark):
     rng = random.Random(8)
     words = [f"w{k}" for k in range(500)]
-    texts, labels = [], []
-    for k in range(300):
-        t = [rng.choice(words) for _ in range(rng.randint(5, 200))]
+    rows = []
+    for k in range(400):
+        t = [rng.choice(words) for _ in range(rng.randint(5, 200) if k % 9 else 3000)]
         if k % 4 == 0:
             t.insert(rng.randrange(len(t)), rng.choice(("nastything", "vileword")) + rng.choice(("", "s", "ed")))
-        texts.append(" ".join(t).encode())
-        labels.append(int(k % 4 == 0))
-    model = train(texts[:220], np.array(labels[:220]))
-    p = score_texts(model, texts[220:]) >= 0.5
-    assert (p == np.array(labels[220:])).mean() > 0.9
+        rows.append((k, " ".join(t), int(k % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity(df, df).join(df, "doc_id").where("held_out").toPandas()
+    assert len(out) > 50 and (out.predicted == out.toxic).mean() > 0.9
+
+
+def test_toxicity_gradients_and_plain_forward():
+    rng = np.random.default_rng(1)
+    model, read = new_model(3), Read([b"some words of a text", b"others", b"a b c d e f " * 9])
+    model = {k: v.astype(np.float64) for k, v in model.items()}
+    places, owner, real = read.windows()
+    x = inputs(read, model).astype(np.float64)
+    logits, kept = forward(model, x, places, real, keep=True)
+    for n in range(len(places)):  # word by word
+        states = []
+        for k, order in (("f", 1), ("b", -1)):
+            h, own = np.zeros(HIDDEN), []
+            for t in [t for t in range(LENGTH) if real[n, t]][::order]:
+                v, g = h @ model[f"u{k}"], x[places[n, t]] @ model[f"w{k}"] + model[f"c{k}"]
+                z, r = (1 / (1 + np.exp(-(g + v)[a : a + HIDDEN])) for a in (0, HIDDEN))
+                h = z * h + (1 - z) * np.tanh(g[2 * HIDDEN :] + r * v[2 * HIDDEN :])
+                own.append(h)
+            states.append(own[::order])
+        both = np.concatenate([np.array(s) for s in states], axis=1)
+        share = np.exp(both @ model["attend"])
+        assert abs((share / share.sum()) @ (both @ model["out"]) + model["bias"][0] - logits[n]) < 1e-4
+    weights = rng.normal(size=len(logits))
+    grads = backward(model, x, places, real, kept, weights)
+    for k in ("wf", "ub", "cf", "attend", "out", "bias"):
+        at = tuple(rng.integers(0, s) for s in model[k].shape)
+        value = model[k][at]
+        sides = []
+        for step in (1e-2, -1e-2):
+            model[k][at] = value + step
+            sides.append(weights @ forward(model, x, places, real)[0])
+        model[k][at] = value
+        assert abs((sides[0] - sides[1]) / 2e-2 - grads[k][at]) < 2e-3 * max(1, abs(grads[k][at]))
 
 
 def test_toxicity_rows(spark, odd, empty):
