@@ -257,9 +257,14 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
     )
     compare(found, "rest")
 
-    named = members.join(joined, "sid", "left").withColumn("component", F.when(F.col("size") > 0, F.coalesce("component", "sid")))
-    least = named.where("size > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
-        *(["mark", F.col("component").alias("set_id")] if mark else []),
+    # Copies share a set and related sets a component, either of which may hold much of the table: both go through ``attach``.
+    own = members.where("size > 0").groupBy("sid").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).join(joined, "sid", "left")
+    own = stage(own.select("sid", F.col("n").alias("copies"), F.coalesce("component", "sid").alias("component"), "least"), "owners")
+    least = own.groupBy("component").agg(F.min("least").alias("least"), F.count("*").alias("n"))
+    named = attach(own.drop("least"), least, ["component"], own.count()).select("sid", "component", "least", F.col("copies").alias("n"))
+    out = attach(members.where("size > 0"), named, ["sid"], members.count()).drop("n")
+    none = F.lit(None).cast("long")
+    out = out.unionByName(members.where("size = 0").select("*", none.alias("component"), F.col("doc_id").alias("least")))
+    return out.select(
+        "doc_id", F.col("size").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), *(["mark", F.col("component").alias("set_id")] if mark else [])
     )

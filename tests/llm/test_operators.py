@@ -396,3 +396,69 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns == list(corpus_pipeline.COLUMNS)
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_pipeline_on_odd_rows(spark, odd, empty, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(3, 1, 0), (4, 1, 0), (10, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for table in (odd, empty):
+        docs = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+        assert (corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0) == (table is odd)
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    words = [f"u{k}" for k in range(60)]
+    base = [[rng.choice(words) for _ in range(50)] for _ in range(5)]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 6, 7, 8]), " ".join(base[k % 5][: 50 - rng.randint(0, 3)])) for k in range(60)]
+    rows += [(4, "a b"), (6, "a b"), (6, "other text"), (6, "other text"), (None, ""), (None, ""), (9, None), (9, None), (None, "a b")]
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    mark = {r.text: r.m for r in df.select("text", F.xxhash64("text").alias("m")).collect()}
+    sets = {}
+    for t in {t for _, t in rows if t}:
+        w = t.split()
+        sets[t] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    want = [r for r in rows if not r[1]]
+    groups = _components([(a, b) for a in sets for b in sets if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], sets)
+    for g in set(groups.values()):
+        want.append(min({r for r in rows if r[1] and groups[r[1]] == g}, key=lambda r: (r[0] is None, r[0], mark[r[1]])))
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, df, "").collect()]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_ngram_join_splits_crowds(spark, monkeypatch):
+    from pixelweave.llm import common, ngram_join
+
+    monkeypatch.setattr(ngram_join, "CROWD", 3)
+    monkeypatch.setattr(common, "HOT", 4)
+    rng = random.Random(12)
+    core = [f"c{k}" for k in range(12)]
+    texts = {k: " ".join(core + [f"x{rng.randint(0, 9)}" for _ in range(rng.choice((3, 4, 5)))]) for k in range(80)}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts.items()}
+    want = _components([(a, b) for a in texts for b in texts if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], texts)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), fragments=1024).collect()}
+    assert got == want
+
+
+def test_token_files_are_cut_and_hold_the_library_encoding(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rows = store_and_read(odd, path, file_bytes=100).collect()
+    crc = lambda t: zlib.crc32(np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    want = sorted(((r.doc_id, crc(r.text)) for r in odd.collect()), key=key)
+    assert sorted(((r.doc_id, r.ids_crc32) for r in rows), key=key) == want
+    at = 0
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
