@@ -182,7 +182,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75, fragments:
         _cut(fragments, n),
         "frag int, sids binary, counts binary, grams binary, doc_ids binary, known binary, marks binary, doc_sids binary, sizes binary",
     )
-    met = stage(packed.repartition(width(spark), "frag").groupBy("frag").applyInArrow(_meet, _MET), "fragments")
+    met = stage(packed.repartition(max(width(spark), fragments // 4), "frag").groupBy("frag").applyInArrow(_meet, _MET), "fragments")
     members = stage(met.where("size is not null").select("doc_id", "mark", "sid", "size"), "members")
     segments = met.where("frag is not null").select("sid", "frag", "n_shared", "grams", "freqs")
     sets = members.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"))
