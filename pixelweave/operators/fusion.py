@@ -31,10 +31,10 @@ def distance_weight(kind: str = "cosine") -> Column:
     return 0.5 * (1 - F.cos(d * F.lit(3.141592653589793))) if kind == "cosine" else 1 / (1 + F.exp(-10 * (d - 0.5)))
 
 
-def fuse(px: DataFrame, tiles: DataFrame, weight: Column) -> DataFrame:
-    """(y, x, value) of ``px`` cut into ``tiles`` and fused again."""
-    each = in_tiles(px, tiles).withColumn("weight", weight)
-    return each.groupBy("y", "x").agg((F.sum(F.col("weight") * F.col("g")) / F.greatest(F.sum("weight"), F.lit(1e-6))).alias("value"))
+def fuse(px: DataFrame, tiles: DataFrame, weight: Column, value: Column | None = None) -> DataFrame:
+    """(y, x, value) of ``px`` cut into ``tiles`` and fused again; ``value``: what a tile shows at a place, if not ``g``."""
+    each = in_tiles(px, tiles).withColumns({"weight": weight, "shown": F.col("g") if value is None else value})
+    return each.groupBy("y", "x").agg((F.sum(F.col("weight") * F.col("shown")) / F.greatest(F.sum("weight"), F.lit(1e-6))).alias("value"))
 
 
 def running_sums(px: DataFrame) -> DataFrame:

@@ -123,23 +123,29 @@ def mosaic_tiles(spark, p):
     return tiling.tile_grid(sizes, 64, 0.2).withColumn("overlap_bottom", F.when(F.col("y") + F.col("h") < h, 12).otherwise(0)).withColumn("overlap_right", F.when(F.col("x") + F.col("w") < w, 12).otherwise(0))
 
 
-@query(PX + "select y, x, round(g::double, 6) as value from px")
-def fuse_feather(spark, d):
-    p = px(spark, d)
-    return fusion.fuse(p.drop("vec_id"), mosaic_tiles(spark, p), fusion.feather_weight()).select("y", "x", *r6("value"))
+def shown():
+    """What a tile shows: each tile of the grid is brighter by an amount of its own, so that weights matter where tiles overlap."""
+    return F.col("g") + F.col("tile_row") * 7 + F.col("tile_col") * 3
 
 
 FUSED = PX + """, rs as (select unnest(range(greatest(1, ceil((hh - 12) / 52.0))::int)) * 52 as ty, hh from dims), cs as (select unnest(range(greatest(1, ceil((ww - 12) / 52.0))::int)) * 52 as tx, ww from dims),
-t as (select ty, tx, least(64, hh - ty) as h, least(64, ww - tx) as w from rs, cs),
-e as (select px.y, px.x, g, least(1.0::double, least(px.y - ty, px.x - tx, h - 1 - (px.y - ty), w - 1 - (px.x - tx)) / greatest(1, least(h, w) // 8)::double) as dist
+t as (select ty, tx, hh, ww, least(64, hh - ty) as h, least(64, ww - tx) as w from rs, cs),
+e as (select px.y, px.x, g + ty // 52 * 7 + tx // 52 * 3 as g, px.y - ty as i, px.x - tx as j, t.*, least(1.0::double, least(px.y - ty, px.x - tx, h - 1 - (px.y - ty), w - 1 - (px.x - tx)) / greatest(1, least(h, w) // 8)::double) as dist
   from px join t on px.y >= ty and px.y < ty + h and px.x >= tx and px.x < tx + w), ww2 as (select *, WEIGHT as weight from e)
 select y, x, round(sum(weight * g) / greatest(sum(weight), 1e-6::double), 6) as value from ww2 group by y, x"""
+FEATHER = "*".join(f"(case when {inner} then least(1.0::double, ({at}) / 11.0::double) else 1 end)" for inner, at in (("ty > 0", "i"), ("ty + h < hh", "h - 1 - i"), ("tx > 0", "j"), ("tx + w < ww", "w - 1 - j")))
+
+
+@query(FUSED.replace("WEIGHT", FEATHER))
+def fuse_feather(spark, d):
+    p = px(spark, d)
+    return fusion.fuse(p.drop("vec_id"), mosaic_tiles(spark, p), fusion.feather_weight(), shown()).select("y", "x", *r6("value"))
 
 
 def fused(kind):
     def run(spark, d):
         p = px(spark, d)
-        return fusion.fuse(p.drop("vec_id"), mosaic_tiles(spark, p), fusion.distance_weight(kind)).select("y", "x", *r6("value"))
+        return fusion.fuse(p.drop("vec_id"), mosaic_tiles(spark, p), fusion.distance_weight(kind), shown()).select("y", "x", *r6("value"))
 
     run.__name__ = f"fuse_weighted_{kind}"
     return run
@@ -526,10 +532,10 @@ def agent_status_counts(spark, d):
     return agents(spark, d).groupBy("status").agg(F.count("*").alias("n"), F.count_if(scheduling.available()).alias("n_ready"))
 
 
-@query(PX + ", " + ROIS + """, covered as (select distinct y, x, 1 as hit from px join rois on x >= x0 and x < x0 + w and y >= y0 and y < y0 + h where roi_id % 10 = 0)
+@query(PX + ", " + ROIS + """, covered as (select distinct y, x, 1 as hit from px join rois on x >= x0 and x < x0 + w and y >= y0 and y < y0 + h)
 select vec_id, round(avg(coalesce(hit, 0)), 6) as ratio, coalesce(max(hit), 0) > 0 as touched from px left join covered using (y, x) group by vec_id""")
 def forbidden_ratio(spark, d):
-    return quality.covered_share(px(spark, d), rois(spark, d).where("roi_id % 10 = 0"), "vec_id").select("vec_id", *r6("ratio"), "touched")
+    return quality.covered_share(px(spark, d), rois(spark, d), "vec_id").select("vec_id", *r6("ratio"), "touched")
 
 
 @query(PX + """, t as (select vec_id, y % 8 * 8 + x % 8 as p, g from px), r as (select p, g + p % 3 as h from t where vec_id = 7)

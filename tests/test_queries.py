@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import fusion, scheduling, seams, tiling
+from pixelweave.operators import blocks, fusion, scheduling, seams, tiling
 from pixelweave.plans import queries
 from pixelweave.streaming import heartbeats
 
@@ -111,3 +111,48 @@ def test_entry_without_the_optional_subpackage(tmp_path):
             shutil.copy(root / name, at / name)
         code = "import __spark_entry__ as e; assert 'tile_grid' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
         subprocess.run([sys.executable, "-c", code], cwd=at, check=True, env={**os.environ, "PYTHONPATH": str(at)})
+
+
+def _down(a):
+    p = np.pad(a, 2, mode="reflect")
+    k = np.array([1, 4, 6, 4, 1]) / 16
+    return sum(k[i] * k[j] * p[i : i + a.shape[0], j : j + a.shape[1]] for i in range(5) for j in range(5))[::2, ::2]
+
+
+def _up(a, shape):
+    def axis(b, n):
+        first, last = b[1:2] if len(b) > 1 else b[:1], b[-1:]
+        p = np.concatenate([first, b, last])
+        out = np.empty((2 * len(b), b.shape[1]))
+        out[0::2], out[1::2] = (p[:-2] + 6 * p[1:-1] + p[2:]) / 8, (p[1:-1] + p[2:]) / 2
+        return out[:n]
+
+    return axis(axis(a, shape[0]).T, shape[1]).T
+
+
+def test_laplacian_fusion_against_whole_arrays(spark):
+    rng = np.random.default_rng(2)
+    tiles = [(0, 0, rng.integers(0, 256, (37, 30))), (0, 22, rng.integers(0, 256, (37, 30)))]
+    weights = [np.minimum(1, 0.2 + np.minimum(np.arange(30), np.arange(30)[::-1]) / 6)[None].repeat(37, 0)] * 2
+    rows = [(str(k), "c", y, x, int(g[y, x]), float(w[y, x]), ty, tx) for k, ((ty, tx, g), w) in enumerate(zip(tiles, weights, strict=True)) for y in range(37) for x in range(30)]
+    px = spark.createDataFrame(rows, "image_id string, canvas string, y int, x int, g int, weight double, tile_y int, tile_x int")
+    got = blocks.laplacian_fusion(blocks.to_blocks(px, ("g", "weight"), 16), px.select("image_id", "canvas", "tile_y", "tile_x").distinct(), 2, 16).toPandas()
+    total, base = np.zeros((37, 52)), np.zeros((37, 52))
+    for (ty, tx, g), w in zip(tiles, weights, strict=True):
+        gs, ws = [g.astype(float)], [w]
+        for _ in range(2):
+            gs.append(_down(gs[-1]))
+            ws.append(_down(ws[-1]))
+        out = gs[-1] * ws[-1]
+        for k in (1, 0):
+            out = (gs[k] - _up(gs[k + 1], gs[k].shape)) * ws[k] + _up(out, gs[k].shape)
+        total[ty : ty + 37, tx : tx + 30] += out
+        base[ty : ty + 37, tx : tx + 30] += w
+    want = np.clip(total / np.maximum(base, 1e-6), 0, 255)
+    assert len(got) == want.size and np.abs(want[got.y, got.x] - got.value).max() < 1e-6
+
+
+def test_blocks_hold_their_pixels(spark):
+    px = spark.range(50 * 33).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 33).cast("int").alias("y"), (F.col("id") % 33).cast("int").alias("x"), F.col("id").alias("g"))
+    back = blocks.to_pixels(blocks.to_blocks(px, block=16), 16)
+    assert back.join(px, ["image_id", "y", "x"]).where("value = g").count() == back.count() == 50 * 33
