@@ -5,14 +5,16 @@ directions of the network read windows of ``LENGTH`` words, every ``STRIDE`` wor
 window's states to one logit, and a text's score is its highest window's, calibrated on sampled texts that training left out.
 
 Training takes a bounded sample of labelled rows (``TOXIC_ROWS`` and ``CLEAN_ROWS``, the first by hash). Tasks read the whole
-sampled texts; only counts of word buckets, the windows to train on (at most ``PICKED`` a text) and the logits to calibrate
-by come to the driver. Texts are labelled as wholes, so a toxic text's most suspect window is taken to be toxic, by how much
+sampled texts; one task trains on the windows these pick (at most ``PICKED`` a text), and only counts of word buckets, the
+model and the logits to calibrate by come to the driver. Texts are labelled as wholes, so a toxic text's most suspect window is taken to be toxic, by how much
 more often its words stand in toxic texts of the other half of the sample. These statistics choose windows to train on; the
 network doesn't see them.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -290,8 +292,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
     trained = sample.where("not apart")
     counted = trained.mapInPandas(buckets, "bucket int, group int").groupBy("bucket").agg(*[F.sum((F.col("group") == g).cast("int")).alias(f"n{g}") for g in range(4)])
     seen, texts = np.zeros((4, BUCKETS)), np.zeros(4)
-    for r in counted.where("n0 + n1 + n2 + n3 > 1").collect():  # a row for each bucket at most
-        seen[:, r.bucket] = r.n0, r.n1, r.n2, r.n3
+    table = counted.where("n0 + n1 + n2 + n3 > 1").toArrow()  # a row for each bucket at most
+    for g in range(4):
+        seen[g, table["bucket"].to_numpy()] = table[f"n{g}"].to_numpy()
     for r in trained.groupBy((2 * F.col("half") + F.col("toxic")).alias("g")).agg(F.count("*").alias("n")).collect():
         texts[r.g] = r.n
     odds = [log_odds(seen[2:], texts[2:]), log_odds(seen[:2], texts[:2])]  # for a half, by the other one
@@ -301,12 +304,19 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
             rows = [(t, w) for text, t, h, s in zip(to_bytes(pdf["text"].array), pdf["toxic"], pdf["half"], pdf["seed"], strict=True) for w in picked_windows(text, bool(t), odds[h], s)]
             yield pd.DataFrame(rows, columns=["toxic", "words"])
 
-    picked = sorted((r.words, r.toxic) for r in trained.mapInPandas(pick, "toxic int, words binary").collect())
-    model = train([bytes(w) for w, _ in picked], np.array([t for _, t in picked], int), seed)
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip((bytes(w) for w in pdf["words"]), pdf["toxic"].tolist(), strict=True))
+        return pd.DataFrame({"model": [pickle.dumps(train([w for w, _ in rows], np.array([t for _, t in rows], int), seed))]})
+
+    # The windows of the bounded sample meet in one task, which leaves the driver's memory alone; the model is of fixed size.
+    picked = trained.mapInPandas(pick, "toxic int, words binary").withColumn("one", F.lit(1))
+    learned = picked.groupBy("one").applyInPandas(learn, "model binary").collect()
+    model = pickle.loads(learned[0].model) if learned else train([], np.zeros(0), seed)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def tops(batches):
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "top": np.concatenate([max_logit(model, Read([t])) for t in to_bytes(pdf["text"].array)])})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "top": np.concatenate([max_logit(shared.value, Read([t])) for t in to_bytes(pdf["text"].array)])})
 
     apart = [(r.top, r.toxic) for r in sample.where("apart").mapInPandas(tops, "toxic int, top double").collect() if np.isfinite(r.top)]
     model["slope"], model["shift"] = _calibrate(np.array([t for t, _ in sorted(apart)]), np.array([float(y) for _, y in sorted(apart)]))
