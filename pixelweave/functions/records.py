@@ -86,7 +86,8 @@ SUMMARY = (("psnr", "PSNR:      %.2f dB"), ("ms_ssim", "MS-SSIM:   %.4f"), ("lpi
 
 
 def summary(metrics: Column) -> Column:
-    """The text of a summary report from a map of metrics; a metric that is not there has no line."""
+    """The text of a summary report from a map of metrics; a metric that is not there has no line. Halves of the last
+    digit, in a number's shortest decimal form, go up."""
     rule = F.lit("=" * 50)
     lines = [F.when(F.try_element_at(metrics, F.lit(k)).isNotNull(), F.format_string(form, F.try_element_at(metrics, F.lit(k)))) for k, form in SUMMARY]
     return F.concat_ws("\n", rule, F.lit("Image quality summary"), rule, F.lit(""), *lines, F.lit(""), rule)

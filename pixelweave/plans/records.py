@@ -112,7 +112,7 @@ def range_normalise(spark, d):
 METRICS = "select o_orderkey as image_id, o_totalprice / 10000 as psnr, o_custkey % 100 / 100.0::double as ms_ssim, case when o_orderkey % 3 > 0 then o_custkey % 9 / 2.0::double end as niqe from orders"
 
 
-@query("with m as (" + METRICS + ") select image_id, concat_ws(chr(10), r, 'Image quality summary', r, '', printf('PSNR:      %.2f dB', psnr), printf('MS-SSIM:   %.4f', ms_ssim), case when niqe is not null then printf('NIQE:      %.2f', niqe) end, '', r) as report from (select *, repeat('=', 50) as r from m)")
+@query("with m as (" + METRICS + ") select image_id, concat_ws(chr(10), r, 'Image quality summary', r, '', printf('PSNR:      %.2f dB', round(psnr::decimal(18, 9), 2)::double), printf('MS-SSIM:   %.4f', round(ms_ssim::decimal(18, 9), 4)::double), case when niqe is not null then printf('NIQE:      %.2f', round(niqe::decimal(18, 9), 2)::double) end, '', r) as report from (select *, repeat('=', 50) as r from m)")
 def summary_report(spark, d):
     o = table(spark, d, "orders")
     values = F.create_map(F.lit("psnr"), F.col("o_totalprice") / 10000, F.lit("ms_ssim"), (F.col("o_custkey") % 100) / 100.0, F.lit("niqe"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey") % 9 / 2.0))
