@@ -33,11 +33,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/pixelweave/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table in the shared folder: lineage is cut and lost executors cost no recomputation."""
+def stage(df: DataFrame, name: str, onto: DataFrame | None = None) -> DataFrame:
+    """``df`` as a written table in the shared folder: lineage is cut and lost executors cost no recomputation.
+
+    With ``onto``, a staged table of the same columns, its rows and those of ``df``, in one table.
+    """
     spark = df.sparkSession
-    at = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
+    at = onto.staged_at if onto is not None else new_folder(spark, name)
+    df.write.mode("append").option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out.staged_at = at
     return out

@@ -59,45 +59,42 @@ def line_sequences(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.select("did", "mark", "i", "at.no", (F.size("lines") - F.col("i")).alias("left"), "at.line", reach.alias("reach"))
 
 
-def _later(runs: DataFrame, keys: list[str], length: int, total: int) -> DataFrame:
+def _later(runs: DataFrame, keys: list[str], total: int) -> DataFrame:
     """(did, mark, i, lines): the suffixes in ``runs`` that are not the first, by place, of their interval ``keys``."""
     firsts = runs.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return attach(runs.select(*PLACE, *keys), firsts, keys, total).where(F.struct(*PLACE) > F.col("first")).select(*PLACE, F.lit(length).alias("lines"))
+    return attach(runs.select(*PLACE, *keys, "lines"), firsts, keys, total).where(F.struct(*PLACE) > F.col("first")).select(*PLACE, "lines")
 
 
 def repeated_runs(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """The table of lines, and (did, mark, i, lines): for each line at which repeated runs start that also start earlier, the most
-    lines of an interval's prefix. ``docs``: did, mark, text."""
+    lines of an interval's prefix. ``docs``: did, mark, text.
+
+    A round's number of lines is a column of its table, and ranges and hot keys go by the number of all lines: so all rounds are the
+    same plan, whose code is made once on the driver and on each executor, however many rounds there are.
+    """
     lines = stage(line_sequences(docs, min_words), "lines")
     total = lines.count()
     first = _rank(lines.select("line").withColumn("zero", F.lit(0).cast("long")), "zero", "line", F.lit(-(1 << 63)), F.lit(_LAST))
-    level = stage(attach(lines, first, ["line"], total).select(*PLACE, "left", "reach", "rank"), "suffixes-1")
-    found, span, written = [], 1, []
-    while True:
-        size = level.count()
+    level = stage(attach(lines, first, ["line"], total).select(*PLACE, "left", "reach", "rank", F.lit(1).alias("lines")), "suffixes")
+    found, span = None, 1
+    while level.count():
         # Equal runs have equal words, so whether a run has enough of them (``reach``) holds for its whole interval.
-        if size:
-            found.append(stage(_later(level.where(F.col("reach") <= span), ["rank"], span, size), f"later-{span}"))
-        for length in range(span + 1, min(2 * span, min_words + 1) if size else 0):
+        found = stage(_later(level.where("reach <= lines"), ["rank"], total), "later", found)
+        for length in range(span + 1, min(2 * span, min_words + 1)):
             half = level.select("did", "mark", (F.col("i") - (length - span)).alias("i"), F.col("rank").alias("next"))
-            both = level.where((F.col("left") >= length) & (F.col("reach") <= length)).join(half, PLACE)
-            found.append(stage(_later(both, ["rank", "next"], length, size), f"later-{length}"))
-        written.append(level)
-        if not size:
-            break
+            both = level.where((F.col("left") >= length) & (F.col("reach") <= length)).withColumn("lines", F.lit(length)).join(half, PLACE)
+            found = stage(_later(both, ["rank", "next"], total), "later", found)
         # Only suffixes with lines enough for the next round, whose second half is in an interval too, go on.
-        ahead = level.select("did", "mark", (F.col("i") - span).alias("i"), F.col("rank").alias("next"))
-        pairs = stage(level.where(F.col("left") >= 2 * span).join(ahead, PLACE), f"pairs-{2 * span}")
-        most = pairs.agg(F.max("next").alias("m"), F.count("*").alias("n")).first()
-        ranks = _rank(pairs.select(F.col("rank").alias("base"), "next"), "base", "next", F.lit(0), F.lit(most.m or 0)).withColumnRenamed("rank", "new")
-        ranked = attach(pairs, ranks.withColumnRenamed("base", "rank"), ["rank", "next"], most.n)
-        level = stage(ranked.select(*PLACE, "left", F.least("reach", F.lit(min_words)).alias("reach"), F.col("new").alias("rank")), f"suffixes-{2 * span}")
-        written.append(pairs)
+        ahead = level.select("did", "mark", (F.col("i") - F.col("lines")).alias("i"), F.col("rank").alias("next"))
+        pairs = stage(level.where("left >= 2 * lines").join(ahead, PLACE), "pairs")
+        unstage(level)
+        ranks = _rank(pairs.select(F.col("rank").alias("base"), "next"), "base", "next", F.lit(0), F.lit(total)).withColumnRenamed("rank", "new")
+        ranked = attach(pairs, ranks.withColumnRenamed("base", "rank"), ["rank", "next"], total)
+        level = stage(ranked.select(*PLACE, "left", "reach", F.col("new").alias("rank"), (F.col("lines") * 2).alias("lines")), "suffixes")
+        unstage(pairs)
         span *= 2
-    runs = found[0] if found else lines.limit(0).select(*PLACE, F.lit(0).alias("lines"))
-    for more in found[1:]:
-        runs = runs.union(more)
-    unstage(*written)
+    unstage(level)
+    runs = found if found is not None else lines.limit(0).select(*PLACE, F.lit(0).alias("lines"))
     return lines, runs.groupBy(*PLACE).agg(F.max("lines").alias("lines"))
 
 
