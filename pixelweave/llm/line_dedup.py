@@ -25,19 +25,20 @@ _RANGES = 1024
 PLACE = ["did", "mark", "i"]
 
 
-def _rank(suffixes: DataFrame, base: str, by: str, low: Column, high: Column) -> DataFrame:
-    """(base, by, n, rank): ranks of the pairs (base, by) that more than one suffix has; rank orders by base, then by.
+def _rank(suffixes: DataFrame, base: str, by: str, low: Column, high: Column, *more: Column) -> DataFrame:
+    """(base, by, n, rank) and aggregates ``more``: ranks of the pairs (base, by) that more than one suffix has; rank orders by base, then by.
 
     ``base`` is a rank already, so a pair's is that plus the number of suffixes of the same base with a smaller ``by``.
     Running sums go over ranges of ``by`` first and inside a range after, so a base that many share is no single task's.
     """
-    pairs = suffixes.groupBy(base, by).agg(F.count("*").alias("n")).where("n > 1")
+    pairs = suffixes.groupBy(base, by).agg(F.count("*").alias("n"), *more).where("n > 1")
+    others = [c for c in pairs.columns if c not in (base, by, "n")]
     span = F.greatest(F.lit(1.0), (high.cast("double") - low.cast("double")) / _RANGES)
     pairs = pairs.withColumn("range", F.floor((F.col(by).cast("double") - low.cast("double")) / span).cast("int"))
     ranges = pairs.groupBy(base, "range").agg(F.sum("n").alias("total"))
     before = ranges.withColumn("before", F.sum("total").over(Window.partitionBy(base).orderBy("range")) - F.col("total")).drop("total")
     inside = F.sum("n").over(Window.partitionBy(base, "range").orderBy(by)) - F.col("n")
-    return pairs.withColumn("inside", inside).join(before, [base, "range"]).select(base, by, "n", (F.col(base) + F.col("before") + F.col("inside")).alias("rank"))
+    return pairs.withColumn("inside", inside).join(before, [base, "range"]).select(base, by, "n", *others, (F.col(base) + F.col("before") + F.col("inside")).alias("rank"))
 
 
 def line_sequences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -75,27 +76,32 @@ def repeated_runs(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
     lines = stage(line_sequences(docs, min_words), "lines")
     total = lines.count()
     first = _rank(lines.select("line").withColumn("zero", F.lit(0).cast("long")), "zero", "line", F.lit(-(1 << 63)), F.lit(_LAST))
-    level = stage(attach(lines, first, ["line"], total).select(*PLACE, "left", "reach", "rank", F.lit(1).alias("lines")), "suffixes")
-    found, span = None, 1
-    while level.count():
-        # Equal runs have equal words, so whether a run has enough of them (``reach``) holds for its whole interval.
-        found = stage(_later(level.where("reach <= lines"), ["rank"], total), "later", found)
+    # ``later``: whether the suffix is not the first of its interval; lines of round one tell that only where one line is enough.
+    columns = [*PLACE, "left", "reach", "rank", "lines"]
+    level = attach(lines, first, ["line"], total).select(*PLACE, "left", "reach", "rank", F.lit(1).alias("lines"), F.lit(False).alias("later"))
+    level = stage(level, "suffixes")
+    # Equal runs have equal words, so whether a run has enough of them (``reach``) holds for its whole interval.
+    found, span = stage(_later(level.where("reach <= lines"), ["rank"], total), "later"), 1
+    while not level.isEmpty():
         for length in range(span + 1, min(2 * span, min_words + 1)):
             half = level.select("did", "mark", (F.col("i") - (length - span)).alias("i"), F.col("rank").alias("next"))
             both = level.where((F.col("left") >= length) & (F.col("reach") <= length)).withColumn("lines", F.lit(length)).join(half, PLACE)
             found = stage(_later(both, ["rank", "next"], total), "later", found)
         # Only suffixes with lines enough for the next round, whose second half is in an interval too, go on.
         ahead = level.select("did", "mark", (F.col("i") - F.col("lines")).alias("i"), F.col("rank").alias("next"))
-        pairs = stage(level.where("left >= 2 * lines").join(ahead, PLACE), "pairs")
+        pairs = stage(level.where("left >= 2 * lines").select(*columns).join(ahead, PLACE), "pairs")
         unstage(level)
-        ranks = _rank(pairs.select(F.col("rank").alias("base"), "next"), "base", "next", F.lit(0), F.lit(total)).withColumnRenamed("rank", "new")
-        ranked = attach(pairs, ranks.withColumnRenamed("base", "rank"), ["rank", "next"], total)
-        level = stage(ranked.select(*PLACE, "left", "reach", F.col("new").alias("rank"), (F.col("lines") * 2).alias("lines")), "suffixes")
+        place = F.struct(*PLACE)
+        halves = pairs.select(F.col("rank").alias("base"), "next", *PLACE)
+        ranks = _rank(halves, "base", "next", F.lit(0), F.lit(total), F.min(place).alias("first"))
+        ranked = attach(pairs, ranks.select(F.col("base").alias("rank"), "next", "n", "first", F.col("rank").alias("new")), ["rank", "next"], total)
+        later = (place > F.col("first")).alias("later")
+        level = stage(ranked.select(*PLACE, "left", "reach", F.col("new").alias("rank"), (F.col("lines") * 2).alias("lines"), later), "suffixes")
         unstage(pairs)
+        found = stage(level.where("later and reach <= lines").select(*PLACE, "lines"), "later", found)
         span *= 2
     unstage(level)
-    runs = found if found is not None else lines.limit(0).select(*PLACE, F.lit(0).alias("lines"))
-    return lines, runs.groupBy(*PLACE).agg(F.max("lines").alias("lines"))
+    return lines, found.groupBy(*PLACE).agg(F.max("lines").alias("lines"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
