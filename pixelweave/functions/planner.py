@@ -38,9 +38,10 @@ def backoff(attempt: Column, first: float = 1.0, most: float = 8.0) -> Column:
     return F.least(F.lit(most), first * F.pow(F.lit(2.0), attempt))
 
 
-def prompt(category: Column, custom: Column, templates: dict[str, tuple[str, str, str, str]], default: str) -> Column:
-    """The custom part (if any), subject, style and quality, comma-joined; after ### what to avoid. ``templates``: those four by category."""
-    parts = lambda t: F.concat(F.concat_ws(", ", custom, *map(F.lit, t[:3])), F.lit("###" + t[3]))
+def prompt(category: Column, custom: Column, templates: dict[str, tuple[str, str, str, str]], default: str, avoid: Column | None = None) -> Column:
+    """The custom part (if any), subject, style and quality, comma-joined; where ``avoid`` is true, ### and what to avoid. ``templates``: those four by category."""
+    wanted = F.lit(False) if avoid is None else avoid
+    parts = lambda t: F.concat(F.concat_ws(", ", custom, *map(F.lit, t[:3])), F.when(wanted, "###" + t[3]).otherwise(""))
     out = parts(templates[default])
     for name, t in templates.items():
         out = F.when(category == name, parts(t)).otherwise(out)

@@ -46,8 +46,12 @@ BINOMIAL = [(dy, dx, (2 - abs(dy)) * (2 - abs(dx)) / 16) for dy in (-1, 0, 1) fo
 
 
 def block_artifacts(px: DataFrame, block: int = 8) -> DataFrame:
-    by = px.groupBy(F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx")).agg(F.var_pop("g").alias("v"))
-    return by.agg(F.greatest(F.lit(0.0), 100 - F.var_pop("v") / 100).alias("artifact_score"))
+    """One row: 100 less the variance of the blocks' variances over 100; only blocks that end before the last row and column count, and one alone gives 100."""
+    size = px.agg((F.max("y") + 1).alias("hh"), (F.max("x") + 1).alias("ww"))
+    keyed = px.select("g", F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx")).join(F.broadcast(size))  # one row
+    by = keyed.where((F.col("by") * block < F.col("hh") - block) & (F.col("bx") * block < F.col("ww") - block)).groupBy("by", "bx").agg(F.var_pop("g").alias("v"))
+    score = F.greatest(F.lit(0.0), 100 - F.var_pop("v") / 100)
+    return by.agg(F.when(F.count("*") > 1, score).otherwise(100.0).alias("artifact_score"))
 
 
 def uniformity(px: DataFrame, height: int, width: int, cells: int = 4) -> DataFrame:

@@ -67,12 +67,24 @@ def recent_failures(events: DataFrame, seconds: int = 300) -> DataFrame:
     return events.withColumn("n_recent", F.count("*").over(recent)).withColumn("degrades", F.col("n_recent") >= 3)
 
 
-def ewma(events: DataFrame, keep: float = 0.9) -> DataFrame:
-    """(agent, duration): the first duration, then moved towards each next one by 1 - ``keep``; zeros are skipped."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct("at", "event_id", "duration"))), lambda e: e["duration"])
-    series = events.where("duration > 0").groupBy("agent").agg(values.alias("v"))
-    fold = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), F.element_at("v", 1), lambda a, x: a * keep + x * (1 - keep))
-    return series.select("agent", fold.alias("duration"))
+def ewma(events: DataFrame, keep: float = 0.9, span: int = 3600) -> DataFrame:
+    """(agent, duration): the first duration, then moved towards each next one by 1 - ``keep``; zeros are skipped.
+
+    A duration with k later ones weighs (1 - keep) * keep**k, the first one keep**k. So ranges of ``span`` seconds are summed for
+    themselves and each sum is moved by the number of durations in later ranges: a busy agent is as many groups as it has ranges.
+    """
+    last = Window.partitionBy("agent", "range").orderBy(F.desc("at"), F.desc("event_id"))
+    after = F.row_number().over(last) - 1
+    rows = events.where("duration > 0").withColumn("range", F.floor(F.col("at") / span)).withColumn("after", after)
+    sums = rows.groupBy("agent", "range").agg(
+        F.count("*").alias("n"), F.sum((1 - keep) * F.pow(F.lit(keep), F.col("after")) * F.col("duration")).alias("part"),
+        F.max_by("duration", "after").alias("first"),
+    )
+    later = Window.partitionBy("agent").orderBy(F.desc("range"))
+    moved = sums.withColumn("upto", F.sum("n").over(later))
+    total = F.sum(F.pow(F.lit(keep), F.col("upto") - F.col("n")) * F.col("part"))
+    first = keep * F.pow(F.lit(keep), F.max("upto") - 1) * F.min_by("first", "range")
+    return moved.groupBy("agent").agg((total + first).alias("duration"))
 
 
 def heartbeat_gaps(events: DataFrame, seconds: int = 30) -> DataFrame:

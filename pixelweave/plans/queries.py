@@ -219,7 +219,7 @@ def noise_level(spark, d):
     return quality.stencil(p, quality.BINOMIAL, *extent(p)).join(p, ["y", "x"]).agg(F.stddev_pop(F.col("g") - F.col("value")).alias("noise")).select(*r6("noise"))
 
 
-@query(PX + ", b as (select y // 8 as by, x // 8 as bx, var_pop(g) as v from px group by 1, 2) select round(greatest(0, 100 - var_pop(v) / 100), 6) as artifact_score from b")
+@query(PX + ", b as (select y // 8 as by, x // 8 as bx, var_pop(g) as v from px, dims where y // 8 * 8 < hh - 8 and x // 8 * 8 < ww - 8 group by 1, 2) select case when count(*) > 1 then round(greatest(0, 100 - var_pop(v) / 100), 6) else 100 end as artifact_score from b")
 def artifact_score(spark, d):
     return quality.block_artifacts(px(spark, d)).select(*r6("artifact_score"))
 
@@ -340,9 +340,9 @@ def recent_failures(spark, d):
     return scheduling.recent_failures(events(spark, d).where("event_type = 'error'"), 86400).select("agent", "event_id", "n_recent", "degrades")
 
 
-@query(EVENTS + ", s as (select agent, list(duration order by secs, event_id) as v from e where event_type = 'purchase' and duration > 0 group by agent) select agent, round(list_reduce(v, lambda a, x: a * 0.9::double + x * (1 - 0.9::double)), 6) as duration from s")
+@query(EVENTS + ", s as (select agent, list(duration order by secs, event_id) as v from e where duration > 0 group by agent) select agent, round(list_reduce(v, lambda a, x: a * 0.9::double + x * (1 - 0.9::double)), 6) as duration from s")
 def ewma_duration(spark, d):
-    return scheduling.ewma(events(spark, d).where("event_type = 'purchase'")).select("agent", *r6("duration"))
+    return scheduling.ewma(events(spark, d)).select("agent", *r6("duration"))
 
 
 @query(EVENTS + ", g as (select *, lead(secs) over (partition by agent order by secs, event_id) - secs as gap from e) select agent, count(*)::bigint as n, count(*) filter (where gap > 3600)::bigint as n_offline from g group by agent")
@@ -403,9 +403,12 @@ def resume_anti(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(done, "o_orderkey", "left_anti")
 
 
-@query()
+@query("""with e as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
+s as (select *, sum(case when ts - before <= interval 30 minute then 0 else 1 end) over (partition by user_id order by ts rows unbounded preceding) as k from e)
+select user_id, min(ts) as start, max(ts) + interval 30 minute as stop, count(*)::bigint as n from s group by user_id, k""")
 def agent_sessions(spark, d):
-    return heartbeats.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    found = heartbeats.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return found.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "stop")], "n")
 
 
 RGB = PX + """, c as (select y, x, g as red, (g * 3 + x) % 256 as green, (g * 5 + y) % 256 as blue from px)
@@ -538,20 +541,21 @@ def forbidden_ratio(spark, d):
     return quality.covered_share(px(spark, d), rois(spark, d), "vec_id").select("vec_id", *r6("ratio"), "touched")
 
 
-@query(PX + """, t as (select vec_id, y % 8 * 8 + x % 8 as p, g from px), r as (select p, g + p % 3 as h from t where vec_id = 7)
+@query(PX + """, t as (select vec_id, y % 8 * 8 + x % 8 as p, g from px), r as (select p, avg(g) as h from t group by p)
 select vec_id as tile, round(score, 6) as score from (select vec_id, round(""" + SSIM + """, 9) as score from t join r using (p) group by vec_id) order by round(score, 9) desc, vec_id limit 1""")
 def best_tile(spark, d):
     t = px(spark, d).select(F.col("vec_id").alias("tile"), (F.col("y") % 8 * 8 + F.col("x") % 8).alias("p"), "g")
-    region = t.where("tile = 7").select("p", (F.col("g") + F.col("p") % 3).alias("h"))
+    region = t.groupBy("p").agg(F.avg("g").alias("h"))
     return quality.best_tile(t, region).select("tile", *r6("score"))
 
 
-@query("""select p_partkey, concat_ws(', ', case when p_size % 4 > 0 then p_type end, case p_size % 3 when 0 then 'a face, even skin, soft light###waxy skin' when 1 then 'goods on a table, clean edges, studio light###stray text' else 'a scene, natural tones, fine detail###halos' end) as prompt from part""")
+@query("""select p_partkey, concat_ws(', ', case when p_size % 4 > 0 then p_type end, case p_size % 3 when 0 then 'a face, even skin, soft light' when 1 then 'goods on a table, clean edges, studio light' else 'a scene, natural tones, fine detail' end)
+  || case when p_size % 2 > 0 then '' else case p_size % 3 when 0 then '###waxy skin' when 1 then '###stray text' else '###halos' end end as prompt from part""")
 def prompt_build(spark, d):
     category = F.when(F.col("p_size") % 3 == 0, "portrait").when(F.col("p_size") % 3 == 1, "product").otherwise("other")
     templates = {"portrait": ("a face", "even skin", "soft light", "waxy skin"), "product": ("goods on a table", "clean edges", "studio light", "stray text"), "general": ("a scene", "natural tones", "fine detail", "halos")}
     custom = F.when(F.col("p_size") % 4 > 0, F.col("p_type"))
-    return table(spark, d, "part").select("p_partkey", planner.prompt(category, custom, templates, "general").alias("prompt"))
+    return table(spark, d, "part").select("p_partkey", planner.prompt(category, custom, templates, "general", F.col("p_size") % 2 == 0).alias("prompt"))
 
 
 @query("select o_orderkey, to_json({task_id: o_orderkey, status: o_orderstatus, level: case when o_totalprice >= 200000 then 'excellent' when o_totalprice >= 100000 then 'good' when o_totalprice >= 50000 then 'fair' else 'poor' end})::varchar as report from orders")
