@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators.quality import ssim
 from pixelweave.operators.tiling import in_tiles
 
 
@@ -41,3 +42,20 @@ def running_sums(px: DataFrame) -> DataFrame:
     """``px`` with sums along its row and its column up to each place: a line of the image is a window's group."""
     across, down = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
     return px.withColumn("across", F.sum("g").over(across)).withColumn("down", F.sum("g").over(down))
+
+
+def to_levels(value: Column) -> Column:
+    """A fused value cut to whole levels from 0 to 255."""
+    return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("int")
+
+
+def blend_quality(px: DataFrame, tiles: DataFrame, weight: Column, value: Column | None = None) -> DataFrame:
+    """One row: mean, least and deviation over the tiles of the likeness (SSIM from moments) of a tile and what was fused at its place.
+
+    The fused value comes from a window over a pixel's few tiles, so pixels are shuffled once to be fused and once to their tiles.
+    """
+    each = in_tiles(px, tiles).withColumns({"weight": weight, "shown": F.col("g") if value is None else value})
+    here = Window.partitionBy("y", "x")
+    fused = F.sum(F.col("weight") * F.col("shown")).over(here) / F.greatest(F.sum("weight").over(here), F.lit(1e-6))
+    per = each.withColumn("fused", fused).groupBy("image_id", "tile_row", "tile_col").agg(ssim("fused", "shown").alias("score"))
+    return per.agg(F.avg("score").alias("mean_ssim"), F.min("score").alias("min_ssim"), F.stddev_pop("score").alias("std_ssim"))

@@ -110,3 +110,18 @@ def best_tile(tiles: DataFrame, region: DataFrame) -> DataFrame:
     """One row (tile, score): the tile (tile, p, g) most like ``region`` (p, h), the first of several; a region is no larger than a tile."""
     scores = tiles.join(F.broadcast(region), "p").groupBy("tile").agg(F.round(ssim("g", "h"), 9).alias("score"))
     return scores.agg(F.max(F.struct("score", -F.col("tile"))).alias("best")).select((-F.col("best.col2")).alias("tile"), "best.score")
+
+
+def leveled(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """``metrics`` (metric, value) with level; ``thresholds``, a row for each kind of metric: metric, excellent, good, fair, rising (more is better)."""
+    value = F.col("value")
+    reached = lambda cut: F.when(F.col("rising"), value >= F.col(cut)).otherwise(value <= F.col(cut))
+    found = F.when(reached("excellent"), "excellent").when(reached("good"), "good").when(reached("fair"), "fair").otherwise("poor")
+    return metrics.join(F.broadcast(thresholds), "metric").select(*metrics.columns, found.alias("level"))
+
+
+def commercial(sharpness: Column, high_frequency: Column, oversharpen: Column, artifact: Column) -> Column:
+    """The mean of the scores that are there, at most 100 each from sharpness / 10 and 500 times the share of high frequencies; 50 without any."""
+    top = lambda c: F.when(c.isNotNull(), F.least(F.lit(100.0), c))
+    scores = F.array_compact(F.array(top(sharpness / 10), top(high_frequency * 500), oversharpen.cast("double"), artifact.cast("double")))
+    return F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)).otherwise(50.0)

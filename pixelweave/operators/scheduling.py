@@ -114,3 +114,8 @@ def orphaned(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     """Tasks assigned to agents that are offline or not registered."""
     alive = agents.where("status <> 'OFFLINE'").select("agent_id")
     return tasks.where("agent_id is not null").join(alive, "agent_id", "left_anti")
+
+
+def zipped(left: DataFrame, right: DataFrame, by: list[Column], other: list[Column]) -> DataFrame:
+    """The rows of ``left`` in order ``by`` next to those of ``right`` in order ``other``, as far as both go; place counts from 1."""
+    return ranked(left, by, "place").join(ranked(right, other, "place"), "place")

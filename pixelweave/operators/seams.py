@@ -43,3 +43,13 @@ def mean_std_match(px: DataFrame, other: DataFrame) -> DataFrame:
     b = other.agg(F.avg("h").alias("mb"), F.stddev_pop("h").alias("sb"))
     value = (F.col("g") - F.col("ma")) * F.col("sb") / (F.col("sa") + 1e-6) + F.col("mb")
     return px.join(F.broadcast(a)).join(F.broadcast(b)).select("y", "x", F.greatest(F.lit(0.0), F.least(F.lit(255.0), value)).alias("value"))  # one-row sides
+
+
+def fix(score: Column) -> Column:
+    """What is suggested for a seam of this likeness."""
+    return F.when(score < 0.85, "poisson_refinement").when(score < 0.92, "increase_blend_width").otherwise("none")
+
+
+def apply_levels(px: DataFrame, mapped: DataFrame, value: str = "g") -> DataFrame:
+    """``px`` with ``value`` as ``mapped`` (level, mapped; 256 rows at most) gives it, in a column of that name."""
+    return px.join(F.broadcast(mapped), F.col(value) == F.col("level")).drop("level")

@@ -568,3 +568,57 @@ def report_json(spark, d):
 def history_search(spark, d):
     when = (F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"))
     return table(spark, d, "orders").where(when & F.col("o_orderstatus").isin("F", "O") & F.contains(F.lower("o_orderpriority"), F.lit("urgent"))).select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("cost"))
+
+
+@query("select y, x, floor(greatest(0, least(255, value)))::int as value from (" + FUSED.replace("WEIGHT", "1.0::double").replace("round(sum(weight * g) / greatest(sum(weight), 1e-6::double), 6)", "sum(weight * g) / greatest(sum(weight), 1e-6::double)") + ")")
+def fuse_average(spark, d):
+    """Feathering by the distance to a hole in a tile's mask: masks without holes weigh all places alike."""
+    p = px(spark, d)
+    return fusion.fuse(p.drop("vec_id"), mosaic_tiles(spark, p), F.lit(1.0), shown()).select("y", "x", fusion.to_levels(F.col("value")).alias("value"))
+
+
+@query(FUSED.replace("WEIGHT", FEATHER).rsplit("\nselect y, x", 1)[0] + """, fz as (select y, x, sum(weight * g) / greatest(sum(weight), 1e-6::double) as fused from ww2 group by y, x),
+per as (select """ + SSIM + """ as score from (select ty, tx, ww2.g as g, fused as h from ww2 join fz using (y, x)) group by ty, tx)
+select round(avg(score), 6) as mean_ssim, round(min(score), 6) as min_ssim, round(stddev_pop(score), 6) as std_ssim from per""")
+def blend_quality(spark, d):
+    p = px(spark, d)
+    return fusion.blend_quality(p.drop("vec_id"), mosaic_tiles(spark, p), fusion.feather_weight(), shown()).select(*r6("mean_ssim", "min_ssim", "std_ssim"))
+
+
+@query(SLIDING + CHAIN + "select seam, case when score < .85 then 'poisson_refinement' when score < .92 then 'increase_blend_width' else 'none' end as fix from chained")
+def seam_fixes(spark, d):
+    return chained(spark, d).select("seam", seams.fix(F.col("score")).alias("fix"))
+
+
+@query(CDFS + ", lut as (select level, to_level as mapped from (select level, to_level, row_number() over (partition by level order by round(abs(s - t)::double, 9), to_level) as rn from ca, cb) where rn = 1) select y, x, mapped from px join lut on g = level")
+def histogram_apply(spark, d):
+    p = px(spark, d)
+    return seams.apply_levels(p, seams.histogram_match(seams.cdf(p, "g"), seams.cdf(degraded(p), "h"))).select("y", "x", "mapped")
+
+
+@query("""with m as (select 'psnr' as metric, o_totalprice / 10000 as value from orders union all select 'ms_ssim', o_custkey % 100 / 100.0::double from orders union all select 'niqe', o_custkey % 9 / 2.0::double from orders),
+th(metric, a, b, c, rising) as (values ('psnr', 40, 35, 30, true), ('ms_ssim', 0.98, 0.95, 0.9, true), ('niqe', 2, 3, 4, false))
+select metric, case when case when rising then value >= a else value <= a end then 'excellent' when case when rising then value >= b else value <= b end then 'good' when case when rising then value >= c else value <= c end then 'fair' else 'poor' end as level,
+  count(*)::bigint as n from m join th using (metric) group by 1, 2""")
+def threshold_levels(spark, d):
+    o = table(spark, d, "orders")
+    kinds = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in
+                      (("psnr", F.col("o_totalprice") / 10000), ("ms_ssim", (F.col("o_custkey") % 100) / 100.0), ("niqe", (F.col("o_custkey") % 9) / 2.0))])
+    cuts = [("psnr", 40.0, 35.0, 30.0, True), ("ms_ssim", 0.98, 0.95, 0.9, True), ("niqe", 2.0, 3.0, 4.0, False)]
+    thresholds = spark.createDataFrame(cuts, "metric string, excellent double, good double, fair double, rising boolean")
+    return quality.leveled(o.select(F.inline(kinds)), thresholds).groupBy("metric", "level").agg(F.count("*").alias("n"))
+
+
+@query("""with m as (select o_orderkey, case when o_orderkey % 2 > 0 then least(100, o_custkey % 1200 / 10.0::double) end as a, case when o_orderkey % 3 > 0 then least(100, o_custkey % 9 / 20.0::double * 500) end as b,
+  case when o_orderkey % 5 > 0 then o_custkey % 101 end as c, case when o_orderkey % 7 > 0 then o_custkey % 97 end as e from orders)
+select o_orderkey, round(coalesce(list_avg([a::double, b::double, c::double, e::double]), 50), 6) as score from m""")
+def commercial_score(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    score = quality.commercial(F.when(k % 2 > 0, c % 1200), F.when(k % 3 > 0, (c % 9) / 20.0), F.when(k % 5 > 0, c % 101), F.when(k % 7 > 0, c % 97))
+    return table(spark, d, "orders").select("o_orderkey", F.round(score, 6).alias("score"))
+
+
+@query("select place::bigint as place, vec_id, doc_id from (select vec_id, row_number() over (order by vec_id) as place from embeddings) join (select doc_id, row_number() over (order by doc_id desc) as place from documents) using (place)")
+def tile_results_zip(spark, d):
+    tiles, results = table(spark, d, "embeddings").select("vec_id"), table(spark, d, "documents").select("doc_id")
+    return scheduling.zipped(tiles, results, [F.col("vec_id")], [-F.col("doc_id")]).select("place", "vec_id", "doc_id")
