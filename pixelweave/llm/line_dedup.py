@@ -44,20 +44,27 @@ def _rank(suffixes: DataFrame, base: str, by: str, low: Column, high: Column, *m
 def line_sequences(docs: DataFrame, min_words: int) -> DataFrame:
     """did, mark, i (place among lines with words), no (line number), left (lines from here on), line (ID), reach.
 
-    ``reach`` is the number of lines from here that hold ``min_words`` words; null where the document ends before.
+    ``reach`` is the number of lines from here that hold ``min_words`` words; null where the document ends before. It is
+    worked out inside the array, from as many shifted copies, so that no row of a line carries its document's array. Rows equal
+    in did and mark become one before their lines are rows; most of them meet on the map side already.
     """
     lines = F.split("text", "\n", -1)
     with_words = F.transform(lines, lambda x, k: F.struct(F.xxhash64(x).alias("line"), k.alias("no"), F.regexp_count(x, F.lit(WORD)).alias("words")))
-    rows = docs.select("did", "mark", F.filter(with_words, lambda x: x["words"] > 0).alias("lines")).where(F.size("lines") > 0)
-    rows = rows.select("did", "mark", F.posexplode("lines").alias("i", "at"), "lines")
-    ahead = F.slice(F.col("lines")["words"], F.col("i") + 1, F.lit(min_words))
-    sums = F.aggregate(
-        ahead, F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")),
-        lambda a, w: F.struct((a["words"] + w).alias("words"), (a["lines"] + F.when(a["words"] < min_words, 1).otherwise(0)).alias("lines")),
-    )
-    rows = rows.withColumn("sums", sums)
-    reach = F.when(F.col("sums.words") >= min_words, F.col("sums.lines"))
-    return rows.select("did", "mark", "i", "at.no", (F.size("lines") - F.col("i")).alias("left"), "at.line", reach.alias("reach"))
+    rows = docs.select("did", "mark", F.filter(with_words, lambda x: x["words"] > 0).alias("lines"))
+    rows = rows.groupBy("did", "mark").agg(F.first("lines").alias("lines"))
+    # A generated column is reckoned once; the functions over arrays below read it for each line.
+    rows = rows.select("did", "mark", F.inline(F.array(F.struct(F.col("lines"), F.col("lines.words").alias("words"), F.size("lines").alias("size")))))
+    shifted = [F.slice("words", k + 1, F.greatest(F.col("size") - k, F.lit(0))).alias(f"w{k}") for k in range(1, min_words)]
+
+    def row(x, i):
+        total, reach = x["words"], F.when(x["words"] >= min_words, 1)
+        for k in range(1, min_words):
+            total = total + x[f"w{k}"]
+            reach = reach.when(total >= min_words, k + 1)
+        return F.struct(i.alias("i"), x["lines"]["no"].alias("no"), (F.col("size") - i).alias("left"), x["lines"]["line"].alias("line"), reach.alias("reach"))
+
+    rows = rows.select("did", "mark", F.transform(F.arrays_zip("lines", "words", *shifted), row).alias("rows"))
+    return rows.select("did", "mark", F.inline_outer("rows")).where("line is not null")  # the inner form would reckon the array twice, to filter by it
 
 
 def _later(runs: DataFrame, keys: list[str], total: int) -> DataFrame:

@@ -205,6 +205,24 @@ def test_line_dedup_takes_maximal_runs(spark):
         assert got[k] == "\n".join(x for n, x in enumerate(split) if n not in gone)
 
 
+def test_line_dedup_of_a_very_long_document(spark):
+    rng = random.Random(29)
+    lines = [f"w{rng.randrange(900)} x{k}" for k in range(200_000)]
+    lines += lines[50:60]
+    (row,) = line_report(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()
+    assert (row.n_lines, row.n_removed, row.kept_sha256) == (200_010, 10, hashlib.sha256("\n".join(lines[:-10]).encode()).hexdigest())
+
+
+def test_line_dedup_takes_repeated_rows_as_one(spark):
+    from pixelweave.llm.line_dedup import line_sequences, repeated_runs
+
+    text = "\n".join(f"a{k} b c" for k in range(64))
+    docs = spark.createDataFrame([(1, text)] * 5 + [(None, text + "\nz")] * 4, "doc_id long, text string")
+    assert sorted((r.doc_id or 9, r.n_lines, r.n_removed) for r in line_report(docs).collect()) == [(1, 64, 0)] * 5 + [(9, 65, 64)] * 4
+    marked = docs.select(F.coalesce("doc_id", F.lit(9)).alias("did"), F.xxhash64("text").alias("mark"), "text")
+    assert line_sequences(marked, 5).count() == 64 + 65 and repeated_runs(marked, 5)[1].count() <= 65
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(120, 8))
