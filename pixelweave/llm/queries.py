@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelweave.llm import line_dedup, mixing
 from pixelweave.llm.byte_bpe import encode_and_decode
 from pixelweave.llm.conversations import repair_report
+from pixelweave.llm.hard_negatives import mined
 from pixelweave.llm.line_dedup import line_report
 from pixelweave.llm.mixing import mix_sources
 from pixelweave.llm.near_vectors import near_vectors
@@ -64,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mined(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +81,6 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_near_vectors, op3_toxicity, op4_token_store, op5_source_mixing, op6_ngram_join, op7_substring_dedup,
-    op8_line_dedup, op9_spot_signatures, op10_secret_scan, op12_byte_bpe, op13_conversation_repair,
+    op8_line_dedup, op9_spot_signatures, op10_secret_scan, op11_hard_negatives, op12_byte_bpe, op13_conversation_repair,
 )}
 ORACLES = {"op5_source_mixing": mixing.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
