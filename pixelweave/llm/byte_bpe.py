@@ -2,7 +2,7 @@
 
 A text's words are the matches of a pattern. A word's ids are a fold of merges over its array of bytes: each step joins the leftmost
 of the adjacent pairs whose union has the lowest rank, until no union has one. Ranks come from a map that is a literal of the
-plan: pairs of ids in one array, read by place. Distinct words are folded as a table: the commonest ones, of bounded number
+plan: small maps of pairs of ids, in an array read by place. Distinct words are folded as a table: the commonest ones, of bounded number
 and length, whose ids become a literal too. All other words are folded where they stand, so no text is shuffled.
 
 Long words are cut at pairs of bytes that no token holds, which no merge can cross; in what remains longer, a step makes all
@@ -17,6 +17,7 @@ import functools
 import json
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,10 +27,9 @@ MEMO, MEMO_CHARS = 1 << 16, 32
 MEMO_ROWS = 20_000
 #: Bytes from which on a word is cut and merged by rounds.
 LONG = 64
-#: Of the table of pairs: slots (more than ids), and groups with a shift each.
-_SLOTS, _GROUPS = 1 << 18, 1 << 16
-_BITS = 20  # of a rank
-_NONE = 1 << _BITS
+#: Maps of pairs.
+_SLOTS = 1 << 17
+_SIGN = 0xE000  # the sign of id 0: after all surrogates
 
 
 def let(value: Column, body) -> Column:
@@ -40,62 +40,39 @@ def let(value: Column, body) -> Column:
 class Ranks:
     """A rank file: ``pieces`` by id, and the tables that the expressions read, as text of the plan's literal.
 
-    The union of two ids a, b stands in ``entries`` at the pair's base + the shift of its group, as a, b and the rank: shifts
-    are such that no two pairs meet. An id more than the file has, ``edge``, is in no pair.
+    An id is a sign, a character. The union of two stands in a map from both signs to its own, which is its rank too; maps
+    are many and small, the place of a pair's map is its hash. The sign ``edge`` is in no pair, ``none`` comes after all others.
     """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
         self.edge = max(self.ranks.values()) + 1
-        if self.edge >= _SLOTS:
-            raise ValueError(f"ids of {_SLOTS} and more")
         self.pieces = [b""] * self.edge
         self.unmade: dict[str, list[int]] | None = None
-        crossed, pairs, ranks = np.zeros(1 << 16, np.int64), [], []
+        crossed, pairs = np.zeros(1 << 16, np.int64), [{} for _ in range(_SLOTS)]
+        self.signs = [chr(_SIGN + n) for n in range(self.edge + 2)]
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
             for cut in range(1, len(piece)):
                 crossed[piece[cut - 1] << 8 | piece[cut]] = 1
                 a, b = self.ranks.get(piece[:cut]), self.ranks.get(piece[cut:])
                 if a is not None and b is not None:
-                    pairs.append((a, b))
-                    ranks.append(rank)
-        a, b = np.array(pairs, np.int64).T
-        keys = (a * _SLOTS + b << _BITS) + np.array(ranks, np.int64)
-        for k in range(64):  # until group and base tell all pairs apart
-            self.spread = x, y, z = 1399 + 2 * k, 1133 + 6 * k, 2969 + 10 * k
-            group, base = a * x + b & _GROUPS - 1, a * y + b * z & _SLOTS - 1
-            if len(np.unique(group * _SLOTS + base)) == len(a):
-                break
-        order = np.argsort(group, kind="stable")
-        starts = np.searchsorted(group[order], np.arange(_GROUPS + 1))
-        shift, entries, free = np.zeros(_GROUPS, np.int64), np.full(_SLOTS, -1, np.int64), 0
-        for g in np.argsort(starts[:-1] - starts[1:], kind="stable").tolist():  # the fullest groups choose first
-            own = order[starts[g] : starts[g + 1]]
-            if not len(own):
-                break
-            while entries[free] >= 0:
-                free += 1
-            at = base[own]
-            first = free - int(at[0]) if len(own) == 1 else g * 40503  # anywhere: near the last ones little is free
-            d = next((d for d in range(first % _SLOTS, 3 * _SLOTS) if (entries[at + d & _SLOTS - 1] < 0).all()), None)
-            if d is None:
-                raise ValueError("no table of pairs was found")
-            shift[g] = d & _SLOTS - 1
-            entries[at + d & _SLOTS - 1] = keys[own]
-        self.tables = json.dumps({
-            "entries": entries.tolist(), "shift": shift.tolist(), "bytes": [self.ranks[bytes([b])] for b in range(256)],
-            "crossed": crossed.tolist(), "pieces": [p.hex() for p in self.pieces], "ids": [n.to_bytes(4, "little").hex() for n in range(self.edge)],
-        })
+                    pair = self.signs[a] + self.signs[b]
+                    place = xxhash.xxh64_intdigest(pair.encode(), 42)  # as F.xxhash64
+                    pairs[place % _SLOTS][pair] = self.signs[rank]
+        self.tables = {
+            "pairs": [p or None for p in pairs], "bytes": [self.signs[self.ranks[bytes([b])]] for b in range(256)], "crossed": crossed.tolist(),
+            "pieces": [p.hex() for p in self.pieces], "ids": [n.to_bytes(4, "little").hex() for n in range(self.edge)],
+        }
 
     #: The literal's type.
-    KIND = "struct<entries:array<bigint>,shift:array<int>,bytes:array<int>,crossed:array<int>,pieces:array<string>,ids:array<string>>"
+    KINDS = {"pairs": "array<map<string,string>>", "bytes": "array<string>", "crossed": "array<int>", "pieces": "array<string>", "ids": "array<string>"}
 
     def literal(self, *fields: str) -> Column:
-        """The tables as a column without inputs, which the optimizer turns into one literal; only the fields named."""
-        kind = ",".join(x for x in self.KIND[7:-1].split(",") if x.split(":")[0] in fields)
-        return F.from_json(F.lit(json.dumps({k: v for k, v in json.loads(self.tables).items() if k in fields})), f"struct<{kind}>")
+        """Tables as a column without inputs, which the optimizer turns into one literal."""
+        kind = ",".join(f"{x}:{self.KINDS[x]}" for x in fields)
+        return F.from_json(F.lit(json.dumps({x: self.tables[x] for x in fields})), f"struct<{kind}>")
 
 
 @functools.lru_cache(2)
@@ -105,87 +82,89 @@ def ranks_of(path: str) -> Ranks:
 
 # Expressions; ``t`` is the literal's tables.
 
-def _pair_rank(t: Column, spread: tuple[int, int, int]):
-    def rank(a: Column, b: Column) -> Column:
-        """The rank of two neighbours' union; ``_NONE`` and more where there is none, null where a neighbour is missing."""
-        shift = F.get(t["shift"], (a * spread[0] + b).bitwiseAND(_GROUPS - 1))
-        entry = F.get(t["entries"], (shift + a * spread[1] + b * spread[2]).bitwiseAND(_SLOTS - 1))
-        # Another pair's entry, or none, differs by that much or is below.
-        return (entry - F.shiftleft(a.cast("long") * _SLOTS + b, _BITS)).bitwiseAND((1 << 63) - 1)
+def _union(t: Column, ranks: Ranks):
+    def sign(pair: Column) -> Column:
+        """The sign of two signs' union, or ``none``."""
+        place = F.xxhash64(pair).bitwiseAND(_SLOTS - 1).cast("int")
+        return F.coalesce(F.get(t["pairs"], place)[pair], F.lit(ranks.signs[-1]))
 
-    return rank
+    return sign
 
 
-def _ranked(ids: Column, rank) -> Column:
-    """State of the fold: ids, and the rank of each with the one after it."""
-    return let(ids, lambda v: F.struct(v.alias("ids"), F.zip_with(v, F.slice(v, 2, F.size(v)), rank).alias("ks")))
+def _start(signs: Column, union) -> Column:
+    """State of the fold: an array of signs as a string, and the string of the unions of each with the one after it."""
+    ks = lambda v: F.zip_with(v, F.slice(v, 2, F.size(v)), lambda a, b: F.when(b.isNotNull(), union(F.concat(a, b))))
+    return let(signs, lambda v: F.struct(F.array_join(v, "").alias("ids"), F.array_join(ks(v), "").alias("ks")))
 
 
-def _steps(ids: Column, rank, step) -> Column:
+def _steps(signs: Column, union, step) -> Column:
     """The fold, between two edges, of at most as many steps as there are merges."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 3, F.lit(1))), _ranked(ids, rank), step)["ids"]
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(signs) - 3, F.lit(1))), _start(signs, union), step)["ids"]
 
 
-def _merges(ids: Column, rank) -> Column:
-    """One merge a step; ``ids`` stand between two edges, so a merge has neighbours."""
+def _lowest(s: Column, none: str, merged) -> Column:
+    """``merged(the lowest sign of s, its place from 1)`` while there is a union, then ``s``."""
+    at = lambda p: F.when(F.substring(s["ks"], p, F.lit(1)) < none, merged(F.substring(s["ks"], p, F.lit(1)), p)).otherwise(s)
+    return let(F.position(F.array_min(F.split(s["ks"], "")), s["ks"]), at)
+
+
+def _merges(signs: Column, union, none: str) -> Column:
+    """One merge a step; ``signs`` stand between two edges, so a merge has neighbours."""
 
     def step(s: Column, _: Column) -> Column:
-        def at(p: Column) -> Column:  # counts from 1
-            low, n = F.get(s["ks"], p - 1).cast("int"), F.size(s["ids"])
-            ids = F.concat(F.slice(s["ids"], F.lit(1), p - 1), F.array(low), F.slice(s["ids"], p + 2, n))
-            sides = F.array(rank(F.get(s["ids"], p - 2), low), rank(low, F.get(s["ids"], p + 1)))
-            ks = F.concat(F.slice(s["ks"], F.lit(1), p - 2), sides, F.slice(s["ks"], p + 2, n))
-            return F.when(F.get(s["ks"], p - 1) < _NONE, F.struct(ids.alias("ids"), ks.alias("ks"))).otherwise(s)
+        def merged(low: Column, p: Column) -> Column:
+            left, right = F.concat(F.substring(s["ids"], p - 1, F.lit(1)), low), F.concat(low, F.substring(s["ids"], p + 2, F.lit(1)))
+            return F.struct(F.overlay(s["ids"], low, p, F.lit(2)).alias("ids"), F.overlay(s["ks"], F.concat(union(left), union(right)), p - 1, F.lit(3)).alias("ks"))
 
-        return let(F.array_position(s["ks"], F.array_min(s["ks"])).cast("int"), at)
+        return _lowest(s, none, merged)
 
-    return _steps(ids, rank, step)
+    return _steps(signs, union, step)
 
 
-def _rounds(ids: Column, rank) -> Column:
+def _rounds(signs: Column, union, none: str) -> Column:
     """All merges of the lowest rank in a step, as far as none of them brings a lower rank."""
 
     def step(s: Column, _: Column) -> Column:
-        def merged(low: Column) -> Column:
-            # Of overlapping merges every second one is made, from the left.
-            flags = F.split(F.replace(F.array_join(F.transform(s["ks"], lambda k: F.when(k == low, "1").otherwise("0")), ""), F.lit("11"), F.lit("10")), "")
-            joined = low.cast("int")
+        def merged(low: Column, _: Column) -> Column:
+            def chosen(c: Column) -> Column:  # signs, and of overlapping merges every second one, from the left
+                on, v = c["on"], c["v"]
 
-            def chosen(on: Column) -> Column:
                 def bad(i: Column) -> Column:
-                    before = F.when(F.get(on, i - 2) == "1", joined).otherwise(F.get(s["ids"], i - 1))
-                    return (F.get(on, i) == "1") & ((rank(before, joined) < low) | (rank(joined, F.get(s["ids"], i + 2)) < low))
+                    before = F.when(F.get(on, i - 2) == "1", low).otherwise(F.get(v, i - 1))
+                    return (F.get(on, i) == "1") & ((union(F.concat(before, low)) < low) | (union(F.concat(low, F.get(v, i + 2))) < low))
 
-                first = F.coalesce(F.array_min(F.filter(F.transform(s["ks"], lambda k, i: F.when(bad(i), i)), lambda i: i.isNotNull())), F.size(s["ks"]))
+                first = F.coalesce(F.array_min(F.filter(F.transform(on, lambda _, i: F.when(bad(i), i)), lambda i: i.isNotNull())), F.size(v))
 
                 def made(stop: Column) -> Column:
                     here = lambda i: (F.get(on, i) == "1") & (i <= stop)
-                    return F.filter(F.transform(s["ids"], lambda x, i: F.when(here(i), joined).when(here(i - 1), -1).otherwise(x)), lambda x: x >= 0)
+                    return F.filter(F.transform(v, lambda x, i: F.when(here(i), low).when(here(i - 1), "").otherwise(x)), lambda x: x != "")
 
                 return let(first, made)
 
-            return _ranked(let(flags, chosen), rank)
+            ones = F.array_join(F.transform(F.split(s["ks"], ""), lambda k: F.when(k == low, "1").otherwise("0")), "")
+            both = F.struct(F.split(F.replace(ones, F.lit("11"), F.lit("10")), "").alias("on"), F.split(s["ids"], "").alias("v"))
+            return _start(let(both, chosen), union)
 
-        return let(F.array_min(s["ks"]), lambda low: F.when(low < _NONE, merged(low)).otherwise(s))
+        return _lowest(s, none, merged)
 
-    return _steps(ids, rank, step)
+    return _steps(signs, union, step)
 
 
 def _folded(t: Column, ranks: Ranks, word: Column) -> Column:
     """A word's ids by merging."""
-    rank, end = _pair_rank(t, ranks.spread), F.array(F.lit(ranks.edge))
+    union, none, end = _union(t, ranks), ranks.signs[-1], F.array(F.lit(ranks.signs[-2]))
     chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte
-    between = lambda ids: F.concat(end, ids, end)
-    inside = lambda ids: F.filter(ids, lambda x: x != ranks.edge)
+    signs = lambda codes: F.concat(end, F.transform(codes, lambda b: F.get(t["bytes"], b)), end)
+    ids = lambda folded: F.transform(F.split(F.translate(folded, ranks.signs[-2], ""), ""), lambda c: F.ascii(c) - _SIGN)
 
     def cut(v: Column) -> Column:
         n = F.size(v)
         cuts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(t["crossed"], F.get(v, i - 1) * 256 + F.get(v, i)) == 0)
         parts = let(cuts, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), F.concat(c, F.array(n)), lambda a, b: F.slice(v, a + 1, b - a)))
-        ids = lambda p: between(F.transform(p, lambda b: F.get(t["bytes"], b)))
-        return F.flatten(F.transform(parts, lambda p: let(ids(p), lambda x: inside(F.when(F.size(x) <= LONG, _merges(x, rank)).otherwise(_rounds(x, rank))))))
+        part = lambda x: ids(F.when(F.size(x) <= LONG, _merges(x, union, none)).otherwise(_rounds(x, union, none)))
+        return F.flatten(F.transform(parts, lambda p: let(signs(p), part)))
 
-    short = let(between(F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c)))), lambda x: inside(_merges(x, rank)))
+    short = let(signs(F.transform(chars, F.ascii)), lambda x: ids(_merges(x, union, none)))
     return F.when(F.octet_length(word) <= LONG, short).otherwise(let(F.transform(chars, F.ascii), cut))
 
 
@@ -236,7 +215,7 @@ class ByteBpe:
         self._remember({r.word: r.ids for r in self._encoded(common).collect()} | self.ranks.unmade)
 
     def _tables(self) -> Column:
-        return self.ranks.literal("entries", "shift", "bytes", "crossed")
+        return self.ranks.literal("pairs", "bytes", "crossed")
 
     def ids(self, text: Column) -> Column:
         """A text's ids, an array of int; a null text is empty."""
