@@ -1,9 +1,11 @@
 """Images as blocks: a row holds one block of one plane of one image, and kernels run on blocks with what surrounds them.
 
-A block is (image_id, plane, by, bx, h, w, data): ``data`` are float64 values, row by row. An output block states which
-rectangle of the source it needs; an equi-join on block places brings the parts of that rectangle together, each cut to what
-is needed before it is sent, and one vectorised kernel call makes the output block or its partial sums. So a stencil costs one
-exchange of the pixels and a narrow border, images of any size are many tasks, and all images of a table run at once.
+A block is (image_id, plane, by, bx, h, w, height, width, data): ``data`` are float64 values, row by row, height and width the
+image's. An output block states which rectangle of the source it needs; each source block works out by itself which output
+blocks need some of it, sends each of them just that part, and one vectorised kernel call makes the output block or its partial
+sums. So a stencil costs one exchange of the pixels and a narrow border and no look at the table before it, images of any size are
+many tasks, and all images of a table run at once. Where a result is used more than once (levels of a pyramid) it is a
+written stage, so plans grow with the number of levels and no level is made twice.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.staging import staged
+
 BLOCK = 256
-BLOCKS = "image_id string, plane int, by int, bx int, h int, w int, data binary"
+BLOCKS = "image_id string, plane int, by int, bx int, h int, w int, height int, width int, data binary"
+_NAMES = ["image_id", "plane", "by", "bx", "h", "w", "height", "width", "data"]
 
 
 def to_blocks(px: DataFrame, planes: tuple[str, ...] = ("g",), block: int = BLOCK) -> DataFrame:
@@ -24,16 +29,19 @@ def to_blocks(px: DataFrame, planes: tuple[str, ...] = ("g",), block: int = BLOC
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy() % block, pdf["x"].to_numpy() % block
+        first = pdf.iloc[0]
         h, w = int(y.max()) + 1, int(x.max()) + 1
         rows = []
         for k, name in enumerate(planes):
             data = np.zeros((h, w))
             data[y, x] = pdf[name]
-            rows.append((pdf["image_id"].iloc[0], k, int(pdf["by"].iloc[0]), int(pdf["bx"].iloc[0]), h, w, data.tobytes()))
-        return pd.DataFrame(rows, columns=["image_id", "plane", "by", "bx", "h", "w", "data"])
+            rows.append((first["image_id"], k, int(first["by"]), int(first["bx"]), h, w, int(first["height"]), int(first["width"]), data.tobytes()))
+        return pd.DataFrame(rows, columns=_NAMES)
 
-    keyed = px.select(F.col("image_id").cast("string"), F.floor(F.col("y") / block).cast("int").alias("by"), F.floor(F.col("x") / block).cast("int").alias("bx"), "y", "x", *planes)
-    return keyed.groupBy("image_id", "by", "bx").applyInPandas(build, BLOCKS)
+    px = px.withColumn("image_id", F.col("image_id").cast("string"))
+    size = px.groupBy("image_id").agg((F.max("y") + 1).cast("int").alias("height"), (F.max("x") + 1).cast("int").alias("width"))
+    place = [F.floor(F.col(c) / block).cast("int").alias(k) for c, k in (("y", "by"), ("x", "bx"))]
+    return px.join(size, "image_id").select("image_id", "height", "width", *place, "y", "x", *planes).groupBy("image_id", "by", "bx").applyInPandas(build, BLOCKS)
 
 
 def to_pixels(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -48,10 +56,9 @@ def to_pixels(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     return blocks.mapInPandas(spread, "image_id string, plane int, y int, x int, value double")
 
 
-def sizes(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(image_id, height, width)."""
-    end = lambda at, n: F.max(F.col(at) * block + F.col(n)).cast("int")
-    return blocks.groupBy("image_id").agg(end("by", "h").alias("height"), end("bx", "w").alias("width"))
+def sizes(blocks: DataFrame) -> DataFrame:
+    """(image_id, height, width)"""
+    return blocks.select("image_id", "height", "width").distinct()
 
 
 class Area:
@@ -85,31 +92,48 @@ def halo(r: int) -> Need:
     return lambda o, n, size: (o - r, o + n + r)
 
 
-def gather(blocks: DataFrame, kernel: Callable, schema: str, need: Need, out: tuple[Column, Column] | None = None, block: int = BLOCK, images: DataFrame | None = None) -> DataFrame:
+def gather(blocks: DataFrame, kernel: Callable, schema: str, need: Need, out: tuple[Column, Column] | None = None, block: int = BLOCK) -> DataFrame:
     """``kernel(areas, image_id, y, x, h, w)`` for each output block: ``areas`` are its planes' rectangles, by plane; rows follow ``schema``.
 
     ``need(o, n, size)`` gives the first and the past-the-last place that ``n`` outputs from ``o`` on read, on either axis. ``out`` is the
-    output's height and width, of the columns height and width. Rectangles must reach no further beyond the border than the border rule
-    maps back into them.
+    output's height and width, of the columns of blocks. Rectangles must reach no further beyond the border than the border rule maps
+    back into them. Blocks that a kernel returns without their image's height and width get the output's.
     """
-    images = sizes(blocks, block) if images is None else images
     tall, wide = out or (F.col("height"), F.col("width"))
-    plan = images.withColumn("tall", tall.cast("int")).withColumn("wide", wide.cast("int")).where("tall > 0 and wide > 0")
-    for at, n, full, source, lo, hi, cell in (("oy", "oh", "tall", "height", "y0", "y1", "by"), ("ox", "ow", "wide", "width", "x0", "x1", "bx")):
-        plan = plan.withColumn(at, F.explode(F.sequence(F.lit(0), F.col(full) - 1, F.lit(block)))).withColumn(n, F.least(F.lit(block), F.col(full) - F.col(at)))
-        first, last = need(F.col(at), F.col(n), F.col(source))
-        plan = plan.withColumn(lo, F.greatest(F.lit(0), F.least(first, F.col(source) - 1)).cast("int")).withColumn(hi, F.least(F.col(source), F.greatest(last, F.lit(1))).cast("int"))
-        plan = plan.withColumn(cell, F.explode(F.sequence(F.floor(F.col(lo) / block).cast("int"), F.floor((F.col(hi) - 1) / block).cast("int"))))
-    names = ["image_id", "plane", "oy", "ox", "oh", "ow", "height", "width", "y0", "y1", "x0", "x1"]
+    rows = blocks.withColumns({"tall": tall.cast("int"), "wide": wide.cast("int")}).where("tall > 0 and wide > 0")
+
+    def wanting(full: str, source: str, cell: str) -> Column:
+        """The output blocks, along an axis, that need some of this block: place, extent and the rectangle's borders."""
+
+        def borders(k: Column) -> Column:
+            o = k * block
+            n = F.least(F.lit(block), F.col(full) - o)
+            first, last = need(o, n, F.col(source))
+            lo, hi = F.greatest(F.lit(0), F.least(first, F.col(source) - 1)), F.least(F.col(source), F.greatest(last, F.lit(1)))
+            return F.struct(o.cast("int").alias("o"), n.cast("int").alias("n"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+        every = F.transform(F.sequence(F.lit(0), F.floor((F.col(full) - 1) / block).cast("int")), borders)
+        return F.filter(every, lambda s: (s["lo"] < (F.col(cell) + 1) * block) & (s["hi"] > F.col(cell) * block))
+
+    names = ["image_id", "plane", "height", "width", "tall", "wide"]
+    more = ["oy", "oh", "y0", "y1", "ox", "ow", "x0", "x1", "py", "px", "ph", "pw", "part"]
 
     def cut(batches):
         for pdf in batches:
-            rows = []
+            rows, size = [], 0
             for r in pdf.itertuples(index=False):
-                a, c = max(r.y0, r.by * block), max(r.x0, r.bx * block)
-                part = np.frombuffer(r.data).reshape(r.h, r.w)[a - r.by * block : r.y1 - r.by * block, c - r.bx * block : r.x1 - r.bx * block]
-                rows.append((*[getattr(r, n) for n in names], a, c, *part.shape, np.ascontiguousarray(part).tobytes()))
-            yield pd.DataFrame(rows, columns=[*names, "py", "px", "ph", "pw", "part"])
+                data, y, x = np.frombuffer(r.data).reshape(r.h, r.w), r.by * block, r.bx * block
+                for ys in r.ys:
+                    a, b = max(ys["lo"], y), min(ys["hi"], y + r.h)
+                    for xs in r.xs:
+                        c, d = max(xs["lo"], x), min(xs["hi"], x + r.w)
+                        part = np.ascontiguousarray(data[a - y : b - y, c - x : d - x]).tobytes()
+                        rows.append((r.image_id, r.plane, r.height, r.width, r.tall, r.wide, *(ys[k] for k in ("o", "n", "lo", "hi")), *(xs[k] for k in ("o", "n", "lo", "hi")), a, c, b - a, d - c, part))
+                        size += len(part)
+                if size > 1 << 26:
+                    yield pd.DataFrame(rows, columns=[*names, *more])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=[*names, *more])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
@@ -119,19 +143,25 @@ def gather(blocks: DataFrame, kernel: Callable, schema: str, need: Need, out: tu
             for p in rows.itertuples(index=False):
                 values[p.py - r.y0 : p.py - r.y0 + p.ph, p.px - r.x0 : p.px - r.x0 + p.pw] = np.frombuffer(p.part).reshape(p.ph, p.pw)
             areas[int(plane)] = Area(values, int(r.y0), int(r.x0), int(r.height), int(r.width))
-        return kernel(areas, r.image_id, int(r.oy), int(r.ox), int(r.oh), int(r.ow))
+        made = kernel(areas, r.image_id, int(r.oy), int(r.ox), int(r.oh), int(r.ow))
+        return made.assign(height=int(r.tall), width=int(r.wide))[_NAMES] if schema == BLOCKS and "height" not in made else made
+
+    kinds = "image_id string, " + ", ".join(f"{c} {'binary' if c == 'part' else 'int'}" for c in [*names[1:], *more])
+    sent = rows.select(*names, "by", "bx", "h", "w", "data", wanting("tall", "height", "by").alias("ys"), wanting("wide", "width", "bx").alias("xs"))
+    return sent.mapInPandas(cut, kinds).groupBy("image_id", "oy", "ox").applyInPandas(run, schema)
+
 
-    kinds = "image_id string, plane int, oy int, ox int, oh int, ow int, height int, width int, y0 int, y1 int, x0 int, x1 int, py int, px int, ph int, pw int, part binary"
-    parts = plan.join(blocks, ["image_id", "by", "bx"]).select(*names, "by", "bx", "h", "w", "data").mapInPandas(cut, kinds)
-    return parts.groupBy("image_id", "oy", "ox").applyInPandas(run, schema)
+def block_rows(image_id: str, planes: dict[int, np.ndarray], y: int, x: int, block: int) -> pd.DataFrame:
+    """What a kernel returns that makes blocks: those of some planes at one place."""
+    rows = [(image_id, plane, y // block, x // block, *v.shape, np.ascontiguousarray(v, float).tobytes()) for plane, v in planes.items()]
+    return pd.DataFrame(rows, columns=["image_id", "plane", "by", "bx", "h", "w", "data"])
 
 
 def mapped(blocks: DataFrame, f: Callable, need: Need, out: tuple[Column, Column] | None = None, block: int = BLOCK) -> DataFrame:
     """Blocks of ``f(area, y, x, h, w)``, plane by plane."""
 
     def kernel(areas, image_id, y, x, h, w):
-        rows = [(image_id, plane, y // block, x // block, h, w, np.ascontiguousarray(f(area, y, x, h, w), float).tobytes()) for plane, area in areas.items()]
-        return pd.DataFrame(rows, columns=["image_id", "plane", "by", "bx", "h", "w", "data"])
+        return block_rows(image_id, {plane: f(area, y, x, h, w) for plane, area in areas.items()}, y, x, block)
 
     return gather(blocks, kernel, BLOCKS, need, out, block)
 
@@ -140,8 +170,7 @@ def combined(blocks: DataFrame, f: Callable, r: int = 0, block: int = BLOCK) ->
     """Blocks, plane 0, of ``f(values of plane 0, of plane 1, ...)`` with ``r`` pixels of border that ``f`` takes off."""
 
     def kernel(areas, image_id, y, x, h, w):
-        out = f(*[areas[k].around(y, x, h, w, r) for k in sorted(areas)])
-        return pd.DataFrame([(image_id, 0, y // block, x // block, h, w, np.ascontiguousarray(out, float).tobytes())], columns=["image_id", "plane", "by", "bx", "h", "w", "data"])
+        return block_rows(image_id, {0: f(*[areas[k].around(y, x, h, w, r) for k in sorted(areas)])}, y, x, block)
 
     return gather(blocks, kernel, BLOCKS, halo(r), block=block)
 
@@ -235,32 +264,34 @@ def pyramid_up(blocks: DataFrame, like: DataFrame, block: int = BLOCK) -> DataFr
         return np.einsum("ijkl,ij,kl->ik", values, wy, wx)
 
     def kernel(areas, image_id, y, x, h, w):
-        rows = [(image_id, plane, y // block, x // block, h, w, f(area, y, x, h, w).tobytes()) for plane, area in areas.items()]
-        return pd.DataFrame(rows, columns=["image_id", "plane", "by", "bx", "h", "w", "data"])
+        return block_rows(image_id, {plane: f(area, y, x, h, w) for plane, area in areas.items()}, y, x, block)
 
-    wanted = sizes(blocks, block).join(like.select("image_id", F.col("height").alias("to_h"), F.col("width").alias("to_w")), "image_id")
     # The target's size is the output's; the source's own stays the border.
-    images = sizes(blocks, block).join(like.select("image_id", F.col("height").alias("to_h"), F.col("width").alias("to_w")), "image_id")
+    wanted = blocks.join(like.select("image_id", F.col("height").alias("to_h"), F.col("width").alias("to_w")), "image_id")
     need = lambda o, n, size: (F.floor(o / 2) - 1, F.floor((o + n - 1) / 2) + 2)
-    return gather(blocks, kernel, BLOCKS, need, (F.col("to_h"), F.col("to_w")), block, images)
+    return gather(wanted, kernel, BLOCKS, need, (F.col("to_h"), F.col("to_w")), block)
 
 
-def laplacian_levels(blocks: DataFrame, levels: int, block: int = BLOCK) -> list[DataFrame]:
-    """``levels`` differences between an image and its smaller version brought up again, then the smallest version."""
-    out = []
+def gaussian_levels(blocks: DataFrame, levels: int, block: int = BLOCK) -> list[DataFrame]:
+    """An image and ``levels`` versions of half the size each, as written stages."""
+    out = [staged(blocks, "level")]
     for _ in range(levels):
-        small = pyramid_down(blocks, block)
-        up = pyramid_up(small, sizes(blocks, block), block)
-        out.append(plane_sum(blocks, up, -1.0))
-        blocks = small
-    return [*out, blocks]
+        out.append(staged(pyramid_down(out[-1], block), "level"))
+    return out
+
+
+def laplacian_levels(blocks: DataFrame, levels: int, block: int = BLOCK) -> list[DataFrame]:
+    """``levels`` differences between an image and its smaller version brought up again, then the smallest version; written stages."""
+    g = gaussian_levels(blocks, levels, block)
+    steps = [staged(plane_sum(a, pyramid_up(b, sizes(a), block), -1.0), "level") for a, b in zip(g, g[1:], strict=False)]
+    return [*steps, g[-1]]
 
 
 def collapse(levels: list[DataFrame], block: int = BLOCK) -> DataFrame:
-    """The image of which ``levels`` are the Laplacian pyramid."""
+    """The image of which ``levels``, written stages, are the Laplacian pyramid."""
     out = levels[-1]
     for level in reversed(levels[:-1]):
-        out = plane_sum(level, pyramid_up(out, sizes(level, block), block), 1.0)
+        out = plane_sum(level, pyramid_up(out, sizes(level), block), 1.0)
     return out
 
 
@@ -273,7 +304,7 @@ def plane_sum(a: DataFrame, b: DataFrame, factor: float = 1.0, product: bool = F
             data = [np.frombuffer(x) * np.frombuffer(y) if product else np.frombuffer(x) + factor * np.frombuffer(y) for x, y in zip(pdf["data"], pdf["other"], strict=True)]
             yield pdf.drop(columns="other").assign(data=[d.tobytes() for d in data])
 
-    return a.join(b.select(*keys, F.col("data").alias("other")), keys).select(*keys, "h", "w", "data", "other").mapInPandas(add, BLOCKS)
+    return a.join(b.select(*keys, F.col("data").alias("other")), keys).select(*_NAMES, "other").mapInPandas(add, BLOCKS)
 
 
 # Metrics of many images
@@ -360,21 +391,58 @@ def guided(blocks: DataFrame, r: int = 8, eps: float = 0.01, block: int = BLOCK)
 
 # Fusion of tiles, each an image of its own with planes 0 (values) and 1 (weights)
 
+def on_canvas(tiles: DataFrame, places: DataFrame, finish: Callable, block: int = BLOCK) -> DataFrame:
+    """Blocks, by canvas, of what ``finish(sums by plane)`` makes of the sums of tiles at ``places`` (image_id, canvas, tile_y, tile_x).
+
+    ``finish`` returns arrays by plane. A tile's block goes to the few canvas blocks that it overlaps. Places no tile covers hold sums of 0.
+    """
+    placed = tiles.join(places.select("image_id", "canvas", "tile_y", "tile_x"), "image_id")
+    size = placed.groupBy("canvas").agg(F.max(F.col("tile_y") + F.col("height")).cast("int").alias("tall"), F.max(F.col("tile_x") + F.col("width")).cast("int").alias("wide"))
+    placed = placed.join(size, "canvas").select("canvas", "plane", "tall", "wide", (F.col("by") * block + F.col("tile_y")).alias("y"), (F.col("bx") * block + F.col("tile_x")).alias("x"), "h", "w", "data")
+    names = ["canvas", "plane", "tall", "wide", "by", "bx", "py", "px", "ph", "pw", "part"]
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                data = np.frombuffer(r.data).reshape(r.h, r.w)
+                for by in range(r.y // block, (r.y + r.h - 1) // block + 1):
+                    a, b = max(r.y, by * block), min(r.y + r.h, (by + 1) * block)
+                    for bx in range(r.x // block, (r.x + r.w - 1) // block + 1):
+                        c, d = max(r.x, bx * block), min(r.x + r.w, (bx + 1) * block)
+                        rows.append((r.canvas, r.plane, r.tall, r.wide, by, bx, a - by * block, c - bx * block, b - a, d - c, np.ascontiguousarray(data[a - r.y : b - r.y, c - r.x : d - r.x]).tobytes()))
+            yield pd.DataFrame(rows, columns=names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        h, w = min(block, r.tall - r.by * block), min(block, r.wide - r.bx * block)
+        sums = {}
+        for p in pdf.sort_values(["plane", "py", "px", "ph", "pw", "part"]).itertuples(index=False):  # an order of its own, so sums agree from run to run
+            sums.setdefault(int(p.plane), np.zeros((h, w)))[p.py : p.py + p.ph, p.px : p.px + p.pw] += np.frombuffer(p.part).reshape(p.ph, p.pw)
+        return block_rows(r.canvas, finish(sums), int(r.by) * block, int(r.bx) * block, block).assign(height=int(r.tall), width=int(r.wide))[_NAMES]
+
+    kinds = "canvas string, " + ", ".join(f"{c} {'binary' if c == 'part' else 'int'}" for c in names[1:])
+    return placed.mapInPandas(cut, kinds).groupBy("canvas", "by", "bx").applyInPandas(run, BLOCKS)
+
+
+def weighted_mean(sums: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+    """The sums of plane 0 over those of plane 1, cut to 0..255."""
+    return {0: np.clip(sums[0] / np.maximum(sums[1], 1e-6), 0, 255)}
+
+
 def laplacian_tiles(tiles: DataFrame, levels: int, block: int = BLOCK) -> DataFrame:
     """Each tile's Laplacian pyramid times the Gaussian pyramid of its weights, collapsed: what its fusion adds up."""
     values, weights = tiles.where("plane = 0"), tiles.where("plane = 1").withColumn("plane", F.lit(0))
-    parts = []
-    for k, level in enumerate(laplacian_levels(values, levels, block)):
-        parts.append(plane_sum(level, weights, product=True))
-        weights = pyramid_down(weights, block) if k < levels else weights
-    return collapse(parts, block)
+    pairs = zip(laplacian_levels(values, levels, block), gaussian_levels(weights, levels, block), strict=True)
+    return collapse([staged(plane_sum(level, weight, product=True), "level") for level, weight in pairs], block)
 
 
 def laplacian_fusion(tiles: DataFrame, places: DataFrame, levels: int = 4, block: int = BLOCK) -> DataFrame:
-    """(canvas, y, x, value) of tiles at ``places`` (image_id, canvas, tile_y, tile_x): collapsed weighted pyramids over the sum of weights."""
-    top = to_pixels(laplacian_tiles(tiles, levels, block), block).select("image_id", "y", "x", F.col("value").alias("v"))
-    base = to_pixels(tiles.where("plane = 1"), block).select("image_id", "y", "x", F.col("value").alias("weight"))
-    each = top.join(base, ["image_id", "y", "x"]).join(places, "image_id")
-    at = each.groupBy("canvas", (F.col("y") + F.col("tile_y")).alias("y"), (F.col("x") + F.col("tile_x")).alias("x"))
-    out = at.agg((F.sum("v") / F.greatest(F.sum("weight"), F.lit(1e-6))).alias("value"))
-    return out.withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col("value"))))
+    """Blocks, by canvas, of tiles at ``places`` (image_id, canvas, tile_y, tile_x): collapsed weighted pyramids over the sum of weights."""
+    tiles = staged(tiles, "tiles")
+    return on_canvas(laplacian_tiles(tiles, levels, block).unionByName(tiles.where("plane = 1")), places, weighted_mean, block)
+
+
+def multi_band_fusion(tiles: DataFrame, places: DataFrame, bands: int = 6, block: int = BLOCK) -> DataFrame:
+    """``laplacian_fusion`` of ``bands`` bands: as many levels less one, and the rest; weights are those of plane 1."""
+    return laplacian_fusion(tiles, places, bands - 1, block)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pixelweave.operators import blending
 from pixelweave.operators import blocks as B
 from pixelweave.plans.queries import PX, px, query
 from pixelweave.sources.mosaic import degraded
@@ -131,13 +132,69 @@ def multi_scale(spark, d):
     return B.multi_scale(both_planes(spark, d), scales, SIDE).select("image_id", "scale", *[F.round(c, 6).alias(c) for c in ("psnr", "ssim")])
 
 
+def overlapping(spark, d):
+    """(tiles, places): each band as four tiles of 56 columns that overlap by 8 and differ by 3 levels from one to the next."""
+    each = bands(spark, d).select("*", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("k")).where("x >= 48 * k and x < 48 * k + 56")
+    side = F.least(F.lit(1.0), F.least(F.col("x") - 48 * F.col("k"), 48 * F.col("k") + 55 - F.col("x")) / 5 + 0.1)
+    hole = F.when((F.col("y") * 7 + F.col("x") * 13) % 97 == 0, 0).otherwise(1)
+    tiles = each.select(F.concat_ws("/", "image_id", "k").alias("image_id"), F.col("image_id").alias("canvas"), (48 * F.col("k")).alias("tile_x"), F.lit(0).alias("tile_y"),
+                        "y", (F.col("x") - 48 * F.col("k")).alias("x"), (F.col("g") + 3 * F.col("k")).alias("g"), side.alias("weight"), hole.alias("mask"))
+    return tiles, tiles.select("image_id", "canvas", "tile_y", "tile_x").distinct()
+
+
 @query()
 def laplacian_fusion(spark, d):
-    """Each band is four tiles that overlap by 40 columns, with weights that fall toward the tile's sides."""
-    p = bands(spark, d)
-    tiles = p.select("*", F.explode(F.array(*[F.lit(k * 53) for k in range(4)])).alias("tile_x")).where("x >= tile_x and x < tile_x + 41")
-    tiles = tiles.select(F.concat_ws("/", "image_id", "tile_x").alias("image_id"), F.col("image_id").alias("canvas"), "tile_x", "y", (F.col("x") - F.col("tile_x")).alias("x"), "g")
-    side = F.least(F.lit(1.0), F.least(F.col("x"), 40 - F.col("x")) / 5 + 0.1)
-    made = B.to_blocks(tiles.withColumn("weight", side), ("g", "weight"), SIDE)
-    places = tiles.select("image_id", "canvas", "tile_x", F.lit(0).alias("tile_y")).distinct()
-    return B.laplacian_fusion(made, places, 2, SIDE).select("canvas", "y", "x", F.round("value", 6).alias("value"))
+    tiles, places = overlapping(spark, d)
+    return on_canvases(B.laplacian_fusion(B.to_blocks(tiles, ("g", "weight"), SIDE), places, 2, SIDE))
+
+
+@query()
+def multi_band_fusion(spark, d):
+    tiles, places = overlapping(spark, d)
+    return on_canvases(B.multi_band_fusion(B.to_blocks(tiles, ("g", "weight"), SIDE), places, 4, SIDE))
+
+
+TILES = IM + """, tiles as materialized (select image_id, k::int as k, y, x - 48 * k::int as j, g + 3 * k as v from im, (select unnest(range(4)) as k) where x >= 48 * k and x < 48 * k + 56)
+"""
+
+
+@query(TILES + """, want as (select t.image_id, t.k, t.y, t.j, a.d as dy, b.d as dx,
+    case when t.y + a.d < 0 then 1 when t.y + a.d > 39 then 38 else t.y + a.d end as ty, case when t.j + b.d < 0 then 1 when t.j + b.d > 55 then 54 else t.j + b.d end as tj
+  from tiles t, (select unnest(range(-1, 2)) as d) a, (select unnest(range(-1, 2)) as d) b),
+sobel as (select w.image_id, w.k, w.y, w.j, sum(s.v * w.dx * (2 - abs(w.dy))) as gx, sum(s.v * w.dy * (2 - abs(w.dx))) as gy
+  from want w join tiles s on s.image_id = w.image_id and s.k = w.k and s.y = w.ty and s.j = w.tj group by w.image_id, w.k, w.y, w.j),
+weighed as (select *, 0.5::double * (1 - cos(pi() * least(1, least(y, 39 - y, j, 55 - j) / 5.0::double))) as w from sobel),
+slopes as (select image_id, y, 48 * k + j as x, sum(gx * w) / greatest(sum(w), 1e-6::double) as gx, sum(gy * w) / greatest(sum(w), 1e-6::double) as gy from weighed group by image_id, y, 48 * k + j),
+sums as (select image_id, y, x, sum(gx) over (partition by image_id, y order by x) + sum(gy) over (partition by image_id, x order by y) as s from slopes)
+select image_id as canvas, y, x::int as x, round(least(255, greatest(0, s / 2)), 6) as value from sums""")
+def gradient_fusion(spark, d):
+    tiles, places = overlapping(spark, d)
+    return on_canvases(blending.gradient_fusion(B.to_blocks(tiles, ("g",), SIDE), places, SIDE))
+
+
+@query(TILES + """, far as (select t.image_id, t.k, t.y, t.j, t.v, min(least(36, a.d * a.d + b.d * b.d)) filter (where t.y + a.d < 0 or t.y + a.d > 39 or t.j + b.d < 0 or t.j + b.d > 55
+    or ((t.y + a.d) * 7 + (t.j + b.d + 48 * t.k) * 13) % 97 = 0) as sq
+  from tiles t, (select unnest(range(-6, 7)) as d) a, (select unnest(range(-6, 7)) as d) b group by t.image_id, t.k, t.y, t.j, t.v),
+weighed as (select *, 0.5::double * (1 - cos(pi() * sqrt(coalesce(sq, 36)) / 6)) as w from far)
+select image_id as canvas, y, (48 * k + j)::int as x, round(least(255, greatest(0, sum(v * w) / greatest(sum(w), 1e-6::double))), 6) as value from weighed group by image_id, y, 48 * k + j""")
+def feather_fusion(spark, d):
+    tiles, places = overlapping(spark, d)
+    return on_canvases(blending.feather_fusion(B.to_blocks(tiles, ("g", "mask"), SIDE), places, 6, SIDE))
+
+
+@query()
+def poisson_clone(spark, d):
+    """The jittered band cloned into the band inside an ellipse, the steeper gradients counting."""
+    inside = F.pow((F.col("y") - 20) / 15.0, 2) + F.pow((F.col("x") - 90) / 60.0, 2) < 1
+    made = B.to_blocks(bands(spark, d).withColumn("mask", inside.cast("int")), ("g", "h", "mask"), SIDE)
+    return pixels(blending.poisson_clone(made, "mixed", 1e-5, block=SIDE)[0]).withColumn("value", F.round("value", 3))
+
+
+@query(IM + """select image_id, y, x, round(floor(g * (1 - m / 255.0::double) + h * m / 255.0::double), 6) as value from (select *, (x + y) % 256 as m from im)""")
+def mask_blend(spark, d):
+    made = B.to_blocks(bands(spark, d).withColumn("m", (F.col("x") + F.col("y")) % 256), ("g", "h", "m"), SIDE)
+    return pixels(blending.mask_blend(made, SIDE))
+
+
+def on_canvases(blocks):
+    return B.to_pixels(blocks, SIDE).select(F.col("image_id").alias("canvas"), "y", "x", F.round("value", 6).alias("value"))

@@ -136,7 +136,7 @@ def test_laplacian_fusion_against_whole_arrays(spark):
     weights = [np.minimum(1, 0.2 + np.minimum(np.arange(30), np.arange(30)[::-1]) / 6)[None].repeat(37, 0)] * 2
     rows = [(str(k), "c", y, x, int(g[y, x]), float(w[y, x]), ty, tx) for k, ((ty, tx, g), w) in enumerate(zip(tiles, weights, strict=True)) for y in range(37) for x in range(30)]
     px = spark.createDataFrame(rows, "image_id string, canvas string, y int, x int, g int, weight double, tile_y int, tile_x int")
-    got = blocks.laplacian_fusion(blocks.to_blocks(px, ("g", "weight"), 16), px.select("image_id", "canvas", "tile_y", "tile_x").distinct(), 2, 16).toPandas()
+    got = blocks.to_pixels(blocks.laplacian_fusion(blocks.to_blocks(px, ("g", "weight"), 16), px.select("image_id", "canvas", "tile_y", "tile_x").distinct(), 2, 16), 16).toPandas()
     total, base = np.zeros((37, 52)), np.zeros((37, 52))
     for (ty, tx, g), w in zip(tiles, weights, strict=True):
         gs, ws = [g.astype(float)], [w]
