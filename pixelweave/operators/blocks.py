@@ -166,6 +166,16 @@ def mapped(blocks: DataFrame, f: Callable, need: Need, out: tuple[Column, Column
     return gather(blocks, kernel, BLOCKS, need, out, block)
 
 
+def mapped_values(blocks: DataFrame, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Blocks whose values ``f`` changes one by one."""
+
+    def change(batches):
+        for pdf in batches:
+            yield pdf.assign(data=[np.ascontiguousarray(f(np.frombuffer(d)), float).tobytes() for d in pdf["data"]])
+
+    return blocks.select(*_NAMES).mapInPandas(change, BLOCKS)
+
+
 def combined(blocks: DataFrame, f: Callable, r: int = 0, block: int = BLOCK) -> DataFrame:
     """Blocks, plane 0, of ``f(values of plane 0, of plane 1, ...)`` with ``r`` pixels of border that ``f`` takes off."""
 

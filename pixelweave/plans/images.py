@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators import blending
 from pixelweave.operators import blocks as B
-from pixelweave.plans.queries import PX, px, query
-from pixelweave.sources.mosaic import degraded
+from pixelweave.operators import edges, spectrum
+from pixelweave.plans.queries import PX, px, query, table
+from pixelweave.sources.mosaic import degraded, mosaic
 
 SIDE = 32  # small blocks, so that the test images have several
 
@@ -198,3 +199,49 @@ def mask_blend(spark, d):
 
 def on_canvases(blocks):
     return B.to_pixels(blocks, SIDE).select(F.col("image_id").alias("canvas"), "y", "x", F.round("value", 6).alias("value"))
+
+
+# In SQL as sums over rows, then over columns.
+SPECTRUM = IM + """, r as (select image_id, y, u, sum(g * cos(2 * pi() * u * x / 200)) as re, -sum(g * sin(2 * pi() * u * x / 200)) as im from im, (select unnest(range(200)) as u) group by image_id, y, u),
+f as materialized (select image_id, v, u, sum(re * cos(2 * pi() * v * y / 40) + im * sin(2 * pi() * v * y / 40)) as re, sum(im * cos(2 * pi() * v * y / 40) - re * sin(2 * pi() * v * y / 40)) as im from r, (select unnest(range(40)) as v) group by image_id, v, u),
+m as (select image_id, sqrt(re * re + im * im) as size, sqrt(((v + 20) % 40 - 20) ** 2 + ((u + 100) % 200 - 100) ** 2) > 10 as far from f)
+"""
+
+
+@query(SPECTRUM + "select image_id, round(sum(size) filter (where far) / (sum(size) + 1e-10::double), 6) as hf_ratio from m group by image_id")
+def high_frequency_ratio(spark, d):
+    return spectrum.high_frequency_ratio(one_plane(spark, d), SIDE).select("image_id", F.round("hf_ratio", 6).alias("hf_ratio"))
+
+
+@query()
+def saliency_zones(spark, d):
+    """Pixels whose saliency level is above seven tenths."""
+    zones = spectrum.salient(spectrum.saliency(one_plane(spark, d), SIDE))
+    return pixels(zones).where("value > 0").select("image_id", "y", "x")
+
+
+def flat_bands(spark, d):
+    """Bands whose 8 x 8 cells have one level each: that of the vector's first component."""
+    v = table(spark, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: F.col("embedding")[0]))
+    p = mosaic(v)
+    return B.to_blocks(p.select(F.floor(F.col("y") / 40).cast("int").cast("string").alias("image_id"), (F.col("y") % 40).alias("y"), "x", "g"), ("g",), SIDE)
+
+
+CANNY = PX + """, cells as (select (y // 40)::varchar as image_id, (y % 40)::int as y, x, first_value(g) over (partition by vec_id order by y, x) as g from px),
+want as (select c.image_id, c.y, c.x, a.d as dy, b.d as dx, greatest(0, least(39, c.y + a.d)) as ty, greatest(0, least(199, c.x + b.d)) as tx from cells c, (select unnest(range(-1, 2)) as d) a, (select unnest(range(-1, 2)) as d) b),
+s as materialized (select w.image_id, w.y, w.x, sum(c.g * w.dx * (2 - abs(w.dy)))::bigint as gx, sum(c.g * w.dy * (2 - abs(w.dx)))::bigint as gy from want w join cells c on c.image_id = w.image_id and c.y = w.ty and c.x = w.tx group by w.image_id, w.y, w.x),
+m as materialized (select *, abs(gx) + abs(gy) as own from s),
+side as materialized (select *, case when abs(gy) * 32768 < abs(gx) * 13573 then 0 when abs(gy) * 32768 > abs(gx) * 13573 + abs(gx) * 65536 then 1 when xor(gx, gy) < 0 then 2 else 3 end as way from m where own > 50),
+near as (select k.*, coalesce(p.own, 0) as before, coalesce(q.own, 0) as after from side k
+  left join m p on p.image_id = k.image_id and p.y = k.y - (k.way > 0)::int and p.x = k.x + case k.way when 0 then -1 when 1 then 0 when 2 then 1 else -1 end
+  left join m q on q.image_id = k.image_id and q.y = k.y + (k.way > 0)::int and q.x = k.x + case k.way when 0 then 1 when 1 then 0 when 2 then -1 else 1 end),
+c as materialized (select image_id, y, x, own > 150 as strong from near where own > before and (own > after or way < 2 and own = after)),
+"""
+
+
+@query(CANNY.replace("with px as (", "with recursive px as (", 1) + """e(image_id, y, x) as (select image_id, y, x from c where strong
+  union select c.image_id, c.y, c.x from e join c on c.image_id = e.image_id and c.y between e.y - 1 and e.y + 1 and c.x between e.x - 1 and e.x + 1)
+select i.image_id, round(count(e.y) / 8000.0::double, 6) as edge_density, round(greatest(0, 100 - count(e.y) / 8000.0::double * 500), 6) as oversharpen_score
+from (select distinct image_id from cells) i left join e using (image_id) group by i.image_id""")
+def oversharpen(spark, d):
+    return edges.oversharpened(flat_bands(spark, d), block=SIDE).select("image_id", *[F.round(c, 6).alias(c) for c in ("edge_density", "oversharpen_score")])
