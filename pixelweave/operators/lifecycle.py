@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelweave.operators.scheduling import failure
+
 
 def registered(agents: DataFrame, new: DataFrame) -> DataFrame:
     """Agents and new ones; of an agent that is in both the new row counts. Columns are those of ``agents``."""
@@ -12,12 +14,11 @@ def registered(agents: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new.select(*agents.columns))
 
 
-def unregistered(agents: DataFrame, tasks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Agents without those ``gone`` (agent_id), and tasks whose unfinished work on these is pending again."""
-    hit = tasks.join(gone.select(F.col("agent_id").alias("gone_id")), F.col("agent_id") == F.col("gone_id"), "left")
-    back = F.col("gone_id").isNotNull() & F.col("status").isin("PROCESSING", "RETRYING")
-    hit = hit.withColumns({"status": F.when(back, "PENDING").otherwise(F.col("status")), "agent_id": F.when(~back, F.col("agent_id"))})
-    return agents.join(gone.select("agent_id"), "agent_id", "left_anti"), hit.select(*tasks.columns)
+def unregistered(agents: DataFrame, tasks: DataFrame, gone: DataFrame, base: Column) -> tuple[DataFrame, DataFrame]:
+    """Agents without those ``gone`` (agent_id), and tasks after the failure of what these were working on; ``base``: see ``failure``."""
+    gone = agents.join(gone.select("agent_id").distinct(), "agent_id", "left_semi").select("agent_id")
+    hit = tasks.where(F.col("status") == "PROCESSING").join(gone, "agent_id", "left_semi").select("task_id")
+    return agents.join(gone, "agent_id", "left_anti"), failed(tasks, hit, base)
 
 
 def assigned(tasks: DataFrame, agents: DataFrame, pairs: DataFrame, now) -> tuple[DataFrame, DataFrame]:
@@ -40,14 +41,24 @@ def completed(agents: DataFrame, events: DataFrame) -> DataFrame:
     return a.select(*agents.columns)
 
 
-def failed(tasks: DataFrame, events: DataFrame) -> DataFrame:
-    """Tasks after failures (task_id): one more try, later in the queue, while tries are left; then a degraded one."""
-    hit = tasks.join(events.select("task_id", F.lit(True).alias("hit")).distinct(), "task_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    again = F.col("hit") & (F.col("retries") < F.col("max_retries"))
-    worn = F.col("hit") & ~again
-    hit = hit.withColumn("priority", F.col("priority") + F.when(again, 100.0 * (F.col("retries") + 1)).when(worn, 500.0).otherwise(0.0))
-    hit = hit.withColumn("status", F.when(again, "RETRYING").when(worn, "DEGRADED").otherwise(F.col("status")))
-    return hit.withColumn("retries", F.when(again, F.col("retries") + 1).when(worn, 0).otherwise(F.col("retries"))).select(*tasks.columns)
+def failed(tasks: DataFrame, events: DataFrame, base: Column) -> DataFrame:
+    """Tasks after failures (task_id), by the one rule for them, ``failure``; several events of a task at once are one failure."""
+    hit = tasks.join(events.select("task_id", F.lit(True).alias("is_hit")).distinct(), "task_id", "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
+    return hit.withColumns(failure(tasks.columns, base, F.col("is_hit"))).select(*tasks.columns)
+
+
+def agents_after_failures(agents: DataFrame, events: DataFrame, earlier: DataFrame, now: Column, seconds: int = 300) -> DataFrame:
+    """Agents after tasks of theirs failed (events: agent_id): fewer pending; with three and more failures (earlier: agent_id, at) in the
+    ``seconds`` before ``now`` an agent is degraded by a level for each event."""
+    counts = events.groupBy("agent_id").agg(F.count("*").cast("int").alias("lost"))
+    recent = earlier.where(now - F.col("at") < seconds).groupBy("agent_id").agg(F.count("*").alias("recent"))
+    a = agents.join(counts, "agent_id", "left").join(recent, "agent_id", "left")
+    lost, worn = F.coalesce("lost", F.lit(0)), F.coalesce((F.col("recent") >= 3) & (F.col("lost") > 0), F.lit(False))
+    a = a.withColumns({
+        "pending": F.greatest(F.lit(0), F.col("pending") - lost), "degradation": F.col("degradation") + F.when(worn, lost).otherwise(0),
+        "status": F.when(worn, "DEGRADED").otherwise(F.col("status")),
+    })
+    return a.select(*agents.columns)
 
 
 def idle_to_remove(agents: DataFrame, count: int) -> DataFrame:

@@ -42,23 +42,41 @@ def dispatch(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     return queue.join(slots, "place").select("task_id", "agent_id")
 
 
-def autoscale(depth: str, agents: str, busy_share: str, idle: str, most: int = 500) -> Column:
+def autoscale(depth: str, agents: str, idle: str, concurrent: str, most: int = 500) -> Column:
+    """How many agents there should be for a queue of ``depth`` tasks, of which ``concurrent`` may run at a time."""
+    usage = F.col(depth) / F.greatest(F.lit(1), F.col(concurrent))
     grow = F.least(F.lit(most), F.col(agents) + F.when(F.col(depth) >= 100, 20).otherwise(5))
-    up = (F.col(busy_share) > 0.8) & (F.col(depth) >= 50)
-    down = (F.col(busy_share) < 0.2) & (F.col(depth) < 10) & (F.col(idle) > 5)
-    return F.when(up, grow).when(down, F.greatest(F.col(agents) - 3, F.lit(5))).otherwise(F.col(agents))
+    up = (usage > 0.8) & (F.col(depth) >= 50)
+    down = (usage < 0.2) & (F.col(depth) < 10) & (F.col(idle) > 5)
+    return F.when(up, F.greatest(grow, F.col(agents))).when(down, F.greatest(F.col(agents) - 3, F.lit(5))).otherwise(F.col(agents))
 
 
-def after_failure(tasks: DataFrame, most: int = 3) -> DataFrame:
-    """Failed tasks retried with a penalty, or degraded once their retries are used up."""
-    again = F.col("retries") < most
-    scale = F.when(F.col("scale") > 1.5, F.greatest(F.lit(1.5), F.col("scale") * 0.7)).otherwise(F.col("scale"))
-    return tasks.select(
-        "task_id", F.when(again, "RETRYING").otherwise("DEGRADED").alias("status"),
-        F.when(again, F.col("retries") + 1).when(F.col("scale") > 1.5, 0).otherwise(F.col("retries")).alias("retries"),
-        (F.col("priority") + F.when(again, (F.col("retries") + 1) * 100.0).otherwise(500.0)).alias("priority"),
-        F.when(again, F.col("scale")).otherwise(scale).alias("scale"),
-    )
+def failure(columns: list[str], base: Column, hit: Column | None = None) -> dict[str, Column]:
+    """The columns of tasks (of those in ``columns``) that a failure changes, where ``hit`` holds.
+
+    While tries are left the task is retried, without its agent. Then it is degraded: a smaller scale (if it is above 1.5; then the
+    tries begin anew and the target shrinks along), tiles of 256 with an overlap of 16 where they are larger, another engine.
+    The penalty comes on top of ``base``, the priority without penalties, so those of earlier failures don't pile up.
+    """
+    hit = F.lit(True) if hit is None else hit
+    again, scaled = hit & (F.col("retries") < F.col("max_retries")), F.lit(False)
+    worn = hit & ~again
+    out = {
+        "status": F.when(again, "RETRYING").when(worn, "DEGRADED").otherwise(F.col("status")),
+        "agent_id": F.when(~again, F.col("agent_id")),
+        "started": F.when(~again, F.col("started")),
+        "priority": F.when(again, base + 100.0 * (F.col("retries") + 1)).when(worn, base + 500.0).otherwise(F.col("priority")),
+        "fallback": worn | F.col("fallback"),
+    }
+    if "scale" in columns:
+        scaled, smaller = worn & (F.col("scale") > 1.5), F.greatest(F.lit(1.5), F.col("scale") * 0.7)
+        out["scale"] = F.when(scaled, smaller).otherwise(F.col("scale"))
+        for c in ("target_w", "target_h"):
+            out[c] = F.when(scaled, F.floor(F.col(c) * smaller / F.col("scale")).cast("int")).otherwise(F.col(c))
+    out["retries"] = F.when(again, F.col("retries") + 1).when(scaled, 0).otherwise(F.col("retries"))
+    large = worn & (F.col("tile_size") > 256)
+    out |= {c: F.when(large, n).otherwise(F.col(c)) for c, n in (("overlap", 16), ("tile_size", 256))}
+    return {c: v for c, v in out.items() if c in columns}
 
 
 def recent_failures(events: DataFrame, seconds: int = 300) -> DataFrame:

@@ -315,17 +315,25 @@ def dispatch(spark, d):
 
 
 @query(TASKS + """select task_id, case when retries < 3 then 'RETRYING' else 'DEGRADED' end as status, case when retries < 3 then retries + 1 when scale > 1.5 then 0 else retries end::int as retries,
-round(priority + case when retries < 3 then (retries + 1) * 100.0::double else 500.0::double end, 6) as priority, round(case when retries < 3 or scale <= 1.5 then scale else greatest(1.5, scale * 0.7::double) end, 6) as scale from queue""")
+round(queue.priority + case when retries < 3 then (retries + 1) * 100.0::double else 500.0::double end, 6) as priority, round(case when retries < 3 or scale <= 1.5 then scale else greatest(1.5, scale * 0.7::double) end, 6) as scale,
+case when retries < 3 or scale <= 1.5 then 4096 else floor(4096 * greatest(1.5::double, scale * 0.7::double) / scale) end::int as target_w, case when retries < 3 then 512 else 256 end as tile_size, case when retries < 3 then 64 else 16 end as overlap, retries >= 3 as fallback from queue""")
 def after_failure(spark, d):
-    return scheduling.after_failure(tasks(spark, d)).select("task_id", "status", "retries", *r6("priority", "scale"))
+    """Every task fails once; its priority holds the penalties of its earlier tries, which the new one replaces."""
+    base = F.col("priority")
+    t = tasks(spark, d).withColumns({"base": base, "priority": base + 100.0 * F.col("retries"), "max_retries": F.lit(3), "status": F.lit("PROCESSING"), "target_w": F.lit(4096),
+                                     "tile_size": F.lit(512), "overlap": F.lit(64), "fallback": F.lit(False)})
+    t = t.withColumns(scheduling.failure(t.columns, F.col("base")))
+    return t.select("task_id", "status", "retries", *r6("priority", "scale"), "target_w", "tile_size", "overlap", "fallback")
 
 
-@query("""with a as (select user_id, count(*)::int as depth, (1 + user_id % 40)::int as n_agents, (user_id % 11) / 10.0::double as busy, (user_id % 9)::int as idle from events group by user_id)
-select user_id, case when busy > 0.8 and depth >= 50 then least(500, n_agents + case when depth >= 100 then 20 else 5 end) when busy < 0.2 and depth < 10 and idle > 5 then greatest(n_agents - 3, 5) else n_agents end::int as target from a""")
+@query("""with a as (select user_id, (count(*) * (user_id % 16))::int as depth, (1 + user_id % 490)::int as n_agents, (user_id % 9)::int as idle, (20 + user_id % 100)::int as concurrent from events group by user_id)
+select user_id, case when depth / concurrent::double > 0.8 and depth >= 50 then greatest(n_agents, least(500, n_agents + case when depth >= 100 then 20 else 5 end))
+  when depth / concurrent::double < 0.2 and depth < 10 and idle > 5 then greatest(n_agents - 3, 5) else n_agents end::int as target from a""")
 def autoscale_target(spark, d):
     u = F.col("user_id")
-    a = table(spark, d, "events").groupBy("user_id").agg(F.count("*").cast("int").alias("depth")).select("user_id", "depth", (1 + u % 40).cast("int").alias("n_agents"), (u % 11 / 10.0).alias("busy"), (u % 9).cast("int").alias("idle"))
-    return a.select("user_id", scheduling.autoscale("depth", "n_agents", "busy", "idle").cast("int").alias("target"))
+    depth = (F.count("*") * (u % 16)).cast("int").alias("depth")
+    a = table(spark, d, "events").groupBy("user_id").agg(depth).select("user_id", "depth", (1 + u % 490).cast("int").alias("n_agents"), (u % 9).cast("int").alias("idle"), (20 + u % 100).cast("int").alias("concurrent"))
+    return a.select("user_id", scheduling.autoscale("depth", "n_agents", "idle", "concurrent").cast("int").alias("target"))
 
 
 def events(spark, d):

@@ -128,7 +128,7 @@ def metric_union(spark, d):
 
 
 AGENTS = "with a as (select s_suppkey as agent_id, s_suppkey as reg_order, case s_suppkey % 3 when 0 then 'IDLE' else 'BUSY' end as status, (s_suppkey % 5)::int as pending, 0 as processed from supplier), "
-TASKS = "t as (select o_orderkey as task_id, case o_orderkey % 4 when 0 then 'PROCESSING' when 1 then 'SUCCESS' else 'PENDING' end as status, case when o_orderkey % 4 < 2 then o_custkey % 40 end as agent_id, (o_orderkey % 4)::int as retries, 3 as max_retries, o_totalprice as priority, null::timestamp as started from orders)\n"
+TASKS = "t as (select o_orderkey as task_id, case o_orderkey % 4 when 0 then 'PROCESSING' when 1 then 'SUCCESS' else 'PENDING' end as status, case when o_orderkey % 4 < 2 then o_custkey % 40 end as agent_id, (o_orderkey % 4)::int as retries, 3 as max_retries, o_totalprice as base, o_totalprice + 100.0::double * (o_orderkey % 4) as priority, null::timestamp as started from orders)\n"
 
 
 def agents(spark, d):
@@ -139,7 +139,7 @@ def agents(spark, d):
 def tasks(spark, d):
     k = F.col("o_orderkey")
     status = F.when(k % 4 == 0, "PROCESSING").when(k % 4 == 1, "SUCCESS").otherwise("PENDING")
-    return table(spark, d, "orders").select(k.alias("task_id"), status.alias("status"), F.when(k % 4 < 2, F.col("o_custkey") % 40).alias("agent_id"), (k % 4).cast("int").alias("retries"), F.lit(3).alias("max_retries"), F.col("o_totalprice").alias("priority"), F.lit(None).cast("timestamp").alias("started"))
+    return table(spark, d, "orders").select(k.alias("task_id"), status.alias("status"), F.when(k % 4 < 2, F.col("o_custkey") % 40).alias("agent_id"), (k % 4).cast("int").alias("retries"), F.lit(3).alias("max_retries"), F.col("o_totalprice").alias("base"), (F.col("o_totalprice") + 100.0 * (k % 4)).alias("priority"), F.lit(None).cast("timestamp").alias("started"))
 
 
 @query(AGENTS + "n as (select s_suppkey + 5 as agent_id, s_suppkey as reg_order, 'IDLE' as status, 0 as pending, 0 as processed from supplier) select * from n union all select * from a where agent_id not in (select agent_id from n)")
@@ -149,10 +149,12 @@ def agents_registered(spark, d):
     return lifecycle.registered(a, new)
 
 
-@query(AGENTS + TASKS + "select task_id, case when gone and status in ('PROCESSING', 'RETRYING') then 'PENDING' else status end as status, case when gone and status in ('PROCESSING', 'RETRYING') then null else agent_id end as agent_id from (select *, coalesce(agent_id % 7 = 0 and agent_id in (select agent_id from a), false) as gone from t)")
+@query(AGENTS + TASKS + """, g as (select *, coalesce(status = 'PROCESSING' and agent_id % 7 = 0 and agent_id in (select agent_id from a), false) as gone from t)
+select task_id, case when gone then 'RETRYING' else status end as status, case when not gone then agent_id end as agent_id, (retries + gone::int)::int as retries, round(case when gone then base + 100.0::double * (retries + 1) else priority end, 4) as priority from g""")
 def agents_unregistered(spark, d):
+    """What the agents that leave were working on fails once, as any other failure."""
     a, t = agents(spark, d), tasks(spark, d)
-    return lifecycle.unregistered(a, t, a.where("agent_id % 7 = 0"))[1].select("task_id", "status", "agent_id")
+    return lifecycle.unregistered(a, t, a.where("agent_id % 7 = 0"), F.col("base"))[1].select("task_id", "status", "agent_id", "retries", F.round("priority", 4).alias("priority"))
 
 
 @query(AGENTS + TASKS + ", p as (select task_id, task_id % 25 as to_agent from t where status = 'PENDING') select agent_id, case when m > 0 then 'BUSY' else status end as status, (pending + coalesce(m, 0))::int as pending from a left join (select to_agent as agent_id, count(*) as m from p group by 1) using (agent_id)")
@@ -175,10 +177,20 @@ def completion_events(spark, d):
     return lifecycle.completed(agents(spark, d), tasks(spark, d).where("status = 'SUCCESS' and task_id % 8 = 1")).select("agent_id", "status", "pending", "processed")
 
 
-@query(AGENTS + TASKS + "select task_id, case when task_id % 2 = 0 and retries < 3 then 'RETRYING' when task_id % 2 = 0 then 'DEGRADED' else status end as status, case when task_id % 2 = 0 and retries < 3 then retries + 1 when task_id % 2 = 0 then 0 else retries end::int as retries, round(priority + case when task_id % 2 = 0 and retries < 3 then 100.0::double * (retries + 1) when task_id % 2 = 0 then 500.0::double else 0 end, 4) as priority from t")
+@query(AGENTS + TASKS + """select task_id, case when task_id % 2 = 0 and retries < 3 then 'RETRYING' when task_id % 2 = 0 then 'DEGRADED' else status end as status, case when task_id % 2 = 0 and retries < 3 then retries + 1 else retries end::int as retries,
+round(case when task_id % 2 = 0 and retries < 3 then base + 100.0::double * (retries + 1) when task_id % 2 = 0 then base + 500.0::double else priority end, 4) as priority, case when not (task_id % 2 = 0 and retries < 3) then agent_id end as agent_id from t""")
 def failure_events(spark, d):
     t = tasks(spark, d)
-    return lifecycle.failed(t, t.where("task_id % 2 = 0")).select("task_id", "status", "retries", F.round("priority", 4).alias("priority"))
+    return lifecycle.failed(t, t.where("task_id % 2 = 0"), F.col("base")).select("task_id", "status", "retries", F.round("priority", 4).alias("priority"), "agent_id")
+
+
+@query(AGENTS + TASKS + """, e as (select agent_id, count(*) as lost from t where status = 'PROCESSING' and task_id % 3 = 0 group by 1), f as (select agent_id, count(*) as recent from t where status = 'SUCCESS' and task_id % 1000 > 700 group by 1)
+select agent_id, greatest(0, pending - coalesce(lost, 0))::int as pending, case when recent >= 3 and lost > 0 then lost else 0 end::int as degradation, case when recent >= 3 and lost > 0 then 'DEGRADED' else status end as status from a left join e using (agent_id) left join f using (agent_id)""")
+def agents_after_failures(spark, d):
+    t, a = tasks(spark, d), agents(spark, d).withColumn("degradation", F.lit(0))
+    earlier = t.where("status = 'SUCCESS'").select("agent_id", (F.col("task_id") % 1000).alias("at"))
+    out = lifecycle.agents_after_failures(a, t.where("status = 'PROCESSING' and task_id % 3 = 0"), earlier, F.lit(1000))
+    return out.select("agent_id", "pending", "degradation", "status")
 
 
 @query(AGENTS + "i as (select agent_id from a where status = 'IDLE' order by reg_order limit 5) select agent_id from i")
