@@ -87,6 +87,7 @@ def repeated_runs(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
     columns = [*PLACE, "left", "reach", "rank", "lines"]
     level = attach(lines, first, ["line"], total).select(*PLACE, "left", "reach", "rank", F.lit(1).alias("lines"), F.lit(False).alias("later"))
     level = stage(level, "suffixes")
+    written = [level]
     # Equal runs have equal words, so whether a run has enough of them (``reach``) holds for its whole interval.
     found, span = stage(_later(level.where("reach <= lines"), ["rank"], total), "later"), 1
     while not level.isEmpty():
@@ -97,7 +98,6 @@ def repeated_runs(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
         # Only suffixes with lines enough for the next round, whose second half is in an interval too, go on.
         ahead = level.select("did", "mark", (F.col("i") - F.col("lines")).alias("i"), F.col("rank").alias("next"))
         pairs = stage(level.where("left >= 2 * lines").select(*columns).join(ahead, PLACE), "pairs")
-        unstage(level)
         place = F.struct(*PLACE)
         halves = pairs.select(F.col("rank").alias("base"), "next", *PLACE)
         ranks = _rank(halves, "base", "next", F.lit(0), F.lit(total), F.min(place).alias("first"))
@@ -105,9 +105,11 @@ def repeated_runs(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
         later = (place > F.col("first")).alias("later")
         level = stage(ranked.select(*PLACE, "left", "reach", F.col("new").alias("rank"), (F.col("lines") * 2).alias("lines"), later), "suffixes")
         unstage(pairs)
-        found = stage(level.where("later and reach <= lines").select(*PLACE, "lines"), "later", found)
+        written.append(level)
         span *= 2
-    unstage(level)
+    # What each round found stays in its table and is read once, from all of them: a plan less for the driver in every round.
+    rounds = lines.sparkSession.read.schema(level.schema).parquet(*[x.staged_at for x in written])
+    found = found.unionByName(rounds.where("later and reach <= lines").select(*PLACE, "lines"))
     return lines, found.groupBy(*PLACE).agg(F.max("lines").alias("lines"))
 
 
