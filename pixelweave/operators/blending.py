@@ -200,3 +200,123 @@ def mask_blend(images: DataFrame, block: int = BLOCK) -> DataFrame:
     """Blocks of target (plane 0) and source (plane 1) mixed by the mask (plane 2, from 0 to 255), cut to whole levels."""
     return B.combined(images, lambda t, s, m: np.floor(t * (1 - m / 255) + s * m / 255), block=block)
 
+
+
+# Repair of seams
+
+#: The Gaussian that widens a blend: 15 taps, its deviation by the usual rule for a kernel's size.
+_WIDE = B.gaussian(7, 0.3 * ((15 - 1) * 0.5 - 1) + 0.8)
+_BOX = ["y0", "x0", "y1", "x1"]
+
+
+def boxes(seams: DataFrame, images: DataFrame) -> DataFrame:
+    """``seams`` (image_id, place, x, y, width, height, fix) that need a repair, with the box around each: its longer side more on all
+    sides, as far as the image (image_id, image_h, image_w) goes."""
+    pad = F.greatest("width", "height")
+    size = images.select("image_id", F.col("height").alias("image_h"), F.col("width").alias("image_w"))
+    out = seams.where("fix <> 'none'").join(size, "image_id")
+    edges = {"y0": F.greatest(F.lit(0), F.col("y") - pad), "x0": F.greatest(F.lit(0), F.col("x") - pad),
+             "y1": F.least("image_h", F.col("y") + F.col("height") + pad), "x1": F.least("image_w", F.col("x") + F.col("width") + pad)}
+    return out.withColumns({k: v.cast("int") for k, v in edges.items()}).where("y1 > y0 and x1 > x0")
+
+
+def _cells(df: DataFrame, block: int) -> DataFrame:
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / block).cast("int"), F.floor((F.col(b) - 1) / block).cast("int")))
+    return df.withColumn("by", span("y0", "y1")).withColumn("bx", span("x0", "x1"))
+
+
+def conflicts(found: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(image_id, before, place): boxes that share pixels, the one repaired first and the later one; they meet by the blocks they lie in."""
+    cells = _cells(found.select("image_id", "place", *_BOX), block)
+    first = cells.select("image_id", "by", "bx", F.col("place").alias("before"), *[F.col(c).alias(f"b_{c}") for c in _BOX])
+    touch = "before < place and b_y0 < y1 and y0 < b_y1 and b_x0 < x1 and x0 < b_x1"
+    return first.join(cells, ["image_id", "by", "bx"]).where(touch).select("image_id", "before", "place").distinct()
+
+
+def blurred(roi: np.ndarray) -> np.ndarray:
+    """A box smoothed by the wide Gaussian, its own borders mirrored."""
+    area = B.Area(roi, 0, 0, *roi.shape)
+    return B.filtered(area.around(0, 0, *roi.shape, 7), _WIDE)
+
+
+def refined(roi: np.ndarray, patch: np.ndarray, inner: tuple[int, int, int, int], tolerance: float = 1e-4) -> np.ndarray:
+    """A box with a patch of its size cloned into ``inner`` (y0, x0, y1, x1 within the box), the steeper gradients counting."""
+    free = np.zeros(roi.shape, bool)
+    free[inner[0] : inner[2], inner[1] : inner[3]] = True
+    free[0] = free[-1] = free[:, 0] = free[:, -1] = False
+    if not free.any() or min(roi.shape) < 3:
+        return roi
+    rhs = np.zeros(roi.shape)
+    rhs[1:-1, 1:-1] = _slopes(patch, roi, "mixed")
+    return np.clip(relaxed(roi, rhs, free, tolerance), 0, 255)
+
+
+def repaired(image: DataFrame, seams: DataFrame, block: int = BLOCK, whole: bool = True) -> DataFrame:
+    """Blocks of plane 0 after the repair of ``seams``, one after the other in order of ``place`` (unique in an image).
+
+    ``seams``: image_id, place, x, y, width, height, fix and, for "poisson_refinement", patch (binary, float64 values of the box's size; null
+    leaves the box as it is). "increase_blend_width" smooths the box. A box reads what earlier ones left, so of boxes that share
+    pixels the later waits; all that wait for nothing are repaired at once, and there are as many rounds as the longest
+    chain of waiting boxes. A round touches only blocks with boxes; the others are carried along. ``whole``: values are
+    rounded after each repair. Seams outside their image, and seams of other fixes, change nothing; without seams the image stays.
+    """
+    patch = F.col("patch") if "patch" in seams.columns else F.lit(None).cast("binary")
+    seams = seams.withColumn("patch", patch)
+    todo = staged(boxes(seams, B.sizes(image)), "boxes")
+    waits = staged(conflicts(todo, block), "waits")
+    now = image.where("plane = 0")
+    names = ["image_id", "place", *_BOX]
+    inner = ["y", "x", "height", "width", "fix", "patch"]
+    kinds = "image_id string, place long, y0 int, x0 int, y1 int, x1 int, y int, x int, height int, width int, fix string, patch binary, py int, px int, ph int, pw int, part binary"
+    changes = "image_id string, by int, bx int, py int, px int, ph int, pw int, part binary"
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                a, b, c, d = max(r.y0, r.by * block), min(r.y1, r.by * block + r.h), max(r.x0, r.bx * block), min(r.x1, r.bx * block + r.w)
+                part = np.frombuffer(r.data).reshape(r.h, r.w)[a - r.by * block : b - r.by * block, c - r.bx * block : d - r.bx * block]
+                rows.append((*[getattr(r, n) for n in [*names, *inner]], a, c, b - a, d - c, np.ascontiguousarray(part).tobytes()))
+            yield pd.DataFrame(rows, columns=[*names, *inner, "py", "px", "ph", "pw", "part"])
+
+    def mend(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        roi = np.zeros((r.y1 - r.y0, r.x1 - r.x0))
+        for p in pdf.itertuples(index=False):
+            roi[p.py - r.y0 : p.py - r.y0 + p.ph, p.px - r.x0 : p.px - r.x0 + p.pw] = np.frombuffer(p.part).reshape(p.ph, p.pw)
+        if r.fix == "increase_blend_width":
+            roi = blurred(roi)
+        elif r.fix == "poisson_refinement" and r.patch is not None:
+            at = (max(0, r.y - r.y0), max(0, r.x - r.x0), max(0, r.y + r.height - r.y0), max(0, r.x + r.width - r.x0))
+            roi = refined(roi, np.frombuffer(r.patch).reshape(roi.shape), at)
+        roi = np.floor(roi + 0.5) if whole else roi
+        rows = []
+        for p in pdf.itertuples(index=False):
+            part = roi[p.py - r.y0 : p.py - r.y0 + p.ph, p.px - r.x0 : p.px - r.x0 + p.pw]
+            by, bx = p.py // block, p.px // block
+            rows.append((r.image_id, by, bx, p.py - by * block, p.px - bx * block, p.ph, p.pw, np.ascontiguousarray(part).tobytes()))
+        return pd.DataFrame(rows, columns=["image_id", "by", "bx", "py", "px", "ph", "pw", "part"])
+
+    def put(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if not len(old) or not len(new):
+            return old
+        r = old.iloc[0]
+        data = np.frombuffer(r["data"]).reshape(r.h, r.w).copy()
+        for p in new.itertuples(index=False):
+            data[p.py : p.py + p.ph, p.px : p.px + p.pw] = np.frombuffer(p.part).reshape(p.ph, p.pw)
+        return old.assign(data=[data.tobytes()])
+
+    while not todo.isEmpty():
+        left = todo.select("image_id", F.col("place").alias("before"))
+        held = waits.join(left, ["image_id", "before"], "left_semi").select("image_id", "place").distinct()
+        ready = staged(todo.join(held, ["image_id", "place"], "left_anti"), "ready")
+        cells = _cells(ready.select(*names, *[F.col(c) if c not in ("height", "width") else F.col(c).cast("int") for c in inner]), block)
+        pixels = now.select("image_id", "by", "bx", "h", "w", "data")
+        made = staged(cells.join(pixels, ["image_id", "by", "bx"]).mapInPandas(cut, kinds).groupBy("image_id", "place").applyInPandas(mend, changes), "changes")
+        keys = ["image_id", "by", "bx"]
+        touched = made.select(*keys).distinct()
+        same = now.join(touched, keys, "left_anti")
+        changed = now.join(touched, keys, "left_semi").groupBy(*keys).cogroup(made.groupBy(*keys)).applyInPandas(put, BLOCKS)
+        now = staged(same.unionByName(changed), "repaired")
+        todo = staged(todo.join(ready.select("image_id", "place"), ["image_id", "place"], "left_anti"), "boxes")
+    return now

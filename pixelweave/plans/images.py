@@ -191,6 +191,17 @@ def poisson_clone(spark, d):
     return pixels(blending.poisson_clone(made, "mixed", 1e-5, block=SIDE)[0]).withColumn("value", F.round("value", 3))
 
 
+@query()
+def seam_repair(spark, d):
+    """A seam at every ninth vector's cell of the bands: those that overlap are smoothed one after the other."""
+    k = F.col("vec_id")
+    seams = table(spark, d, "embeddings").select(
+        F.floor(k / 125).cast("int").cast("string").alias("image_id"), k.alias("place"), (k % 25 * 8).cast("int").alias("x"), (F.floor(k / 25) % 5 * 8).cast("int").alias("y"),
+        (2 + k % 5).cast("int").alias("width"), (2 + k % 3).cast("int").alias("height"), F.when(k % 9 == 0, "increase_blend_width").otherwise("none").alias("fix"),
+    )
+    return pixels(blending.repaired(one_plane(spark, d), seams, SIDE))
+
+
 @query(IM + """select image_id, y, x, round(floor(g * (1 - m / 255.0::double) + h * m / 255.0::double), 6) as value from (select *, (x + y) % 256 as m from im)""")
 def mask_blend(spark, d):
     made = B.to_blocks(bands(spark, d).withColumn("m", (F.col("x") + F.col("y")) % 256), ("g", "h", "m"), SIDE)
