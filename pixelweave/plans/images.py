@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pixelweave.operators import blending
 from pixelweave.operators import blocks as B
 from pixelweave.operators import edges, spectrum
 from pixelweave.plans.queries import PX, px, query, table
+from pixelweave.sources import pictures
 from pixelweave.sources.mosaic import degraded, mosaic
+from pixelweave.staging import shared_folder
 
 SIDE = 32  # small blocks, so that the test images have several
 
@@ -256,3 +260,50 @@ select i.image_id, round(count(e.y) / 8000.0::double, 6) as edge_density, round(
 from (select distinct image_id from cells) i left join e using (image_id) group by i.image_id""")
 def oversharpen(spark, d):
     return edges.oversharpened(flat_bands(spark, d), block=SIDE).select("image_id", *[F.round(c, 6).alias(c) for c in ("edge_density", "oversharpen_score")])
+
+
+def new_folder(spark, name):
+    return f"{shared_folder(spark)}/pixelweave/{name}-{uuid.uuid4().hex}"
+
+
+def written_bands(spark, d):
+    """The bands as PNG files of a new folder, green and blue being the jittered band."""
+    at = new_folder(spark, "png")
+    three = bands(spark, d).withColumns({"r": F.col("g"), "b": F.greatest(F.lit(0), F.least(F.lit(255), F.col("h")))})
+    pictures.save_png(B.to_blocks(three.withColumn("g", F.col("b")), ("r", "g", "b"), SIDE), at, SIDE)
+    return at
+
+
+def of_file(column):
+    return F.regexp_extract(column, r"([^/]+)\.png$", 1)
+
+
+@query(IM + "select image_id, y, x, k::int as plane, case k when 0 then g else least(255, greatest(0, h)) end::double as value from im, (select unnest(range(3)) as k)")
+def image_round_trip(spark, d):
+    p = B.to_pixels(pictures.read_blocks(spark, written_bands(spark, d), SIDE), SIDE)
+    return p.select(of_file("image_id").alias("image_id"), "y", "x", "plane", "value")
+
+
+@query(IM + "select distinct image_id, 'PNG' as format, 200::bigint as width, 40::bigint as height, 'RGB' as mode, 8::bigint as bits, true as sized from im")
+def image_metadata(spark, d):
+    files = spark.read.format("binaryFile").load(written_bands(spark, d))
+    return pictures.metadata(files).select(of_file("path").alias("image_id"), "format", "width", "height", "mode", "bits", (F.col("size") > 100).alias("sized"))
+
+
+@query(IM + "select image_id, 0 as plane, y, x, g as value from im where image_id = '1' and y between 10 and 29 and x between 50 and 139")
+def region_scan(spark, d):
+    at = new_folder(spark, "kept")
+    pictures.save_blocks(one_plane(spark, d), at)
+    return pictures.read_region(spark, at, "1", 10, 50, 20, 90, SIDE)
+
+
+@query("""select doc_id::varchar as path, 'image' as directory, 271 as tag, 'Make' as name, rpad(coalesce(source, '?'), 4, ' ')[1:4] as value, null::varchar as reason from documents
+union all select doc_id::varchar, 'image', 271, 'Make', null, 'value beyond the end' from documents""")
+def exif_entries(spark, d):
+    """Each document as two small TIFF structures: its source as the maker, and the same with a value that lies beyond the end."""
+    head = lambda n: F.unhex(F.lit("49492A0008000000" + "0100" + "0F010200" + n))
+    source = F.encode(F.substring(F.rpad(F.coalesce("source", F.lit("?")), 4, " "), 1, 4), "utf-8")
+    files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(
+        F.concat(head("04000000"), source, F.unhex(F.lit("00000000"))), F.concat(head("40000000"), F.unhex(F.lit("FF000000" + "00000000"))),
+    )).alias("content"))
+    return pictures.exif(files)
