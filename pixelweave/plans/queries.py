@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave.functions import planner
 from pixelweave.operators import color, fusion, quality, scheduling, seams, tiling
 from pixelweave.sources.mosaic import colored, degraded, mosaic
 from pixelweave.streaming import heartbeats
+from pixelweave.streaming import tasks as task_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -326,6 +327,18 @@ def after_failure(spark, d):
     return t.select("task_id", "status", "retries", *r6("priority", "scale"), "target_w", "tile_size", "overlap", "fallback")
 
 
+@query()
+def task_history(spark, d):
+    """The events of users as those of tasks: the first submits one, the others are assignments, heartbeats, ends and failures."""
+    e = table(spark, d, "events")
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("assign", "heartbeat", "heartbeat", "assign", "fail", "complete", "recover")]), (F.col("event_id") % 7 + 1).cast("int"))
+    first = F.min_by("event_id", F.struct("ts", "event_id")).over(Window.partitionBy("user_id"))
+    kind = F.when(F.col("event_id") == first, "submit").otherwise(kinds)
+    rows = e.select(F.col("ts").cast("timestamp"), F.col("user_id").cast("string").alias("task_id"), kind.alias("kind"), (F.col("event_id") % 13).cast("string").alias("agent_id"),
+                    F.col("value").alias("base"), (1.0 + F.col("event_id") % 4).alias("scale"), (F.col("event_id") % 3).cast("int").alias("max_retries"))
+    return task_stream.task_history(rows, 7200.0)
+
+
 @query("""with a as (select user_id, (count(*) * (user_id % 16))::int as depth, (1 + user_id % 490)::int as n_agents, (user_id % 9)::int as idle, (20 + user_id % 100)::int as concurrent from events group by user_id)
 select user_id, case when depth / concurrent::double > 0.8 and depth >= 50 then greatest(n_agents, least(500, n_agents + case when depth >= 100 then 20 else 5 end))
   when depth / concurrent::double < 0.2 and depth < 10 and idle > 5 then greatest(n_agents - 3, 5) else n_agents end::int as target from a""")
