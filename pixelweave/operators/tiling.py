@@ -43,13 +43,16 @@ def overlap_regions(tiles: DataFrame) -> DataFrame:
 
 
 def in_tiles(px: DataFrame, tiles: DataFrame, cell: int = 64) -> DataFrame:
-    """Pixels with each tile that covers them: tiles are dealt to grid cells, so the join is on the cell."""
+    """Pixels with each tile that covers them: tiles are dealt to grid cells, so the join is on the cell.
+
+    Where pixels tell their image (image_id), they meet that image's tiles only.
+    """
     span = lambda p, s: F.sequence(F.floor(F.col(p) / cell), F.floor((F.col(p) + F.col(s) - 1) / cell))
     cells = tiles.select("*", F.explode(span("y", "h")).alias("cell_y")).select("*", F.explode(span("x", "w")).alias("cell_x"))
     cells = cells.withColumnRenamed("x", "tile_x").withColumnRenamed("y", "tile_y")
     px = px.withColumn("cell_y", F.floor(F.col("y") / cell)).withColumn("cell_x", F.floor(F.col("x") / cell))
     inside = "x >= tile_x and x < tile_x + w and y >= tile_y and y < tile_y + h"
-    return px.join(cells, ["cell_y", "cell_x"]).where(inside)
+    return px.join(cells, [*(["image_id"] if "image_id" in px.columns else []), "cell_y", "cell_x"]).where(inside)
 
 
 def complexity(px: DataFrame, tile: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.operators import blending
 from pixelweave.operators import blocks as B
-from pixelweave.operators import edges, spectrum
+from pixelweave.operators import edges, reports, spectrum
 from pixelweave.plans.queries import PX, px, query, table
 from pixelweave.sources import pictures
 from pixelweave.sources.mosaic import degraded, mosaic
@@ -307,3 +307,41 @@ def exif_entries(spark, d):
         F.concat(head("04000000"), source, F.unhex(F.lit("00000000"))), F.concat(head("40000000"), F.unhex(F.lit("FF000000" + "00000000"))),
     )).alias("content"))
     return pictures.exif(files)
+
+
+def smooth_planes(spark, d):
+    """Bands of one level a cell, and the same with a jitter that grows from band to band, so that levels differ."""
+    v = table(spark, d, "embeddings").withColumn("embedding", F.transform("embedding", lambda x: F.col("embedding")[0]))
+    p = mosaic(v).select(F.floor(F.col("y") / 40).cast("int").alias("k"), (F.col("y") % 40).alias("y"), "x", "g")
+    h = F.col("g") + ((F.col("x") * 7 + F.col("y") * 3) % 5 - 2) * F.pow(2.0, F.col("k") % 5).cast("int")
+    return B.to_blocks(p.select(F.col("k").cast("string").alias("image_id"), "y", "x", "g", h.alias("h")), ("g", "h"), SIDE)
+
+
+REPORT = CANNY.split("want as")[0] + """im as materialized (select image_id, y, x, g, g + ((x * 7 + y * 3) % 5 - 2) * (2 ** (image_id::int % 5))::int as h from cells),
+full_ref as (select image_id, case when avg((g - h) ** 2) = 0 then 'inf'::double else 10 * log10(255.0::double * 255 / avg((g - h) ** 2)) end as psnr from im group by image_id),
+cell as (select image_id, y // 8 as cy, x // 8 as cx, var_pop(h) as v from im where y // 8 * 8 < 32 and x // 8 * 8 < 192 group by 1, 2, 3),
+art as (select image_id, greatest(0, 100 - var_pop(v) / 100) as artifact_score from cell group by image_id),
+reg as (select image_id, y // 10 as i, x // 50 as j, avg(h) as m from im group by 1, 2, 3),
+uni as (select image_id, greatest(0, 100 - stddev_pop(m)) as brightness_uniformity from reg group by image_id)
+select image_id, round(psnr, 6) as psnr, case when psnr >= 40 then 'excellent' when psnr >= 35 then 'good' when psnr >= 30 then 'fair' else 'poor' end as psnr_level, round(artifact_score, 6) as artifact_score, round(brightness_uniformity, 6) as brightness_uniformity
+from full_ref join art using (image_id) join uni using (image_id)"""
+
+
+@query(REPORT)
+def image_levels(spark, d):
+    """The part of the report that SQL can tell shortly; the whole is ``image_report``."""
+    made = smooth_planes(spark, d)
+    result = made.where("plane = 1").withColumn("plane", F.lit(0))
+    out = B.full_reference(made, SIDE).join(reports.artifacts(result, SIDE), "image_id").join(reports.uniformity(result, SIDE), "image_id")
+    return out.select("image_id", F.round("psnr", 6).alias("psnr"), reports.level("psnr").alias("psnr_level"), *[F.round(c, 6).alias(c) for c in ("artifact_score", "brightness_uniformity")])
+
+
+@query()
+def image_report(spark, d):
+    out = reports.report(smooth_planes(spark, d), SIDE)
+    return out.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
+@query()
+def text_report(spark, d):
+    return reports.text(reports.report(smooth_planes(spark, d), SIDE))

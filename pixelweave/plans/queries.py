@@ -617,15 +617,15 @@ def histogram_apply(spark, d):
     return seams.apply_levels(p, seams.histogram_match(seams.cdf(p, "g"), seams.cdf(degraded(p), "h"))).select("y", "x", "mapped")
 
 
-@query("""with m as (select 'psnr' as metric, o_totalprice / 10000 as value from orders union all select 'ms_ssim', o_custkey % 100 / 100.0::double from orders union all select 'niqe', o_custkey % 9 / 2.0::double from orders),
-th(metric, a, b, c, rising) as (values ('psnr', 40, 35, 30, true), ('ms_ssim', 0.98, 0.95, 0.9, true), ('niqe', 2, 3, 4, false))
+@query("""with m as (select 'psnr' as metric, o_totalprice / 10000 as value from orders union all select 'ms_ssim', o_custkey % 100 / 100.0::double from orders union all select 'niqe', (o_custkey % 11)::double from orders),
+th(metric, a, b, c, rising) as (values ('psnr', 40, 35, 30, true), ('ms_ssim', 0.98, 0.95, 0.9, true), ('niqe', 3, 5, 8, false))
 select metric, case when case when rising then value >= a else value <= a end then 'excellent' when case when rising then value >= b else value <= b end then 'good' when case when rising then value >= c else value <= c end then 'fair' else 'poor' end as level,
   count(*)::bigint as n from m join th using (metric) group by 1, 2""")
 def threshold_levels(spark, d):
     o = table(spark, d, "orders")
     kinds = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in
-                      (("psnr", F.col("o_totalprice") / 10000), ("ms_ssim", (F.col("o_custkey") % 100) / 100.0), ("niqe", (F.col("o_custkey") % 9) / 2.0))])
-    cuts = [("psnr", 40.0, 35.0, 30.0, True), ("ms_ssim", 0.98, 0.95, 0.9, True), ("niqe", 2.0, 3.0, 4.0, False)]
+                      (("psnr", F.col("o_totalprice") / 10000), ("ms_ssim", (F.col("o_custkey") % 100) / 100.0), ("niqe", F.col("o_custkey") % 11))])
+    cuts = [("psnr", 40.0, 35.0, 30.0, True), ("ms_ssim", 0.98, 0.95, 0.9, True), ("niqe", 3.0, 5.0, 8.0, False)]
     thresholds = spark.createDataFrame(cuts, "metric string, excellent double, good double, fair double, rising boolean")
     return quality.leveled(o.select(F.inline(kinds)), thresholds).groupBy("metric", "level").agg(F.count("*").alias("n"))
 
