@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import U64, Words, attach, components, in_chunks, mix, rolling, stage, to_bytes, unstage, width
+from pixelweave.llm.common import attach, components, in_chunks, mix, release, rolling, stage, to_bytes, U64, unstage, width, Words
 from pixelweave.llm.tokens import forget
 
 #: Groups of fragments by which the overlaps of candidates are counted.
@@ -94,6 +94,8 @@ def _cut(fragments: int, n: int):
                     held, size = [], 0
         if held:
             yield pack(held)
+        held = []
+        release()
 
     return cut
 
@@ -155,6 +157,7 @@ def _sketched(batches):
         odd = np.bincount(row * bits + (mix(flat.astype(U64)) % U64(bits)).astype(np.int64), minlength=len(lists) * bits) & 1
         words = np.packbits(odd.astype(np.uint8)).view(np.int64)
         yield batch.append_column("sketch", pa.ListArray.from_arrays(np.arange(len(lists) + 1, dtype=np.int32) * SKETCH, words))
+    release()
 
 
 def _links(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:

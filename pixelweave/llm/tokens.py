@@ -8,6 +8,8 @@ from array import array
 
 import numpy as np
 
+from pixelweave.llm.common import release
+
 #: Unicode's White_Space, the characters that both vocabularies' patterns take as white space.
 _W = "\t-\r \x85\xa0  -     　"
 #: Pieces that a byte-level pattern never crosses: a word with the space before it, or white space without that space.
@@ -89,6 +91,7 @@ def encoder(path: str, cache: int = CACHE) -> Encoder:
 def forget() -> None:
     """Frees this worker's encoders; other operators call it, as Spark keeps workers from stage to stage."""
     _encoders.clear()
+    release()
 
 
 def vocabulary(name: str) -> str:

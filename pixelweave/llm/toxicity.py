@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import U64, Words, in_chunks, mix, stage, to_bytes, width
+from pixelweave.llm.common import in_chunks, mix, release, stage, to_bytes, U64, width, Words
 from pixelweave.llm.tokens import forget
 
 LENGTH, STRIDE = 48, 32
@@ -306,7 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 7) -> dict:
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip((bytes(w) for w in pdf["words"]), pdf["toxic"].tolist(), strict=True))
-        return pd.DataFrame({"model": [pickle.dumps(train([w for w, _ in rows], np.array([t for _, t in rows], int), seed))]})
+        out = pd.DataFrame({"model": [pickle.dumps(train([w for w, _ in rows], np.array([t for _, t in rows], int), seed))]})
+        release()
+        return out
 
     # The windows of the bounded sample meet in one task, which leaves the driver's memory alone; the model is of fixed size.
     picked = trained.mapInPandas(pick, "toxic int, words binary").withColumn("one", F.lit(1))
@@ -353,5 +355,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         forget()
         for batch in batches:
             yield batch.filter(pa.array(score_texts(model.value, to_bytes(batch.column(place).to_pylist())) < 0.5, pa.bool_()))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
