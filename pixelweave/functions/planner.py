@@ -10,10 +10,12 @@ TARGETS = {"100MP": (12245, 8163), "150MP": (15000, 10000), "200MP": (17320, 115
 
 
 def target_size(width: Column, height: Column, label: Column) -> Column:
-    """The named target (100MP by default), fitted to the picture's proportions."""
-    pick = lambda k: F.coalesce(*[F.when(label == name, float(v[k])) for name, v in TARGETS.items()], F.lit(float(TARGETS["100MP"][k])))
+    """The named target, fitted to the picture's proportions; a size as "W x H" as it stands; the default, 100MP as it stands, for anything else."""
+    pick = lambda k: F.coalesce(*[F.when(label == name, float(v[k])) for name, v in TARGETS.items()])
     fit = F.least(pick(0) / width, pick(1) / height)
-    return F.struct(F.floor(width * fit).cast("int").alias("w"), F.floor(height * fit).cast("int").alias("h"))
+    own = [F.regexp_extract(label, r"^\s*(\d{1,9})\s*x\s*(\d{1,9})\s*$", k) for k in (1, 2)]
+    side = lambda size, k: F.when(label.isin(*TARGETS), F.floor(size * fit).cast("int")).when(own[0] != "", own[k].cast("int")).otherwise(TARGETS["100MP"][k])
+    return F.struct(side(width, 0).alias("w"), side(height, 1).alias("h"))
 
 
 def estimate(width: Column, height: Column, megapixels: Column, block: int = 1024, ratio: float = 0.2) -> Column:
@@ -46,3 +48,9 @@ def prompt(category: Column, custom: Column, templates: dict[str, tuple[str, str
     for name, t in templates.items():
         out = F.when(category == name, parts(t)).otherwise(out)
     return out
+
+
+def with_tag(text: Column, tag: Column) -> Column:
+    """``text`` with a tag appended after a comma, unless it is one of its comma-separated parts already; a text without anything becomes the tag."""
+    parts = F.transform(F.split(text, ","), lambda x: F.trim(x))
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", tag).when(F.array_contains(parts, F.trim(tag)), text).otherwise(F.concat(text, F.lit(", "), tag))

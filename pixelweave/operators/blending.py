@@ -320,3 +320,34 @@ def repaired(image: DataFrame, seams: DataFrame, block: int = BLOCK, whole: bool
         now = staged(same.unionByName(changed), "repaired")
         todo = staged(todo.join(ready.select("image_id", "place"), ["image_id", "place"], "left_anti"), "boxes")
     return now
+
+
+#: Red, green and blue of a seam's frame by severity; others are green.
+FRAMES = {"high": (255, 0, 0), "medium": (255, 255, 0)}
+
+
+def drawn(image: DataFrame, seams: DataFrame, thickness: int = 2, block: int = BLOCK) -> DataFrame:
+    """Blocks of planes 0 to 2 with a frame around each of ``seams`` (image_id, place, x, y, width, height, severity), coloured by severity.
+
+    A frame's lines run from (x, y) to (x + width, y + height); a thickness of 2 or 3 is a pixel more on both sides, 4 or 5 are two. Later places lie
+    over earlier ones. What reaches beyond the image is cut off. Blocks meet the frames of their own place only.
+    """
+    r = thickness // 2
+    pad = {"y0": F.col("y") - r, "x0": F.col("x") - r, "y1": F.col("y") + F.col("height") + r + 1, "x1": F.col("x") + F.col("width") + r + 1}
+    frames = seams.select("image_id", "place", "x", "y", F.col("width").alias("fw"), F.col("height").alias("fh"), "severity", *[v.cast("int").alias(k) for k, v in pad.items()])
+    frames = _cells(frames, block).drop(*_BOX)
+
+    def draw(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        if not len(old) or not len(new):
+            return old
+        planes = [np.frombuffer(d).reshape(h, w).copy() for d, h, w in zip(old["data"], old["h"], old["w"], strict=True)]
+        ys, xs = int(key[1]) * block + np.arange(planes[0].shape[0])[:, None], int(key[2]) * block + np.arange(planes[0].shape[1])
+        for f in new.sort_values("place").itertuples(index=False):
+            inside = (ys >= f.y - r) & (ys <= f.y + f.fh + r) & (xs >= f.x - r) & (xs <= f.x + f.fw + r)
+            hollow = (ys > f.y + r) & (ys < f.y + f.fh - r) & (xs > f.x + r) & (xs < f.x + f.fw - r)
+            for plane, data in zip(old["plane"], planes, strict=True):
+                data[inside & ~hollow] = FRAMES.get(f.severity, (0, 255, 0))[plane]
+        return old.assign(data=[p.tobytes() for p in planes])
+
+    keys = ["image_id", "by", "bx"]
+    return image.groupBy(*keys).cogroup(frames.groupBy(*keys)).applyInPandas(draw, BLOCKS)

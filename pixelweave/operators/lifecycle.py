@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pixelweave.operators.scheduling import failure
 
@@ -61,6 +62,26 @@ def agents_after_failures(agents: DataFrame, events: DataFrame, earlier: DataFra
     return a.select(*agents.columns)
 
 
+def save_state(path: str, tasks: DataFrame, agents: DataFrame, stats: DataFrame) -> None:
+    """The scheduler's tables as JSON under ``path``, a new folder for each point in time: tasks (of all stores), agents and stats (name, value)."""
+    for name, table in (("tasks", tasks), ("agents", agents), ("stats", stats)):
+        table.write.option("ignoreNullFields", False).json(f"{path}/{name}")
+
+
+def restore_state(spark: SparkSession, path: str, tasks: StructType, agents: StructType) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tasks with their store, agents, stats) of ``save_state`` as a scheduler starts with them; ``tasks`` and ``agents``: the tables' schemas.
+
+    What was being worked on is retried without its agent; pending and retried tasks are queued, finished and failed ones keep their
+    stores, others (cancelled, degraded) are forgotten. Agents are idle with nothing pending.
+    """
+    t = spark.read.schema(tasks).json(f"{path}/tasks")
+    lost = F.col("status") == "PROCESSING"
+    t = t.withColumns({"retries": F.col("retries") + lost.cast("int"), "agent_id": F.when(~lost, F.col("agent_id")), "status": F.when(lost, "RETRYING").otherwise(F.col("status"))})
+    store = F.when(F.col("status").isin("PENDING", "RETRYING"), "active").when(F.col("status") == "SUCCESS", "completed").when(F.col("status") == "FAILED", "failed")
+    a = spark.read.schema(agents).json(f"{path}/agents").withColumns({"status": F.lit("IDLE"), "pending": F.lit(0)})
+    return t.withColumn("store", store).where("store is not null"), a, spark.read.schema("name string, value long").json(f"{path}/stats")
+
+
 def idle_to_remove(agents: DataFrame, count: int) -> DataFrame:
     """The first ``count`` idle agents in order of registration."""
     return agents.where("status = 'IDLE'").orderBy("reg_order").limit(count)

@@ -137,3 +137,13 @@ def orphaned(tasks: DataFrame, agents: DataFrame) -> DataFrame:
 def zipped(left: DataFrame, right: DataFrame, by: list[Column], other: list[Column]) -> DataFrame:
     """The rows of ``left`` in order ``by`` next to those of ``right`` in order ``other``, as far as both go; place counts from 1."""
     return ranked(left, by, "place").join(ranked(right, other, "place"), "place")
+
+
+#: What a history can be ordered by: newest and oldest first, largest first, longest first.
+ORDERS = {"newest": [("at", True)], "oldest": [("at", False)], "size": [("size", True)], "duration": [("duration", True)]}
+
+
+def history(tasks: DataFrame, by: str = "newest") -> DataFrame:
+    """``tasks`` (task_id, at, size, duration and others) with their place in an order of ``ORDERS``; ties by task_id."""
+    keys = [F.col(c) if not down else -F.col(c) for c, down in ORDERS[by]]
+    return ranked(tasks, [*keys, F.col("task_id")], "place")

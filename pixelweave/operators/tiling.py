@@ -24,6 +24,14 @@ def tile_grid(sizes: DataFrame, block: int = 1024, ratio: float = 0.2) -> DataFr
     )
 
 
+def moved(tiles: DataFrame, places: DataFrame) -> DataFrame:
+    """``tiles`` with x and y of ``places`` (image_id, tile_row, tile_col, x, y) where it has the tile."""
+    keys = ["image_id", "tile_row", "tile_col"]
+    to = places.select(*keys, F.col("x").alias("to_x"), F.col("y").alias("to_y"))
+    at = tiles.join(to, keys, "left")
+    return at.withColumns({"x": F.coalesce("to_x", "x"), "y": F.coalesce("to_y", "y")}).select(*tiles.columns)
+
+
 def neighbors(tiles: DataFrame) -> DataFrame:
     """(image_id, tile_row, tile_col, side, n_row, n_col): an equi-join on shifted grid places, one row for each side that has a tile."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), (F.col("tile_row") + r).alias("n_row"), (F.col("tile_col") + c).alias("n_col")) for s, r, c in (("top", -1, 0), ("bottom", 1, 0), ("left", 0, -1), ("right", 0, 1))])

@@ -345,3 +345,18 @@ def image_report(spark, d):
 @query()
 def text_report(spark, d):
     return reports.text(reports.report(smooth_planes(spark, d), SIDE))
+
+
+@query(IM + """, s as (select vec_id as place, (vec_id // 125)::varchar as image_id, (vec_id % 25 * 8)::int as x, (vec_id // 25 % 5 * 8)::int as y, (9 + vec_id % 20)::int as fw, (5 + vec_id % 7)::int as fh from embeddings where vec_id % 4 = 0),
+hit as (select im.image_id, im.y, im.x, max(s.place) as place from im join s on s.image_id = im.image_id and im.y between s.y - 1 and s.y + fh + 1 and im.x between s.x - 1 and s.x + fw + 1
+  and not (im.y > s.y + 1 and im.y < s.y + fh - 1 and im.x > s.x + 1 and im.x < s.x + fw - 1) group by im.image_id, im.y, im.x)
+select image_id, y, x, k::int as plane, case when place is null then g when place % 3 = 0 then [255, 0, 0][k + 1] when place % 3 = 1 then [255, 255, 0][k + 1] else [0, 255, 0][k + 1] end::double as value from im left join hit using (image_id, y, x), (select unnest(range(3)) as k)""")
+def seams_drawn(spark, d):
+    """Frames around every fourth vector's place on the bands, many of them over each other."""
+    k = F.col("vec_id")
+    seams = table(spark, d, "embeddings").where(k % 4 == 0).select(
+        F.floor(k / 125).cast("int").cast("string").alias("image_id"), k.alias("place"), (k % 25 * 8).cast("int").alias("x"), (F.floor(k / 25) % 5 * 8).cast("int").alias("y"),
+        (9 + k % 20).cast("int").alias("width"), (5 + k % 7).cast("int").alias("height"), F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low").alias("severity"),
+    )
+    three = B.to_blocks(bands(spark, d).select("image_id", "y", "x", F.col("g").alias("r"), F.col("g"), F.col("g").alias("b")), ("r", "g", "b"), SIDE)
+    return B.to_pixels(blending.drawn(three, seams, 2, SIDE), SIDE)

@@ -379,7 +379,7 @@ def throughput(spark, d):
 
 @query("""with s as (select p_partkey as image_id, (p_size * 97 + 400)::double as w0, (p_size * 61 + 300)::double as h0, case p_size % 4 when 0 then '100MP' when 1 then '150MP' when 2 then '200MP' else 'x' end as label from part),
 f as (select *, case label when '150MP' then least(15000 / w0, 10000 / h0) when '200MP' then least(17320 / w0, 11547 / h0) else least(12245 / w0, 8163 / h0) end as fit from s)
-select image_id, floor(w0 * fit)::int as w, floor(h0 * fit)::int as h from f""")
+select image_id, case label when 'x' then 12245 else floor(w0 * fit) end::int as w, case label when 'x' then 8163 else floor(h0 * fit) end::int as h from f""")
 def target_size(spark, d):
     label = F.when(F.col("p_size") % 4 == 0, "100MP").when(F.col("p_size") % 4 == 1, "150MP").when(F.col("p_size") % 4 == 2, "200MP").otherwise("x")
     return table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), planner.target_size((F.col("p_size") * 97 + 400).cast("double"), (F.col("p_size") * 61 + 300).cast("double"), label).alias("s")).select("image_id", "s.w", "s.h")

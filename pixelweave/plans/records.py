@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from pixelweave.functions import planner
 from pixelweave.functions import records as R
-from pixelweave.operators import lifecycle, seams
+from pixelweave.operators import lifecycle, scheduling, seams, tiling
 from pixelweave.plans.queries import query, table
+from pixelweave.staging import shared_folder
 
 BOXES = """with b as (select p_partkey as id, p_size as w, (p_partkey % 30)::int as h, (p_partkey * 7 % 500 - 20)::int as x, (p_partkey * 11 % 400 - 20)::int as y, (40 + p_partkey % 160)::int as ww, 380 as hh from part)
 """
@@ -221,3 +225,51 @@ def success_count(spark, d):
 def batch_configured(spark, d):
     configs = F.array(F.struct(F.lit(1024).alias("block"), F.lit(0.2).alias("ratio")))  # one for the whole batch
     return table(spark, d, "pages").select("page_id", "url", F.inline(configs))
+
+
+@query("""with r as (select p_partkey, (100 + p_size * 37)::int as w, (100 + p_size * 23)::int as h, case p_partkey % 6 when 0 then '100MP' when 1 then '150MP' when 2 then '200MP' when 3 then p_size || 'x' || p_partkey when 4 then ' ' || p_size || ' x 77 ' else 'large' end as label from part),
+t(label, tw, th) as (values ('100MP', 12245::double, 8163::double), ('150MP', 15000, 10000), ('200MP', 17320, 11547)),
+f as (select r.*, least(tw / w, th / h) as fit, regexp_matches(r.label, '^\\s*\\d{1,9}\\s*x\\s*\\d{1,9}\\s*$') as own from r left join t using (label))
+select p_partkey, case when fit is not null then floor(w * fit) when own then trim(split_part(label, 'x', 1))::int else 12245 end::int as w, case when fit is not null then floor(h * fit) when own then trim(split_part(label, 'x', 2))::int else 8163 end::int as h from f""")
+def custom_target_size(spark, d):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    label = F.when(k % 6 == 0, "100MP").when(k % 6 == 1, "150MP").when(k % 6 == 2, "200MP").when(k % 6 == 3, F.concat(s, F.lit("x"), k)).when(k % 6 == 4, F.concat(F.lit(" "), s, F.lit(" x 77 "))).otherwise("large")
+    size = planner.target_size(100 + s * 37, 100 + s * 23, label)
+    return table(spark, d, "part").select("p_partkey", size.alias("size")).select("p_partkey", "size.w", "size.h")
+
+
+@query("""select p_partkey, case when p_partkey % 4 = 0 then 'fine detail' when p_partkey % 4 = 1 then 'soft, fine detail, ' || p_type else p_type || ', fine detail' end as prompt from part""")
+def prompt_tags(spark, d):
+    k = F.col("p_partkey") % 4
+    text = F.when(k == 0, " ").when(k == 1, F.concat(F.lit("soft, fine detail, "), F.col("p_type"))).otherwise(F.col("p_type"))
+    tagged = planner.with_tag(text, F.lit("fine detail"))
+    return table(spark, d, "part").select("p_partkey", tagged.alias("prompt"))
+
+
+@query(AGENTS + TASKS + """, w as (select task_id, case when task_id % 11 = 0 then 'FAILED' when task_id % 13 = 0 then 'CANCELLED' else status end as status, agent_id, retries from t),
+r as (select task_id, case when status = 'PROCESSING' then 'RETRYING' else status end as status, case when status <> 'PROCESSING' then agent_id end as agent_id, (retries + (status = 'PROCESSING')::int)::int as retries from w)
+select *, case when status in ('PENDING', 'RETRYING') then 'active' when status = 'SUCCESS' then 'completed' else 'failed' end as store from r where status <> 'CANCELLED'""")
+def state_restored(spark, d):
+    """The tasks of a saved state as they start again."""
+    k = F.col("task_id")
+    t = tasks(spark, d).withColumn("status", F.when(k % 11 == 0, "FAILED").when(k % 13 == 0, "CANCELLED").otherwise(F.col("status")))
+    a, at = agents(spark, d), f"{shared_folder(spark)}/pixelweave/state-{uuid.uuid4().hex}"
+    lifecycle.save_state(at, t, a, a.select(F.lit("agents").alias("name"), F.col("agent_id").cast("long").alias("value")))
+    return lifecycle.restore_state(spark, at, t.schema, a.schema)[0].select("task_id", "status", "agent_id", "retries", "store")
+
+
+@query("""select o_orderkey, row_number() over (order by epoch(o_orderdate) desc, o_orderkey)::bigint as newest, row_number() over (order by o_totalprice desc, o_orderkey)::bigint as largest from orders""")
+def history_order(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("task_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("at"), F.col("o_totalprice").alias("size"), F.lit(0).alias("duration"))
+    newest, largest = (scheduling.history(o, by).select("task_id", F.col("place").alias(name)) for by, name in (("newest", "newest"), ("size", "largest")))
+    return newest.join(largest, "task_id").withColumnRenamed("task_id", "o_orderkey")
+
+
+@query("""select s_suppkey::varchar as image_id, r::int as tile_row, c::int as tile_col, (case when (s_suppkey + r + c) % 3 = 0 then 1000 + c else c * 820 end)::int as x, (case when (s_suppkey + r + c) % 3 = 0 then 2000 + r else r * 820 end)::int as y
+from supplier, (select unnest(range(3)) as r), (select unnest(range(2)) as c)""")
+def tiles_moved(spark, d):
+    """Three rows of two tiles for each supplier, a third of them put elsewhere."""
+    tiles = tiling.tile_grid(table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("image_id"), F.lit(1800).alias("width"), F.lit(2600).alias("height")))
+    some = tiles.where((F.col("image_id").cast("int") + F.col("tile_row") + F.col("tile_col")) % 3 == 0)
+    places = some.select("image_id", "tile_row", "tile_col", (1000 + F.col("tile_col")).alias("x"), (2000 + F.col("tile_row")).alias("y"))
+    return tiling.moved(tiles, places).select("image_id", "tile_row", "tile_col", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
