@@ -27,17 +27,22 @@ def sliding_ssim(px: DataFrame, other: DataFrame, window: int = 16, stride: int
     return scores.select((F.col("ky") * stride).alias("wy"), (F.col("kx") * stride).alias("wx"), "score")
 
 
-def taps(px: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int, at: DataFrame | None = None) -> DataFrame:
+def sized(px: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``px`` with hh and ww, height and width of the image ``of`` (its own by default): one row, sent to all tasks."""
+    return px.join(F.broadcast((px if of is None else of).agg((F.max("y") + 1).alias("hh"), (F.max("x") + 1).alias("ww"))))
+
+
+def taps(px: DataFrame, kernel: list[tuple[int, int, float]], at: DataFrame | None = None) -> DataFrame:
     """(y, x, k, g): for each place of ``at``, or all, the values under a small kernel of (dy, dx, weight), mirrored at the border without repeating it."""
-    mirror = lambda c, n: F.when(c < 0, -c).when(c >= n, 2 * (n - 1) - c).otherwise(c)
-    under = F.array(*[F.struct(mirror(F.col("y") + dy, height).alias("y2"), mirror(F.col("x") + dx, width).alias("x2"), F.lit(float(k)).alias("k")) for dy, dx, k in kernel])
+    mirror = lambda c, n: F.when(c < 0, -c).when(c >= F.col(n), 2 * (F.col(n) - 1) - c).otherwise(c)
+    under = F.array(*[F.struct(mirror(F.col("y") + dy, "hh").alias("y2"), mirror(F.col("x") + dx, "ww").alias("x2"), F.lit(float(k)).alias("k")) for dy, dx, k in kernel])
     source = px.select(F.col("y").alias("y2"), F.col("x").alias("x2"), "g")
-    return (px if at is None else at).select("y", "x", F.inline(under)).join(source, ["y2", "x2"]).select("y", "x", "k", "g")
+    return sized(px if at is None else at, px).select("y", "x", F.inline(under)).join(source, ["y2", "x2"]).select("y", "x", "k", "g")
 
 
-def stencil(px: DataFrame, kernel: list[tuple[int, int, float]], height: int, width: int, at: DataFrame | None = None) -> DataFrame:
+def stencil(px: DataFrame, kernel: list[tuple[int, int, float]], at: DataFrame | None = None) -> DataFrame:
     """(y, x, value): sums of weighted values under the kernel."""
-    return taps(px, kernel, height, width, at).groupBy("y", "x").agg(F.sum(F.col("k") * F.col("g")).alias("value"))
+    return taps(px, kernel, at).groupBy("y", "x").agg(F.sum(F.col("k") * F.col("g")).alias("value"))
 
 
 #: The Laplacian of four neighbours, and a 3x3 binomial kernel.
@@ -47,16 +52,16 @@ BINOMIAL = [(dy, dx, (2 - abs(dy)) * (2 - abs(dx)) / 16) for dy in (-1, 0, 1) fo
 
 def block_artifacts(px: DataFrame, block: int = 8) -> DataFrame:
     """One row: 100 less the variance of the blocks' variances over 100; only blocks that end before the last row and column count, and one alone gives 100."""
-    size = px.agg((F.max("y") + 1).alias("hh"), (F.max("x") + 1).alias("ww"))
-    keyed = px.select("g", F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx")).join(F.broadcast(size))  # one row
+    keyed = sized(px).select("g", "hh", "ww", F.floor(F.col("y") / block).alias("by"), F.floor(F.col("x") / block).alias("bx"))
     by = keyed.where((F.col("by") * block < F.col("hh") - block) & (F.col("bx") * block < F.col("ww") - block)).groupBy("by", "bx").agg(F.var_pop("g").alias("v"))
     score = F.greatest(F.lit(0.0), 100 - F.var_pop("v") / 100)
     return by.agg(F.when(F.count("*") > 1, score).otherwise(100.0).alias("artifact_score"))
 
 
-def uniformity(px: DataFrame, height: int, width: int, cells: int = 4) -> DataFrame:
-    h, w = height // cells, width // cells
-    grid = px.where((F.col("y") < h * cells) & (F.col("x") < w * cells)).groupBy(F.floor(F.col("y") / h).alias("cy"), F.floor(F.col("x") / w).alias("cx")).agg(F.avg("g").alias("m"))
+def uniformity(px: DataFrame, cells: int = 4) -> DataFrame:
+    """One row: 100 less the deviation of the means of ``cells`` x ``cells`` regions, at least 0; what is left over at the far sides doesn't count."""
+    cell = {c: F.floor(F.col(at) / F.floor(F.col(n) / cells)) for c, at, n in (("cy", "y", "hh"), ("cx", "x", "ww"))}
+    grid = sized(px).withColumns(cell).where((F.col("cy") < cells) & (F.col("cx") < cells)).groupBy("cy", "cx").agg(F.avg("g").alias("m"))
     return grid.agg(F.greatest(F.lit(0.0), 100 - F.stddev_pop("m")).alias("uniformity"))
 
 
@@ -69,19 +74,19 @@ def level(value: Column, cuts: tuple[float, float, float], rising: bool) -> Colu
     return out.otherwise("poor")
 
 
-def texture(px: DataFrame, height: int, width: int, size: int = 5) -> DataFrame:
+def texture(px: DataFrame, size: int = 5) -> DataFrame:
     """One row: the mean of the variance in the ``size`` x ``size`` box around each pixel."""
     r = range(-(size // 2), size // 2 + 1)
     box = [(dy, dx, 1 / size**2) for dy in r for dx in r]
-    moments = taps(px, box, height, width).groupBy("y", "x").agg(F.sum(F.expr("k * g")).alias("value"), F.sum(F.expr("k * g * g")).alias("square"))
+    moments = taps(px, box).groupBy("y", "x").agg(F.sum(F.expr("k * g")).alias("value"), F.sum(F.expr("k * g * g")).alias("square"))
     return moments.agg(F.avg(F.col("square") - F.col("value") * F.col("value")).alias("texture"))
 
 
-def pyramid_down(px: DataFrame, height: int, width: int) -> DataFrame:
+def pyramid_down(px: DataFrame) -> DataFrame:
     """(y, x, value): the next level of a Gaussian pyramid, of half the size rounded up."""
     taps = (1, 4, 6, 4, 1)  # fixed values
     kernel = [(dy - 2, dx - 2, taps[dy] * taps[dx] / 256) for dy in range(5) for dx in range(5)]
-    return stencil(px, kernel, height, width, px.where("y % 2 = 0 and x % 2 = 0")).select((F.col("y") / 2).cast("int").alias("y"), (F.col("x") / 2).cast("int").alias("x"), "value")
+    return stencil(px, kernel, px.where("y % 2 = 0 and x % 2 = 0")).select((F.col("y") / 2).cast("int").alias("y"), (F.col("x") / 2).cast("int").alias("x"), "value")
 
 
 def in_rois(px: DataFrame, rois: DataFrame, cell: int = 64) -> DataFrame:

@@ -85,22 +85,24 @@ def proximity(tiles: DataFrame, block: int) -> DataFrame:
     return a.join(b, ["image_id", "cx", "cy"]).where(close).select("image_id", "tile1", "tile2")
 
 
-def pad(px: DataFrame, bottom: int, right: int, height: int, width: int, mode: str = "mirror") -> DataFrame:
+def pad(px: DataFrame, bottom: int, right: int, mode: str = "mirror") -> DataFrame:
     """(y, x, g) with rows below and columns to the right: mirror (the border once), reflect (twice), replicate or constant 0.
 
-    A pixel is sent to the places that show it, so nothing is joined; added parts must be smaller than the image.
+    A pixel is sent to the places that show it, so nothing is joined but the image's size, one row; added parts must be smaller than
+    the image.
     """
-    if mode == "constant":
-        zeros = px.sparkSession.range((height + bottom) * (width + right)).select(F.floor(F.col("id") / (width + right)).cast("int").alias("y"), (F.col("id") % (width + right)).cast("int").alias("x"))
-        return px.select("y", "x", "g").union(zeros.where((F.col("y") >= height) | (F.col("x") >= width)).withColumn("g", F.lit(0)))
 
-    def places(c: str, n: int, more: int) -> Column:
-        p = F.col(c)
-        if mode == "replicate":
-            shown = F.when(p == n - 1, F.sequence(F.lit(n - 1), F.lit(n - 1 + more)))
+    def places(c: str, n: str, more: int) -> Column:
+        p, n = F.col(c), F.col(n)
+        if mode in ("replicate", "constant"):
+            shown = F.when(p == n - 1, F.sequence(n - 1, n - 1 + more))
         else:
             far = (2 * (n - 1) if mode == "mirror" else 2 * n - 1) - p
             shown = F.when((far >= n) & (far < n + more), F.array(p, far))
         return F.explode(F.coalesce(shown, F.array(p)))
 
-    return px.select(places("y", height, bottom).alias("y"), "x", "g").select("y", places("x", width, right).alias("x"), "g")
+    size = px.agg((F.max("y") + 1).alias("hh"), (F.max("x") + 1).alias("ww"))
+    out = px.join(F.broadcast(size)).select(places("y", "hh", bottom).alias("y"), "x", "g", "hh", "ww").select("y", places("x", "ww", right).alias("x"), "g", "hh", "ww")
+    if mode == "constant":
+        out = out.withColumn("g", F.when((F.col("y") >= F.col("hh")) | (F.col("x") >= F.col("ww")), 0).otherwise(F.col("g")))
+    return out.select("y", "x", "g")

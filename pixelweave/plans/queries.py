@@ -35,11 +35,6 @@ def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic(table(spark, sf_dir, "embeddings"))
 
 
-def extent(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.max("y") + 1, F.max("x") + 1).first()
-    return row[0], row[1]
-
-
 def r6(*names: str) -> list:
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
 
@@ -119,9 +114,11 @@ def overlap_regions(spark, d):
 
 
 def mosaic_tiles(spark, p):
-    h, w = extent(p)
-    sizes = spark.createDataFrame([("mosaic", w, h)], "image_id string, width int, height int")
-    return tiling.tile_grid(sizes, 64, 0.2).withColumn("overlap_bottom", F.when(F.col("y") + F.col("h") < h, 12).otherwise(0)).withColumn("overlap_right", F.when(F.col("x") + F.col("w") < w, 12).otherwise(0))
+    """Tiles of the mosaic; its size is a row of its own, so nothing runs while the query is built."""
+    sizes = p.agg(F.lit("mosaic").alias("image_id"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    tiles = tiling.tile_grid(sizes, 64, 0.2).join(F.broadcast(sizes), "image_id")
+    tiles = tiles.withColumn("overlap_bottom", F.when(F.col("y") + F.col("h") < F.col("height"), 12).otherwise(0))
+    return tiles.withColumn("overlap_right", F.when(F.col("x") + F.col("w") < F.col("width"), 12).otherwise(0)).drop("width", "height")
 
 
 def shown():
@@ -211,13 +208,13 @@ st as (select taps.y, taps.x, sum(k * s.g) as value from taps join px s on s.y =
 @query(stencil_sql(quality.LAPLACIAN) + "select round(var_pop(value), 6) as sharpness from st")
 def sharpness(spark, d):
     p = px(spark, d)
-    return quality.stencil(p, quality.LAPLACIAN, *extent(p)).agg(F.var_pop("value").alias("sharpness")).select(*r6("sharpness"))
+    return quality.stencil(p, quality.LAPLACIAN).agg(F.var_pop("value").alias("sharpness")).select(*r6("sharpness"))
 
 
 @query(stencil_sql(quality.BINOMIAL) + "select round(stddev_pop(px.g - value), 6) as noise from st join px using (y, x)")
 def noise_level(spark, d):
     p = px(spark, d)
-    return quality.stencil(p, quality.BINOMIAL, *extent(p)).join(p, ["y", "x"]).agg(F.stddev_pop(F.col("g") - F.col("value")).alias("noise")).select(*r6("noise"))
+    return quality.stencil(p, quality.BINOMIAL).join(p, ["y", "x"]).agg(F.stddev_pop(F.col("g") - F.col("value")).alias("noise")).select(*r6("noise"))
 
 
 @query(PX + ", b as (select y // 8 as by, x // 8 as bx, var_pop(g) as v from px, dims where y // 8 * 8 < hh - 8 and x // 8 * 8 < ww - 8 group by 1, 2) select case when count(*) > 1 then round(greatest(0, 100 - var_pop(v) / 100), 6) else 100 end as artifact_score from b")
@@ -228,7 +225,7 @@ def artifact_score(spark, d):
 @query(PX + ", c as (select y // (hh // 4) as cy, x // (ww // 4) as cx, avg(g) as m from px, dims where y < hh // 4 * 4 and x < ww // 4 * 4 group by 1, 2) select round(greatest(0, 100 - stddev_pop(m)), 6) as uniformity from c")
 def brightness_uniformity(spark, d):
     p = px(spark, d)
-    return quality.uniformity(p, *extent(p)).select(*r6("uniformity"))
+    return quality.uniformity(p).select(*r6("uniformity"))
 
 
 @query(PX + """, per as (select vec_id, 10 * log10(65025 / avg(power(g - h, 2))) as v from both_px group by vec_id)
@@ -463,13 +460,13 @@ def face_naturalness(spark, d):
 @query(stencil_sql([(dy, dx, 0.04) for dy in range(-2, 3) for dx in range(-2, 3)]).replace("sum(k * s.g) as value", "sum(k * s.g) as value, sum(k * s.g * s.g) as square") + "select round(avg(square - value * value), 6) as texture from st")
 def texture_score(spark, d):
     p = px(spark, d)
-    return quality.texture(p, *extent(p)).select(*r6("texture"))
+    return quality.texture(p).select(*r6("texture"))
 
 
 @query(stencil_sql([(dy - 2, dx - 2, (1, 4, 6, 4, 1)[dy] * (1, 4, 6, 4, 1)[dx] / 256) for dy in range(5) for dx in range(5)]) + "select y // 2 as y, x // 2 as x, round(value, 6) as value from st where y % 2 = 0 and x % 2 = 0")
 def pyramid_down(spark, d):
     p = px(spark, d)
-    return quality.pyramid_down(p, *extent(p)).select("y", "x", *r6("value"))
+    return quality.pyramid_down(p).select("y", "x", *r6("value"))
 
 
 @query(PX + "select y, x, sum(g) over (partition by y order by x)::bigint as across, sum(g) over (partition by x order by y)::bigint as down from px")
@@ -511,7 +508,7 @@ select s.y, s.x, coalesce(px.g, 0) as g from s left join px on px.y = y2 and px.
 def padded(mode):
     def run(spark, d):
         p = px(spark, d)
-        return tiling.pad(p, 16, 24, *extent(p), mode)
+        return tiling.pad(p, 16, 24, mode)
 
     run.__name__ = f"pad_{mode}"
     return run
