@@ -70,7 +70,8 @@ def attach(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> Da
     """
     hot = table.where(F.col("n") > max(total // HOT, 64)).withColumn("is_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), keys, "left")
-    cold = marked.where("is_hot is null").select(*rows.columns).join(table.where(F.col("n") <= max(total // HOT, 64)), keys)
+    # The hint keeps a table that happens to be small from being gathered on the driver, to be sent to all tasks.
+    cold = marked.where("is_hot is null").select(*rows.columns).join(table.where(F.col("n") <= max(total // HOT, 64)).hint("merge"), keys)
     return marked.where("is_hot").drop("is_hot").unionByName(cold)
 
 

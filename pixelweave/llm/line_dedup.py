@@ -38,7 +38,7 @@ def _rank(suffixes: DataFrame, base: str, by: str, low: Column, high: Column, *m
     ranges = pairs.groupBy(base, "range").agg(F.sum("n").alias("total"))
     before = ranges.withColumn("before", F.sum("total").over(Window.partitionBy(base).orderBy("range")) - F.col("total")).drop("total")
     inside = F.sum("n").over(Window.partitionBy(base, "range").orderBy(by)) - F.col("n")
-    return pairs.withColumn("inside", inside).join(before, [base, "range"]).select(base, by, "n", *others, (F.col(base) + F.col("before") + F.col("inside")).alias("rank"))
+    return pairs.withColumn("inside", inside).join(before.hint("merge"), [base, "range"]).select(base, by, "n", *others, (F.col(base) + F.col("before") + F.col("inside")).alias("rank"))
 
 
 def line_sequences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -93,11 +93,11 @@ def repeated_runs(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame
     while not level.isEmpty():
         for length in range(span + 1, min(2 * span, min_words + 1)):
             half = level.select("did", "mark", (F.col("i") - (length - span)).alias("i"), F.col("rank").alias("next"))
-            both = level.where((F.col("left") >= length) & (F.col("reach") <= length)).withColumn("lines", F.lit(length)).join(half, PLACE)
+            both = level.where((F.col("left") >= length) & (F.col("reach") <= length)).withColumn("lines", F.lit(length)).join(half.hint("merge"), PLACE)
             found = stage(_later(both, ["rank", "next"], total), "later", found)
         # Only suffixes with lines enough for the next round, whose second half is in an interval too, go on.
         ahead = level.select("did", "mark", (F.col("i") - F.col("lines")).alias("i"), F.col("rank").alias("next"))
-        pairs = stage(level.where("left >= 2 * lines").select(*columns).join(ahead, PLACE), "pairs")
+        pairs = stage(level.where("left >= 2 * lines").select(*columns).join(ahead.hint("merge"), PLACE), "pairs")
         place = F.struct(*PLACE)
         halves = pairs.select(F.col("rank").alias("base"), "next", *PLACE)
         ranks = _rank(halves, "base", "next", F.lit(0), F.lit(total), F.min(place).alias("first"))
@@ -122,7 +122,7 @@ def repeated_lines(docs: DataFrame, min_words: int) -> DataFrame:
     runs = runs.withColumn("new", F.when(before >= F.col("i"), 0).otherwise(1)).withColumn("stretch", F.sum("new").over(order))
     stretches = runs.groupBy("did", "mark", "stretch").agg(F.min("i").alias("a"), F.max(F.col("i") + F.col("lines")).alias("b"))
     covered = stretches.select("did", "mark", F.explode(F.sequence("a", F.col("b") - 1)).alias("i"))
-    return covered.join(lines.select(*PLACE, "no"), PLACE).groupBy("did", "mark").agg(F.collect_set("no").alias("gone"))
+    return covered.join(lines.select(*PLACE, "no").hint("merge"), PLACE).groupBy("did", "mark").agg(F.collect_set("no").alias("gone"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -139,7 +139,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeated_lines(docs.select(did.alias("did"), mark.alias("mark"), "text"), min_words)
     # All columns travel in one struct, so that none can clash with the names used here.
     held = docs.select(did.alias("did"), mark.alias("mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held"))
-    joined = held.join(gone, ["did", "mark"], "left")
+    joined = held.join(gone.hint("merge"), ["did", "mark"], "left")
     # A generated column is split once; the functions over arrays below read it for each line.
     joined = joined.select("held", "gone", F.inline(F.array(F.struct(F.split("held.text", "\n", -1).alias("lines")))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
