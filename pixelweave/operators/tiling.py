@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelweave.operators import blocks as B
+
 
 def tile_grid(sizes: DataFrame, block: int = 1024, ratio: float = 0.2) -> DataFrame:
     """(image_id, tile_row, tile_col, x, y, w, h and the overlap with each side) for ``sizes`` (image_id, width, height)."""
@@ -85,11 +88,18 @@ def proximity(tiles: DataFrame, block: int) -> DataFrame:
     return a.join(b, ["image_id", "cx", "cy"]).where(close).select("image_id", "tile1", "tile2")
 
 
+def filled(px: DataFrame) -> DataFrame:
+    """(y, x, g) of every place of an image as far as its last row and column; places without a pixel are 0."""
+    made = B.to_blocks(px.select(F.lit("").alias("image_id"), "y", "x", "g"))
+    whole = B.to_pixels(B.mapped_values(made, lambda v: np.where(np.isnan(v), 0.0, v)))
+    return whole.select("y", "x", F.col("value").cast(px.schema["g"].dataType).alias("g"))
+
+
 def pad(px: DataFrame, bottom: int, right: int, mode: str = "mirror") -> DataFrame:
     """(y, x, g) with rows below and columns to the right: mirror (the border once), reflect (twice), replicate or constant 0.
 
     A pixel is sent to the places that show it, so nothing is joined but the image's size, one row; added parts must be smaller than
-    the image.
+    the image. Places of the image without a pixel are 0, and are shown as such.
     """
 
     def places(c: str, n: str, more: int) -> Column:
@@ -102,7 +112,7 @@ def pad(px: DataFrame, bottom: int, right: int, mode: str = "mirror") -> DataFra
         return F.explode(F.coalesce(shown, F.array(p)))
 
     size = px.agg((F.max("y") + 1).alias("hh"), (F.max("x") + 1).alias("ww"))
-    out = px.join(F.broadcast(size)).select(places("y", "hh", bottom).alias("y"), "x", "g", "hh", "ww").select("y", places("x", "ww", right).alias("x"), "g", "hh", "ww")
+    out = filled(px).join(F.broadcast(size)).select(places("y", "hh", bottom).alias("y"), "x", "g", "hh", "ww").select("y", places("x", "ww", right).alias("x"), "g", "hh", "ww")
     if mode == "constant":
         out = out.withColumn("g", F.when((F.col("y") >= F.col("hh")) | (F.col("x") >= F.col("ww")), 0).otherwise(F.col("g")))
     return out.select("y", "x", "g")
