@@ -27,7 +27,7 @@ def running(blocks: DataFrame, axis: int, block: int = BLOCK) -> DataFrame:
 
     def totals(batches):
         for pdf in batches:
-            sums = [np.frombuffer(d).reshape(h, w).sum(axis).tobytes() for d, h, w in zip(pdf["data"], pdf["h"], pdf["w"], strict=True)]
+            sums = [np.nansum(np.frombuffer(d).reshape(h, w), axis).tobytes() for d, h, w in zip(pdf["data"], pdf["h"], pdf["w"], strict=True)]
             yield pdf[_KEYS].assign(carry=sums)
 
     def carried(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -40,8 +40,8 @@ def running(blocks: DataFrame, axis: int, block: int = BLOCK) -> DataFrame:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                carry = np.frombuffer(r.carry)
-                out.append((np.cumsum(np.frombuffer(r.data).reshape(r.h, r.w), axis) + (carry[None] if axis == 0 else carry[:, None])).tobytes())
+                carry, data = np.frombuffer(r.carry), np.frombuffer(r.data).reshape(r.h, r.w)
+                out.append(np.where(np.isnan(data), np.nan, np.nancumsum(data, axis) + (carry[None] if axis == 0 else carry[:, None])).tobytes())
             yield pdf.drop(columns="carry").assign(data=out)
 
     kinds = "image_id string, plane int, by int, bx int, carry binary"
@@ -68,7 +68,7 @@ def gradient_fusion(tiles: DataFrame, places: DataFrame, block: int = BLOCK) ->
         rise = lambda p: p[:-2] + 2 * p[1:-1] + p[2:]
         gx, gy = rise(a)[:, 2:] - rise(a)[:, :-2], (rise(a.T)[:, 2:] - rise(a.T)[:, :-2]).T
         weight = cosine_weight(y, x, h, w, areas[0].height, areas[0].width)
-        return B.block_rows(image_id, {0: gx * weight, 1: gy * weight, 2: weight}, y, x, block)
+        return B.block_rows(image_id, {k: areas[0].kept(v, y, x) for k, v in enumerate((gx * weight, gy * weight, weight))}, y, x, block)
 
     mean = lambda s: {k: s[k] / np.maximum(s[2], 1e-6) for k in (0, 1)}
     made = B.gather(tiles.where("plane = 0"), graded, BLOCKS, B.halo(1), block=block)
@@ -118,7 +118,8 @@ def feather_fusion(tiles: DataFrame, places: DataFrame, feather_width: int = 50,
     def weighted(areas, image_id, y, x, h, w):
         far = distance_to_zero(_inside(areas[1], y, x, h, w, feather_width), feather_width)
         weight = 0.5 * (1 - np.cos(np.pi * far / feather_width))
-        return B.block_rows(image_id, {0: areas[0].around(y, x, h, w, 0) * weight, 1: weight}, y, x, block)
+        values = areas[0].around(y, x, h, w, 0) * weight
+        return B.block_rows(image_id, {0: areas[0].kept(values, y, x), 1: areas[0].kept(weight, y, x)}, y, x, block)
 
     return B.on_canvas(B.gather(tiles, weighted, BLOCKS, B.halo(feather_width), block=block), places, B.weighted_mean, block)
 
@@ -158,7 +159,7 @@ def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e
 
     The three planes are of one size: a source is put at its place by ``on_canvas`` before. Inside the mask the result has the source's
     gradients (mode "normal") or each time the steeper ones ("mixed"), and at the mask's edge the target's values. Masked places on
-    the image's border keep the target. Blocks solve for themselves with ``overlap`` pixels of their neighbours around (a half
+    the image's border, or beside places without a pixel, keep the target. Blocks solve for themselves with ``overlap`` pixels of their neighbours around (a half
     block), take over the neighbours' new values and solve again, a written stage a round, until no value moves by more than
     ``tolerance``. Values are cut to 0..255; an image with an empty mask stays as it is; an empty table gives no rows.
     """
@@ -168,8 +169,10 @@ def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e
         t, s = (areas[k].around(y, x, h, w, 1) for k in (0, 1))
         ys, xs = np.arange(y, y + h), np.arange(x, x + w)
         inner = ((ys > 0) & (ys < areas[0].height - 1))[:, None] & (xs > 0) & (xs < areas[0].width - 1)
+        seen = areas[0].around(y, x, h, w, 1, "seen")
+        inner = inner & seen[1:-1, 1:-1] & seen[:-2, 1:-1] & seen[2:, 1:-1] & seen[1:-1, :-2] & seen[1:-1, 2:]
         free = (areas[2].around(y, x, h, w, 0) != 0) & inner
-        return B.block_rows(image_id, {0: t[1:-1, 1:-1], 1: _slopes(s, t, mode), 2: free.astype(float), 3: np.full((h, w), np.inf)}, y, x, block)
+        return B.block_rows(image_id, {0: areas[0].kept(t[1:-1, 1:-1], y, x), 1: _slopes(s, t, mode), 2: free.astype(float), 3: np.full((h, w), np.inf)}, y, x, block)
 
     def solve(areas, image_id, y, x, h, w):
         a = areas[0]
@@ -181,7 +184,7 @@ def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e
         new = relaxed(u, rhs, free, tolerance / 100) if free.any() else u
         moved = np.full((h, w), np.abs(new[own] - u[own]).max(initial=0))
         assert u.shape == (y1 - y0, x1 - x0)
-        return B.block_rows(image_id, {0: new[own], 1: rhs[own], 2: areas[2].values[own], 3: moved}, y, x, block)
+        return B.block_rows(image_id, {0: a.kept(new[own], y, x), 1: rhs[own], 2: areas[2].values[own], 3: moved}, y, x, block)
 
     def most(batches):
         for pdf in batches:
@@ -193,7 +196,7 @@ def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e
         moved = now.where("plane = 3").mapInPandas(most, "moved double").agg(F.max("moved")).first()[0]
         if moved is None or moved <= tolerance:
             break
-    return B.mapped(now.where("plane = 0"), lambda a, y, x, h, w: np.clip(a.around(y, x, h, w, 0), 0, 255), B.halo(0), block=block), done
+    return B.mapped(now.where("plane = 0"), lambda a, y, x, h, w: a.kept(np.clip(a.around(y, x, h, w, 0), 0, 255), y, x), B.halo(0), block=block), done
 
 
 def mask_blend(images: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -284,12 +287,14 @@ def repaired(image: DataFrame, seams: DataFrame, block: int = BLOCK, whole: bool
         roi = np.zeros((r.y1 - r.y0, r.x1 - r.x0))
         for p in pdf.itertuples(index=False):
             roi[p.py - r.y0 : p.py - r.y0 + p.ph, p.px - r.x0 : p.px - r.x0 + p.pw] = np.frombuffer(p.part).reshape(p.ph, p.pw)
+        missing = np.isnan(roi)
+        roi = np.where(missing, 0.0, roi)
         if r.fix == "increase_blend_width":
             roi = blurred(roi)
         elif r.fix == "poisson_refinement" and r.patch is not None:
             at = (max(0, r.y - r.y0), max(0, r.x - r.x0), max(0, r.y + r.height - r.y0), max(0, r.x + r.width - r.x0))
             roi = refined(roi, np.frombuffer(r.patch).reshape(roi.shape), at)
-        roi = np.floor(roi + 0.5) if whole else roi
+        roi = np.where(missing, np.nan, np.floor(roi + 0.5) if whole else roi)
         rows = []
         for p in pdf.itertuples(index=False):
             part = roi[p.py - r.y0 : p.py - r.y0 + p.ph, p.px - r.x0 : p.px - r.x0 + p.pw]
@@ -346,7 +351,7 @@ def drawn(image: DataFrame, seams: DataFrame, thickness: int = 2, block: int = B
             inside = (ys >= f.y - r) & (ys <= f.y + f.fh + r) & (xs >= f.x - r) & (xs <= f.x + f.fw + r)
             hollow = (ys > f.y + r) & (ys < f.y + f.fh - r) & (xs > f.x + r) & (xs < f.x + f.fw - r)
             for plane, data in zip(old["plane"], planes, strict=True):
-                data[inside & ~hollow] = FRAMES.get(f.severity, (0, 255, 0))[plane]
+                data[inside & ~hollow & ~np.isnan(data)] = FRAMES.get(f.severity, (0, 255, 0))[plane]
         return old.assign(data=[p.tobytes() for p in planes])
 
     keys = ["image_id", "by", "bx"]

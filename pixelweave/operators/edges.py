@@ -59,7 +59,7 @@ def candidates(blocks: DataFrame, low: float, high: float, block: int = BLOCK) -
         area = areas[0]
         ys, xs = np.arange(y - 2, y + h + 2), np.arange(x - 2, x + w + 2)
         a = area.take(ys, xs, B.edge)
-        inside = ((ys >= 0) & (ys < area.height))[1:-1, None] & ((xs >= 0) & (xs < area.width))[1:-1]
+        inside = ((ys >= 0) & (ys < area.height))[1:-1, None] & ((xs >= 0) & (xs < area.width))[1:-1] & area.take(ys, xs, B.edge, "seen")[1:-1, 1:-1]
         kind = thinned(a, low, high, inside)
         local = labelled(kind > 0)
         place = (y + local // w) * area.width + x + local % w + 1

@@ -40,10 +40,10 @@ def artifacts(blocks: DataFrame, block: int = BLOCK, cell: int = 8) -> DataFrame
         raise ValueError("blocks must hold whole cells")
 
     def spread(areas, y, x, h, w):
-        a = areas[0].around(y, x, h, w, 0)
+        a = areas[0].kept(areas[0].around(y, x, h, w, 0), y, x)
         ny, nx = (sum(1 for k in range(o, o + n, cell) if k < full - cell) for o, n, full in ((y, h, areas[0].height), (x, w, areas[0].width)))
         cells = a[: ny * cell, : nx * cell].reshape(ny, cell, nx, cell).transpose(0, 2, 1, 3).reshape(ny * nx, cell * cell)
-        return {"cells": cells.var(1)}
+        return {"cells": np.nanvar(cells[~np.isnan(cells).all(1)], 1)}  # of the pixels that are there
 
     sums = B.summed(blocks, spread, 0, block)
     variance = F.greatest(F.lit(0.0), F.col("square") / F.col("n") - F.pow(F.col("total") / F.col("n"), 2))
@@ -55,16 +55,18 @@ def uniformity(blocks: DataFrame, block: int = BLOCK, regions: int = 4) -> DataF
 
     def parts(areas, image_id, y, x, h, w):
         a, tall, wide = areas[0].around(y, x, h, w, 0), areas[0].height // regions, areas[0].width // regions
+        a = areas[0].kept(a, y, x)
         ys, xs = (np.arange(o, o + n) // max(1, size) for o, n, size in ((y, h, tall), (x, w, wide)))
         rows = []
         for i in np.unique(ys[ys < regions]):
             for j in np.unique(xs[xs < regions]):
                 v = a[np.ix_(ys == i, xs == j)]
+                v = v[~np.isnan(v)]
                 rows.append((image_id, int(i), int(j), v.size, float(v.sum())))
         return pd.DataFrame(rows, columns=["image_id", "i", "j", "n", "total"])
 
     sums = B.gather(blocks, parts, "image_id string, i int, j int, n long, total double", B.halo(0), block=block)
-    means = sums.groupBy("image_id", "i", "j").agg((F.sum("total") / F.sum("n")).alias("mean"))
+    means = sums.where("n > 0").groupBy("image_id", "i", "j").agg((F.sum("total") / F.sum("n")).alias("mean"))
     whole = B.sizes(blocks).where(f"height >= {regions} and width >= {regions}").select("image_id")
     return means.join(whole, "image_id", "left_semi").groupBy("image_id").agg(F.greatest(F.lit(0.0), 100 - F.stddev_pop("mean")).alias("brightness_uniformity"))
 

@@ -55,7 +55,8 @@ def regridded(parts: DataFrame, tall: Column, wide: Column, kernel: Callable, sc
         h, w = min(int(r.gh), int(r.height) - y), min(int(r.gw), int(r.width) - x)
         planes = {}
         for p in pdf.itertuples(index=False):
-            planes.setdefault(int(p.plane), np.zeros((h, w)))[p.py : p.py + p.ph, p.px : p.px + p.pw] = np.frombuffer(p.part).reshape(p.ph, p.pw)
+            part = np.frombuffer(p.part).reshape(p.ph, p.pw)
+            planes.setdefault(int(p.plane), np.zeros((h, w)))[p.py : p.py + p.ph, p.px : p.px + p.pw] = np.where(np.isnan(part), 0.0, part)  # no pixel: 0
         return kernel(planes, r.image_id, y, x, int(r.height), int(r.width))
 
     kinds = "image_id string, " + ", ".join(f"{c} {'binary' if c == 'part' else 'int'}" for c in names[1:])
@@ -165,12 +166,14 @@ def saliency(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     changed = rolled(to_parts(B.gather(centred, residual, BLOCKS, B.halo(2), block=block), block), -1)
     back = on_grid(_transformed(changed, np.fft.ifft, size), block)
     taps = B.gaussian(2, 1.1)
-    smooth = staged(B.mapped(back, lambda a, y, x, h, w: B.filtered(a.around(y, x, h, w, 2), taps), B.halo(2), block=block), "saliency")
+    smooth = B.mapped(back, lambda a, y, x, h, w: B.filtered(a.around(y, x, h, w, 2), taps), B.halo(2), block=block)
+    smooth = staged(B.plane_sum(smooth, B.mapped_values(blocks.where("plane = 0"), lambda v: v * 0)), "saliency")  # pixels only where the image has them
 
     def ends(batches):
         for pdf in batches:
-            values = [np.frombuffer(d) for d in pdf["data"]]
-            yield pd.DataFrame({"image_id": pdf["image_id"], "least": [v.min() for v in values], "most": [v.max() for v in values]})
+            values = [v[~np.isnan(v)] for v in map(np.frombuffer, pdf["data"])]
+            ends = [(i, v.min(), v.max()) for i, v in zip(pdf["image_id"], values, strict=True) if len(v)]
+            yield pd.DataFrame(ends, columns=["image_id", "least", "most"])
 
     span = smooth.mapInPandas(ends, "image_id string, least double, most double").groupBy("image_id").agg(F.min("least").alias("least"), F.max("most").alias("most"))
 

@@ -30,6 +30,11 @@ def colored(px: DataFrame) -> DataFrame:
     return px.select("*", F.col("g").alias("red"), ((F.col("g") * 3 + F.col("x")) % 256).alias("green"), ((F.col("g") * 5 + F.col("y")) % 256).alias("blue"))
 
 
+def jittered(px: DataFrame) -> DataFrame:
+    """The mosaic's places with their value (g) and that with a fixed jitter (h)."""
+    return px.select("y", "x", "g", (F.col("g") + (F.col("x") * 7 + F.col("y") * 3) % 5 - 2).alias("h"))
+
+
 def degraded(px: DataFrame) -> DataFrame:
     """The mosaic with a fixed jitter, for comparisons."""
-    return px.select("y", "x", (F.col("g") + (F.col("x") * 7 + F.col("y") * 3) % 5 - 2).alias("h"))
+    return jittered(px).select("y", "x", "h")

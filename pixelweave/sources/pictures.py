@@ -103,7 +103,7 @@ BANDS = "image_id string, by int, height int, width int, channels int, raw long,
 def png_bands(blocks: DataFrame, block: int = BLOCK, level: int = 3) -> DataFrame:
     """(image_id, by, height, width, channels, raw, adler, data): rows of blocks, filtered and deflated each for itself, that end at a byte.
 
-    Planes are channels: one (gray) or three. Values are cut to 0..255 and rounded down.
+    Planes are channels: one (gray) or three. Values are cut to 0..255 and rounded down; a place without a pixel is black.
     """
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +111,7 @@ def png_bands(blocks: DataFrame, block: int = BLOCK, level: int = 3) -> DataFram
         planes = sorted(pdf["plane"].unique())
         band = np.zeros((int(r.h), int(r.width), len(planes)), np.uint8)
         for p in pdf.itertuples(index=False):
-            band[:, p.bx * block : p.bx * block + p.w, planes.index(p.plane)] = np.clip(np.frombuffer(p.data).reshape(p.h, p.w), 0, 255)
+            band[:, p.bx * block : p.bx * block + p.w, planes.index(p.plane)] = np.clip(np.nan_to_num(np.frombuffer(p.data)).reshape(p.h, p.w), 0, 255)
         raw = filtered_rows(band)
         squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
         data = squeeze.compress(raw) + squeeze.flush(zlib.Z_FULL_FLUSH)
