@@ -1,4 +1,7 @@
-"""Overlapping tile grids and the relations between tiles."""
+"""Overlapping tile grids and the relations between tiles.
+
+Tiles are joined by merging: they are made from few bytes of images, so Spark takes them for small and would gather them on the driver.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +42,7 @@ def neighbors(tiles: DataFrame) -> DataFrame:
     """(image_id, tile_row, tile_col, side, n_row, n_col): an equi-join on shifted grid places, one row for each side that has a tile."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), (F.col("tile_row") + r).alias("n_row"), (F.col("tile_col") + c).alias("n_col")) for s, r, c in (("top", -1, 0), ("bottom", 1, 0), ("left", 0, -1), ("right", 0, 1))])
     there = tiles.select("image_id", F.col("tile_row").alias("n_row"), F.col("tile_col").alias("n_col"))
-    return tiles.select("image_id", "tile_row", "tile_col", F.inline(sides)).join(there, ["image_id", "n_row", "n_col"]).select("image_id", "tile_row", "tile_col", "side", "n_row", "n_col")
+    return tiles.select("image_id", "tile_row", "tile_col", F.inline(sides)).join(there.hint("merge"), ["image_id", "n_row", "n_col"]).select("image_id", "tile_row", "tile_col", "side", "n_row", "n_col")
 
 
 def overlap_regions(tiles: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def overlap_regions(tiles: DataFrame) -> DataFrame:
     a = tiles.select("image_id", *[F.col(c).alias(f"{c}1") for c in ("tile_row", "tile_col", "x", "y", "w", "h")])
     b = tiles.select("image_id", *[F.col(c).alias(f"{c}2") for c in ("tile_row", "tile_col", "x", "y", "w", "h")])
     steps = F.array(F.struct(F.col("tile_row1").alias("tile_row2"), (F.col("tile_col1") + 1).alias("tile_col2"), F.lit("horizontal").alias("direction")), F.struct((F.col("tile_row1") + 1).alias("tile_row2"), F.col("tile_col1").alias("tile_col2"), F.lit("vertical").alias("direction")))
-    both = a.select("*", F.inline(steps)).join(b, ["image_id", "tile_row2", "tile_col2"])
+    both = a.select("*", F.inline(steps)).join(b.hint("merge"), ["image_id", "tile_row2", "tile_col2"])
     left, top = F.greatest("x1", "x2"), F.greatest("y1", "y2")
     w, h = F.least(F.expr("x1 + w1"), F.expr("x2 + w2")) - left, F.least(F.expr("y1 + h1"), F.expr("y2 + h2")) - top
     return both.select("image_id", "tile_row1", "tile_col1", "tile_row2", "tile_col2", "direction", left.alias("x"), top.alias("y"), w.alias("width"), h.alias("height")).where("width > 0 and height > 0")
@@ -85,7 +88,7 @@ def proximity(tiles: DataFrame, block: int) -> DataFrame:
     a = a.select("image_id", "tile1", "x1", "y1", "cx", F.explode(near("y")).alias("cy"))
     b = tiles.select("image_id", F.col("tile_id").alias("tile2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.floor(F.col("x") / block).alias("cx"), F.floor(F.col("y") / block).alias("cy"))
     close = f"tile1 <> tile2 and abs(x1 - x2) <= {block} and abs(y1 - y2) <= {block}"
-    return a.join(b, ["image_id", "cx", "cy"]).where(close).select("image_id", "tile1", "tile2")
+    return a.join(b.hint("merge"), ["image_id", "cx", "cy"]).where(close).select("image_id", "tile1", "tile2")
 
 
 def filled(px: DataFrame) -> DataFrame:
