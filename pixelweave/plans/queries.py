@@ -483,8 +483,7 @@ def rois(spark, d):
 
 @query(PX + ", " + ROIS + "select roi_id, count(*)::bigint as n, round(avg(g), 6) as mean, round(stddev_pop(g), 6) as contrast from px join rois on x >= x0 and x < x0 + w and y >= y0 and y < y0 + h group by roi_id")
 def roi_metrics(spark, d):
-    out = quality.in_rois(px(spark, d), rois(spark, d)).groupBy("roi_id").agg(F.count("*").alias("n"), F.avg("g").alias("mean"), F.stddev_pop("g").alias("contrast"))
-    return out.select("roi_id", "n", *r6("mean", "contrast"))
+    return quality.roi_moments(px(spark, d), rois(spark, d)).select("roi_id", "n", *r6("mean", "contrast"))
 
 
 @query("""with m as (select l_orderkey as image_id, case l_linenumber % 4 when 0 then 'psnr' when 1 then 'ms_ssim' when 2 then 'lpips' else 'niqe' end as metric, case when l_linenumber % 4 = 0 then l_quantity * 3 else l_discount end as value from lineitem)

@@ -1,7 +1,10 @@
 """What must not grow with the table: what is sent to the driver, and how often a pixel is sent."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pixelweave.operators import quality
 from pixelweave.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +14,16 @@ SF = "/root/testdata/sf0.001"
 def test_tiles_are_not_gathered_on_the_driver(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_equal_rectangles_are_measured_once(spark):
+    px = spark.range(30 * 40).select(F.floor(F.col("id") / 40).cast("int").alias("y"), (F.col("id") % 40).cast("int").alias("x"), (F.col("id") * 7 % 251).cast("int").alias("g"))
+    rois = spark.range(3000).selectExpr("id as roi_id", "cast(id % 3 * 9 as int) as x0", "cast(id % 2 * 20 as int) as y0", "cast(18 + id % 2 as int) as w", "cast(id % 3 as int) * 7 as h")
+    assert quality.in_rectangles(px, rois).count() == 18 * 7 + 18 * 14 + 19 * 7 * 1 + 19 * 10  # four that have pixels; the last one is cut off by the image
+    got = {r.roi_id: r for r in quality.roi_moments(px, rois).collect()}
+    g = (np.arange(1200) * 7 % 251).reshape(30, 40)
+    for k in range(3000):
+        v = g[k % 2 * 20 :, k % 3 * 9 :][: k % 3 * 7, : 18 + k % 2]
+        assert (k in got) == (v.size > 0)
+        if v.size:
+            assert got[k].n == v.size and got[k]["mean"] == pytest.approx(v.mean()) and got[k].contrast == pytest.approx(v.std())
