@@ -93,8 +93,7 @@ def proximity(tiles: DataFrame, block: int) -> DataFrame:
 
 def filled(px: DataFrame) -> DataFrame:
     """(y, x, g) of every place of an image as far as its last row and column; places without a pixel are 0."""
-    made = B.to_blocks(px.select(F.lit("").alias("image_id"), "y", "x", "g"))
-    whole = B.to_pixels(B.mapped_values(made, lambda v: np.where(np.isnan(v), 0.0, v)))
+    whole = B.to_pixels(B.mapped_values(B.one_image(px), lambda v: np.where(np.isnan(v), 0.0, v)))
     return whole.select("y", "x", F.col("value").cast(px.schema["g"].dataType).alias("g"))
 
 

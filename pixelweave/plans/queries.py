@@ -208,13 +208,13 @@ st as (select taps.y, taps.x, sum(k * s.g) as value from taps join px s on s.y =
 @query(stencil_sql(quality.LAPLACIAN) + "select round(var_pop(value), 6) as sharpness from st")
 def sharpness(spark, d):
     p = px(spark, d)
-    return quality.stencil(p, quality.LAPLACIAN).agg(F.var_pop("value").alias("sharpness")).select(*r6("sharpness"))
+    return quality.sharpness(p).select(*r6("sharpness"))
 
 
 @query(stencil_sql(quality.BINOMIAL) + "select round(stddev_pop(px.g - value), 6) as noise from st join px using (y, x)")
 def noise_level(spark, d):
     p = px(spark, d)
-    return quality.stencil(p, quality.BINOMIAL).join(p, ["y", "x"]).agg(F.stddev_pop(F.col("g") - F.col("value")).alias("noise")).select(*r6("noise"))
+    return quality.noise(p).select(*r6("noise"))
 
 
 @query(PX + ", b as (select y // 8 as by, x // 8 as bx, var_pop(g) as v from px, dims where y // 8 * 8 < hh - 8 and x // 8 * 8 < ww - 8 group by 1, 2) select case when count(*) > 1 then round(greatest(0, 100 - var_pop(v) / 100), 6) else 100 end as artifact_score from b")

@@ -27,3 +27,10 @@ def test_equal_rectangles_are_measured_once(spark):
         assert (k in got) == (v.size > 0)
         if v.size:
             assert got[k].n == v.size and got[k]["mean"] == pytest.approx(v.mean()) and got[k].contrast == pytest.approx(v.std())
+
+
+def test_stencils_send_borders_only(spark):
+    """Of one image's stencils no join holds a row for each value under the kernel."""
+    for name in ("texture_score", "sharpness", "noise_level", "pyramid_down"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate inline" not in plan and "mapInPandas" in plan.replace("MapInPandas", "mapInPandas").replace("MapInArrow", "mapInPandas")
