@@ -43,7 +43,7 @@ def test_matches_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["laplacian_fusion", "multi_band_fusion", "seam_repair", "poisson_clone"])
 def test_gives_the_pixels_there_are(spark, folder, name):
     got = queries.QUERIES[name](spark, folder).toPandas()
-    n = duckdb.sql(f"select count(*) * 64 from '{folder}/embeddings.parquet'").fetchone()[0]
+    n = duckdb.sql(f"select count(*) * 64 from '{folder}/embeddings.parquet'").fetchall()[0][0]
     key = "canvas" if name.endswith("fusion") else "image_id"
     assert len(got) == len(got.drop_duplicates([key, "y", "x"])) == n and not got["value"].isna().any()
 
