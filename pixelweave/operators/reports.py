@@ -12,6 +12,7 @@ from pixelweave.operators.blocks import BLOCK
 from pixelweave.operators.edges import oversharpened
 from pixelweave.operators.quality import commercial
 from pixelweave.operators.spectrum import high_frequency_ratio
+from pixelweave.staging import staged
 
 #: Where a metric's levels end (excellent, good, fair), and whether more is better.
 LEVELS = {
@@ -77,8 +78,10 @@ def report(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     Against the original: psnr, ssim, ms_ssim with levels, and overall, their mean (psnr cut to 0..100, ms_ssim times 100). By itself: niqe and
     brisque with levels, sharpness, contrast, noise. As an advertisement: hf_ratio, oversharpen_score, artifact_score,
     brightness_uniformity and commercial_score. Metrics that an image is too small for are null and count in no score. Every
-    metric is sums by block; only a row for each image is joined. An empty table gives no rows.
+    metric is sums by block; only a row for each image is joined. The blocks are a written stage, so they are made once, not for each metric.
+    An empty table gives no rows.
     """
+    blocks = staged(blocks, "report")
     result = blocks.where("plane = 1").withColumn("plane", F.lit(0))
     full = B.full_reference(blocks, block)
     parts = [B.no_reference(result, block), high_frequency_ratio(result, block), oversharpened(result, block=block), artifacts(result, block), uniformity(result, block)]

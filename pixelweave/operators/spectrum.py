@@ -7,7 +7,9 @@ other axis: two exchanges, whatever the size. Planes 0 and 1 are real and imagin
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from pixelweave.staging import staged
 
 PARTS = "image_id string, plane int, y int, x int, h int, w int, height int, width int, data binary"
 _NAMES = ["image_id", "plane", "y", "x", "h", "w", "height", "width", "data"]
+Sent = namedtuple("Sent", ["image_id", "plane", "height", "width", "gy", "gx", "gh", "gw", "py", "px", "ph", "pw", "part"])
+_SENT = "image_id string, " + ", ".join(f"{c} int" for c in Sent._fields[1:-1]) + ", part binary"
 #: Values of a strip, about.
 STRIP = 1 << 22
 
@@ -29,39 +33,55 @@ def to_parts(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def regridded(parts: DataFrame, tall: Column, wide: Column, kernel: Callable, schema: str = PARTS) -> DataFrame:
-    """``kernel(planes, image_id, y, x, height, width)`` for each rectangle of a grid of ``tall`` x ``wide`` cells over an image."""
-    names = ["image_id", "plane", "height", "width", "gy", "gx", "gh", "gw", "py", "px", "ph", "pw", "part"]
+    """``kernel(planes, image_id, y, x, height, width)`` for each rectangle of a grid of ``tall`` x ``wide`` cells over an image.
+
+    Parts are read and given out a few at a time, as in ``blocks.gather``.
+    """
+    kinds, made_kinds = B.arrow_schema(_SENT), B.arrow_schema(schema)
 
     def cut(batches):
-        for pdf in batches:
-            rows, size = [], 0
-            for r in pdf.itertuples(index=False):
-                data = np.frombuffer(r.data).reshape(r.h, r.w)
-                for gy in range(r.y // r.tall, (r.y + r.h - 1) // r.tall + 1):
-                    a, b = max(r.y, gy * r.tall), min(r.y + r.h, (gy + 1) * r.tall)
-                    for gx in range(r.x // r.wide, (r.x + r.w - 1) // r.wide + 1):
-                        c, d = max(r.x, gx * r.wide), min(r.x + r.w, (gx + 1) * r.wide)
-                        part = np.ascontiguousarray(data[a - r.y : b - r.y, c - r.x : d - r.x]).tobytes()
-                        rows.append((r.image_id, r.plane, r.height, r.width, gy, gx, r.tall, r.wide, a - gy * r.tall, c - gx * r.wide, b - a, d - c, part))
-                        size += len(part)
-                if size > 1 << 26:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows, size = [], 0
-            yield pd.DataFrame(rows, columns=names)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        y, x = int(r.gy * r.gh), int(r.gx * r.gw)
-        h, w = min(int(r.gh), int(r.height) - y), min(int(r.gw), int(r.width) - x)
+        rows, size = [], 0
+        for image_id, plane, y, x, h, w, height, width, data, tall, wide in B.rows_of(batches):
+            data = np.frombuffer(data).reshape(h, w)
+            for gy in range(y // tall, (y + h - 1) // tall + 1):
+                a, b = max(y, gy * tall), min(y + h, (gy + 1) * tall)
+                for gx in range(x // wide, (x + w - 1) // wide + 1):
+                    c, d = max(x, gx * wide), min(x + w, (gx + 1) * wide)
+                    part = np.ascontiguousarray(data[a - y : b - y, c - x : d - x]).tobytes()
+                    rows.append((image_id, plane, height, width, gy, gx, tall, wide, a - gy * tall, c - gx * wide, b - a, d - c, part))
+                    size += len(part)
+                    if size > B.AT_ONCE:
+                        yield B.batch(rows, kinds)
+                        rows, size = [], 0
+        yield B.batch(rows, kinds)
+        B.release()
+
+    def made(parts):
         planes = {}
-        for p in pdf.itertuples(index=False):
-            part = np.frombuffer(p.part).reshape(p.ph, p.pw)
-            planes.setdefault(int(p.plane), np.zeros((h, w)))[p.py : p.py + p.ph, p.px : p.px + p.pw] = np.where(np.isnan(part), 0.0, part)  # no pixel: 0
-        return kernel(planes, r.image_id, y, x, int(r.height), int(r.width))
-
-    kinds = "image_id string, " + ", ".join(f"{c} {'binary' if c == 'part' else 'int'}" for c in names[1:])
-    sent = parts.withColumns({"tall": tall.cast("int"), "wide": wide.cast("int")})
-    return sent.mapInPandas(cut, kinds).groupBy("image_id", "gy", "gx").applyInPandas(run, schema)
+        for r in parts:
+            y, x = r.gy * r.gh, r.gx * r.gw
+            if r.plane not in planes:
+                planes[r.plane] = np.zeros((min(r.gh, r.height - y), min(r.gw, r.width - x)))
+            part = np.frombuffer(r.part).reshape(r.ph, r.pw)
+            planes[r.plane][r.py : r.py + r.ph, r.px : r.px + r.pw] = np.where(np.isnan(part), 0.0, part)  # no pixel: 0
+        out = kernel(planes, r.image_id, y, x, r.height, r.width)
+        return list(zip(*[out[c].tolist() for c in made_kinds.names], strict=True))
+
+    def run(batches):
+        rows, size = [], 0
+        for _, parts in groupby(map(Sent._make, B.rows_of(batches)), lambda p: (p.image_id, p.gy, p.gx)):
+            new = made(parts)
+            rows += new
+            size += sum(len(v) if isinstance(v, bytes) else 8 for r in new for v in r)
+            if size > B.AT_ONCE:
+                yield B.batch(rows, made_kinds)
+                rows, size = [], 0
+        yield B.batch(rows, made_kinds)
+        B.release()
+
+    sent = parts.select(*_NAMES, tall.cast("int").alias("tall"), wide.cast("int").alias("wide"))
+    place = ["image_id", "gy", "gx"]
+    return sent.mapInArrow(cut, _SENT).repartition(*place).sortWithinPartitions(*place).mapInArrow(run, schema)
 
 
 def _rows(image_id: str, planes: dict[int, np.ndarray], y: int, x: int, height: int, width: int) -> pd.DataFrame:

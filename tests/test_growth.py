@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import quality
+from pixelweave.operators import blocks, quality, reports
 from pixelweave.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,9 @@ def test_stencils_send_borders_only(spark):
     for name in ("texture_score", "sharpness", "noise_level", "pyramid_down"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate inline" not in plan and "mapInPandas" in plan.replace("MapInPandas", "mapInPandas").replace("MapInArrow", "mapInPandas")
+
+
+def test_a_report_makes_its_blocks_once(spark):
+    px = spark.range(40 * 30).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 30).cast("int").alias("y"), (F.col("id") % 30).cast("int").alias("x"), (F.col("id") * 7 % 251).alias("g"), (F.col("id") * 5 % 241).alias("h"))
+    plan = reports.report(blocks.to_blocks(px, ("g", "h"), 16), 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "FlatMapGroupsInPandas" not in plan  # a written stage is read; no step holds a group, or a batch of it, as a frame
