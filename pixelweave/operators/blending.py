@@ -154,16 +154,18 @@ def relaxed(u: np.ndarray, rhs: np.ndarray, free: np.ndarray, tolerance: float)
     return u
 
 
-def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e-4, overlap: int | None = None, rounds: int = 200, block: int = BLOCK) -> tuple[DataFrame, int]:
+def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e-4, overlap: int | None = None, rounds: int = 200, block: int = BLOCK, side: int | None = None) -> tuple[DataFrame, int]:
     """Blocks of the target (plane 0) with the source (plane 1) cloned in where the mask (plane 2) is not 0, and the rounds it took.
 
     The three planes are of one size: a source is put at its place by ``on_canvas`` before. Inside the mask the result has the source's
     gradients (mode "normal") or each time the steeper ones ("mixed"), and at the mask's edge the target's values. Masked places on
-    the image's border, or beside places without a pixel, keep the target. Blocks solve for themselves with ``overlap`` pixels of their neighbours around (a half
-    block), take over the neighbours' new values and solve again, a written stage a round, until no value moves by more than
-    ``tolerance``. Values are cut to 0..255; an image with an empty mask stays as it is; an empty table gives no rows.
+    the image's border, or beside places without a pixel, keep the target. Smaller blocks are put together to squares of ``side`` (``BLOCK``, or the
+    blocks' own side where that is more). These solve for themselves with ``overlap`` pixels of their neighbours around (a half square), take over the neighbours' new
+    values and solve again, a written stage a round, until no value moves by more than ``tolerance``; an image of one square is solved in
+    the first. Values are cut to 0..255; an image with an empty mask stays as it is; an empty table gives no rows.
     """
-    r = overlap or max(2, block // 2)
+    side = side or max(block, BLOCK)
+    r = overlap or max(2, side // 2)
 
     def start(areas, image_id, y, x, h, w):
         t, s = (areas[k].around(y, x, h, w, 1) for k in (0, 1))
@@ -172,7 +174,7 @@ def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e
         seen = areas[0].around(y, x, h, w, 1, "seen")
         inner = inner & seen[1:-1, 1:-1] & seen[:-2, 1:-1] & seen[2:, 1:-1] & seen[1:-1, :-2] & seen[1:-1, 2:]
         free = (areas[2].around(y, x, h, w, 0) != 0) & inner
-        return B.block_rows(image_id, {0: areas[0].kept(t[1:-1, 1:-1], y, x), 1: _slopes(s, t, mode), 2: free.astype(float), 3: np.full((h, w), np.inf)}, y, x, block)
+        return B.block_rows(image_id, {0: areas[0].kept(t[1:-1, 1:-1], y, x), 1: _slopes(s, t, mode), 2: free.astype(float), 3: np.full((h, w), np.inf)}, y, x, side)
 
     def solve(areas, image_id, y, x, h, w):
         a = areas[0]
@@ -181,22 +183,31 @@ def poisson_clone(images: DataFrame, mode: str = "normal", tolerance: float = 1e
         free = free != 0
         free[0] = free[-1] = free[:, 0] = free[:, -1] = False  # what surrounds the region is given
         own = np.s_[y - y0 : y - y0 + h, x - x0 : x - x0 + w]
-        new = relaxed(u, rhs, free, tolerance / 100) if free.any() else u
-        moved = np.full((h, w), np.abs(new[own] - u[own]).max(initial=0))
+        new = u
+        if free.any():
+            ys, xs = (np.flatnonzero(free.any(k)) for k in (1, 0))
+            box = np.s_[ys[0] - 1 : ys[-1] + 2, xs[0] - 1 : xs[-1] + 2]  # what is solved, and what surrounds it
+            new = u.copy()
+            new[box] = relaxed(u[box], rhs[box], free[box], tolerance / 100)
+        alone = u.shape == (a.height, a.width)  # all of the image, so no neighbour will bring other values
+        moved = np.full((h, w), 0 if alone else np.abs(new[own] - u[own]).max(initial=0))
         assert u.shape == (y1 - y0, x1 - x0)
-        return B.block_rows(image_id, {0: a.kept(new[own], y, x), 1: rhs[own], 2: areas[2].values[own], 3: moved}, y, x, block)
+        return B.block_rows(image_id, {0: a.kept(new[own], y, x), 1: rhs[own], 2: areas[2].values[own], 3: moved}, y, x, side)
 
     def most(batches):
         for pdf in batches:
             yield pd.DataFrame({"moved": [np.frombuffer(d).max(initial=0) for d in pdf["data"]]})
 
-    now, done = staged(B.gather(images, start, BLOCKS, B.halo(1), block=block), "clone"), 0
+    def cut(areas, image_id, y, x, h, w):
+        return B.block_rows(image_id, {0: areas[0].kept(np.clip(areas[0].around(y, x, h, w, 0), 0, 255), y, x)}, y, x, block)
+
+    now, done = staged(B.gather(images, start, BLOCKS, B.halo(1), block=side, source_block=block), "clone"), 0
     while done < rounds:
-        now, done = staged(B.gather(now.where("plane < 3"), solve, BLOCKS, B.halo(r), block=block), "clone"), done + 1
+        now, done = staged(B.gather(now.where("plane < 3"), solve, BLOCKS, B.halo(r), block=side), "clone"), done + 1
         moved = now.where("plane = 3").mapInPandas(most, "moved double").agg(F.max("moved")).first()[0]
         if moved is None or moved <= tolerance:
             break
-    return B.mapped(now.where("plane = 0"), lambda a, y, x, h, w: a.kept(np.clip(a.around(y, x, h, w, 0), 0, 255), y, x), B.halo(0), block=block), done
+    return B.gather(now.where("plane = 0"), cut, BLOCKS, B.halo(0), block=block, source_block=side), done
 
 
 def mask_blend(images: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweave.operators import blocks, quality, reports
+from pixelweave.operators import blending, blocks, quality, reports
 from pixelweave.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,24 @@ def test_a_report_makes_its_blocks_once(spark):
     px = spark.range(40 * 30).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 30).cast("int").alias("y"), (F.col("id") % 30).cast("int").alias("x"), (F.col("id") * 7 % 251).alias("g"), (F.col("id") * 5 % 241).alias("h"))
     plan = reports.report(blocks.to_blocks(px, ("g", "h"), 16), 16)._jdf.queryExecution().optimizedPlan().toString()
     assert "Range" not in plan and "FlatMapGroupsInPandas" not in plan  # a written stage is read; no step holds a group, or a batch of it, as a frame
+
+
+def test_small_images_are_cloned_and_repaired_in_one_pass(spark, monkeypatch):
+    """And as larger ones are, in many squares and by rounds."""
+    px = spark.range(40 * 52).select(F.lit("a").alias("image_id"), F.floor(F.col("id") / 52).cast("int").alias("y"), (F.col("id") % 52).cast("int").alias("x"), (F.col("id") * 7 % 251).alias("t"), (F.col("id") * 5 % 241).alias("s"))
+    px = px.withColumn("m", ((F.col("y") > 3) & (F.col("y") < 33) & (F.col("x") > 2) & (F.col("x") < 47)).cast("int")).where("not (y = 20 and x between 20 and 22)")
+    made = blocks.to_blocks(px, ("t", "s", "m"), 16)
+    values = lambda df: df.orderBy("plane", "by", "bx").toPandas()
+    whole, rounds = blending.poisson_clone(made, "mixed", 1e-5, block=16)
+    assert rounds == 1
+    parts, rounds = blending.poisson_clone(made, "mixed", 1e-5, block=16, side=32)
+    assert rounds > 1
+    for a, b in zip(values(whole).itertuples(), values(parts).itertuples(), strict=True):
+        assert (a.by, a.bx, a.h, a.w, a.height, a.width) == (b.by, b.bx, b.h, b.w, b.height, b.width)
+        np.testing.assert_allclose(np.frombuffer(a.data), np.frombuffer(b.data), atol=1e-3)
+    seams = spark.range(30).selectExpr("'a' as image_id", "id as place", "cast(id * 11 % 50 as int) as x", "cast(id * 7 % 38 as int) as y", "cast(3 + id % 5 as int) as width", "4 as height", "'increase_blend_width' as fix")
+    rounds = []
+    monkeypatch.setattr(blending, "conflicts", lambda *at, made=blending.conflicts: rounds.append(1) or made(*at))
+    once = values(blending.repaired(made, seams, 16))
+    assert not rounds
+    assert values(blending.repaired(made, seams, 16, at_once=0)).equals(once) and rounds
