@@ -5,6 +5,9 @@ Tiles are images of their own (see ``blocks``); places are (image_id, canvas, ti
 
 from __future__ import annotations
 
+from collections import namedtuple
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -265,20 +268,78 @@ def refined(roi: np.ndarray, patch: np.ndarray, inner: tuple[int, int, int, int]
     return np.clip(relaxed(roi, rhs, free, tolerance), 0, 255)
 
 
-def repaired(image: DataFrame, seams: DataFrame, block: int = BLOCK, whole: bool = True) -> DataFrame:
+def _mended(roi: np.ndarray, r, tall: int, wide: int, whole: bool) -> np.ndarray:
+    """A box after the repair ``r`` (its fix, patch and places) of a seam of ``tall`` x ``wide``; places without a pixel count as 0 and stay without."""
+    missing = np.isnan(roi)
+    roi = np.where(missing, 0.0, roi)
+    if r.fix == "increase_blend_width":
+        roi = blurred(roi)
+    elif r.fix == "poisson_refinement" and r.patch is not None:
+        at = (max(0, r.y - r.y0), max(0, r.x - r.x0), max(0, r.y + tall - r.y0), max(0, r.x + wide - r.x0))
+        roi = refined(roi, np.frombuffer(r.patch).reshape(roi.shape), at)
+    return np.where(missing, np.nan, np.floor(roi + 0.5) if whole else roi)
+
+
+#: Pixels of an image, at most, that one task repairs.
+AT_ONCE = 1 << 20
+Step = namedtuple("Step", ["image_id", "later", "place", "by", "bx", "h", "w", "height", "width", "data", *_BOX, "y", "x", "tall", "wide", "fix", "patch"])
+
+
+def _by_image(image: DataFrame, found: DataFrame, whole: bool, block: int) -> DataFrame:
+    """``repaired`` of images that a task can hold, ``found`` being their boxes: an image's blocks come first, then its boxes in order, one at a time."""
+    pixels = image.select("image_id", F.lit(False).alias("later"), "by", "bx", "h", "w", "height", "width", "data")
+    steps = found.select("image_id", F.lit(True).alias("later"), "place", *_BOX, *[F.col(a).cast("int").alias(b) for a, b in (("y", "y"), ("x", "x"), ("height", "tall"), ("width", "wide"))], "fix", "patch")
+    rows = pixels.unionByName(steps, allowMissingColumns=True).select(*Step._fields)
+    kinds = B.arrow_schema(BLOCKS)
+
+    def run(batches):
+        made, size = [], 0
+        for image_id, own in groupby(map(Step._make, B.rows_of(batches)), lambda s: s.image_id):
+            data, places = None, []
+            for s in own:
+                if s.later:
+                    box = np.s_[s.y0 : s.y1, s.x0 : s.x1]
+                    data[box] = _mended(data[box], s, s.tall, s.wide, whole)
+                else:
+                    data = np.full((s.height, s.width), np.nan) if data is None else data
+                    data[s.by * block : s.by * block + s.h, s.bx * block : s.bx * block + s.w] = np.frombuffer(s.data).reshape(s.h, s.w)
+                    places.append((s.by, s.bx, s.h, s.w))
+            for by, bx, h, w in places:
+                part = np.ascontiguousarray(data[by * block : by * block + h, bx * block : bx * block + w]).tobytes()
+                made.append((image_id, 0, by, bx, h, w, *data.shape, part))
+                size += len(part)
+            if size > B.AT_ONCE:
+                yield B.batch(made, kinds)
+                made, size = [], 0
+        yield B.batch(made, kinds)
+        B.release()
+
+    return rows.repartition("image_id").sortWithinPartitions("image_id", "later", "place").mapInArrow(run, BLOCKS)
+
+
+def repaired(image: DataFrame, seams: DataFrame, block: int = BLOCK, whole: bool = True, at_once: int = AT_ONCE) -> DataFrame:
     """Blocks of plane 0 after the repair of ``seams``, one after the other in order of ``place`` (unique in an image).
 
     ``seams``: image_id, place, x, y, width, height, fix and, for "poisson_refinement", patch (binary, float64 values of the box's size; null
-    leaves the box as it is). "increase_blend_width" smooths the box. A box reads what earlier ones left, so of boxes that share
-    pixels the later waits; all that wait for nothing are repaired at once, and there are as many rounds as the longest
-    chain of waiting boxes. A round touches only blocks with boxes; the others are carried along. ``whole``: values are
+    leaves the box as it is). "increase_blend_width" smooths the box. A box reads what earlier ones left. An image of at most ``at_once`` pixels
+    is repaired by one task, whose boxes come to it in order. In larger ones, of boxes that share pixels the later waits; all that wait
+    for nothing are repaired at once, and there are as many rounds as the longest chain of waiting boxes. A round touches only
+    blocks with boxes; the others are carried along. ``whole``: values are
     rounded after each repair. Seams outside their image, and seams of other fixes, change nothing; without seams the image stays.
     """
     patch = F.col("patch") if "patch" in seams.columns else F.lit(None).cast("binary")
     seams = seams.withColumn("patch", patch)
-    todo = staged(boxes(seams, B.sizes(image)), "boxes")
+    image = staged(image.where("plane = 0"), "image")
+    found = staged(boxes(seams, B.sizes(image)), "boxes")
+    fits = lambda h, w: F.col(h).cast("long") * F.col(w) <= at_once
+    small = _by_image(image.where(fits("height", "width")), found.where(fits("image_h", "image_w")), whole, block)
+    now, todo = image.where(~fits("height", "width")), found.where(~fits("image_h", "image_w"))
+    return small.unionByName(_by_rounds(now, todo, block, whole)) if not now.isEmpty() else small
+
+
+def _by_rounds(now: DataFrame, todo: DataFrame, block: int, whole: bool) -> DataFrame:
+    """``repaired`` of images of any size, ``todo`` being their boxes."""
     waits = staged(conflicts(todo, block), "waits")
-    now = image.where("plane = 0")
     names = ["image_id", "place", *_BOX]
     inner = ["y", "x", "height", "width", "fix", "patch"]
     kinds = "image_id string, place long, y0 int, x0 int, y1 int, x1 int, y int, x int, height int, width int, fix string, patch binary, py int, px int, ph int, pw int, part binary"
@@ -298,14 +359,7 @@ def repaired(image: DataFrame, seams: DataFrame, block: int = BLOCK, whole: bool
         roi = np.zeros((r.y1 - r.y0, r.x1 - r.x0))
         for p in pdf.itertuples(index=False):
             roi[p.py - r.y0 : p.py - r.y0 + p.ph, p.px - r.x0 : p.px - r.x0 + p.pw] = np.frombuffer(p.part).reshape(p.ph, p.pw)
-        missing = np.isnan(roi)
-        roi = np.where(missing, 0.0, roi)
-        if r.fix == "increase_blend_width":
-            roi = blurred(roi)
-        elif r.fix == "poisson_refinement" and r.patch is not None:
-            at = (max(0, r.y - r.y0), max(0, r.x - r.x0), max(0, r.y + r.height - r.y0), max(0, r.x + r.width - r.x0))
-            roi = refined(roi, np.frombuffer(r.patch).reshape(roi.shape), at)
-        roi = np.where(missing, np.nan, np.floor(roi + 0.5) if whole else roi)
+        roi = _mended(roi, r, r.height, r.width, whole)
         rows = []
         for p in pdf.itertuples(index=False):
             part = roi[p.py - r.y0 : p.py - r.y0 + p.ph, p.px - r.x0 : p.px - r.x0 + p.pw]
