@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -45,11 +46,32 @@ def stage(df: DataFrame, name: str, onto: DataFrame | None = None) -> DataFrame:
     spark = df.sparkSession
     at = onto.staged_at if onto is not None else new_folder(spark, name)
     df.write.mode("append").option("compression", "zstd").parquet(at)
+    settle(spark)
     out = spark.read.schema(df.schema).parquet(at)
     out.staged_at = at
     return out
 
 
+#: Seconds from one collection of the driver's garbage to the next, at least.
+SETTLE = 3.0
+_settled = 0.0
+
+
+def settle(spark: SparkSession) -> None:
+    """Has the driver collect its garbage and give free memory back, now and then: after some hundred small plans it else keeps what they took."""
+    global _settled
+    if time.monotonic() - _settled < SETTLE:
+        return
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Exception):  # only some Java versions have this command
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        values = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    _settled = time.monotonic()
+
+
 def unstage(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again."""
     for table in tables:

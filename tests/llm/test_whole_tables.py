@@ -146,3 +146,11 @@ def test_fingerprints(spark):
         df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
         alone = {r.doc_id: r.f for r in with_signatures(df, "text", "sigs").select("doc_id", to_text(F.col("sigs")).alias("f")).collect()}
         assert all(alone[d] == got[d][column] for d in texts)
+
+
+def test_stages_let_the_driver_give_memory_back(spark, monkeypatch):
+    from pixelweave.llm import common
+
+    monkeypatch.setattr(common, "_settled", -1e9)
+    common.stage(spark.range(3), "small")
+    assert common._settled > 0
