@@ -1,9 +1,10 @@
 """Byte-level BPE by Spark's own functions: texts to token ids by a rank file, and ids back to bytes.
 
 A text's words are the matches of a pattern. A word's ids are a fold of merges over its array of bytes: each step joins the leftmost
-of the adjacent pairs whose union has the lowest rank, until no union has one. Ranks come from a map that is a literal of the
-plan: pairs of ids in one array, read by place. Distinct words are folded as a table: the commonest ones, of bounded number
-and length, whose ids become a literal too. All other words are folded where they stand, so no text is shuffled.
+of the adjacent pairs whose union has the lowest rank, until no union has one. Ranks come from pairs of ids in one array, read by
+place. Distinct words are folded as a table: the commonest ones, of bounded number and length. This memo and the arrays are
+written tables of one row each, which the encoding reads as scalar subqueries. All other words are folded where they stand, so no
+text is shuffled. A text's ids are a string with a sign for each, the character of that code point.
 
 Long words are cut at pairs of bytes that no token holds, which no merge can cross; in what remains longer, a step makes all
 merges of the lowest rank up to the first that brings a still lower one, which are the same merges in the same order.
@@ -17,11 +18,14 @@ import functools
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the literal, at most, and the longest of them in characters: together they bound what is collected and sent.
-MEMO, MEMO_CHARS = 1 << 16, 32
+from pixelweave.llm.common import stage, unstage
+
+#: Words of the memo, at most, and the longest of them in characters: together they bound what is sent to every task.
+MEMO, MEMO_CHARS = 1 << 19, 32
 #: Texts that these words are counted in, about.
 MEMO_ROWS = 20_000
 #: Bytes from which on a word is cut and merged by rounds.
@@ -30,18 +34,36 @@ LONG = 64
 _SLOTS, _GROUPS = 1 << 18, 1 << 16
 _BITS = 20  # of a rank
 _NONE = 1 << _BITS
+#: The tables that the fold reads.
+_FOLD = ("entries", "shift", "first", "bytes", "crossed", "signs")
+#: Code points from which on signs leave out the surrogates.
+_SURROGATES = 0xD800
+#: Of the memo's strings: before and after a word, and after its signs. No sign is one of them; a word that has one is not looked up.
+_WORD, _END = "\U0010fffe", "\U0010ffff"
 
 
 def let(value: Column, body) -> Column:
-    """``body`` of a value that is reckoned once however often it is used."""
-    return F.transform(F.array(value), body)[0]
+    """``body`` of a value that is reckoned once however often it is used: the end of a fold of no steps, which asks for no types on the way."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
+
+
+def sign(i: int) -> str:
+    return chr(i if i < _SURROGATES else i + 0x800)
+
+
+def fields_of(t: Column, names: tuple[str, ...], body, *got: Column) -> Column:
+    """``body`` of a struct's fields by name, each taken out once: taking a field costs as much as a step of arithmetic."""
+    if len(got) == len(names):
+        return body(dict(zip(names, got, strict=True)))
+    return let(t[names[len(got)]], lambda v: fields_of(t, names, body, *got, v))
 
 
 class Ranks:
-    """A rank file: ``pieces`` by id, and the tables that the expressions read, as text of the plan's literal.
+    """A rank file: ``pieces`` by id, and the tables that the expressions read, as a row.
 
     The union of two ids a, b stands in ``entries`` at the pair's base + the shift of its group, as a, b and the rank: shifts
-    are such that no two pairs meet. An id more than the file has, ``edge``, is in no pair.
+    are such that no two pairs meet. An id more than the file has, ``edge``, is in no pair. ``first`` has the fold's first
+    elements by two neighbouring bytes, of which the second may be none (256).
     """
 
     def __init__(self, path: str):
@@ -62,7 +84,8 @@ class Ranks:
                     pairs.append((a, b))
                     ranks.append(rank)
         a, b = np.array(pairs, np.int64).T
-        keys = (a * _SLOTS + b << _BITS) + np.array(ranks, np.int64)
+        ranks = np.array(ranks, np.int64)
+        keys = (a * _SLOTS + b << _BITS) + ranks
         for k in range(64):  # until group and base tell all pairs apart
             self.spread = x, y, z = 1399 + 2 * k, 1133 + 6 * k, 2969 + 10 * k
             group, base = a * x + b & _GROUPS - 1, a * y + b * z & _SLOTS - 1
@@ -84,18 +107,23 @@ class Ranks:
                 raise ValueError("no table of pairs was found")
             shift[g] = d & _SLOTS - 1
             entries[at + d & _SLOTS - 1] = keys[own]
-        self.tables = json.dumps({
-            "entries": entries.tolist(), "shift": shift.tolist(), "bytes": [self.ranks[bytes([b])] for b in range(256)],
-            "crossed": crossed.tolist(), "pieces": [p.hex() for p in self.pieces], "ids": [n.to_bytes(4, "little").hex() for n in range(self.edge)],
+        ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
+        byte = np.full(self.edge, -1, np.int64)
+        byte[ids] = np.arange(256)
+        bytes_only = (byte[a] >= 0) & (byte[b] >= 0)
+        first = np.full((256, 257), _NONE, np.int64)
+        first[byte[a[bytes_only]], byte[b[bytes_only]]] = ranks[bytes_only]
+        first = (first * _SLOTS + ids[:, None]).ravel()
+        self.tables = pa.table({
+            "entries": pa.array([entries]), "shift": pa.array([shift.astype(np.int32)]), "first": pa.array([first]),
+            "bytes": pa.array([ids.astype(np.int32)]), "crossed": pa.array([crossed.astype(np.int32)]), "signs": pa.array([[sign(i) for i in range(self.edge)]]),
+            "pieces": pa.array([[p.decode("latin-1") for p in self.pieces]]), "ids": pa.array([[n.to_bytes(4, "little").hex() for n in range(self.edge)]]),
         })
 
-    #: The literal's type.
-    KIND = "struct<entries:array<bigint>,shift:array<int>,bytes:array<int>,crossed:array<int>,pieces:array<string>,ids:array<string>>"
-
     def literal(self, *fields: str) -> Column:
         """The tables as a column without inputs, which the optimizer turns into one literal; only the fields named."""
-        kind = ",".join(x for x in self.KIND[7:-1].split(",") if x.split(":")[0] in fields)
-        return F.from_json(F.lit(json.dumps({k: v for k, v in json.loads(self.tables).items() if k in fields})), f"struct<{kind}>")
+        kind = ",".join(f"{k}:array<{'string' if pa.types.is_string(t.value_type) else 'bigint' if t.value_type == pa.int64() else 'int'}>" for k in fields for t in [self.tables.schema.field(k).type])
+        return F.from_json(F.lit(json.dumps(self.tables.select(fields).to_pylist()[0])), f"struct<{kind}>")
 
 
 @functools.lru_cache(2)
@@ -105,7 +133,7 @@ def ranks_of(path: str) -> Ranks:
 
 # Expressions; ``t`` is the literal's tables.
 
-def _pair_rank(t: Column, spread: tuple[int, int, int]):
+def _pair_rank(t: dict[str, Column], spread: tuple[int, int, int]):
     def rank(a: Column, b: Column) -> Column:
         """The rank of two neighbours' union; ``_NONE`` and more where there is none, null where a neighbour is missing."""
         shift = F.get(t["shift"], (a * spread[0] + b).bitwiseAND(_GROUPS - 1))
@@ -126,20 +154,34 @@ def _steps(ids: Column, rank, step) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 3, F.lit(1))), _ranked(ids, rank), step)["ids"]
 
 
-def _merges(ids: Column, rank) -> Column:
-    """One merge a step; ``ids`` stand between two edges, so a merge has neighbours."""
+def _merges(t: dict[str, Column], spread: tuple[int, int, int], edge: int, v: Column) -> Column:
+    """The ids of bytes ``v``, one merge a step.
+
+    An element of the fold is an id with, above its bits, the rank of the union with the next one, or ``_NONE``. So the least
+    element is a merge to make, and the leftmost of its equals the one: unions of one rank are of the same two ids. It stands
+    between two edges, so a merge has neighbours.
+    """
+    rank = _pair_rank(t, spread)
+    end = F.array(F.lit(_NONE * _SLOTS + edge))
+    element = lambda a, b: F.least(rank(a, b), F.lit(_NONE)) * _SLOTS + a
+    own = lambda x: x.bitwiseAND(_SLOTS - 1).cast("int")
+    start = F.concat(end, F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), lambda x, y: F.get(t["first"], x * 257 + F.coalesce(y, F.lit(256)))), end)
 
     def step(s: Column, _: Column) -> Column:
-        def at(p: Column) -> Column:  # counts from 1
-            low, n = F.get(s["ks"], p - 1).cast("int"), F.size(s["ids"])
-            ids = F.concat(F.slice(s["ids"], F.lit(1), p - 1), F.array(low), F.slice(s["ids"], p + 2, n))
-            sides = F.array(rank(F.get(s["ids"], p - 2), low), rank(low, F.get(s["ids"], p + 1)))
-            ks = F.concat(F.slice(s["ks"], F.lit(1), p - 2), sides, F.slice(s["ks"], p + 2, n))
-            return F.when(F.get(s["ks"], p - 1) < _NONE, F.struct(ids.alias("ids"), ks.alias("ks"))).otherwise(s)
+        def merged(low: Column) -> Column:
+            def at(c: Column) -> Column:
+                p, a, m, b = (c[k] for k in "pamb")
+                # As ``concat`` gives, which is slower outside generated code.
+                return F.flatten(F.array(F.slice(s, F.lit(1), p - 2), F.array(element(a, m), element(m, b)), F.slice(s, p + 2, F.size(s))))
 
-        return let(F.array_position(s["ks"], F.array_min(s["ks"])).cast("int"), at)
+            place = F.array_position(s, low).cast("int")  # counts from 1
+            around = lambda p: F.struct(p.alias("p"), own(F.get(s, p - 2)).alias("a"), F.shiftright(low, 18).cast("int").alias("m"), own(F.get(s, p + 1)).alias("b"))
+            return let(let(place, around), at)
 
-    return _steps(ids, rank, step)
+        return let(F.array_min(s), lambda low: F.when(low < _NONE * _SLOTS, merged(low)).otherwise(s))
+
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), start, step)
+    return let(folded, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), own))
 
 
 def _rounds(ids: Column, rank) -> Column:
@@ -171,10 +213,11 @@ def _rounds(ids: Column, rank) -> Column:
     return _steps(ids, rank, step)
 
 
-def _folded(t: Column, ranks: Ranks, word: Column) -> Column:
-    """A word's ids by merging."""
+def _folded(t: dict[str, Column], ranks: Ranks, word: Column) -> Column:
+    """The signs of a word's ids, by merging."""
     rank, end = _pair_rank(t, ranks.spread), F.array(F.lit(ranks.edge))
     chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte
+    merges = lambda v: _merges(t, ranks.spread, ranks.edge, v)
     between = lambda ids: F.concat(end, ids, end)
     inside = lambda ids: F.filter(ids, lambda x: x != ranks.edge)
 
@@ -182,11 +225,11 @@ def _folded(t: Column, ranks: Ranks, word: Column) -> Column:
         n = F.size(v)
         cuts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(t["crossed"], F.get(v, i - 1) * 256 + F.get(v, i)) == 0)
         parts = let(cuts, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), F.concat(c, F.array(n)), lambda a, b: F.slice(v, a + 1, b - a)))
-        ids = lambda p: between(F.transform(p, lambda b: F.get(t["bytes"], b)))
-        return F.flatten(F.transform(parts, lambda p: let(ids(p), lambda x: inside(F.when(F.size(x) <= LONG, _merges(x, rank)).otherwise(_rounds(x, rank))))))
+        rounds = lambda p: inside(_rounds(between(F.transform(p, lambda b: F.get(t["bytes"], b))), rank))
+        return F.flatten(F.transform(parts, lambda p: F.when(F.size(p) + 2 <= LONG, merges(p)).otherwise(rounds(p))))
 
-    short = let(between(F.transform(chars, lambda c: F.get(t["bytes"], F.ascii(c)))), lambda x: inside(_merges(x, rank)))
-    return F.when(F.octet_length(word) <= LONG, short).otherwise(let(F.transform(chars, F.ascii), cut))
+    ids = let(F.transform(chars, F.ascii), lambda v: F.when(F.octet_length(word) <= LONG, merges(v)).otherwise(cut(v)))
+    return F.array_join(F.transform(ids, lambda x: F.get(t["signs"], x)), "")
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -194,35 +237,52 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
 
 
+def _odd(text: Column) -> Column:
+    """Whether a text has one of the memo's own signs."""
+    return F.contains(text, F.lit(_WORD)) | F.contains(text, F.lit(_END))
+
+
 class ByteBpe:
-    """Encoding and decoding by one rank file and pattern; ``memo`` holds the ids of some words, whichever they are."""
+    """Encoding and decoding by one rank file and pattern; ``memo`` holds the signs of some words, whichever they are."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         self.spark, self.ranks, self.pattern = spark, ranks_of(path), pattern
+        self.tables = stage(spark.createDataFrame(self.ranks.tables), "byte-bpe-tables")
         if self.ranks.unmade is None:
             self.ranks.unmade = self._unmade()
-        self._remember(self.ranks.unmade)
+        self._remember(None, 0)
 
-    def _unmade(self) -> dict[str, list[int]]:
+    def _unmade(self) -> dict[str, str]:
         """Words that are pieces have their own id, also those, if any, that merging would not make of their bytes."""
         pieces = []
-        for piece in self.ranks.ranks:
+        for piece, rank in self.ranks.ranks.items():
             with contextlib.suppress(UnicodeDecodeError):
-                pieces.append((piece.decode(),))
-        found = self._encoded(self.spark.createDataFrame(pieces, "word string")).where("size(ids) > 1").collect()
-        return {r.word: [self.ranks.ranks[r.word.encode()]] for r in found}
+                pieces.append((piece.decode(), sign(rank)))
+        words = self.spark.createDataFrame(pieces, "word string, own string")
+        found = self._encoded(words).where("signs <> own").collect()
+        if any(_WORD in r.word or _END in r.word for r in found):
+            raise ValueError("a piece with the memo's own signs")
+        return {r.word: r.own for r in found}
 
     def _encoded(self, words: DataFrame) -> DataFrame:
         words = words.repartition(self.spark.sparkContext.defaultParallelism)
-        return words.select("word", let(self._tables(), lambda t: _folded(t, self.ranks, F.col("word"))).alias("ids"))
-
-    def _remember(self, words: dict[str, list[int]]) -> None:
-        self._slots = 1 << len(words).bit_length()
-        at = self.spark.createDataFrame([(w,) for w in words], "word string").select("word", F.pmod(F.xxhash64("word"), F.lit(self._slots)).alias("slot"))
-        table: list[dict[str, list[int]] | None] = [None] * self._slots
-        for r in at.collect():
-            table[r.slot] = (table[r.slot] or {}) | {r.word: words[r.word]}
-        self.memo = json.dumps(table)
+        own = words.columns
+        return self.with_tables(words, *_FOLD).select(*own, let(F.col("t"), lambda t: fields_of(t, _FOLD, lambda t: _folded(t, self.ranks, F.col("word")))).alias("signs"))
+
+    def _slot(self, word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(self._slots)).cast("int")
+
+    def _remember(self, words: DataFrame | None, n: int) -> None:
+        """Words with their signs become strings, by slot; of equal words the last counts."""
+        own = self.spark.createDataFrame([(*r, 1) for r in self.ranks.unmade.items()], "word string, signs string, last int")
+        words = own if words is None else words.select("word", "signs", F.lit(0).alias("last")).union(own)
+        self._slots = 1 << ((n + len(self.ranks.unmade)) // 4).bit_length()
+        entry = F.concat(F.lit(_WORD), "word", F.lit(_WORD), "signs", F.lit(_END))
+        slots = words.groupBy(self._slot(F.col("word")).alias("slot")).agg(F.sort_array(F.collect_list(F.struct("last", entry.alias("entry")))).alias("own"))
+        slots = slots.select("slot", F.concat(F.lit(_END), F.array_join("own.entry", "")).alias("entries"))
+        every = self.spark.range(self._slots).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
+        row = every.agg(F.sort_array(F.collect_list(F.struct("slot", F.coalesce("entries", F.lit(_END)).alias("entries")))).alias("all"))
+        self.memo = stage(row.select(F.col("all.entries").alias("memo")), "byte-bpe-memo")
 
     def learn(self, texts: DataFrame, column: str = "text", rows: int = MEMO_ROWS) -> None:
         """The commonest words of about ``rows`` texts, chosen by hash, become the memo: distinct words, encoded as a table, ``MEMO`` at most.
@@ -231,33 +291,67 @@ class ByteBpe:
         """
         total = texts.count()
         some = texts.where(F.pmod(F.xxhash64(column), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, rows / max(total, 1))) + 1))
-        words = some.select(F.explode(words_of(F.col(column), self.pattern)).alias("word")).where(F.length("word") <= MEMO_CHARS)
-        common = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(MEMO).select("word")
-        self._remember({r.word: r.ids for r in self._encoded(common).collect()} | self.ranks.unmade)
+        words = some.select(F.explode(words_of(F.col(column), self.pattern)).alias("word")).where((F.length("word") <= MEMO_CHARS) & ~_odd(F.col("word")))
+        counts = stage(words.groupBy("word").agg(F.least(F.count("*"), F.lit(1000)).cast("int").alias("n")), "byte-bpe-words")
+        least, taken = 1001, 0
+        for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
+            if taken + r.words > MEMO:
+                break
+            least, taken = r.n, taken + r.words
+        before = self.memo
+        self._remember(self._encoded(counts.where(F.col("n") >= least).select("word")), taken)
+        unstage(counts, before)
 
-    def _tables(self) -> Column:
-        return self.ranks.literal("entries", "shift", "bytes", "crossed")
+    def with_tables(self, df: DataFrame, *fields: str) -> DataFrame:
+        """``df`` and the tables' fields named, as column ``t``. Who reads it reads it once, so the optimizer puts the subquery there and no row holds it."""
+        return df.select("*", self.tables.select(F.struct(*fields)).scalar().alias("t"))
 
-    def ids(self, text: Column) -> Column:
-        """A text's ids, an array of int; a null text is empty."""
-        literal = F.struct(self._tables().alias("t"), F.from_json(F.lit(self.memo), "array<map<string,array<int>>>").alias("memo"))
+    def _of_text(self, t: Column, memo: Column, text: Column) -> Column:
+        values = F.struct(t.alias("t"), memo.alias("memo"), words_of(text, self.pattern).alias("words"), F.coalesce(_odd(text), F.lit(False)).alias("odd"))
 
-        def word_ids(c: Column):
-            def one(w: Column) -> Column:
-                known = F.get(c["memo"], F.pmod(F.xxhash64(w), F.lit(self._slots)).cast("int"))[w]
-                return F.coalesce(known, _folded(c["t"], self.ranks, w))
+        def of_text(c: dict[str, Column]) -> Column:
+            def known(w: Column) -> Column:  # empty: not there
+                after = F.call_function("substring_index", F.get(c["memo"], self._slot(w)), F.concat(F.lit(_WORD), w, F.lit(_WORD)), F.lit(-1))
+                return F.when(~(c["odd"] & _odd(w)), F.substring_index(after, _END, 1)).otherwise("")
 
-            return F.flatten(F.transform(words_of(text, self.pattern), one))
+            one = lambda w, k: F.when(k != "", k).otherwise(_folded(c, self.ranks, w))
+            return F.array_join(F.zip_with(c["words"], F.transform(c["words"], known), one), "")
 
-        return let(literal, word_ids)
+        return let(values, lambda v: fields_of(v, ("memo", "words", "odd"), lambda c: fields_of(v["t"], _FOLD, lambda t: of_text(c | t))))
+
+    def with_signs(self, docs: DataFrame, column: str = "text") -> DataFrame:
+        """``docs`` with ``signs`` for ``column``: the ids of its text, a sign for each; a null text is empty."""
+        own = docs.columns
+        both = self.with_tables(docs, *_FOLD).select("*", self.memo.select("memo").scalar().alias("memo"))
+        signs = both.select(*own, self._of_text(F.col("t"), F.col("memo"), F.col(column)).alias("signs"))
+        # A generated column is reckoned once, though others are made of it; for an array made on the spot no filter is inferred.
+        return signs.select(*own, F.explode(F.array("signs")).alias("signs"))
+
+    def of_signs(self, signs: Column) -> Column:
+        """The ids of signs, an array of int."""
+        point = lambda c: let(F.ascii(c), lambda x: F.when(x < _SURROGATES, x).otherwise(x - 0x800)) if self.ranks.edge > _SURROGATES else F.ascii(c)
+        return F.transform(F.when(signs == "", F.array().cast("array<string>")).otherwise(F.split(signs, "")), point)
+
+    def ids(self, text: Column) -> Column:
+        """A text's ids, an array of int; a null text is empty. For single columns: tables and memo are literals here."""
+        memo = F.from_json(F.lit(json.dumps(self.memo.first().memo)), "array<string>")
+        return let(self._of_text(self.ranks.literal(*_FOLD), memo, text), self.of_signs)
 
     def little_endian(self, ids: Column) -> Column:
         """Ids as unsigned 32-bit integers in a row."""
         return let(self.ranks.literal("ids"), lambda t: F.unhex(F.array_join(F.transform(ids, lambda x: F.get(t["ids"], x)), "")))
 
-    def decoded(self, ids: Column) -> Column:
+    def signs_little_endian(self, signs: Column) -> Column:
+        """The same of signs: where no id is beyond the surrogates, two bytes of each are the sign's in UTF-16, two are zeros."""
+        if self.ranks.edge > _SURROGATES:
+            return self.little_endian(self.of_signs(signs))
+        spaced = F.concat(F.array_join(F.split(signs, ""), "\0"), F.lit("\0"))
+        return F.when(signs == "", F.lit(b"")).otherwise(F.encode(spaced, "UTF-16LE"))
+
+    def decoded(self, ids: Column, t: Column | None = None) -> Column:
         """The bytes of ids: their pieces in a row."""
-        return let(self.ranks.literal("pieces"), lambda t: F.unhex(F.array_join(F.transform(ids, lambda x: F.get(t["pieces"], x)), "")))
+        pieces = lambda t: F.array_join(F.transform(ids, lambda x: F.get(t["pieces"], x)), "")
+        return F.encode(let(self.ranks.literal("pieces") if t is None else t, pieces), "ISO-8859-1")
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -269,9 +363,8 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     docs = docs.select("doc_id", "text")
     bpe = ByteBpe(docs.sparkSession, path, pattern)
     bpe.learn(docs)
-    # A generated column is reckoned once, though three others are made of it.
-    ids = docs.select("doc_id", F.explode(F.array(bpe.ids(F.col("text")))).alias("ids"))
-    return ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded(F.col("ids")), 256).alias("decoded_sha256"),
+    signs = bpe.with_tables(bpe.with_signs(docs).drop("text"), "pieces")
+    return signs.select(
+        "doc_id", F.length("signs").cast("long").alias("n_tokens"), F.sha2(bpe.signs_little_endian(F.col("signs")), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(bpe.of_signs(F.col("signs")), F.col("t")), 256).alias("decoded_sha256"),
     )

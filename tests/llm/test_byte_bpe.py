@@ -69,3 +69,21 @@ def test_report(spark):
     got = encode_and_decode(df, path, PATTERN).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str(value(*r)) for r in rows)
     assert encode_and_decode(df.limit(0), path, PATTERN).count() == 0
+
+
+def test_memo(spark):
+    """More distinct words than 65,536 are all looked up; the memo's own signs in a text change nothing; rows don't hold tables."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f" {a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:4]]
+    df = spark.createDataFrame([("".join(words[k : k + 1000]),) for k in range(0, len(words), 1000)], "text string").repartition(4)
+    bpe, whole = ByteBpe(spark, path, PATTERN), library(path)
+    bpe.learn(df)
+    entries = "".join(bpe.memo.first().memo)
+    assert len(words) == entries.count(byte_bpe._WORD) // 2 > 1 << 16
+    w, e = byte_bpe._WORD, byte_bpe._END
+    odd = spark.createDataFrame([(t,) for t in (f" abca{w} abca{w}", f"{w}{e}", f" abca{e} abcb", f"x{w} abca{w}y", "", None)], "text string")
+    for r in bpe.with_signs(df.union(odd)).collect():
+        assert [ord(s) for s in r.signs] == whole.encode_ordinary(r.text or "")
+    plan = bpe.with_signs(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("scalar-subquery" in x and "aggregate(" not in x for x in plan.split("\n") if "Project" in x)
