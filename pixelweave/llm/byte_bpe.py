@@ -30,12 +30,10 @@ MEMO, MEMO_CHARS = 1 << 19, 32
 MEMO_ROWS = 20_000
 #: Bytes from which on a word is cut and merged by rounds.
 LONG = 64
-#: Of the table of pairs: slots (more than ids), and groups with a shift each.
-_SLOTS, _GROUPS = 1 << 18, 1 << 16
-_BITS = 20  # of a rank
-_NONE = 1 << _BITS
+#: More than ids, so that ids are the lower bits of an element; places of the table of pairs; more than ranks.
+_SLOTS, _PLACES, _NONE = 1 << 18, 1 << 19, 1 << 20
 #: The tables that the fold reads.
-_FOLD = ("entries", "shift", "first", "bytes", "crossed", "signs")
+_FOLD = ("entries", "shift", "sure", "left", "right", "byte", "bytes", "crossed", "signs")
 #: Code points from which on signs leave out the surrogates.
 _SURROGATES = 0xD800
 #: Of the memo's strings: before and after a word, and after its signs. No sign is one of them; a word that has one is not looked up.
@@ -51,6 +49,11 @@ def sign(i: int) -> str:
     return chr(i if i < _SURROGATES else i + 0x800)
 
 
+def own(element: Column) -> Column:
+    """The id of an element of the fold."""
+    return element.bitwiseAND(_SLOTS - 1)
+
+
 def fields_of(t: Column, names: tuple[str, ...], body, *got: Column) -> Column:
     """``body`` of a struct's fields by name, each taken out once: taking a field costs as much as a step of arithmetic."""
     if len(got) == len(names):
@@ -61,9 +64,13 @@ def fields_of(t: Column, names: tuple[str, ...], body, *got: Column) -> Column:
 class Ranks:
     """A rank file: ``pieces`` by id, and the tables that the expressions read, as a row.
 
-    The union of two ids a, b stands in ``entries`` at the pair's base + the shift of its group, as a, b and the rank: shifts
-    are such that no two pairs meet. An id more than the file has, ``edge``, is in no pair. ``first`` has the fold's first
-    elements by two neighbouring bytes, of which the second may be none (256).
+    The union of two ids a, b stands in ``entries`` at the shift of a + b, as its rank and a: shifts are such that no two pairs
+    meet. An id more than the file has, ``edge``, is in no pair.
+
+    By two neighbouring bytes, of which the second may be none (256): ``left`` has the lowest rank of the pieces that end in
+    them, ``right`` of those that begin with them, ``byte`` the first one's id. ``sure`` has their union's rank, unless a union
+    that it is a part of has a lower one. Where it is below the ``left`` of the pair before and the ``right`` of the pair after, no merge takes
+    one of the two bytes before they are merged, and what their union is a part of comes later; so this merge may be made first.
     """
 
     def __init__(self, path: str):
@@ -85,37 +92,37 @@ class Ranks:
                     ranks.append(rank)
         a, b = np.array(pairs, np.int64).T
         ranks = np.array(ranks, np.int64)
-        keys = (a * _SLOTS + b << _BITS) + ranks
-        for k in range(64):  # until group and base tell all pairs apart
-            self.spread = x, y, z = 1399 + 2 * k, 1133 + 6 * k, 2969 + 10 * k
-            group, base = a * x + b & _GROUPS - 1, a * y + b * z & _SLOTS - 1
-            if len(np.unique(group * _SLOTS + base)) == len(a):
-                break
-        order = np.argsort(group, kind="stable")
-        starts = np.searchsorted(group[order], np.arange(_GROUPS + 1))
-        shift, entries, free = np.zeros(_GROUPS, np.int64), np.full(_SLOTS, -1, np.int64), 0
-        for g in np.argsort(starts[:-1] - starts[1:], kind="stable").tolist():  # the fullest groups choose first
-            own = order[starts[g] : starts[g + 1]]
-            if not len(own):
+        order = np.argsort(a, kind="stable")
+        starts = np.searchsorted(a[order], np.arange(self.edge + 1))
+        shift, entries, free = np.zeros(self.edge + 1, np.int64), np.full(_PLACES + _SLOTS, -1, np.int64), self.edge
+        for g in np.argsort(starts[:-1] - starts[1:], kind="stable").tolist():  # the ids with most pairs choose first
+            at = b[order[starts[g] : starts[g + 1]]]
+            if not len(at):
                 break
-            while entries[free] >= 0:
-                free += 1
-            at = base[own]
-            first = free - int(at[0]) if len(own) == 1 else g * 40503  # anywhere: near the last ones little is free
-            d = next((d for d in range(first % _SLOTS, 3 * _SLOTS) if (entries[at + d & _SLOTS - 1] < 0).all()), None)
-            if d is None:
+            if len(at) == 1:
+                while entries[free] >= 0:
+                    free += 1
+                d = free - int(at[0])
+            else:  # from anywhere: near the last ones little is free
+                tries = ((g * 40503 + k) % _PLACES for k in range(_PLACES))
+                d = next((d for d in tries if (entries[at + d] < 0).all()), _PLACES)
+            if d >= _PLACES:
                 raise ValueError("no table of pairs was found")
-            shift[g] = d & _SLOTS - 1
-            entries[at + d & _SLOTS - 1] = keys[own]
+            shift[g] = d
+            entries[at + d] = ranks[order[starts[g] : starts[g + 1]]] * _SLOTS + g
         ids = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
-        byte = np.full(self.edge, -1, np.int64)
-        byte[ids] = np.arange(256)
-        bytes_only = (byte[a] >= 0) & (byte[b] >= 0)
-        first = np.full((256, 257), _NONE, np.int64)
-        first[byte[a[bytes_only]], byte[b[bytes_only]]] = ranks[bytes_only]
-        first = (first * _SLOTS + ids[:, None]).ravel()
+        sure, left, right = (np.full((256, 257), _NONE, np.int32) for _ in range(3))
+        early = np.zeros(self.edge, bool)
+        early[a[ranks < a]] = early[b[ranks < b]] = True
+        for piece, rank in self.ranks.items():
+            if len(piece) > 1:
+                left[piece[-2], piece[-1]] = min(left[piece[-2], piece[-1]], rank)
+                right[piece[0], piece[1]] = min(right[piece[0], piece[1]], rank)
+            if len(piece) == 2 and not early[rank]:
+                sure[piece[0], piece[1]] = rank
         self.tables = pa.table({
-            "entries": pa.array([entries]), "shift": pa.array([shift.astype(np.int32)]), "first": pa.array([first]),
+            "entries": pa.array([entries]), "shift": pa.array([shift.astype(np.int32)]), "sure": pa.array([sure.ravel()]), "left": pa.array([left.ravel()]),
+            "right": pa.array([right.ravel()]), "byte": pa.array([np.repeat(ids, 257).astype(np.int32)]),
             "bytes": pa.array([ids.astype(np.int32)]), "crossed": pa.array([crossed.astype(np.int32)]), "signs": pa.array([[sign(i) for i in range(self.edge)]]),
             "pieces": pa.array([[p.decode("latin-1") for p in self.pieces]]), "ids": pa.array([[n.to_bytes(4, "little").hex() for n in range(self.edge)]]),
         })
@@ -133,15 +140,13 @@ def ranks_of(path: str) -> Ranks:
 
 # Expressions; ``t`` is the literal's tables.
 
-def _pair_rank(t: dict[str, Column], spread: tuple[int, int, int]):
-    def rank(a: Column, b: Column) -> Column:
-        """The rank of two neighbours' union; ``_NONE`` and more where there is none, null where a neighbour is missing."""
-        shift = F.get(t["shift"], (a * spread[0] + b).bitwiseAND(_GROUPS - 1))
-        entry = F.get(t["entries"], (shift + a * spread[1] + b * spread[2]).bitwiseAND(_SLOTS - 1))
-        # Another pair's entry, or none, differs by that much or is below.
-        return (entry - F.shiftleft(a.cast("long") * _SLOTS + b, _BITS)).bitwiseAND((1 << 63) - 1)
+def _pair(t: dict[str, Column]):
+    def element(a: Column, b: Column) -> Column:
+        """``a`` with, above its bits, the rank of its union with ``b``; ``_NONE`` where there is no union or no ``b``."""
+        # Another id's entry, or none, has other lower bits.
+        return let(F.get(t["entries"], F.get(t["shift"], a) + b), lambda e: F.when(own(e) == a, e).otherwise(a + _NONE * _SLOTS))
 
-    return rank
+    return element
 
 
 def _ranked(ids: Column, rank) -> Column:
@@ -154,34 +159,40 @@ def _steps(ids: Column, rank, step) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 3, F.lit(1))), _ranked(ids, rank), step)["ids"]
 
 
-def _merges(t: dict[str, Column], spread: tuple[int, int, int], edge: int, v: Column) -> Column:
-    """The ids of bytes ``v``, one merge a step.
+def _merges(t: dict[str, Column], v: Column) -> Column:
+    """The fold's elements of bytes ``v``, one merge a step.
 
     An element of the fold is an id with, above its bits, the rank of the union with the next one, or ``_NONE``. So the least
-    element is a merge to make, and the leftmost of its equals the one: unions of one rank are of the same two ids. It stands
-    between two edges, so a merge has neighbours.
+    element is a merge to make, and the leftmost of its equals the one: unions of one rank are of the same two ids. A step
+    leaves out the second of the two, and reckons the first and the one before it anew. Before the fold, all merges of two
+    bytes are made that are sure.
     """
-    rank = _pair_rank(t, spread)
-    end = F.array(F.lit(_NONE * _SLOTS + edge))
-    element = lambda a, b: F.least(rank(a, b), F.lit(_NONE)) * _SLOTS + a
-    own = lambda x: x.bitwiseAND(_SLOTS - 1).cast("int")
-    start = F.concat(end, F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), lambda x, y: F.get(t["first"], x * 257 + F.coalesce(y, F.lit(256)))), end)
+    element = _pair(t)
+    next_to = lambda v, pair: F.zip_with(v, F.slice(v, F.lit(2), F.size(v)), pair)
+
+    def sure(codes: Column) -> Column:
+        """Ids after these merges; theirs have a bit more, by which the second byte is left out."""
+        beside = lambda i: F.least(F.get(t["left"], F.get(codes, i - 1)), F.get(t["right"], F.get(codes, i + 1)))
+        ids = F.transform(codes, lambda c, i: let(F.get(t["sure"], c), lambda r: F.when(r < beside(i), r + _NONE).otherwise(F.get(t["byte"], c))))
+        return let(ids, lambda ids: F.filter(ids, lambda _, i: F.coalesce(F.get(ids, i - 1) < _NONE, F.lit(True))))
+
+    def fold(ids: Column) -> Column:
+        start = next_to(ids, lambda a, b: element(own(a), own(b)))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), start, step)
 
     def step(s: Column, _: Column) -> Column:
         def merged(low: Column) -> Column:
-            def at(c: Column) -> Column:
-                p, a, m, b = (c[k] for k in "pamb")
-                # As ``concat`` gives, which is slower outside generated code.
-                return F.flatten(F.array(F.slice(s, F.lit(1), p - 2), F.array(element(a, m), element(m, b)), F.slice(s, p + 2, F.size(s))))
+            def at(p: Column) -> Column:  # counts from 1
+                made = F.shiftright(low, 18).cast("int")
+                around = lambda x, i: F.when(i == p - 1, element(made, own(F.get(s, p + 1)).cast("int"))).when(i == p - 2, element(own(x).cast("int"), made)).otherwise(x)
+                return F.transform(F.filter(s, lambda _, i: i != p), around)
 
-            place = F.array_position(s, low).cast("int")  # counts from 1
-            around = lambda p: F.struct(p.alias("p"), own(F.get(s, p - 2)).alias("a"), F.shiftright(low, 18).cast("int").alias("m"), own(F.get(s, p + 1)).alias("b"))
-            return let(let(place, around), at)
+            return let(F.array_position(s, low).cast("int"), at)
 
         return let(F.array_min(s), lambda low: F.when(low < _NONE * _SLOTS, merged(low)).otherwise(s))
 
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(v) - 1, F.lit(1))), start, step)
-    return let(folded, lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 2), own))
+    codes = next_to(v, lambda x, y: x * 257 + F.coalesce(y, F.lit(256)))
+    return let(let(codes, sure), fold)
 
 
 def _rounds(ids: Column, rank) -> Column:
@@ -215,21 +226,20 @@ def _rounds(ids: Column, rank) -> Column:
 
 def _folded(t: dict[str, Column], ranks: Ranks, word: Column) -> Column:
     """The signs of a word's ids, by merging."""
-    rank, end = _pair_rank(t, ranks.spread), F.array(F.lit(ranks.edge))
+    rank, end = lambda a, b: F.shiftright(_pair(t)(a, b), 18).cast("int"), F.array(F.lit(ranks.edge))
     chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a character for each byte
-    merges = lambda v: _merges(t, ranks.spread, ranks.edge, v)
     between = lambda ids: F.concat(end, ids, end)
-    inside = lambda ids: F.filter(ids, lambda x: x != ranks.edge)
+    inside = lambda ids: F.transform(F.filter(ids, lambda x: x != ranks.edge), lambda x: x.cast("long"))
 
     def cut(v: Column) -> Column:
         n = F.size(v)
         cuts = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.get(t["crossed"], F.get(v, i - 1) * 256 + F.get(v, i)) == 0)
         parts = let(cuts, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), F.concat(c, F.array(n)), lambda a, b: F.slice(v, a + 1, b - a)))
         rounds = lambda p: inside(_rounds(between(F.transform(p, lambda b: F.get(t["bytes"], b))), rank))
-        return F.flatten(F.transform(parts, lambda p: F.when(F.size(p) + 2 <= LONG, merges(p)).otherwise(rounds(p))))
+        return F.flatten(F.transform(parts, lambda p: F.when(F.size(p) + 2 <= LONG, _merges(t, p)).otherwise(rounds(p))))
 
-    ids = let(F.transform(chars, F.ascii), lambda v: F.when(F.octet_length(word) <= LONG, merges(v)).otherwise(cut(v)))
-    return F.array_join(F.transform(ids, lambda x: F.get(t["signs"], x)), "")
+    ids = let(F.transform(chars, F.ascii), lambda v: F.when(F.octet_length(word) <= LONG, _merges(t, v)).otherwise(cut(v)))
+    return F.array_join(F.transform(ids, lambda x: F.get(t["signs"], own(x).cast("int"))), "")
 
 
 def words_of(text: Column, pattern: str) -> Column:

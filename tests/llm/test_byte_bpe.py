@@ -1,5 +1,6 @@
 """Byte-level BPE against the library that such rank files are made for."""
 
+import base64
 import hashlib
 import random
 
@@ -56,6 +57,27 @@ def test_rounds_make_the_same_merges(spark, monkeypatch):
     assert all(list(r.ids) == whole.encode_ordinary(r.text) for r in df.select("text", ByteBpe(spark, path, PATTERN).ids(F.col("text")).alias("ids")).collect())
 
 
+def test_sure_merges(spark, tmp_path):
+    """Merges made before the fold change nothing, also where pieces have lower ranks than what they are made of, as no trained file has them."""
+    rng = random.Random(3)
+    for k in range(3):
+        pieces = sorted({"".join(rng.choice("abcde") for _ in range(rng.choice((2, 2, 3, 4, 5)))).encode() for _ in range(400)})
+        rng.shuffle(pieces)
+        every = [bytes([b]) for b in range(256)] + pieces
+        (path := tmp_path / f"{k}.tiktoken").write_bytes(b"".join(base64.b64encode(p) + b" %d\n" % rank for rank, p in enumerate(every)))
+        tables, pairs = ranks_of(str(path)).tables, sum(len(p) == 2 for p in pieces)
+        sure = np.array(tables["sure"][0].as_py()).reshape(256, 257)
+        assert 0 < (sure < byte_bpe._NONE).sum() < pairs
+        before, after = (np.array(tables[n][0].as_py()).reshape(256, 257) for n in ("left", "right"))
+        made = [w for p in pieces if len(p) == 2 for x in b"abcde" for y in b"abcde" if sure[tuple(p)] < min(before[x, p[0]], after[p[1], y]) for w in [chr(x) + p.decode() + chr(y)]]
+        words = made + ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 16))) for _ in range(3000)]
+        whole, df = library(str(path)), spark.createDataFrame([(w,) for w in words], "word string").repartition(4)
+        assert made
+        for r in ByteBpe(spark, str(path), PATTERN)._encoded(df).collect():
+            if r.word.encode() not in pieces:  # they have their own ids, which the memo knows
+                assert [ord(c) for c in r.signs] == whole.encode_ordinary(r.word), r.word
+
+
 def test_report(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     whole, docs = library(path), spark.read.parquet(f"{SF}/documents.parquet")
