@@ -27,7 +27,7 @@ from pixelweave.llm.common import stage, unstage
 #: Words of the memo, at most, and the longest of them in characters: together they bound what is sent to every task.
 MEMO, MEMO_CHARS = 1 << 19, 32
 #: Texts that these words are counted in, about.
-MEMO_ROWS = 20_000
+MEMO_ROWS = 40_000
 #: Bytes from which on a word is cut and merged by rounds.
 LONG = 64
 #: More than ids, so that ids are the lower bits of an element; places of the table of pairs; more than ranks.
